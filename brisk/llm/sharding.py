@@ -54,7 +54,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, buc
             n = bucket.num_rows
             first = bucket.column("slot")[0].as_py() if n else 0
             keys = (bucket.column("shard")[0].as_py(), bucket.column("_bucket")[0].as_py()) if n else (0, 0)
-            order = pc.sort_indices(bucket, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
+            order = pc.sort_indices(bucket, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_numpy().copy()
             random = np.random.default_rng([seed, *keys])
             for i in range(n - 1, 0, -1):  # Fisher-Yates
                 j = int(random.integers(i + 1))
