@@ -1,13 +1,15 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from . import bpe, linededup, quality, sharding, tokenbin
+from . import bpe, html, langid, linededup, quality, sharding, tokenbin
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
     "op7_token_binary": tokenbin.op7_token_binary,
+    "op9_html_extraction": html.op9_html_extraction,
 }
 ORACLES = {
     "op4_line_dedup": linededup.ORACLE,
