@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from . import bpe, html, langid, linededup, quality, sharding, tokenbin
+from . import bpe, html, jaccard, langid, linededup, quality, sharding, tokenbin
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
     "op7_token_binary": tokenbin.op7_token_binary,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_html_extraction": html.op9_html_extraction,
 }
 ORACLES = {
