@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from . import bpe, html, jaccard, langid, linededup, quality, sharding, tokenbin
+from . import bpe, html, jaccard, langid, linededup, quality, sharding, substring, tokenbin
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_token_binary": tokenbin.op7_token_binary,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_html_extraction": html.op9_html_extraction,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {
     "op4_line_dedup": linededup.ORACLE,
