@@ -1,10 +1,11 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from . import bpe, html, jaccard, langid, linededup, quality, sharding, substring, tokenbin
+from . import bpe, decontam, html, jaccard, langid, linededup, quality, sharding, substring, tokenbin
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_decontamination": decontam.op3_decontamination,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
