@@ -35,7 +35,7 @@ from .common import Words, mix, small_batches, table
 from .pretoken import ragged
 
 #: Edited words in 100, items of a pass, walks and keys read from each, places in a key.
-EDITS, ITEMS, WALKS, KEYS, SAMPLED = 20, 20_000, 4, 4, 4
+EDITS, ITEMS, WALKS, KEYS, SAMPLED = 20, 20_000, 4, 4, 6
 #: Words of a window, with the fewest words of items that it serves; a walk has twice as many steps.
 SIZES = (8, 4)
 _U = np.uint64
@@ -89,7 +89,7 @@ class Index:
 
     def __init__(self, items: list[np.ndarray]):
         self.items = items
-        self.sets = [np.unique(x) for x in items]
+        self.sets = [frozenset(x.tolist()) for x in items]
         self.parts = []
         for i, size in enumerate(SIZES):
             most = SIZES[i - 1] if i else 1 << 60
@@ -157,10 +157,10 @@ def hits_of(stream: Stream, index: Index, edits: int = EDITS) -> list[list[tuple
         most = len(words) * edits // 100
         first, end = int(stream.first[text]), int(stream.end[text])
         lo, hi = max(first, begin - most), min(end, begin + len(words) + most)
-        region = stream.word[lo:hi]
-        if np.isin(region, index.sets[item]).sum() < len(words) - most:
+        region, known = stream.word[lo:hi].tolist(), index.sets[item]
+        if sum(w in known for w in region) < len(words) - most:
             continue
-        if got := within(words.tolist(), region.tolist(), most):
+        if got := within(words.tolist(), region, most):
             done.add((text, item))
             out[text].append((item, max(begin, first) - first, got[0]))
     return out
