@@ -71,7 +71,9 @@ def measure(docs: DataFrame, toxic_terms: list[str] = ()) -> DataFrame:
         long(F.regexp_count(text, F.lit("!!"))).alias("n_shouts"),
         long(F.size(F.array_intersect(_letters(F.col("text")), terms)) if toxic_terms else F.lit(0)).alias("n_toxic_terms"),
     )
-    return hashed.withColumn("m", m).drop("_w", "_g", "_l")
+    # a generator of one row: filters on measurements stay above it, so they are taken once
+    kept = [c for c in docs.columns if c != "m"]
+    return hashed.select(*kept, F.explode(F.array(m)).alias("m"))
 
 
 #: One bit a rule, in this order. A bit's meaning never changes; new rules take new bits.
