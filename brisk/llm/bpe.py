@@ -9,7 +9,8 @@ pre-token of a batch); decoding maps ids to their bytes.
 A vocabulary may hold tokens that merges by rank do not reach; a pre-token that equals such a token
 is that token. They are found when the model is made.
 
-Defined cases: null counts as empty and gives no ids; other columns are untouched, rows independent.
+Defined cases: null counts as empty and gives no ids; other columns are untouched, but
+those named like a result are replaced; rows are independent.
 """
 
 from __future__ import annotations
@@ -109,6 +110,7 @@ def _codec(model: bytes, joined: bytes, sizes: bytes, pattern: str) -> Codec:
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 and, if asked for, `ids` (32-bit little-endian)
     and `decoded` (string, null where the text is)."""
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else []))  # replaced
     tokens = read_ranks(ranks_path)
     sent = docs.sparkSession.sparkContext.broadcast((model_of(tokens), b"".join(tokens), np.array([len(t) for t in tokens], np.uint16).tobytes(), pattern))
 

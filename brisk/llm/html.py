@@ -11,7 +11,7 @@ their container, a stray `<` is text, a tag cut off at the page's end is dropped
 script, style and similar elements, of the head, and of hidden elements are no blocks.
 
 Defined cases: null or empty html gives an empty text; pages are independent, so repeated rows get
-equal results; further columns pass through. One scan, no shuffle, the tree is a few dozen numbers.
+equal results; further columns pass through, but those named like a result are replaced. One scan, no shuffle, the tree is a few dozen numbers.
 """
 
 from __future__ import annotations
@@ -228,6 +228,7 @@ def main_text(page: str | None, tree: tuple | float) -> tuple[str, int, int]:
 
 def extract(pages: DataFrame, labelled: tuple = LABELLED) -> DataFrame:
     """pages (html) with text, n_chars, n_kept_blocks and n_blocks."""
+    pages = pages.drop("text", "n_chars", "n_kept_blocks", "n_blocks")  # replaced
     tree = grow(np.array(labelled, float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ row and whole texts, and knows nothing but the text.
 Defined cases: null, empty and letterless texts are `und` with score 0, as are all texts if nothing
 can be learned; a text in which no word or n-gram is known gets the most frequent language; languages
 that score the same are taken in alphabetical order; repeated rows get equal results; further columns
-pass through.
+pass through, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -156,6 +156,7 @@ def _predictor(packed: bytes) -> Predictor:
 
 def identify(docs: DataFrame, model: dict, column: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
+    docs = docs.drop("lang_pred", "score")  # replaced
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ and hardly in others. It is fitted on at most SAMPLE labelled documents and hold
 words.
 
 Defined cases: a null or empty text has no words, all measurements 0, and fails `too_short`; null
-ids, repeated rows and further columns pass through unchanged, row by row; an empty table gives an
+ids, repeated rows and further columns pass through unchanged, row by row (columns named like a
+result or a working column, `_w _g _l`, are replaced); an empty table gives an
 empty ledger. Cost: one scan, no shuffle (but for the bounded fit).
 """
 
@@ -52,6 +53,7 @@ def _repeated_words(windows: Column) -> Column:
 
 def measure(docs: DataFrame, toxic_terms: list[str] = ()) -> DataFrame:
     """docs with a struct column `m` of measurements."""
+    docs = docs.drop("m", "fail_bits", "kept", "_w", "_g", "_l")  # replaced
     words = docs.withColumn("_w", words_of(F.col("text")))
     n = F.size("_w")
     hashed = words.withColumn(
@@ -72,8 +74,7 @@ def measure(docs: DataFrame, toxic_terms: list[str] = ()) -> DataFrame:
         long(F.size(F.array_intersect(_letters(F.col("text")), terms)) if toxic_terms else F.lit(0)).alias("n_toxic_terms"),
     )
     # a generator of one row: filters on measurements stay above it, so they are taken once
-    kept = [c for c in docs.columns if c != "m"]
-    return hashed.select(*kept, F.explode(F.array(m)).alias("m"))
+    return hashed.select(*docs.columns, F.explode(F.array(m)).alias("m"))
 
 
 #: One bit a rule, in this order. A bit's meaning never changes; new rules take new bits.

@@ -23,7 +23,8 @@ the document at most.
 
 Defined cases: null and empty texts have no words; texts shorter than the window lose nothing; a null
 doc_id comes after all others; rows that share a doc_id (or have none) never remove words from each
-other, only from themselves; further columns pass through; an empty table gives an empty result.
+other, only from themselves; further columns pass through, but those named like a result or a
+working column (with an underscore) are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -242,6 +243,7 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) with n_words, n_removed and kept_text (kept words, one space apart)."""
+    docs = docs.drop("n_words", "n_removed", "kept_text", "_drop", "_ord", "_th", "_o", "_h")  # replaced
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64("text").alias("th")]
     texts = docs.select(*key, "text")
     with freed_shuffles(docs.sparkSession):

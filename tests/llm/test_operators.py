@@ -1,0 +1,234 @@
+"""The training-data operators against brute force, reference libraries and DuckDB."""
+
+import hashlib
+import json
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from brisk.llm import bpe, decontam, html, jaccard, langid, linededup, quality, sharding, substring, tokenbin
+from brisk.llm import queries as llm
+
+import duckdb
+from brute import WORDS, groups, item_distance, windows_removed
+from conftest import prose
+
+SCHEMA = "doc_id long, text string"
+
+
+def frame(spark, rows, schema=SCHEMA, parts=3):
+    return spark.createDataFrame(rows, schema).repartition(parts)
+
+
+def clashing(df, *names):
+    return df.withColumns({n: F.lit("own") for n in ("extra", *names)})
+
+
+def test_similarity_groups(spark, corpus):
+    docs = [*corpus, corpus[3], (None, corpus[9][1]), (None, "alone in the world of words")]
+    got = jaccard.grouped(frame(spark, docs)).collect()
+    key = lambda d, n, c: (d if d is not None else -1, n, c if c is not None else -1)
+    want = sorted(key(d, *x) for (d, _), x in zip(docs, groups(docs), strict=True))
+    assert sorted(key(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    kept = jaccard.keep_one(clashing(frame(spark, docs), "th", "key", "node")).collect()
+    sets = {c for (d, _), (n, c) in zip(docs, groups(docs), strict=True) if n}
+    blank = {d for (d, _), (n, _) in zip(docs, groups(docs), strict=True) if not n}
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept) == sorted([c if c is not None else -1 for c in sets] + list(blank))
+
+
+def test_similarity_of_one_hot_group(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 220):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 7)):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.grouped(frame(spark, rows, parts=5)).collect()}
+    assert got == {d: c for (d, _), (_, c) in zip(rows, groups(rows), strict=True)}
+
+
+def test_substring_dedup(spark, corpus):
+    got = {r["doc_id"]: r for r in substring.substring_dedup(clashing(frame(spark, corpus), "names", "ord", "th", "n_words")).collect()}
+    want = windows_removed(corpus)
+    assert {d: (r["n_words"], r["kept_text"]) for d, r in got.items()} == {d: (n, " ".join(k)) for d, (n, k) in want.items()}
+    assert all(r["n_removed"] == n - len(k) for d, (n, k) in want.items() for r in [got[d]]) and got[7]["extra"] == "own"
+
+
+def test_substring_dedup_nulls_and_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    got = substring.substring_dedup(frame(spark, [(None, text), (None, text), (5, text), (5, text)])).collect()
+    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in got) == [(False, 0), (False, 0), (True, 40), (True, 40)]
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_equals_sql(spark, name):
+    from compare import database, rows
+
+    sf = "/root/testdata/sf0.001"
+    got, want = llm.QUERIES[name](spark, sf).toPandas(), database(sf).sql(llm.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_line_dedup_edges(spark, corpus):
+    block = "\n".join(f"line {i} of the notice" for i in range(12))
+    docs = [*corpus, *[(200 + i, f"head {i}\n{block}\ntail {i}") for i in range(6)], (None, block), (200, None)]
+    got = linededup.line_dedup(clashing(frame(spark, docs), "h", "lo")).toPandas()
+    c = duckdb.connect()
+    c.register("documents", frame(spark, docs).toPandas())
+    want = c.sql(linededup.ORACLE).df()
+    key = lambda df: sorted(map(repr, df[["doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text"]].astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    assert key(got) == key(want) and got["n_removed_lines"].sum() > 20
+
+
+def test_quality_ledger(spark, corpus):
+    book = quality.apply_policy(quality.ledger(clashing(frame(spark, corpus), "m", "_w", "kept")), "v1").cache()
+    rows = {r["doc_id"]: r for r in book.collect()}
+    assert rows[0]["m"]["n_words"] == 0 and not rows[0]["kept"] and rows[0]["fail_bits"] & quality.BIT["too_short"]
+    assert rows[70]["m"]["n_repeat_words"] == 70 and not rows[70]["kept"] and rows[80]["kept"]
+    for d, t in corpus:
+        assert rows[d]["m"]["word_chars"] == sum(map(len, WORDS.findall(t or "")))
+    got = {r["rule"]: (r["n_failing"], r["n_only"]) for r in quality.ablation(book, "v1").collect()}
+    bits = [r["fail_bits"] & quality.mask_of("v1") for r in rows.values()]
+    assert got == {x: (sum(bool(b & quality.BIT[x]) for b in bits), sum(b == quality.BIT[x] for b in bits)) for x in quality.POLICIES["v1"]}
+
+
+TEXTS = [None, "", " ", "it's  we'll\n\n x\t'S 12 ½", "naïve façade – “quoted” 中文字符 한국어 😀👍🏽", "a" * 3000, "<|endoftext|> x", "   \x1c ᠎", "don't I'm they've 'tis '", "é ١٢٣ ⅷ", "x" + " " * 700 + "y"]
+
+
+def test_bpe_equals_the_library(spark, corpus):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [*enumerate(TEXTS), *((100 + d, t) for d, t in corpus)]
+    got = {r["doc_id"]: r for r in bpe.encode_texts(clashing(frame(spark, rows), "n_tokens", "ids"), path, public_tokenizers.PATTERN, with_ids=True).collect()}
+    for d, t in rows:
+        ids = library.encode_ordinary(t or "")
+        assert np.frombuffer(got[d]["ids"], "<u4").tolist() == ids
+        assert got[d]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[d]["decoded"] == t and got[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_token_files_round_trip(spark, tmp_path, corpus):
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    library = Tokenizer.from_str(spec)
+    library.encode_special_tokens = True
+    rows = sorted([*((1000 + i, t) for i, t in enumerate(TEXTS)), *corpus])
+    tokenbin.write_tokens(frame(spark, rows), spec, f"file://{tmp_path}/t", block=700)
+    got = {r["doc_id"]: r for r in tokenbin.read_tokens(spark, f"file://{tmp_path}/t", with_ids=True).collect()}
+    start = 0
+    for d, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(rows)
+    tokenbin.write_tokens(frame(spark, []), spec, f"file://{tmp_path}/none")
+    assert tokenbin.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_coder_from_any_checkpoint():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.geometric(0.05, 200_000), 999).astype(np.uint32)
+    coder = tokenbin.Coder(tokenbin.quantise(np.bincount(ids, minlength=1000)))
+    lanes, payload, points = coder.encode(ids, int(ids[0]))
+    assert (coder.decode(len(ids), lanes, payload, points) == ids).all() and len(payload) < len(ids)
+    assert (coder.decode(len(ids), lanes, payload, points, 0, 1) == ids[: tokenbin.STRIDE * lanes][: len(ids)]).all()
+
+
+def test_sharding_law(spark, tmp_path, corpus):
+    rows = [*corpus, corpus[0], (None, "x"), (None, None)]
+    taken = {}
+    for n in (4, 5):
+        sharding.write_shards(clashing(frame(spark, rows), "slot", "shard"), f"file://{tmp_path}/{n}", n, bucket_bytes=3000)
+        taken[n] = spark.read.schema("doc_id long, text string, extra string, grown_shard int, slot long, shard int").parquet(f"file://{tmp_path}/{n}").collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in taken[4]))) == sorted(map(repr, rows))
+    for n in (4, 5):
+        for s in range(n):
+            slots = sorted(r["slot"] for r in taken[n] if r["shard"] == s)
+            assert slots == list(range(len(slots)))
+    five = {(r["doc_id"], r["text"]): r["shard"] for r in taken[5]}
+    assert all(r["grown_shard"] == five[r["doc_id"], r["text"]] and r["grown_shard"] in (r["shard"], 4) for r in taken[4])
+
+
+def test_language_on_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 400")
+    model = langid.fit(docs)
+    seen = {r["lang"] for r in docs.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert set(model["langs"]) == seen - {None}
+    got = langid.identify(clashing(docs, "score"), model)
+    right = got.where(langid.held_out(F.col("doc_id"))).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.97
+    odd = frame(spark, [(1, None), (2, ""), (3, "12 34 --"), (4, "Ωμέγα"), (5, docs.first()["text"] * 50)])
+    rows = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert [rows[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and rows[4]["lang_pred"] in seen and 0 <= rows[5]["score"] <= 1
+    empty = langid.fit(docs.limit(0))
+    assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
+
+
+PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body class="with-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
+<div class="cookie-notice">We use cookies and many words to say so to all of you who read this</div><article><h1>The &amp; title</h1><p>First   paragraph
+with a <a href="x">link</a> &lt;b&gt; and more<p>Short.<form><label>Your name</label></form><div class="comments"><p>I do not agree with any of this at all, and here is why in many words.</p></div><p>Last</p></article>
+<aside>Other news of the day that nobody needs</aside><footer>&copy; 2020</footer>"""
+
+
+def test_main_text(spark):
+    rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "no markup at all, but a good many words that make a text of their own here"), (5, "u", "<p>" + "word " * 50_000), (6, "u", "<p a='x"), (1, "u", PAGE)]
+    got = html.extract(clashing(frame(spark, rows, "page_id long, url string, html string"), "text")).collect()
+    by = {r["page_id"]: r["text"] for r in got}
+    assert by[1] == "The & title First paragraph with a link <b> and more Short. Last"
+    assert by[2] == by[3] == by[6] == "" and by[4].startswith("no markup") and len(by[5]) == 249_999
+    assert sum(r["text"] == by[1] for r in got) == 2 and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_decontamination_recall(spark):
+    rng = random.Random(6)
+    items = [prose(rng, rng.randint(15, 50)) for _ in range(40)] + [None, "", "two words", prose(rng, 5)]
+    bench = frame(spark, list(enumerate(items)), "item_id long, text string", 1)
+    docs, wanted = [(1000, None), (1001, ""), (1002, "so " * 400)], set()
+    for d in range(200):
+        i = rng.randrange(40)
+        w = items[i].split()
+        for _ in range(rng.randint(0, len(w) * 20 // 100)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1, 1))] = rng.choice(([], ["zz"], ["Zz,", "qq"]))[:2]
+        text = prose(rng, rng.randint(0, 60)).split() + w + prose(rng, rng.randint(0, 60)).split()
+        docs.append((d, " ".join(text).title() + "."))
+        plain = [x.strip(",.").lower() for x in text]
+        wanted |= {(d, k) for k, item in enumerate(items) if item and len(item.split()) >= 4 and k == i and item_distance(item.split(), plain) <= len(item.split()) * 20 // 100}
+    rows = decontam.find_items(clashing(frame(spark, docs), "hits", "_plain"), bench, most_items=15).collect()
+    got = {(r["doc_id"], h["item_id"]) for r in rows for h in r["hits"]}
+    assert len(rows) == len(docs) and len(wanted & got) >= 0.98 * len(wanted) and len(wanted) > 120
+    texts = dict(docs)
+    for d, k in got:
+        plain = decontam_words(texts[d])
+        assert item_distance(items[k].split(), plain) <= len(items[k].split()) * 20 // 100
+    assert decontam.decontaminate(frame(spark, docs), bench.limit(0)).count() == len(docs)
+
+
+def decontam_words(text):
+    import re
+
+    return re.sub(r"[!-/:-@\[-`{-~]+", " ", text.lower()).split()
+
+
+def test_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert jaccard.grouped(none).count() == 0 and substring.substring_dedup(none).count() == 0 and linededup.line_dedup(none).count() == 0
+    assert quality.quality_rules(none).count() == 0 and decontam.find_items(none, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert bpe.encode_texts(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert langid.identify(none, langid.fit(none)).count() == 0 and html.extract(none.withColumn("html", F.lit(None).cast("string"))).count() == 0
+    sharding.write_shards(none, f"file://{tmp_path}/s", 2)
+    assert json.dumps(llm.ORACLES)

@@ -1,0 +1,47 @@
+"""The pipeline against its stages done by hand."""
+
+import duckdb
+import pytest
+
+from brisk.llm import linededup, quality
+
+from brute import groups, item_distance
+from compare import database
+
+pipeline = pytest.importorskip("corpus_pipeline")
+SF = "/root/testdata/sf0.001"
+
+
+def words(text):
+    import re
+
+    return re.sub(r"[!-/:-@\[-`{-~]+", " ", text.lower()).split()
+
+
+def test_pipeline_by_hand(spark):
+    db = database(SF)
+    verdict = dict(db.sql(f"SELECT doc_id, kept FROM ({quality.ORACLE})").fetchall())
+    docs = [(d, t) for d, t in db.sql("SELECT doc_id, text FROM documents").fetchall() if verdict[d]]
+    import pandas as pd
+
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    docs = c.sql(f"SELECT doc_id, text FROM ({linededup.ORACLE})").fetchall()
+    docs = [x for x, (n, first) in zip(docs, groups(docs), strict=True) if n == 0 or first == x[0]]
+    items = [words(t) for (t,) in db.sql("SELECT text FROM benchmark").fetchall()]
+    clean = []
+    for d, t in docs:
+        w = words(t)
+        near = [i for i in items if len(set(i) - set(w)) <= len(i) * 20 // 100]
+        if not any(item_distance(i, w) <= len(i) * 20 // 100 for i in near):
+            clean.append((d, t))
+    got = {r["doc_id"]: r["decoded_sha256"] for r in pipeline.run(spark, SF).collect()}
+    import hashlib
+
+    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in clean}
+
+
+def test_stages_return_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
