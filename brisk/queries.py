@@ -279,7 +279,7 @@ def precision_recall_at_k(spark, sf_dir):
  j AS (SELECT u."user", q, CAST(b."user" IS NOT NULL AS INT) AS label FROM u LEFT JOIN b USING ("user")), r AS (SELECT *, row_number() OVER (ORDER BY q DESC, "user") AS place FROM j),
  t AS (SELECT *, sum(label) OVER (ORDER BY place) AS hits FROM r WHERE place <= 20), p AS (SELECT sum(label) AS p, count(*) AS n FROM j),
  i AS (SELECT sum(1 / log2(x + 1)) AS ideal FROM p, range(1, 21) r(x) WHERE x <= p.p)
-SELECT p.n AS scored_users, CAST(p.p AS BIGINT) AS positive_users, round(p.p / p.n, 6) AS user_prevalence, round((SELECT sum(label) FROM t) / 20, 6) AS precision_at_k,
+SELECT p.n AS scored_users, CAST(p.p AS BIGINT) AS positive_users, round(p.p / p.n, 6) AS user_prevalence, round((SELECT sum(label) FROM t) / least(20, p.n), 6) AS precision_at_k,
  round((SELECT sum(hits / place) FILTER (label > 0) FROM t) / least(p.p, 20), 6) AS map_at_k, round((SELECT sum(label / log2(place + 1)) FROM t) / i.ideal, 6) AS ndcg_at_k FROM p, i""")
 def ndcg_map_at_k(spark, sf_dir):
     out = metrics.evaluate_users(scored(spark, sf_dir), incidents(spark, sf_dir), date(2024, 1, 5), date(2024, 1, 25), 20)
