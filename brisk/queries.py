@@ -7,6 +7,8 @@ Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from .plans import experiments
 from .plans import features as feature_plans
 from .sources import alerts as alert_source
 from .sources import logs
+from .streaming import activity as stream_activity
 
 TERMS = daily.Terms(8, 18, ("site1",), ("job", "site2"), ("site3",), ("site4", "a.b"), ("secret",), ("int.com",))
 ROLES = {"logon": "signup", "device": "error", "http": "view", "email": "purchase", "file": "click"}
@@ -53,6 +56,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-brisk-")
+    return f"{base.rstrip('/')}/brisk/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -429,6 +438,20 @@ def alert_normaliser(spark, sf_dir):
     return alert_source.normalise(alert_json(spark, sf_dir))
 
 
+@query("SELECT day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e GROUP BY ALL", days=("day",))
+def stream_daily_counts(spark, sf_dir):
+    """The streaming counters, drained once from the events files into a table in the shared folder."""
+    schema = load(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch(spark, "stream")
+    counts = stream_activity.daily_counts(stream, late="0 seconds", by=("event_type",))
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/rows")
+    run = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    latest = spark.read.parquet(f"{path}/rows").groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return latest.select("day", "event_type", "x.n", r6("x.total").alias("total"))
+
+
 @query()
 def user_day_features(spark, sf_dir):
     """All 31 counters of the five logs and both sequence features on the dense panel."""
