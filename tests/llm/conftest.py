@@ -2,12 +2,7 @@ import random
 
 import pytest
 
-VOCABULARY = [a + b + c for a in ("ka", "lo", "mi", "ne", "ru", "sa") for b in ("t", "nd", "r", "ss") for c in ("a", "e", "im", "os", "u")]
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
-
+from brute import VOCABULARY, prose
 
 @pytest.fixture(scope="session")
 def corpus():

@@ -14,8 +14,7 @@ from brisk.llm import bpe, decontam, html, jaccard, langid, linededup, quality,
 from brisk.llm import queries as llm
 
 import duckdb
-from brute import WORDS, groups, item_distance, windows_removed
-from conftest import prose
+from brute import WORDS, groups, item_distance, prose, windows_removed
 
 SCHEMA = "doc_id long, text string"
 
