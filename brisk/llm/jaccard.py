@@ -14,7 +14,8 @@ makes few candidates.
    as an original does with its near copies) and only hubs meet the others, under the length and
    positional filters; a suffix filter and the exact count follow, once per pair. Classes that are
    already linked need not meet, and a list is done when all of its classes are. The number of hubs
-   grows fourfold each round, so a list of n classes is done after log(n) rounds.
+   grows GROWTH-fold each round, so a list of n classes is done after log(n) rounds; in a short
+   list all are hubs at once.
 4. Links give components by label propagation with pointer jumping, in written rounds.
 
 Sets are compared as sets of 64-bit shingle hashes.
@@ -38,6 +39,10 @@ from .common import Words, freed_shuffles, keep, mix, shingle_hashes, small_batc
 
 #: Words of a shingle; similarity in hundredths; most entries of the table of frequent words.
 K, PERCENT, COMMON = 5, 80, 1 << 17
+#: Each round has so many times the hubs of the one before.
+GROWTH = 16
+#: Lists of so many classes are short: all of their pairs meet at once.
+SHORT = 4
 _U = np.uint64
 
 
@@ -57,20 +62,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of all words that occur 2**e times or more, sorted by hash, with the
-    smallest e that leaves at most `most` of them."""
+    """Hashes and counts of all words that occur so often that at most `most` do, sorted by hash."""
     counts = keep(word_counts(docs).where("n > 1"), "shingle-words")
-    by_size = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()
-    held, least = 0, 64
-    for r in sorted(by_size, key=lambda r: -r["e"]):
-        held += r["n"]
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    by_count = counts.groupBy(level.alias("least")).agg(F.count("*").alias("c")).collect()
+    held, least = 0, 1 << 62
+    for r in sorted(by_count, key=lambda r: -r["least"]):
+        held += r["c"]
         if held > most:
             break
-        least = r["e"]
-    rows = counts.where(F.col("n") >= F.lit(2.0**least)).toPandas()
-    w = rows["w"].to_numpy(np.int64).view(np.uint64)
+        least = r["least"]
+    rows = counts.where(F.col("n") >= least).toArrow()
+    w = rows.column("w").to_numpy().view(np.uint64)
     order = np.argsort(w)
-    return w[order], rows["n"].to_numpy(np.int64)[order]
+    return w[order], rows.column("n").to_numpy()[order]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -119,9 +124,13 @@ def members(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
                 if lowest is None:
                     place = np.minimum(np.searchsorted(known, words.hash), max(len(known) - 1, 0))
                     count = np.where(known[place] == words.hash, counts[place], 0) if len(known) else np.zeros(len(words.hash), np.int64)
-                    lowest = count.copy()
+                    lowest, total = count.copy(), np.log2(count + 1)
+                    each = total.copy()
                     for j in range(1, K):
                         lowest[: len(count) - j] = np.minimum(lowest[: len(count) - j], count[j:])
+                        total[: len(count) - j] += each[j:]
+                    # the rarest word first, then the product of all counts in coarse steps
+                    lowest = (lowest << 8) + np.minimum(total, 255).astype(np.int64)
                 name = name_of(own) if len(own) else None
                 sizes.append(len(own))
                 nodes.append(name)
@@ -162,7 +171,7 @@ def class_sets(docs: DataFrame, people: DataFrame, keys: DataFrame) -> DataFrame
     """(key, n, own): sorted sets of the classes in keys (key, node), from one document of each."""
     chosen = people.join(keys, "node").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("key", F.col("r.doc_id").alias("_d"), F.col("r.th").alias("_h"))
     text = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    rows = text.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h"))).select("key", "text").dropDuplicates(["key"])
+    rows = text.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h"))).select("key", "text").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -204,44 +213,50 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(left, "x").join(right, "y").select("x", "y", "_a", "_b").mapInArrow(run, "x binary, y binary")
 
 
-def links_of(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links_of(posts: DataFrame, docs: DataFrame, people: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(x, y): links of classes, enough of them to connect all that links connect."""
     spark = posts.sparkSession
     none = spark.createDataFrame([], "x binary, y binary")
-    links, done = none, none
+    links, done, sets = none, none, None
     active = posts.select("token", "pos", "n", "key").withColumn("lab", F.col("key"))
     hubs_each, turn = 1, 0
+    rest = F.col("n") - F.col("pos")
     while True:
-        # lists whose classes are not all linked yet, less what the positional filter rules out
-        state = active.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("token", "least")
-        open_ = active.join(state, "token")
-        smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-        open_ = open_.where((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + smallest)).drop("least")
+        # lists whose classes are not all linked yet, less what the positional filter rules out:
+        # the shortest class and the earliest place in the list bound what any other can do
+        state = active.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min("n").alias("least"), F.max(rest).alias("reach"), F.count("*").alias("c")).where("lo < hi").select("token", "least", "reach", "c")
+        shortest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+        open_ = active.join(state, "token").where(F.least(rest, F.col("reach")) * (100 + percent) >= percent * (F.col("n") + shortest)).drop("least", "reach")
         open_ = keep(open_, f"shingle-open-{turn}")
         if open_.isEmpty():
             return links
-        salt = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(hubs_each))
-        hubs = open_.groupBy("token", salt.alias("s")).agg(F.max("key").alias("h")).select("token", "h")
-        hubs = keep(hubs.join(open_.select("token", F.col("key").alias("h"), F.col("pos").alias("hpos"), F.col("n").alias("hn"), F.col("lab").alias("hlab")), ["token", "h"]), f"shingle-hubs-{turn}")
-        shorter, longer = F.least("n", "hn"), F.greatest("n", "hn")
-        rest = F.least(F.col("n") - F.col("pos"), F.col("hn") - F.col("hpos"))
+        # in a list that is short enough all classes are hubs, so that it is done after this round
+        salt = F.when(F.col("c") <= max(hubs_each, SHORT), F.xxhash64("key")).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(hubs_each)))
+        hub = F.max(F.struct("key", F.col("pos").alias("hpos"), F.col("n").alias("hn"), F.col("lab").alias("hlab")))
+        hubs = keep(open_.groupBy("token", salt.alias("s")).agg(hub.alias("h")).select("token", F.col("h.key").alias("h"), "h.hpos", "h.hn", "h.hlab"), f"shingle-hubs-{turn}")
+        both_rest = F.least(rest, F.col("hn") - F.col("hpos"))
         met = open_.join(hubs, "token").where(
-            (F.col("lab") != F.col("hlab")) & (shorter * 100 >= longer * percent) & (rest * (100 + percent) >= percent * (F.col("n") + F.col("hn")))
+            (F.col("lab") != F.col("hlab")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (both_rest * (100 + percent) >= percent * (F.col("n") + F.col("hn")))
         )
-        pairs = met.select(F.least("key", "h").alias("x"), F.greatest("key", "h").alias("y")).distinct().join(done, ["x", "y"], "left_anti")
-        pairs = keep(pairs, f"shingle-pairs-{turn}")
-        links = links.unionByName(keep(verified(pairs, sets, percent), f"shingle-links-{turn}"))
-        done = done.unionByName(pairs)
-        # each class takes the best label among its own and those it is linked with
+        pairs = met.select(F.least("key", "h").alias("x"), F.greatest("key", "h").alias("y")).distinct()
+        pairs = keep(pairs.join(done, ["x", "y"], "left_anti") if turn else pairs, f"shingle-pairs-{turn}")
+        ends = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
+        ends = keep(ends if sets is None else ends.join(sets, "key", "left_anti"), f"shingle-ends-{turn}")
+        if not ends.isEmpty():
+            more = keep(class_sets(docs, people, ends.withColumn("node", F.expr("substring(key, 9, 16)"))), f"shingle-sets-{turn}")
+            sets = more if sets is None else sets.unionByName(more)
+        found = keep(verified(pairs, sets, percent), f"shingle-links-{turn}") if sets is not None else none
+        links, done = links.unionByName(found), done.unionByName(pairs)
+        # each class takes the best label among its own and those up to two links away: from a near
+        # copy over the original to another near copy
         both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        labels = open_.select(F.col("key").alias("y"), "lab").distinct()
+        near = both.join(labels, "y").groupBy(F.col("x").alias("key")).agg(F.max("lab").alias("new"))
+        far = both.join(near.withColumnRenamed("key", "y"), "y").select(F.col("x").alias("key"), "new")
+        fresh = keep(near.unionByName(far).groupBy("key").agg(F.max("new").alias("new")), f"shingle-labels-{turn}")
         active = open_.join(hubs.select("token", F.col("h").alias("key")), ["token", "key"], "left_anti")
-        labels = open_.select("key", "lab").distinct()
-        better = both.join(labels.withColumnsRenamed({"key": "y"}), "y").groupBy(F.col("x").alias("key")).agg(F.max("lab").alias("new"))
-        # an edge may be followed twice: from a near copy over the original to another near copy
-        again = both.join(better.withColumnsRenamed({"key": "y"}), "y").groupBy(F.col("x").alias("key")).agg(F.max("new").alias("far"))
-        fresh = keep(better.join(again, "key", "full").select("key", F.greatest("new", "far").alias("new")), f"shingle-labels-{turn}")
         active = active.join(fresh, "key", "left").select("token", "pos", "n", "key", F.greatest("lab", "new").alias("lab"))
-        turn, hubs_each = turn + 1, hubs_each * 4
+        turn, hubs_each = turn + 1, hubs_each * GROWTH
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,8 +280,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     with freed_shuffles(docs.sparkSession):
         people = keep(members(docs, frequent_words(docs), percent), "shingle-members")
         posts = keep(shared_postings(people), "shingle-lists")
-        sets = keep(class_sets(docs, people, posts.select("key", "node").distinct()), "shingle-sets")
-        links = links_of(posts, sets, percent)
+        links = links_of(posts, docs, people, percent)
         roots = components(links)
         names = posts.select("key", "node").distinct().join(roots, "key").select("node", "root")
         base = people.select("doc_id", "th", "n_shingles", "node")
