@@ -8,8 +8,9 @@ candidates: occurrences are equal if their bytes are.
 
 The plan moves (hash, document, position) of multi-line chunks, pre-aggregated per hash; texts of
 chunks only where the hash repeats, pre-aggregated per text, so a passage that a third of the
-documents share is a few rows per task; and each text once, to meet its list of removals. Only
-DataFrame functions are used.
+documents share is a few rows per task; and each text once, to meet its list of removals. What is joined
+grows with the documents, so joins sort at every size and never broadcast. Only DataFrame functions
+are used.
 
 Defined cases: a null text stays null and an empty one empty; documents are ordered by doc_id, null
 last, then by text; rows with the same doc_id and text count as one document and get the same
@@ -65,13 +66,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         often = named.groupBy("h").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("h")
         often = keep(often, "lines-hash")
         # byte comparison: chunks are equal if their texts are
-        again = named.join(often, "h", "left_semi")
+        again = named.join(often.hint("merge"), "h", "left_semi")
         again = keep(again.select("_id", "_t", "p", "h", F.col("c.at").alias("at"), F.col("c.n").alias("n"), F.col("c.text").alias("bytes")), "lines-again")
         first = again.groupBy("h", "bytes").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("h", "bytes", "lo")
-        drop = again.join(first, ["h", "bytes"]).where("p <> lo").select("_id", "_t", "at", "n").distinct()
+        drop = again.join(first.hint("merge"), ["h", "bytes"]).where("p <> lo").select("_id", "_t", "at", "n").distinct()
         drop = drop.groupBy("_id", "_t").agg(F.collect_set("at").alias("_drop"), F.sum("n").alias("_lines"))
         drop = keep(drop, "lines-drop").withColumnsRenamed({"_id": "_i", "_t": "_u"})
-    full = docs.withColumn("_t", F.md5(F.col("text"))).join(drop, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
+    full = docs.withColumn("_t", F.md5(F.col("text"))).join(drop.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
     rest = F.array_join(F.transform(F.filter(_chunks(F.col("text")), lambda c: ~F.array_contains(F.col("_drop"), c["at"])), lambda c: c["text"]), "\n")
     zero = F.lit(0).cast("long")
     return full.select(
