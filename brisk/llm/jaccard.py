@@ -41,6 +41,8 @@ from .common import Words, freed_shuffles, keep, mix, shingle_hashes, small_batc
 K, PERCENT, COMMON = 5, 80, 1 << 17
 #: Each round has so many times the hubs of the one before.
 GROWTH = 16
+#: Text bytes of a step; arrays of a step take about 50 times as much.
+STEP = 2 << 20
 #: Lists of so many classes are short: all of their pairs meet at once.
 SHORT = 4
 _U = np.uint64
@@ -54,7 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(w, n): hash of a lower-cased word and how often it stands in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=STEP):
             seen, n = np.unique(Words(batch, lower=True).hash, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(seen)), pa.array(n.astype(np.int64))], ["w", "n"])
 
@@ -118,7 +120,7 @@ def members(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = np.frombuffer(sent.value[0], np.uint64), np.frombuffer(sent.value[1], np.int64)
         met: set[bytes] = set()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=STEP):
             sizes, nodes, tokens, lowest = [], [], [], None
             for words, a, b, own, at in _sets(batch):
                 if lowest is None:
@@ -174,7 +176,7 @@ def class_sets(docs: DataFrame, people: DataFrame, keys: DataFrame) -> DataFrame
     rows = text.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h"))).select("key", "text").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=STEP):
             own = [x[3] for x in _sets(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "own"])
 
