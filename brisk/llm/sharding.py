@@ -10,7 +10,7 @@ number of records in earlier buckets of its shard plus its place in its bucket.
 Law: `key`. doc_id and the shard count alone decide the shard; rows with equal doc_id share one.
 Equal texts of different ids are different records and scatter; records equal in id and text share a
 bucket. Defined cases: null text counts as empty, null doc_id is one key, further columns are
-written along, an empty table writes no records. The result depends on the rows and the seed, not on
+written along (but those named like a result, `n` or `_bucket` are replaced), an empty table writes no records. The result depends on the rows and the seed, not on
 their order or partitions.
 """
 
@@ -36,6 +36,7 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, bucket_bytes: int = BUCKET) -> None:
     """Write docs under `path` as shard=0 ... with columns `slot` and `grown_shard` (by one more shard)."""
+    docs = docs.drop("shard", "grown_shard", "slot", "_bucket", "n")  # replaced
     text = F.coalesce(F.col("text"), F.lit(""))
     with freed_shuffles(docs.sparkSession):
         total = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long") + 1), F.lit(0))).first()[0]
