@@ -129,8 +129,9 @@ def members(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
                     lowest, total = count.copy(), np.log2(count + 1)
                     each = total.copy()
                     for j in range(1, K):
-                        lowest[: len(count) - j] = np.minimum(lowest[: len(count) - j], count[j:])
-                        total[: len(count) - j] += each[j:]
+                        m = max(0, len(count) - j)  # a batch can hold fewer words than a shingle
+                        lowest[:m] = np.minimum(lowest[:m], count[j:])
+                        total[:m] += each[j:]
                     # the rarest word first, then the product of all counts in coarse steps
                     lowest = (lowest << 8) + np.minimum(total, 255).astype(np.int64)
                 name = name_of(own) if len(own) else None

@@ -52,6 +52,12 @@ def test_similarity_of_one_hot_group(spark):
     assert got == {d: c for (d, _), (_, c) in zip(rows, groups(rows), strict=True)}
 
 
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
+def test_similarity_of_a_short_text_alone_in_its_batch(spark, text):
+    got = jaccard.grouped(frame(spark, [(1, text)], parts=1)).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got] == [(1, 1, 1)]
+
+
 def test_substring_dedup(spark, corpus):
     got = {r["doc_id"]: r for r in substring.substring_dedup(clashing(frame(spark, corpus), "names", "ord", "th", "n_words")).collect()}
     want = windows_removed(corpus)
