@@ -279,7 +279,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row a document: doc_id, th (hash of the text), n_shingles, component_id."""
+    """A row a document: doc_id, th (hash of the text), n_shingles, component_id, and group, which
+    names its component: component_id can be null or stand for several, as ids can repeat. Documents
+    without words have no group."""
     with freed_shuffles(docs.sparkSession):
         people = keep(members(docs, frequent_words(docs), percent), "shingle-members")
         posts = keep(shared_postings(people), "shingle-lists")
@@ -289,13 +291,13 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         base = people.select("doc_id", "th", "n_shingles", "node")
         named = keep(base.join(names, "node", "left").withColumn("group", F.coalesce("root", "node")), "shingle-named")
         lowest = named.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("component_id"))
-        alone = named.where(F.col("group").isNull()).select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
-        return named.join(lowest, "group").select("doc_id", "th", "n_shingles", "component_id").unionByName(alone)
+        alone = named.where(F.col("group").isNull()).select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"), "group")
+        return named.join(lowest, "group").select("doc_id", "th", "n_shingles", "component_id", "group").unionByName(alone)
 
 
 def similarity_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text, ...) with n_shingles and component_id."""
-    ids = grouped(docs, percent).distinct().withColumnsRenamed({"doc_id": "_d", "th": "_h"})
+    ids = grouped(docs, percent).drop("group").distinct().withColumnsRenamed({"doc_id": "_d", "th": "_h"})
     full = docs.withColumn("_t", F.xxhash64("text"))
     return full.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))).drop("_t", "_d", "_h")
 
@@ -304,7 +306,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs less all but one document of each group: the one with the smallest doc_id, then the
     smallest hash of its text. Documents without words stay; of rows equal in id and text one does."""
     groups = keep(grouped(docs, percent), "shingle-groups")
-    first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("r")).select("r.doc_id", "r.th")
+    first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("r")).select("r.doc_id", "r.th")
     chosen = first.unionByName(groups.where("n_shingles = 0").select("doc_id", "th")).distinct().withColumnsRenamed({"doc_id": "_d", "th": "_h"})
     repeated = not groups.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     kept = docs.withColumn("_t", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi")

@@ -39,6 +39,16 @@ def test_similarity_groups(spark, corpus):
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept) == sorted([c if c is not None else -1 for c in sets] + list(blank))
 
 
+def test_one_of_each_group_is_kept_whatever_its_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (prose(rng, 40) for _ in range(5))
+    near = " ".join(["other", *a.split()[1:]])
+    docs = [(None, a), (None, near), (None, b), (None, c), (7, d), (7, e), (8, d), (9, None), (None, "")]
+    kept = jaccard.keep_one(frame(spark, docs)).collect()
+    assert len(kept) == 7 and {(r["doc_id"], r["text"]) for r in kept} - {(None, a), (None, near)} == {(None, b), (None, c), (7, d), (7, e), (9, None), (None, "")}
+    assert set(jaccard.similarity_groups(frame(spark, docs)).columns) == {"doc_id", "text", "n_shingles", "component_id"}
+
+
 def test_similarity_of_one_hot_group(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(150)]
