@@ -8,7 +8,8 @@ labelled table below decides which blocks are main text.
 
 Markup is read by one regular expression, forgiving as browsers are: unclosed elements end with
 their container, a stray `<` is text, a tag cut off at the page's end is dropped. Contents of
-script, style and similar elements, of the head, and of hidden elements are no blocks.
+script, style and similar elements, of the head, and of hidden elements are no blocks; a script,
+style, textarea, title or iframe without an end tag goes on to the page's end.
 
 Defined cases: null or empty html gives an empty text; pages are independent, so repeated rows get
 equal results; further columns pass through, but those named like a result are replaced. One scan, no shuffle, the tree is a few dozen numbers.
@@ -52,12 +53,47 @@ _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
+# Elements whose contents are markup: tags are matched in pairs, and one without an end tag ends with
+# its container. The rest of RAW_TAGS holds plain characters up to the end tag or the page's end.
+_NESTED = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){t}(?=[\s>/])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S) for t in ("svg", "math", "object", "noscript", "template")}
+_EMPTY_IF_SLASHED = frozenset(("svg", "math", "object"))
 _BODY = re.compile(r"<body(?=[\s>/])|</head(?=[\s>/])[^>]*>", re.I)
 _WORDY = re.compile(r"[A-Za-z]+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "boiler", "heading")
 
 
+def _pairs(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of one kind end, by the place after their start tag; those without an end
+    tag are left out."""
+    ends, opened = {}, []
+    for m in _NESTED[tag].finditer(page):
+        if m[1] == "" and not (tag in _EMPTY_IF_SLASHED and m[2].endswith("/")):
+            opened.append(m.end())
+        elif m[1] and opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
+def _container_end(page: str, at: int) -> int:
+    """Where an element without an end tag ends: at the next tag of a block, or at an end tag that
+    belongs to no start tag from here on."""
+    opened: dict[str, int] = {}
+    for m in _TOKEN.finditer(page, at):
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if not tag:
+            continue
+        if tag in BLOCK_TAGS and tag not in RAW_TAGS:
+            return m.start()
+        if not (m["end"] or m["end2"]):
+            opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag):
+            opened[tag] -= 1
+        else:
+            return m.start()
+    return len(page)
+
+
 def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Blocks in page order: text, words, share of words in links, inside (1 in an article or main
     element, 0 on a page without one, -1 elsewhere), boiler and heading (0 or 1)."""
@@ -65,6 +101,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[list] = []  # open elements that matter: tag, kind, nested elements of the same tag
+    pairs: dict[str, dict[int, int]] = {}
     links = heading = main_seen = 0
     at, end = 0, len(page)
 
@@ -100,6 +137,13 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
         closing = bool(m["end"] or m["end2"])
         if tag in RAW_TAGS and not closing:
             flush()
+            if tag in _NESTED:
+                if tag in _EMPTY_IF_SLASHED and (m["attrs"] or "").endswith("/"):
+                    continue
+                if tag not in pairs:
+                    pairs[tag] = _pairs(page, tag)
+                at = pairs[tag].get(at) or _container_end(page, at)
+                continue
             stop = _RAW_END[tag].search(page, at)
             if tag == "head" and stop is None:
                 stop = _BODY.search(page, at)

@@ -208,6 +208,30 @@ def test_main_text(spark):
     assert sum(r["text"] == by[1] for r in got) == 2 and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+ARTICLE = "<article><h1>The title</h1><p>A first paragraph with a good many words of its own.</p><p>Last</p></article>"
+ARTICLE_TEXT = "The title A first paragraph with a good many words of its own. Last"
+
+
+@pytest.mark.parametrize(
+    "ahead",
+    [
+        "<svg class='x' viewBox='0 0 1 1'/>",
+        "<math/>",
+        "<div><object data='a.swf'>no plug-in </div>",
+        "<div><span><noscript>off</span></div>",
+        "<div><svg><title>t</title><text>drawn</text></div>",
+        "<svg><svg><text>a</text></svg><text>b</text></svg>",
+        "<div><svg><path></div>" + "<div><svg><text>a</text></svg></div>",
+        "<script>var x = '<svg>';</script><div><SVG></div>",
+        "<!-- <svg> --><template><p>not shown</p></template>",
+    ],
+)
+def test_main_text_after_elements_without_an_end(ahead):
+    tree = html.grow(np.array(html.LABELLED, float))
+    assert html.main_text(f"<body>{ahead}{ARTICLE}<div><svg/></div></body>", tree)[0] == ARTICLE_TEXT
+    assert html.main_text(f"<body>{ARTICLE}<iframe>{ARTICLE}", tree)[0] == ARTICLE_TEXT
+
+
 def test_decontamination_recall(spark):
     rng = random.Random(6)
     items = [prose(rng, rng.randint(15, 50)) for _ in range(40)] + [None, "", "two words", prose(rng, 5)]
