@@ -4,20 +4,26 @@ Words are compared lower-cased and without ASCII punctuation. A CGK random walk
 words and writes a sequence of fixed length: in each step it writes the word it stands at, and a
 random bit of the step and the word says whether it moves on. Windows at a small edit distance then
 agree in most places, so bit-sampling LSH applies: a key is made of SAMPLED places, and windows that
-share one of the keys of all repetitions are candidates. Windows are as long as the shortest items
-that are searched (SIZES); a longer item is a window at each of its words, as a document is. A
-candidate is verified exactly: the whole item must stand around it with at most EDITS of 100 of its
-words inserted, deleted or replaced.
+share one of the keys of all repetitions are candidates. Windows are of SIZE words, whatever the
+item's length; an item is a window at each of its words, as a document is. A candidate is verified
+exactly: the whole item must stand around it with at most EDITS of 100 of its words inserted, deleted
+or replaced.
+
+Items of fewer than SHORT words have too few windows for that. They are found without a miss: an item
+with room for e edits is cut into e + 1 pieces, one of which stands in the document as it is.
 
 One scan and no shuffle: keys of documents are looked up where the text lies. A pass holds at most
 ITEMS items (sent to all tasks); more items take more passes.
 
-Defined cases: null and empty texts contain nothing; items that are null or have fewer than 4 words
-are not searched; equal items are all reported; repeated documents get equal results; further
+Scripts that are written without blanks (Han, kana, Thai, Lao, Burmese, Khmer) count each character as
+a word.
+
+Defined cases: null and empty texts contain nothing; items that are null, or have fewer than 4 words
+and fewer than LONG characters, are not searched; equal items are all reported; repeated documents get equal results; further
 columns pass through, but those named like a result are replaced; an empty benchmark finds nothing.
 
 Recall against exhaustive search is measured in the tests; with these parameters an item of 15 words
-with 3 of them edited is missed in under 1 of 100 cases.
+with 3 of them edited is missed in under 1 of 100 cases, and a shorter one never.
 """
 
 from __future__ import annotations
@@ -31,21 +37,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, small_batches, table
+from .common import Words, mix, shingle_hashes, small_batches, table
 from .pretoken import ragged
 
 #: Edited words in 100, items of a pass, walks and keys read from each, places in a key.
 EDITS, ITEMS, WALKS, KEYS, SAMPLED = 20, 20_000, 4, 4, 6
-#: Words of a window, with the fewest words of items that it serves; a walk has twice as many steps.
-SIZES = (8, 4)
+#: Words of a window (a walk has twice as many steps), fewest words of an item that windows serve, and
+#: fewest words, or else characters, of an item.
+SIZE, SHORT, FEWEST, LONG = 8, 15, 4, 16
 _U = np.uint64
 _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+_UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
 _TABLE = 20  # bits of the first lookup
 
 
 def plain(text: Column) -> Column:
-    """Lower case, punctuation as blanks."""
-    return F.regexp_replace(F.lower(text), _PUNCTUATION, " ")
+    """Lower case, punctuation as blanks, blanks around characters of scripts without them."""
+    out = F.regexp_replace(F.lower(text), _PUNCTUATION, " ")
+    return F.when(F.octet_length(text) > F.length(text), F.regexp_replace(out, _UNSPACED, " $0 ")).otherwise(out)
 
 
 class Stream:
@@ -84,41 +93,77 @@ def keys(word: np.ndarray, size: int, seed: int = 0) -> Iterator[np.ndarray]:
             yield mix(out[k])
 
 
+class Lookup:
+    """Sorted keys of places in items, behind a bit table."""
+
+    def __init__(self, key: np.ndarray, item: np.ndarray, place: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.place = key[order], item[order], place[order]
+        self.bits = np.zeros(1 << _TABLE, bool)
+        self.bits[self.key >> _U(64 - _TABLE)] = True
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, word of the document at which it would begin, word at which its key was seen) for
+        the keys of a document's words."""
+        at = np.flatnonzero(self.bits[key >> _U(64 - _TABLE)])
+        low, high = np.searchsorted(self.key, key[at]), np.searchsorted(self.key, key[at], "right")
+        at, low, count = at[high > low], low[high > low], (high - low)[high > low]
+        hit = ragged(low, count)
+        return self.item[hit], np.repeat(at, count) - self.place[hit], np.repeat(at, count)
+
+
 class Index:
-    """Keys of a pass's items, for each size and repetition: a bit table and sorted keys."""
+    """A pass's items: keys of windows for each repetition, and pieces of short items by length."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], edits: int = EDITS):
         self.items = items
         self.sets = [frozenset(x.tolist()) for x in items]
-        self.parts = []
-        for i, size in enumerate(SIZES):
-            most = SIZES[i - 1] if i else 1 << 60
-            own = [k for k, x in enumerate(items) if size <= len(x) < most]
-            if not own:
-                continue
+        self.windows: list[Lookup] = []
+        if own := [k for k, x in enumerate(items) if len(x) >= SHORT]:
             word = np.concatenate([np.append(items[k], _U(0)) for k in own])
             item = np.repeat(own, [len(items[k]) + 1 for k in own])
             place = np.concatenate([np.arange(len(items[k]) + 1) for k in own])
-            room = np.concatenate([len(items[k]) - np.arange(len(items[k]) + 1) for k in own]) >= size
-            reps = []
-            for key in keys(word, size):
-                order = np.flatnonzero(room)[np.argsort(key[room], kind="stable")]
-                bits = np.zeros(1 << _TABLE, bool)
-                bits[key[order] >> _U(64 - _TABLE)] = True
-                reps.append((bits, key[order], item[order], place[order]))
-            self.parts.append((size, reps))
+            room = np.concatenate([len(items[k]) - np.arange(len(items[k]) + 1) for k in own]) >= SIZE
+            self.windows = [Lookup(key[room], item[room], place[room]) for key in keys(word, SIZE)]
+        # of short items: words, their number and that of edits; pieces by length
+        self.word = np.zeros((len(items), SHORT), np.uint64)
+        self.length = np.array([len(x) for x in items], np.int64)
+        self.most = self.length * edits // 100
+        pieces: dict[int, list[tuple]] = {}
+        for k, x in enumerate(items):
+            if 0 < len(x) < SHORT:
+                self.word[k, : len(x)] = x
+                cuts = [len(x) * i // (self.most[k] + 1) for i in range(self.most[k] + 2)]
+                for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+                    pieces.setdefault(q - p, []).append((shingle_hashes(x[p:q], q - p)[0], k, p))
+        self.pieces = {n: Lookup(np.array([r[0] for r in rows], np.uint64), *np.array([r[1:] for r in rows], np.int64).T) for n, rows in pieces.items()}
+
+    def promising(self, word: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Which places of short items can hold: enough words stand where some edits may have moved
+        them to."""
+        most, right = self.most[item], np.zeros(len(item), np.int64)
+        far = int(most.max(initial=0))
+        for j in range(SHORT - 1):
+            inside, seen = j < self.length[item], np.zeros(len(item), bool)
+            for shift in range(-far, far + 1):
+                at = np.clip(begin + (j + shift), 0, len(word) - 1)
+                seen |= (abs(shift) <= most) & (word[at] == self.word[item, j])
+            right += seen & inside
+        return right >= self.length[item] - most
 
     def candidates(self, stream: Stream) -> np.ndarray:
         """Distinct rows (text, item, word of the document at which the item would begin)."""
         found = []
-        for size, reps in self.parts:
-            for key, (bits, known, item, place) in zip(keys(stream.word, size), reps, strict=True):
-                at = np.flatnonzero(bits[key >> _U(64 - _TABLE)])
-                low, high = np.searchsorted(known, key[at]), np.searchsorted(known, key[at], "right")
-                at, low, count = at[high > low], low[high > low], (high - low)[high > low]
-                hit = ragged(low, count)
-                at = np.repeat(at, count)
-                found.append(np.column_stack([stream.text[at], item[hit], at - place[hit]]))
+        if self.windows:
+            for key, known in zip(keys(stream.word, SIZE), self.windows, strict=True):
+                item, begin, at = known.find(key)
+                found.append(np.column_stack([stream.text[at], item, begin]))
+        for n, known in self.pieces.items():
+            item, begin, at = known.find(shingle_hashes(stream.word, n))
+            for i in range(0, len(at), 1 << 18):
+                part = slice(i, i + (1 << 18))
+                yes = self.promising(stream.word, item[part], begin[part])
+                found.append(np.column_stack([stream.text[at[part]], item[part], begin[part]])[yes])
         found = [f for f in found if len(f)]
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
@@ -167,9 +212,9 @@ def hits_of(stream: Stream, index: Index, edits: int = EDITS) -> list[list[tuple
 
 
 @functools.lru_cache(2)
-def _index(packed: bytes) -> tuple[list, Index]:
+def _index(packed: bytes, edits: int) -> tuple[list, Index]:
     ids, items = pickle.loads(packed)
-    return ids, Index(items)
+    return ids, Index(items, edits)
 
 
 def item_words(texts: list[str]) -> list[np.ndarray]:
@@ -185,16 +230,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: int = EDITS, most_i
     docs = docs.drop("_plain", "hits")  # replaced
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), plain(F.col("text")).alias("text")).where(F.col("text").isNotNull())
+    items = items.withColumn("n_chars", F.length(F.regexp_replace("text", r"\s+", "")))
     passes = max(1, -(-items.count() // most_items))
     out = docs.withColumns({"_plain": plain(F.col("text")), "hits": F.array().cast(_HITS)})
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("at", pa.int64()), ("distance", pa.int64())]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for i in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(pickle.dumps(([r["item_id"] for r in rows], item_words([r["text"] for r in rows]))))
+        searched = [(r["item_id"], w) for r, w in zip(rows, item_words([r["text"] for r in rows]), strict=True) if len(w) >= FEWEST or len(w) and r["n_chars"] >= LONG]
+        sent = spark.sparkContext.broadcast(pickle.dumps(([x[0] for x in searched], [x[1] for x in searched])))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, index = _index(sent.value)
+            ids, index = _index(sent.value, edits)
             for batch in small_batches(batches, "_plain", 2 << 20):
                 more = hits_of(Stream(Words(batch, "_plain")), index, edits)
                 hits = [[*(old or []), *({"item_id": ids[k], "at": at, "distance": d} for k, at, d in new)] for old, new in zip(batch.column("hits").to_pylist(), more, strict=True)]

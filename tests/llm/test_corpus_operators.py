@@ -257,6 +257,27 @@ def test_decontamination_recall(spark):
     assert decontam.decontaminate(frame(spark, docs), bench.limit(0)).count() == len(docs)
 
 
+def test_decontamination_finds_all_short_items(spark):
+    rng = random.Random(8)
+    items = [prose(rng, 4 + i % 11) for i in range(66)] + ["Donaudampfschifffahrt", "hydroxychloroquine sulfate", "short one", None]
+    items += ["地球は太陽の周りを一年かけて回っている", "ประเทศไทยมีเมืองหลวงคือกรุงเทพ"]
+    docs, wanted = [], set()
+    for d in range(660):
+        k = d % 66
+        w = items[k].split()
+        for _ in range(len(w) * 20 // 100):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1, 1))] = rng.choice(([], ["zz"]))
+        text = prose(rng, rng.randint(0, 30)).split() + w + prose(rng, rng.randint(0, 30)).split()
+        docs.append((d, " ".join(text)))
+    docs += [(700, "die donaudampfschifffahrt, nun"), (701, "Hydroxychloroquine sulfate."), (702, "hydroxychloroquine"), (703, "short one")]
+    docs += [(704, "実は地球は太陽の周りを一年をかけて回っているのだ"), (705, "เราทราบว่าประเทศไทยมีเมืองหลวงคือกรุงเทพฯ"), (706, "太陽は大きい")]
+    wanted = {(d, k) for d, t in docs[:660] for k in range(66) if item_distance(items[k].split(), t.split()) <= len(items[k].split()) * 20 // 100}
+    wanted |= {(700, 66), (701, 67), (704, 70), (705, 71)}
+    rows = decontam.find_items(frame(spark, docs), frame(spark, list(enumerate(items)), "item_id long, text string", 1), most_items=30).collect()
+    assert {(r["doc_id"], h["item_id"]) for r in rows for h in r["hits"]} == wanted and len(wanted) > 600
+
+
 def decontam_words(text):
     import re
 
