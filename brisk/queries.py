@@ -507,9 +507,9 @@ def permutation_importance(spark, sf_dir):
 @query()
 def family_comparison(spark, sf_dir):
     rows = _model_rows(spark, sf_dir).persist()
-    folds = experiments.folds_of(rows, train_days=15, validation_days=5, test_days=6, step_days=20)
+    folds = experiments.folds_of(rows, train_days=15, validation_days=5, test_days=6, step_days=4)
     rules_ = {"correlation_limit": 0.9, "min_features": 2, "max_features": 6, "repetitions": 1}
-    return experiments.compare_families(rows, labelled(spark, sf_dir), folds, ["isolation_forest"], rules_, trees=20, clusters=4)
+    return experiments.compare_families(rows, labelled(spark, sf_dir), folds, ["isolation_forest", "lof", "ocsvm", "autoencoder"], rules_, trees=20, clusters=4)
 
 
 @query("SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS d FROM embeddings")

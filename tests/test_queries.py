@@ -27,6 +27,12 @@ def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_families_are_compared_on_the_same_folds(spark, monkeypatch):
+    monkeypatch.setattr(queries.experiments, "run_fold", lambda features, labels, fold, family, *a, **k: spark.createDataFrame([(fold.fold_id, family)], "fold_id int, family string"))
+    got = sorted(tuple(r) for r in queries.family_comparison(spark, SF).collect())
+    assert got == sorted((n, f) for n in (1, 2) for f in set(queries.detectors.NAMES.values()))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
