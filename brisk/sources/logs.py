@@ -93,9 +93,13 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def internal_domains(snaps: DataFrame) -> list[str]:
+def internal_domains(snaps: DataFrame, most: int = 10_000) -> list[str]:
+    """All domains of the snapshots' addresses; an error if there are more than `most`."""
     domain = F.nullif(F.regexp_extract(F.lower(F.col("email")), "@(.+)$", 1), F.lit(""))
-    return [r["d"] for r in snaps.select(domain.alias("d")).where("d IS NOT NULL").distinct().orderBy("d").limit(10_000).collect()]
+    out = [r["d"] for r in snaps.select(domain.alias("d")).where("d IS NOT NULL").distinct().orderBy("d").limit(most + 1).collect()]
+    if len(out) > most:
+        raise ValueError(f"more than {most} internal domains; set the domains in the configuration")
+    return out
 
 
 def attach_organisation(days: DataFrame, snaps: DataFrame, known: bool = True) -> DataFrame:

@@ -221,3 +221,10 @@ def test_streams(spark, tmp_path):
     batch = drift.page_hinkley(df, "user_id", "ts", "value", threshold=5.0, min_instances=5)
     pick = lambda d, k: sorted((str(r[k]), r["observations_at_detection"]) for r in d.collect())
     assert pick(online, "series") and pick(online, "series") == pick(batch, "user_id")
+
+
+def test_too_many_internal_domains_are_an_error(spark):
+    snaps = spark.createDataFrame([("a@x.com",), ("b@Y.com",), ("c@z.com",), (None,)], "email string")
+    assert logs.internal_domains(snaps, 3) == ["x.com", "y.com", "z.com"]
+    with pytest.raises(ValueError):
+        logs.internal_domains(snaps, 2)
