@@ -4,6 +4,7 @@ and a byte-level scanner that reads whole Arrow text columns at once."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,14 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). A session in
+    one process may go without it, as tests do; any other must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # single-machine sessions, as in tests
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-brisk-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/brisk/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder, whatever store that is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor
     costs a read, not a recomputation."""
@@ -40,6 +50,35 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder. A table goes when another takes its name (which
+    may be made from it) and when the block ends, but for what `give` returns."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths.values():
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, f"{self.name}-{name}")
+        df.write.option("compression", "zstd").parquet(path)
+        if name in self.paths:
+            remove(self.spark, self.paths[name])
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def give(self, df: DataFrame) -> DataFrame:
+        """df as a table that outlives the block."""
+        out = self.keep(df, "result")
+        del self.paths["result"]
+        return out
+
+
 class freed_shuffles:
     """Within this block Spark drops a query's shuffle files when the query has ended, so that a
     job of several written steps holds those of one step at a time."""
@@ -65,6 +104,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def attach(docs: DataFrame, found: DataFrame, new: list[str], once: bool = False) -> DataFrame:
+    """The rows of docs that found (doc_id, th, ...) has, by id and hash of the text, with the columns
+    `new` of found in place of their own of these names; with once, equal rows give one. Rows travel
+    as one struct, so that no name can clash."""
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(new)))
+    same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
+    out = rows.join(found.hint("merge"), same, "inner" if new else "left_semi")
+    out = out.dropDuplicates(["_d", "_h"]) if once else out
+    return out.select("row.*", *(F.col(f"_{i}").alias(c) for i, c in enumerate(new)))
+
+
 def words_of(text: Column) -> Column:
     """Words between blanks; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
@@ -109,11 +161,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+#: Bytes that are hashed at once.
+_STRETCH = 4 << 20
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), all at once. Spans of 256 bytes or more are
-    hashed one by one, by another function (a polynomial is weak on long strings)."""
+    """64-bit hashes of the byte spans [start, end), which ascend and do not overlap. Spans of 256
+    bytes or more are hashed one by one, by another function (a polynomial is weak on long strings).
+    Long texts are taken in stretches, so that memory follows the number of spans."""
     if not len(start):
         return np.zeros(0, np.uint64)
+    if len(data) > _STRETCH:
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            low = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, low + _STRETCH, "right")))
+            out[i:j] = _hash_spans(data[low : end[j - 1]], start[i:j] - low, end[i:j] - low)
+            i = j
+        return out
+    return _hash_spans(data, start, end)
+
+
+def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    if len(start) == 1 and end[0] - start[0] >= 256:
+        import xxhash
+
+        return np.array([xxhash.xxh3_64_intdigest(data[start[0] : end[0]].tobytes())], np.uint64)
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
