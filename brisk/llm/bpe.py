@@ -9,8 +9,9 @@ pre-token of a batch); decoding maps ids to their bytes.
 A vocabulary may hold tokens that merges by rank do not reach; a pre-token that equals such a token
 is that token. They are found when the model is made.
 
-Defined cases: null counts as empty and gives no ids; other columns are untouched, but
-those named like a result are replaced; rows are independent.
+Defined cases: null counts as empty and gives no ids; other columns are untouched, but those named
+like a result are replaced; rows are independent; a very long text is encoded in pieces, cut where its
+pre-tokens do not change.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids."""
-        return self.tokens[ragged(self.at[ids], self.size[ids])]
+        steps = [ids[i : i + (1 << 18)] for i in range(0, len(ids), 1 << 18)]
+        return np.concatenate([self.tokens[ragged(self.at[s], self.size[s])] for s in steps]) if steps else self.tokens[:0]
 
 
 @functools.lru_cache(1)

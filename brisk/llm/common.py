@@ -80,23 +80,26 @@ class Scratch:
 
 
 class freed_shuffles:
-    """Within this block Spark drops a query's shuffle files when the query has ended, so that a
-    job of several written steps holds those of one step at a time."""
+    """Within this block Spark drops a query's shuffle files when the query has ended, so that a job
+    of several written steps holds those of one step at a time, and sends texts to Python workers in
+    Arrow batches of a few MB."""
 
-    KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self):
-        self.before = self.spark.conf.get(self.KEY, None)
-        self.spark.conf.set(self.KEY, "true")
+        self.before = {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
+        for k, v in self.SETTINGS.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *_):
-        if self.before is None:
-            self.spark.conf.unset(self.KEY)
-        else:
-            self.spark.conf.set(self.KEY, self.before)
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,15 +107,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def attach(docs: DataFrame, found: DataFrame, new: list[str], once: bool = False) -> DataFrame:
+def attach(docs: DataFrame, found: DataFrame, new: list[str], once: bool = False, all_rows: bool = False) -> DataFrame:
     """The rows of docs that found (doc_id, th, ...) has, by id and hash of the text, with the columns
-    `new` of found in place of their own of these names; with once, equal rows give one. Rows travel
-    as one struct, so that no name can clash."""
+    `new` of found in place of their own of these names; with all_rows, the others with nulls; with
+    once, equal rows give one. Rows travel as one struct, so that no name can clash."""
     own = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(new)))
     same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
-    out = rows.join(found.hint("merge"), same, "inner" if new else "left_semi")
+    out = rows.join(found.hint("merge"), same, "left" if all_rows else "inner" if new else "left_semi")
     out = out.dropDuplicates(["_d", "_h"]) if once else out
     return out.select("row.*", *(F.col(f"_{i}").alias(c) for i, c in enumerate(new)))
 

@@ -110,13 +110,40 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
+_KIND = np.zeros(256, np.uint8)  # of ASCII bytes: 1 letters, 2 digits, 3 other printable, 4 white space; else 0
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[9, 10, 13, 32]] = 4
+_KIND[39] = 0  # apostrophes may begin a contraction
+
+
+def safe_cuts(data: np.ndarray, step: int) -> list[int]:
+    """Places about `step` bytes apart at which a text can be cut without a change of its pre-tokens:
+    between ASCII characters of different kinds, the first of them no white space. Where there is
+    none, a piece is longer."""
+    cuts, at = [0], step
+    while at < len(data):
+        for far in range(at, len(data), 1 << 16):
+            kind = _KIND[data[far - 1 : far + (1 << 16)]]
+            before, after = kind[:-1], kind[1:]
+            if len(found := np.flatnonzero((before != after) & (before > 0) & (before < 4) & (after > 0))):
+                cuts.append(far + int(found[0]))
+                break
+        else:
+            break
+        at = cuts[-1] + step
+    return [*cuts, len(data)]
+
+
 class Encoder:
     """Ids of whole texts: `encode_words` (list of bytes -> list of id lists) is asked once for each
-    distinct pre-token, `encode_text` (str -> ids) for texts that are hard. What is remembered is
-    bounded by `limit` pre-tokens."""
+    distinct pre-token, `encode_text` (str -> ids) for texts that are hard or hold one of `marks`
+    (strings that are tokens of their own). What is remembered is bounded by `limit` pre-tokens; a
+    text of more than `step` bytes is encoded in pieces, so memory follows its ids."""
 
-    def __init__(self, encode_words: Callable, encode_text: Callable, limit: int = 1_000_000):
-        self.encode_words, self.encode_text, self.limit = encode_words, encode_text, limit
+    def __init__(self, encode_words: Callable, encode_text: Callable, marks: tuple[bytes, ...] = (), limit: int = 1_000_000, step: int = 2 << 20):
+        self.encode_words, self.encode_text, self.marks, self.limit, self.step = encode_words, encode_text, marks, limit, step
         self.clear()
 
     def clear(self) -> None:
@@ -138,7 +165,24 @@ class Encoder:
     def __call__(self, batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         data, off = text_of(batch, column)
+        if len(data) <= 2 * self.step:
+            return self._encode(data, off)
+        ids, counts = [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            cuts = safe_cuts(data[a:b], self.step)
+            parts = [self._encode(data[a + p : a + q], np.array([0, q - p]))[0] for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+            ids += parts
+            counts.append(sum(map(len, parts)))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end, first, hard = split(data, off)
+        raw = data.tobytes() if self.marks else b""
+        for mark in self.marks:
+            at = raw.find(mark)
+            while at >= 0:
+                hard[np.searchsorted(off, at, "right") - 1] = True
+                at = raw.find(mark, at + 1)
         if len(self.known) > self.limit:
             self.clear()
         codes, distinct = pd.factorize(span_hashes(data, start, end))

@@ -11,8 +11,12 @@ and packed into raw blocks; their ids are counted (the table is the size of the
 the corpus); then each block is coded where it lies. Only the number of ids of each partition meets
 at the driver, to place partitions one after another.
 
+Ids are those of the library, which takes the strings of added tokens as these tokens wherever they
+stand in a text.
+
 Defined cases: null and empty texts have the end id alone; documents with the same id follow each
-other by hash of the text; null ids come first; an empty table makes no blocks.
+other by hash of the text; null ids come first; an empty table makes no blocks; a very long text is
+encoded in pieces and makes one long block; further columns are not stored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from .common import env_quiet, freed_shuffles, keep, shared_path, small_batches,
 from .pretoken import Encoder
 
 #: Ids in a block (a block ends with the document that reaches it), lanes, steps between checkpoints.
-BLOCK, LANES, STRIDE = 1 << 20, 1024, 256
+BLOCK, LANES, STRIDE = 1 << 18, 1024, 128
 #: Frequencies sum to 1 << BITS; states stay in [1 << 31, 1 << 63).
 BITS = 20
 LOW = np.uint64(1 << 31)
@@ -108,13 +112,12 @@ def _encoder(spec: str) -> Encoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(spec)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
     whole = lambda text: tok.encode(text, add_special_tokens=False).ids
 
     def words(pieces: list[bytes]) -> list[list[int]]:
         return [e.ids for e in tok.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-    return Encoder(words, whole)
+    return Encoder(words, whole, tuple(t.content.encode() for t in tok.get_added_tokens_decoder().values()))
 
 
 @functools.lru_cache(1)
@@ -220,15 +223,16 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         coder = _coder(sent.value)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                ids = coder.decode(row["n"], row["lanes"], row["payload"], row["points"]).astype("<u4")
-                if zlib.crc32(ids.tobytes()) != row["crc"]:
-                    raise ValueError(f"block {row['part']}/{row['block']} is damaged")
-                ends = np.cumsum(row["counts"]).tolist()
-                own = [ids[e - c : e].tobytes() for c, e in zip(row["counts"], ends, strict=True)]
-                starts = [row["start"] + e - c for c, e in zip(row["counts"], ends, strict=True)]
-                out = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(own, pa.binary())] if with_ids else out, names)
+                row = batch.slice(i, 1)
+                n, lanes, start, crc = (row.column(c)[0].as_py() for c in ("n", "lanes", "start", "crc"))
+                ids = coder.decode(n, lanes, row.column("payload")[0].as_buffer(), row.column("points")[0].as_buffer()).astype("<u4")
+                if zlib.crc32(ids) != crc:
+                    raise ValueError(f"block {row.column('part')[0]}/{row.column('block')[0]} is damaged")
+                counts = row.column("counts").flatten().to_numpy()
+                ends = np.cumsum(counts)
+                own = [ids[e - c : e] for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+                out = [row.column("doc_ids").flatten(), pa.array(start + ends - counts), pa.array(counts), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else out, names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     return spark.read.schema(_BLOCK).parquet(f"{path}/blocks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
