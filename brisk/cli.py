@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
 
 def _model(s: Settings) -> dict:
     m = s.model
-    return {"clusters": m["peer_clusters"], "anomaly_weight": m["anomaly_weight"], "peer_weight": m["peer_weight"], "seed": m["seed"], "trees": m["trees"], "neighbours": m["neighbours"], "nu": m["nu"]}
+    return {"clusters": m["peer_clusters"], "anomaly_weight": m["anomaly_weight"], "peer_weight": m["peer_weight"], "seed": m["seed"], "trees": m["trees"], "neighbours": m["neighbours"], "nu": m["nu"], "sample": m.get("sample")}
 
 
 def run(spark: SparkSession, args: argparse.Namespace, s: Settings) -> None:

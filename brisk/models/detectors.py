@@ -1,8 +1,10 @@
 """Anomaly detectors over a feature vector; a higher score is more anomalous.
 
-Each detector is fitted on a bounded sample of training rows (SAMPLE; chosen by the hash of the key,
-so a row's membership does not depend on partitions) and scored over all rows by an Arrow-batched
-function that holds the small fitted model. The forest grows its trees in tasks, one tree a group.
+The forest grows its trees in tasks, one tree a group, each from a sample of all rows. The others are
+fitted on the driver, so the rows they read are bounded by `sample` (a parameter of `make`; chosen by
+the hash of the key, so a row's membership does not depend on partitions): up to that many training
+rows all are read. Scoring covers all rows, by an Arrow-batched function that holds the small fitted
+model.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Training rows that a detector reads at most (quadratic ones less), and rows of a tree.
-SAMPLE, QUADRATIC_SAMPLE, TREE_ROWS = 200_000, 4_000, 256
+#: Training rows that LOF and the one-class SVM (which need n * n numbers), and the autoencoder, read
+#: at most unless told otherwise; rows of a tree.
+QUADRATIC_SAMPLE, SAMPLE, TREE_ROWS = 4_000, 50_000, 256
 
 
 def sample_of(rows: DataFrame, vector: str, key: list[str], most: int, seed: int) -> np.ndarray:
@@ -110,11 +113,11 @@ class _Sampled:
 
     most = QUADRATIC_SAMPLE
 
-    def __init__(self, seed: int = 7, **settings):
-        self.seed, self.settings = seed, settings
+    def __init__(self, seed: int = 7, sample: int | None = None, **settings):
+        self.seed, self.sample, self.settings = seed, sample or self.most, settings
 
     def fit(self, rows: DataFrame, vector: str, key: list[str]):
-        self.model = self._fit(sample_of(rows, vector, key, self.most, self.seed), **self.settings)
+        self.model = self._fit(sample_of(rows, vector, key, self.sample, self.seed), **self.settings)
         return self
 
     def score(self, rows: DataFrame, vector: str, name: str = "anomaly") -> DataFrame:
@@ -187,7 +190,7 @@ class OneClassSvm(_Sampled):
 class Autoencoder(_Sampled):
     """One hidden layer (ReLU), trained with Adam on the squared error; the score is the error."""
 
-    most = 50_000
+    most = SAMPLE
 
     def _fit(self, x: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 1e-3) -> tuple:
         rng = np.random.default_rng(self.seed)
@@ -218,13 +221,13 @@ class Autoencoder(_Sampled):
 NAMES = {"iforest": "isolation_forest", "isolation_forest": "isolation_forest", "lof": "lof", "ocsvm": "ocsvm", "one_class_svm": "ocsvm", "autoencoder": "autoencoder"}
 
 
-def make(family: str, seed: int = 7, trees: int = 100, neighbours: int = 35, nu: float = 0.01):
-    """A detector by name."""
+def make(family: str, seed: int = 7, trees: int = 100, neighbours: int = 35, nu: float = 0.01, sample: int | None = None):
+    """A detector by name. sample: training rows that LOF, SVM and autoencoder read at most."""
     kind = NAMES.get(family)
     if kind is None:
         raise ValueError(f"unknown detector {family}; known are {sorted(NAMES)}")
     if kind == "isolation_forest":
         return IsolationForest(trees, seed)
     if kind == "lof":
-        return LocalOutlierFactor(seed, neighbours=neighbours)
-    return OneClassSvm(seed, nu=nu) if kind == "ocsvm" else Autoencoder(seed)
+        return LocalOutlierFactor(seed, sample, neighbours=neighbours)
+    return OneClassSvm(seed, sample, nu=nu) if kind == "ocsvm" else Autoencoder(seed, sample)

@@ -1,6 +1,7 @@
 """Fit peers and a detector on training days; score all days.
 
-Statistics come from aggregates; only centres, quantiles and the detector's model reach the driver.
+Training rows are written to the shared folder once; statistics come from aggregates over them, and
+only centres, quantiles and the detector's model reach the driver.
 Scoring is one narrow pass: small lookups are joined (Spark broadcasts them if their size allows) and
 one Arrow function computes the anomaly.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import arctan_scale, distance, numeric_features, top_deviation
+from ..operators.order import quantiles, stored
 from ..operators.scaling import nearest, robust_statistics, scaled, standard_statistics
 from . import detectors
 
@@ -52,14 +54,14 @@ def _peer_distance(rows: DataFrame, model: RiskModel) -> DataFrame:
 
 def fit(
     features: DataFrame, train_end, *, family: str = "isolation_forest", clusters: int = 8, anomaly_weight: float = 0.7, peer_weight: float = 0.3, seed: int = 7,
-    trees: int = 100, neighbours: int = 35, nu: float = 0.01, selected: list[str] | None = None, min_rows: int = 100, min_group: int = 5,
+    trees: int = 100, neighbours: int = 35, nu: float = 0.01, sample: int | None = None, selected: list[str] | None = None, min_rows: int = 100, min_group: int = 5,
 ) -> RiskModel:
     """Fit on days up to train_end whose baseline is ready."""
     if anomaly_weight < 0 or peer_weight < 0 or anomaly_weight + peer_weight <= 0:
         raise ValueError("weights must not be negative, and one positive")
     raw = [c for c in numeric_features(features) if c != "history_days" or "history_days" in features.columns]
     candidates = [*raw, *[c for c in features.columns if c.startswith("z_")]]
-    train = features.where((F.col("day") <= F.lit(train_end)) & F.col("baseline_ready"))
+    train = stored(features.where((F.col("day") <= F.lit(train_end)) & F.col("baseline_ready")))
     row = train.agg(F.count("*").alias("n"), F.count_distinct("user").alias("u"), *[F.count(c).alias(f"c_{c}") for c in candidates]).first()
     if row["n"] < min_rows:
         raise ValueError(f"{row['n']} training days; {min_rows} are needed")
@@ -70,7 +72,7 @@ def fit(
         raise ValueError(f"selected features are not available: {missing}")
     used = list(selected) if selected is not None else known
 
-    profiles = train.groupBy("user").agg(*[F.avg(c).alias(c) for c in raw])
+    profiles = stored(train.groupBy("user").agg(*[F.avg(c).alias(c) for c in raw]))
     peer_scale = standard_statistics(profiles, raw)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -83,14 +85,14 @@ def fit(
         big = train.groupBy("org_peer_key").agg(F.count_distinct("user").alias("_u"), *[F.avg(c).alias(c) for c in raw]).where(F.col("_u") >= min_group)
         groups = big.select("org_peer_key", scaled(peer_scale).alias("_centre"))
     robust = robust_statistics(train, used)
-    detector = detectors.make(family, seed, trees, neighbours, nu)
+    detector = detectors.make(family, seed, trees, neighbours, nu, sample)
     vectors = train.withColumn("_x", scaled(robust))
     detector.fit(vectors, "_x", KEY)
     total = anomaly_weight + peer_weight
     model = RiskModel(raw, used, peer_scale, robust, [list(map(float, c)) for c in kmeans.clusterCenters()], members, groups, detector, {}, (anomaly_weight / total, peer_weight / total), {"family": family, "seed": seed})
-    seen = _peer_distance(detector.score(vectors, "_x", "_a"), model)
-    q = seen.agg(F.percentile("_a", F.array(F.lit(0.05), F.lit(0.99))).alias("a"), F.percentile("peer_distance", F.array(F.lit(0.05), F.lit(0.99))).alias("p")).first()
-    model.bounds = {"anomaly": tuple(q["a"]), "peer": tuple(q["p"])}
+    seen = stored(_peer_distance(detector.score(vectors, "_x", "_a"), model).select("_a", "peer_distance"))
+    q = quantiles(seen, ["_a", "peer_distance"], [0.05, 0.99])
+    model.bounds = {"anomaly": tuple(q["_a"]), "peer": tuple(q["peer_distance"])}
     return model
 
 

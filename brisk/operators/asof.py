@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ def asof_backward(
 ) -> DataFrame:
     """left with `values` and `right_time` of the latest row of right at or before it.
 
-    Rows with a null key never match. Among right rows of the same time the one with the largest
+    Rows with a null key never match and stay out of the window. Among right rows of the same time the one with the largest
     `tie` is taken. With `tolerance` (an interval) older matches are dropped after the latest row has
     been chosen, so a row that is out of reach hides those before it.
     """
+    whole = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])
+    keyless, left, right = left.where(~whole), left.where(whole), right.where(whole)
     keys = [F.col(k) for k in by]
     matched = F.struct(F.col(right_time).alias("_rt"), *[F.col(v).alias(v) for v in values])
     null = F.lit(None).cast(right.select(matched.alias("m")).schema["m"].dataType)
@@ -26,9 +30,8 @@ def asof_backward(
     w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     found = r.unionByName(l).withColumn("_f", F.last("_m", ignorenulls=True).over(w)).where("_side = 1")
     good = F.col("_f").isNotNull()
-    for k in by:
-        good &= F.col(k).isNotNull()
     if tolerance is not None:
         good &= (F.col("_t") - F.col("_f._rt")) <= tolerance
     name = right_time if right_time not in left.columns else f"{right_time}_right"
-    return found.select("_row.*", F.when(good, F.col("_f._rt")).alias(name), *[F.when(good, F.col(f"_f.{v}")).alias(v) for v in values])
+    out = found.select("_row.*", F.when(good, F.col("_f._rt")).alias(name), *[F.when(good, F.col(f"_f.{v}")).alias(v) for v in values])
+    return out.union(keyless.select("*", *[F.lit(None).cast(f.dataType) for f in out.schema[len(left.columns) :]]))

@@ -1,6 +1,6 @@
 """Ranking metrics at the level of user-days, users and incidents, each a one-row DataFrame.
 
-Windows without partitions only ever see rows that are grouped already (distinct scores) or cut to k.
+Curves run over ranges of the score; the only window without partitions sees rows that are cut to k.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import require
+from .order import running
 from .panel import daily_alerts, user_scores
 
 
@@ -25,8 +26,7 @@ def with_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
 def curve(rows: DataFrame, score: str = "risk_score") -> DataFrame:
     """A row for each distinct score: positives and negatives at it, and at it or above."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above)})
+    return running(by, [F.desc("s")], {"tp": "pos", "fp": "neg"})
 
 
 def auc_and_ap(rows: DataFrame, score: str = "risk_score") -> DataFrame:

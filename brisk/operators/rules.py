@@ -57,7 +57,7 @@ def chain_alerts(events: DataFrame, sensitive: str, window: Column, by: tuple[st
     arms = (F.col("event_type") == "file") & F.col("object").rlike(f"(?i){sensitive}") & (F.col("timestamp") - F.col("_usb.timestamp") <= window)
     rows = rows.withColumn("_arm", F.last(F.when(arms, F.struct("timestamp", "event_id", F.col("_usb").alias("usb"))), ignorenulls=True).over(w))
     mail = rows.where((F.col("event_type") == "email") & F.col("is_external") & (F.col("timestamp") - F.col("_arm.timestamp") <= window))
-    first = Window.partitionBy(*by, "_arm.event_id").orderBy("timestamp", "event_id")
+    first = Window.partitionBy(*by, "_arm.timestamp", "_arm.event_id").orderBy("timestamp", "event_id")
     fired = mail.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     techniques = F.array(*[F.lit(t) for t in CHAIN_TECHNIQUES])
     why = F.lit("sensitive file after a connected device, then an external e-mail")
@@ -76,11 +76,12 @@ def word_alerts(events: DataFrame) -> DataFrame:
 
 
 def correlate(events: DataFrame, sensitive: str, minutes: int = 60) -> DataFrame:
-    """Alerts of all rules. An event may fire several."""
+    """Alerts of all rules, in order of time. An event may fire several."""
     if minutes <= 0:
         raise ValueError("the window must be positive")
     rows = normalise(events)
-    return chain_alerts(rows, sensitive, F.make_dt_interval(mins=F.lit(minutes))).unionByName(word_alerts(rows))
+    alerts = chain_alerts(rows, sensitive, F.make_dt_interval(mins=F.lit(minutes))).unionByName(word_alerts(rows))
+    return alerts.orderBy("alert_timestamp", "rule_id", "user", "host", "evidence_event_ids")
 
 
 def rule_days(alerts: DataFrame) -> DataFrame:

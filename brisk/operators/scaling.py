@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from .order import quantiles
 
 
 def standard_statistics(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
     """fill, centre, scale: median for nulls, then mean and population deviation of the filled values."""
-    fills = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    fill = {c: fills[c] if fills[c] is not None else 0.0 for c in columns}
+    fill = {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(df, columns, [0.5]).items()}
     full = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c]))) for c in columns}
     row = df.agg(*[F.avg(full[c]).alias(f"m_{c}") for c in columns], *[F.stddev_pop(full[c]).alias(f"s_{c}") for c in columns]).first()
     return {c: (float(fill[c]), row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in columns}
@@ -22,10 +22,10 @@ def standard_statistics(df: DataFrame, columns: list[str]) -> dict[str, tuple[fl
 
 def robust_statistics(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
     """fill and centre: the median; scale: the interquartile range of the filled values."""
-    fills = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    fill = {c: float(fills[c]) if fills[c] is not None else 0.0 for c in columns}
-    row = df.agg(*[F.percentile(F.coalesce(F.col(c).cast("double"), F.lit(fill[c])), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    return {c: (fill[c], row[c][1] if row[c] else 0.0, (row[c][2] - row[c][0]) if row[c] and row[c][2] > row[c][0] else 1.0) for c in columns}
+    out = {}
+    for c, (low, middle, high, fill) in quantiles(df, columns, [0.25, 0.5, 0.75], fill=True).items():
+        out[c] = (fill or 0.0, middle or 0.0, high - low if low is not None and high > low else 1.0)
+    return out
 
 
 def scaled(statistics: dict[str, tuple[float, float, float]]) -> Column:

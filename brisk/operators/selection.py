@@ -9,16 +9,18 @@ from statistics import fmean, pstdev
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles, running
+
 
 def rank_correlations(df: DataFrame, features: list[str], order: list[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of ordinal ranks; ties in a feature are ranked by `order`.
 
-    Features are unpivoted so that the ranking spreads over tasks by feature; all pairs then come
-    from one aggregate.
+    Features are unpivoted and ranked by ranges of their values, so that no task holds a feature;
+    all pairs then come from one aggregate.
     """
     full = df.select(*order, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     tall = full.unpivot(order, features, "feature", "value")
-    ranked = tall.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy("value", *order)))
+    ranked = running(tall, ["value", *order], {"rank": F.lit(1)}, ("feature",))
     wide = ranked.groupBy(*order).pivot("feature", features).agg(F.first("rank"))
     pairs = list(combinations(features, 2))
     row = wide.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
@@ -29,22 +31,31 @@ def rank_correlations(df: DataFrame, features: list[str], order: list[str]) -> D
 def correlation_filter(df: DataFrame, features: list[str], order: list[str], limit: float = 0.9, priority: Iterable[str] = ()) -> list[str]:
     """Features that do not follow one kept before them: those named in `priority` first, then by
     variance. Constant features go."""
+    return correlation_report(df, features, order, limit, priority)[0]
+
+
+def correlation_report(df: DataFrame, features: list[str], order: list[str], limit: float = 0.9, priority: Iterable[str] = ()) -> tuple[list[str], list[tuple[str, str, float]]]:
+    """The kept features, and (dropped, kept, correlation) of those that follow one of them."""
     if not 0 < limit <= 1:
         raise ValueError("limit must be in (0, 1]")
-    fills = df.agg(*[F.median(f).alias(f) for f in features]).first()
-    filled = df.select(*order, *[F.coalesce(F.col(f).cast("double"), F.lit(float(fills[f] or 0.0))).alias(f) for f in features])
+    fills = quantiles(df, features, [0.5])
+    filled = df.select(*order, *[F.coalesce(F.col(f).cast("double"), F.lit(float(fills[f][0] or 0.0))).alias(f) for f in features])
     spread = filled.agg(*[F.var_pop(f).alias(f) for f in features]).first().asDict()
     alive = [f for f in features if spread[f]]
     first = {f: i for i, f in enumerate(priority)}
     alive.sort(key=lambda f: (first.get(f, len(first)), -spread[f]))
     if len(alive) < 2:
-        return alive
+        return alive, []
     r = {frozenset((x["a"], x["b"])): x["r"] for x in rank_correlations(filled, alive, order).collect()}
     kept: list[str] = []
+    dropped: list[tuple[str, str, float]] = []
     for f in alive:
-        if all(abs(r[frozenset((f, k))] or 0.0) <= limit for k in kept):
+        partner = next((k for k in kept if abs(r[frozenset((f, k))] or 0.0) > limit), None)
+        if partner is None:
             kept.append(f)
-    return kept
+        else:
+            dropped.append((f, partner, r[frozenset((f, partner))]))
+    return kept, dropped
 
 
 def permutation_importance(df: DataFrame, features: list[str], key: list[str], quality: Callable[[DataFrame], float], repetitions: int = 5, seed: int = 7) -> DataFrame:

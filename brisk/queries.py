@@ -7,7 +7,6 @@ Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
@@ -18,6 +17,7 @@ from .functions.columns import arctan_scale, contains_any, distance, numeric_fea
 from .models import detectors, risk
 from .operators import daily, drift, metrics, panel, rules, scaling, selection, truth
 from .operators.asof import asof_backward
+from .operators.order import shared_folder
 from .plans import experiments
 from .plans import features as feature_plans
 from .sources import alerts as alert_source
@@ -26,7 +26,7 @@ from .streaming import activity as stream_activity
 
 TERMS = daily.Terms(8, 18, ("site1",), ("job", "site2"), ("site3",), ("site4", "a.b"), ("secret",), ("int.com",))
 ROLES = {"logon": "signup", "device": "error", "http": "view", "email": "purchase", "file": "click"}
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, SQL = {}, {}, {}
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def query(sql: str | None = None, days: tuple[str, ...] = (), times: tuple[str,
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: as_text(f(spark, sf_dir))
         if sql:
+            SQL[f.__name__] = sql
             more = sql.strip()
             recursive = more.upper().startswith("WITH RECURSIVE ")
             more = ", " + more[15 if recursive else 5 :] if more.upper().startswith("WITH ") else " " + more
@@ -58,8 +59,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-brisk-")
-    return f"{base.rstrip('/')}/brisk/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/brisk/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def r6(c):
@@ -398,7 +398,9 @@ def page_hinkley(spark, sf_dir):
 
 @query()
 def adwin(spark, sf_dir):
-    rows = activity(spark, sf_dir).select(F.col("event_type").alias("series"), "timestamp", "value")
+    """ADWIN over the hourly sums of each type: a series has as many values as hours, not as events."""
+    hour = F.date_trunc("hour", F.col("timestamp")).cast("timestamp_ntz").alias("timestamp")
+    rows = activity(spark, sf_dir).groupBy(F.col("event_type").alias("series"), hour).agg(F.round(F.sum("value"), 4).alias("value"))
     return drift.detect(rows, "series", "timestamp", "value", "adwin", delta=0.05)
 
 
@@ -420,20 +422,21 @@ def json_prop_extract(spark, sf_dir):
 def alert_json(spark, sf_dir):
     """Alerts made from events, in the shapes that the normaliser tells apart."""
     k = F.col("k")
-    kind = k % 4
-    number = F.get(F.array(*[F.lit(x) for x in ("4624", "4625", "6416", "9999")]), k % 4)
-    win = F.struct(F.struct(number.alias("eventID"), F.lit("Security").alias("providerName")).alias("system"), F.struct(F.concat(F.lit("u"), "user").alias("TargetUserName"), F.lit("8.8.8.8").alias("IpAddress")).alias("eventdata"))
+    kind = k % 5
+    number = F.when(kind == 4, "11").otherwise("6416")
+    provider = F.when(kind == 4, "Microsoft-Windows-Sysmon").otherwise("Security")
+    win = F.struct(F.struct(number.alias("eventID"), provider.alias("providerName")).alias("system"), F.struct(F.concat(F.lit("u"), "user").alias("TargetUserName"), F.lit("8.8.8.8:443").alias("IpAddress"), F.when(kind == 4, "/tmp/f").alias("TargetFilename")).alias("eventdata"))
     body = F.struct(
         F.col("event_id").cast("string").alias("id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.struct(F.when(kind == 0, F.array(F.lit("syscheck"))).when(kind == 1, F.array(F.lit("Audit"))).otherwise(F.array().cast("array<string>")).alias("groups"), F.lit("seen").alias("description")).alias("rule"),
-        F.struct(F.when(kind == 2, win).alias("win"), F.when(kind == 0, "file_Added").alias("type"), F.when(kind == 0, "/tmp/x").alias("path"), F.when(kind == 3, "10.0.0.1").alias("srcip"), F.concat(F.lit("u"), "user").alias("user")).alias("data"),
+        F.struct(F.when(kind.isin(2, 4), win).alias("win"), F.when(kind == 0, "file_Added").alias("type"), F.when(kind == 0, "/tmp/x").alias("path"), F.when(kind == 3, "10.0.0.1").alias("srcip"), F.concat(F.lit("u"), "user").alias("user")).alias("data"),
         F.struct(F.col("pc").alias("name")).alias("agent"),
     )
     return activity(spark, sf_dir).select(F.to_json(body).alias("json"))
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS event_id, 'u' || "user" AS "user", pc AS host, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp,
- CASE k % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'auditd' WHEN 2 THEN 'device' ELSE 'wazuh' END AS event_type, CASE k % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'unknown' WHEN 2 THEN 'device_connect' ELSE 'alert' END AS action,
- CASE k % 4 WHEN 0 THEN '/tmp/x' WHEN 1 THEN 'unknown' WHEN 2 THEN '8.8.8.8' ELSE 'seen' END AS object, k % 4 = 2 AS is_external FROM e""")
+ CASE k % 5 WHEN 0 THEN 'file' WHEN 1 THEN 'auditd' WHEN 2 THEN 'device' WHEN 4 THEN 'file' ELSE 'wazuh' END AS event_type, CASE k % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'unknown' WHEN 2 THEN 'device_connect' WHEN 4 THEN 'file_create' ELSE 'alert' END AS action,
+ CASE k % 5 WHEN 0 THEN '/tmp/x' WHEN 1 THEN 'unknown' WHEN 2 THEN '8.8.8.8:443' WHEN 4 THEN '/tmp/f' ELSE 'seen' END AS object, k % 5 IN (2, 4) AS is_external FROM e""")
 def alert_normaliser(spark, sf_dir):
     return alert_source.normalise(alert_json(spark, sf_dir))
 
@@ -455,7 +458,7 @@ def stream_daily_counts(spark, sf_dir):
 @query()
 def user_day_features(spark, sf_dir):
     """All 31 counters of the five logs and both sequence features on the dense panel."""
-    return feature_plans.user_days({name: log(spark, sf_dir, name) for name in ROLES}, TERMS)
+    return feature_plans.user_days({name: log(spark, sf_dir, name) for name in ROLES}, TERMS).withColumn("email_total_bytes", r6("email_total_bytes"))
 
 
 def _model_rows(spark, sf_dir):
@@ -490,10 +493,17 @@ def risk_scores(spark, sf_dir):
     return got.select("user", "day", r6("risk_score").alias("risk_score"), r6("anomaly_component").alias("anomaly_component"), r6("peer_component").alias("peer_component"), "peer_source", "top_deviation_feature", r6("top_deviation_z").alias("top_deviation_z"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT "user", day, unnest([struct_pack(f := 'views', v := CAST(views AS DOUBLE)), struct_pack(f := 'clicks', v := CAST(clicks AS DOUBLE)), struct_pack(f := 'ks', v := CAST(ks AS DOUBLE)), struct_pack(f := 'ks2', v := CAST(2 * ks + 1 AS DOUBLE))], recursive := true) FROM bas WHERE history_days >= 7),
+ r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY v, "user", day) AS n FROM f),
+ bad AS (SELECT a.f, list(b.f) AS partners FROM r a JOIN r b ON a."user" = b."user" AND a.day = b.day AND a.f <> b.f GROUP BY a.f, b.f HAVING abs(corr(a.n, b.n)) > 0.9),
+ bads AS (SELECT f, list(p) AS partners FROM (SELECT f, unnest(partners) AS p FROM bad) GROUP BY f),
+ o AS (SELECT f, row_number() OVER (ORDER BY var_pop(v) DESC) AS i FROM f GROUP BY f HAVING var_pop(v) > 0), ob AS (SELECT i, o.f, coalesce(list_distinct(partners), []) AS partners FROM o LEFT JOIN bads USING (f)),
+ st AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL SELECT ob.i, CASE WHEN list_has_any(kept, ob.partners) THEN kept ELSE list_append(kept, ob.f) END FROM st JOIN ob ON ob.i = st.i + 1),
+ k AS (SELECT kept FROM st ORDER BY i DESC LIMIT 1)
+SELECT CAST(unnest(range(len(kept))) AS BIGINT) AS place, unnest(kept) AS feature FROM k""")
 def selected_features(spark, sf_dir):
-    rows = baselines(spark, sf_dir).where("baseline_ready")
-    kept = selection.correlation_filter(rows, ["views", "clicks", "ks", "z_ks", "z_views"], ["user", "day"])
+    rows = baselines(spark, sf_dir).where("baseline_ready").withColumn("ks2", 2 * F.col("ks") + 1)
+    kept = selection.correlation_filter(rows, ["views", "clicks", "ks", "ks2"], ["user", "day"])
     return spark.createDataFrame(list(enumerate(kept)), "place long, feature string")
 
 
@@ -517,3 +527,6 @@ def euclidean_distance(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     one = rows.where("vec_id = 0").select(F.col("v").alias("w"))
     return rows.crossJoin(F.broadcast(one)).select("vec_id", r6(distance(F.col("v"), F.col("w"))).alias("d"))
+
+
+from . import whole_queries  # noqa: E402, F401  (registers its queries)

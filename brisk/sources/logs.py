@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,10 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     for p in files(spark, folder):
         tried += 1
         df = read_csv(spark, p)
-        day = spark.range(1).select(F.try_to_date(F.lit(p.rsplit("/", 1)[-1][:-4] + "-01"), "yyyy-MM-dd").alias("d")).first()["d"]
+        try:
+            day = datetime.strptime(p.rsplit("/", 1)[-1], "%Y-%m.csv").date()
+        except ValueError:
+            day = None
         if day is not None and set(SNAPSHOT) <= set(df.columns):
             found.append(df.select(F.col("user_id").alias("user"), F.lit(day).alias("snapshot_day"), "role", "department", "team", "email"))
     if tried and not found:

@@ -228,3 +228,42 @@ def test_too_many_internal_domains_are_an_error(spark):
     assert logs.internal_domains(snaps, 3) == ["x.com", "y.com", "z.com"]
     with pytest.raises(ValueError):
         logs.internal_domains(snaps, 2)
+
+
+def test_quantiles_and_running_sums(spark):
+    from brisk.operators.order import quantiles, running
+
+    rng = random.Random(12)
+    a = [rng.choice((None, 0.0, 0.0, rng.random(), float(rng.randint(0, 3)))) for _ in range(301)]
+    rows = [(i, x, None, float(i % 7)) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double").repartition(5)
+    shares = [0.05, 0.25, 0.5, 0.77, 0.99]
+    known = [x for x in a if x is not None]
+    plain, filled = quantiles(df, ["a", "b", "c"], shares), quantiles(df, ["a", "b", "c"], shares, fill=True)
+    assert plain["a"] == pytest.approx(np.quantile(known, shares)) and plain["b"] == [None] * 5 and plain["c"] == pytest.approx(np.quantile([r[3] for r in rows], shares))
+    whole = [np.median(known) if x is None else x for x in a]
+    assert filled["a"] == pytest.approx([*np.quantile(whole, shares), np.median(known)]) and filled["b"] == [None] * 6
+    got = {r["id"]: (r["n"], r["s"]) for r in running(df.na.drop(subset=["a"]), [F.desc("a"), "id"], {"n": F.lit(1), "s": "c"}).collect()}
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0]))
+    assert got == {r[0]: (i + 1, sum(x[3] for x in order[: i + 1])) for i, r in enumerate(order)}
+    by = {(r["c"], r["id"]): r["n"] for r in running(df, ["id"], {"n": F.lit(1)}, ("c",)).collect()}
+    assert by == {(float(i % 7), i): i // 7 + 1 for i in range(301)}
+
+
+def test_arms_without_ids_and_dropped_features(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [(None, "u", at(0), "device", "connect", "x", False), (None, "u", at(1), "file", "x", "secret", False), (None, "u", at(2), "email", "x", "x", True), (None, "u", at(3), "file", "x", "secret", False), (None, "u", at(4), "email", "x", "x", True)]
+    df = spark.createDataFrame(rows, "event_id string, user string, timestamp timestamp_ntz, event_type string, action string, object string, is_external boolean")
+    assert [r["alert_timestamp"].minute for r in rules.correlate(df, "secret").collect()] == [2, 4]
+    from brisk.operators.selection import correlation_report
+
+    df = spark.createDataFrame([(i, float(i), float(-2 * i), float((i * 7) % 5)) for i in range(20)], "id int, a double, b double, d double")
+    kept, dropped = correlation_report(df, ["a", "b", "d"], ["id"])
+    assert kept == ["b", "d"] and dropped == [("a", "b", pytest.approx(-1.0))]
+
+
+def test_alert_files_with_a_blank_head_and_long_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text(" \n" * 5000 + '{"id": "1"}\n')
+    (tmp_path / "b.json").write_text(" \n" * 5000 + '[{"id": "2"},\n {"id": "3", "data": {"srcip": "[2001:4860:4860::8888]"}}]')
+    got = {r["event_id"]: r["is_external"] for r in alerts.normalise(alerts.read_alerts(spark, str(tmp_path / "*.json"))).collect()}
+    assert got == {"1": False, "2": False, "3": True}
