@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that separate words, as a Java and RE2 pattern.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -72,6 +73,11 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+
     def give(self, df: DataFrame) -> DataFrame:
         """df as a table that outlives the block."""
         out = self.keep(df, "result")
@@ -102,6 +108,19 @@ class freed_shuffles:
                 self.spark.conf.set(k, v)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores ahead as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def widened(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> StructType:
+    """The schema of df less some columns, with the columns of a DDL text after it."""
+    return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(more).fields)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,14 +7,16 @@ removed, all but their first occurrence (smallest document, then position). Hash
 candidates: occurrences are equal if their bytes are.
 
 The plan moves (hash, document, position) of multi-line chunks, pre-aggregated per hash; texts of
-chunks only where the hash repeats, pre-aggregated per text, so a passage that a third of the
-documents share is a few rows per task; and each text once, to meet its list of removals. What is joined
-grows with the documents, so joins sort at every size and never broadcast. Only DataFrame functions
-are used.
+chunks only where the hash repeats, pre-aggregated per text; and each text once, to meet its list of
+removals. What repeats is written before it is joined back, so that Spark can split a passage that
+a third of the documents share over several tasks. What is joined grows with the documents, so joins
+sort at every size and never broadcast. Only DataFrame functions are used.
 
 Defined cases: a null text stays null and an empty one empty; documents are ordered by doc_id, null
 last, then by text; rows with the same doc_id and text count as one document and get the same
-result; text between kept chunks is kept byte for byte, with its '\n'; further columns pass through.
+result; text between kept chunks is kept byte for byte, with its '\n'; a very long text is one row,
+as long in memory as its lines; further columns pass through, but those named like a result are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freed_shuffles, keep, let, table
+from .common import Scratch, freed_shuffles, let, table
 
 #: Lines that the rolling hash sees, and lines that a chunk holds on average.
 WIDTH, EVERY = 2, 4
@@ -58,26 +60,32 @@ def _solid(chunk: Column) -> Column:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with `text` less the repeated chunks, and n_lines, n_removed_lines, n_removed_chunks."""
     spark = docs.sparkSession
-    with freed_shuffles(spark):
+    results = ("n_lines", "n_removed_lines", "n_removed_chunks")
+    docs = docs.drop(*results)  # replaced
+    with freed_shuffles(spark), Scratch(spark, "lines") as scratch:
         key = [F.col("doc_id").alias("_id"), F.md5(F.col("text")).alias("_t")]
         pieces = docs.where(F.col("text").isNotNull()).select(*key, F.explode(_chunks(F.col("text"))).alias("c")).where(_solid(F.col("c")))
         place = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("d"), F.col("_t").alias("t"), F.col("c.at").alias("at"))
         named = pieces.select("_id", "_t", "c", place.alias("p"), F.unhex(F.md5(F.col("c.text"))).alias("h"))
         often = named.groupBy("h").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("h")
-        often = keep(often, "lines-hash")
+        often = scratch.keep(often, "hash")
         # byte comparison: chunks are equal if their texts are
         again = named.join(often.hint("merge"), "h", "left_semi")
-        again = keep(again.select("_id", "_t", "p", "h", F.col("c.at").alias("at"), F.col("c.n").alias("n"), F.col("c.text").alias("bytes")), "lines-again")
+        again = scratch.keep(again.select("_id", "_t", "p", "h", F.col("c.at").alias("at"), F.col("c.n").alias("n"), F.col("c.text").alias("bytes")), "again")
         first = again.groupBy("h", "bytes").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("h", "bytes", "lo")
+        first = scratch.keep(first, "first")
         drop = again.join(first.hint("merge"), ["h", "bytes"]).where("p <> lo").select("_id", "_t", "at", "n").distinct()
         drop = drop.groupBy("_id", "_t").agg(F.collect_set("at").alias("_drop"), F.sum("n").alias("_lines"))
-        drop = keep(drop, "lines-drop").withColumnsRenamed({"_id": "_i", "_t": "_u"})
-    full = docs.withColumn("_t", F.md5(F.col("text"))).join(drop.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
-    rest = F.array_join(F.transform(F.filter(_chunks(F.col("text")), lambda c: ~F.array_contains(F.col("_drop"), c["at"])), lambda c: c["text"]), "\n")
+        drop = scratch.give(drop).withColumnsRenamed({"_id": "_i", "_t": "_u"})
+    # rows travel as one struct, so that no name can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("_d"), F.md5("text").alias("_t"))
+    full = rows.join(drop.hint("merge"), F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
+    text = F.col("row.text")
+    rest = F.array_join(F.transform(F.filter(_chunks(text), lambda c: ~F.array_contains(F.col("_drop"), c["at"])), lambda c: c["text"]), "\n")
     zero = F.lit(0).cast("long")
     return full.select(
-        *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), zero).otherwise(F.size(F.split("text", "\n")).cast("long")).alias("n_lines"),
+        *[F.when(F.col("_drop").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns],
+        F.when(text.isNull(), zero).otherwise(F.size(F.split(text, "\n")).cast("long")).alias("n_lines"),
         F.coalesce(F.col("_lines").cast("long"), zero).alias("n_removed_lines"),
         F.coalesce(F.size("_drop").cast("long"), zero).alias("n_removed_chunks"),
     )
