@@ -50,7 +50,7 @@ GROWTH = 16
 #: Text bytes of a step; shingles and documents of a chunk.
 STEP, CHUNK, MOST_DOCS = 2 << 20, 1 << 20, 1 << 16
 #: Text bytes whose shingles make a bucket, and the least number of buckets.
-BUCKET, LEAST_BUCKETS = 16 << 20, 64
+BUCKET, LEAST_BUCKETS = 8 << 20, 16
 _U = np.uint64
 
 
