@@ -10,17 +10,22 @@ exactly: the whole item must stand around it with at most EDITS of 100 of its wo
 or replaced.
 
 Items of fewer than SHORT words have too few windows for that. They are found without a miss: an item
-with room for e edits is cut into e + 1 pieces, one of which stands in the document as it is.
+with room for e edits is cut into e + 1 pieces, one of which stands in the document as it is. Items
+of 1 to 4 words have no room for edits and must stand there word for word.
 
 One scan and no shuffle: keys of documents are looked up where the text lies. A pass holds at most
-ITEMS items (sent to all tasks); more items take more passes.
+ITEMS items (sent to all tasks). More items take more passes, one after another: each writes its
+hits, and the documents meet them at the end.
 
 Scripts that are written without blanks (Han, kana, Thai, Lao, Burmese, Khmer) count each character as
 a word.
 
-Defined cases: null and empty texts contain nothing; items that are null, or have fewer than 4 words
-and fewer than LONG characters, are not searched; equal items are all reported; repeated documents get equal results; further
-columns pass through, but those named like a result are replaced; an empty benchmark finds nothing.
+Defined cases: null and empty texts contain nothing; items that are null or without a word are not
+searched; equal items are all reported; repeated documents get equal results; a very long text is
+searched whole, in memory that follows its words; further columns pass through, but those named like
+a result are replaced; an empty benchmark finds nothing. `decontaminate` ignores items that say
+nothing about where a text comes from: those of fewer than FEWEST words and fewer than LONG
+characters.
 
 Recall against exhaustive search is measured in the tests; with these parameters an item of 15 words
 with 3 of them edited is missed in under 1 of 100 cases, and a shorter one never.
@@ -37,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, shingle_hashes, small_batches, table
+from .common import Scratch, Words, attach, freed_shuffles, mix, shingle_hashes, small_batches, spare, table, widened
 from .pretoken import ragged
 
 #: Edited words in 100, items of a pass, walks and keys read from each, places in a key.
 EDITS, ITEMS, WALKS, KEYS, SAMPLED = 20, 20_000, 4, 4, 6
 #: Words of a window (a walk has twice as many steps), fewest words of an item that windows serve, and
-#: fewest words, or else characters, of an item.
+#: fewest words, or else characters, of an item for which a document is dropped.
 SIZE, SHORT, FEWEST, LONG = 8, 15, 4, 16
 _U = np.uint64
 _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
@@ -223,38 +228,56 @@ def item_words(texts: list[str]) -> list[np.ndarray]:
 
 
 _HITS = "array<struct<item_id:bigint,at:bigint,distance:bigint>>"
+_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("at", pa.int64()), ("distance", pa.int64())]))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text: plain words, n_words, n_chars) of the items that have words."""
+    items = benchmark.select(F.col("item_id").cast("long"), plain(F.col("text")).alias("text"))
+    words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    return items.withColumns({"n_words": words, "n_chars": F.length(F.regexp_replace("text", r"\s+", ""))}).where("n_words > 0")
+
+
+def _search(docs: DataFrame, plain_text: str, items: list, edits: int) -> DataFrame:
+    """docs with the hits of the items (item_id, text) in place of the column `plain_text`."""
+    packed = ([r["item_id"] for r in items], item_words([r["text"] for r in items]))
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(packed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, index = _index(sent.value, edits)
+        for batch in small_batches(batches, plain_text, 2 << 20):
+            found = hits_of(Stream(Words(batch, plain_text)), index, edits)
+            hits = [[{"item_id": ids[k], "at": at, "distance": d} for k, at, d in own] for own in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(hits, _HIT)], [*kept, "hits"])
+
+    kept = [c for c in docs.columns if c != plain_text]
+    return docs.mapInArrow(run, widened(docs, f"hits {_HITS}", without=(plain_text,)))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, edits: int = EDITS, most_items: int = ITEMS) -> DataFrame:
     """docs with `hits`, an array of (item_id, at: word of the document, distance), by item_id."""
-    docs = docs.drop("_plain", "hits")  # replaced
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), plain(F.col("text")).alias("text")).where(F.col("text").isNotNull())
-    items = items.withColumn("n_chars", F.length(F.regexp_replace("text", r"\s+", "")))
+    docs = docs.drop("hits")  # replaced
+    items = _items(benchmark)
     passes = max(1, -(-items.count() // most_items))
-    out = docs.withColumns({"_plain": plain(F.col("text")), "hits": F.array().cast(_HITS)})
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("at", pa.int64()), ("distance", pa.int64())]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for i in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        searched = [(r["item_id"], w) for r, w in zip(rows, item_words([r["text"] for r in rows]), strict=True) if len(w) >= FEWEST or len(w) and r["n_chars"] >= LONG]
-        sent = spark.sparkContext.broadcast(pickle.dumps(([x[0] for x in searched], [x[1] for x in searched])))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, index = _index(sent.value, edits)
-            for batch in small_batches(batches, "_plain", 2 << 20):
-                more = hits_of(Stream(Words(batch, "_plain")), index, edits)
-                hits = [[*(old or []), *({"item_id": ids[k], "at": at, "distance": d} for k, at, d in new)] for old, new in zip(batch.column("hits").to_pylist(), more, strict=True)]
-                place = batch.schema.get_field_index("hits")
-                yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(hits, kind), *batch.columns[place + 1 :]], batch.schema.names)
-
-        out = out.mapInArrow(run, fields)
-    return out.drop("_plain").withColumn("hits", F.array_sort("hits"))
+    of = lambda i: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
+    if passes == 1:
+        work = spare(docs, "_plain")
+        return _search(docs.withColumn(work, plain(F.col("text"))), work, of(0), edits).withColumn("hits", F.array_sort("hits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), plain(F.col("text")).alias("_plain"))
+    spark = docs.sparkSession
+    with freed_shuffles(spark), Scratch(spark, "items") as scratch:
+        parts = [scratch.keep(_search(texts, "_plain", of(i), edits).where(F.size("hits") > 0).distinct(), f"pass-{i}") for i in range(passes)]
+        every = functools.reduce(DataFrame.unionByName, parts).select("doc_id", "th", F.explode("hits").alias("hit"))
+        found = scratch.give(every.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("hit")).alias("hits")))
+    return attach(docs, found, ["hits"], all_rows=True).withColumn("hits", F.coalesce("hits", F.array().cast(_HITS)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, edits: int = EDITS) -> DataFrame:
-    """docs less those in which an item was found."""
-    return find_items(docs, benchmark, edits).where(F.size("hits") == 0).drop("hits")
+    """docs less those in which an item of FEWEST words or LONG characters was found."""
+    telling = _items(benchmark).where(f"n_words >= {FEWEST} or n_chars >= {LONG}").select("item_id", "text")
+    aside = {c: spare(docs, "_hits") for c in docs.columns if c.lower() == "hits"}
+    clean = find_items(docs.withColumnsRenamed(aside), telling, edits).where(F.size("hits") == 0).drop("hits")
+    return clean.withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
