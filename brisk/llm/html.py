@@ -1,10 +1,13 @@
 """Main text of web pages: flat text blocks, judged by a decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its number of
-words, the share of them in links, the same for the block before and the one after, and what the
-markup around it says: inside an article or main element, inside a container that names itself a
-menu, footer, form, advert, notice or comment, or a heading. A decision tree grown from the small
-labelled table below decides which blocks are main text.
+words, the share of them in links, the same for the block before and the one after, whether it
+stands inside an article or main element, whether it is a heading, and what its nearest named
+container is: none, one whose name may mean something else (share, alert, form), one for what
+surrounds a text (nav, footer, sidebar, cookie notice, advert), or one of reader comments. With the
+container goes the share of the page's unlinked words that it holds: a container with most of the
+text is no sidebar, whatever its class says. A decision tree grown from the small labelled table
+below decides which blocks are main text.
 
 Markup is read by one regular expression, forgiving as browsers are: unclosed elements end with
 their container, a stray `<` is text, a tag cut off at the page's end is dropped. Contents of
@@ -12,7 +15,9 @@ script, style and similar elements, of the head, and of hidden elements are no b
 style, textarea, title or iframe without an end tag goes on to the page's end.
 
 Defined cases: null or empty html gives an empty text; pages are independent, so repeated rows get
-equal results; further columns pass through, but those named like a result are replaced. One scan, no shuffle, the tree is a few dozen numbers.
+equal results; very long pages are read whole, in time and memory that follow their length; further
+columns pass through, but those named like a result are replaced. One scan, no shuffle, the tree is
+a few dozen numbers.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, widened
 
 # Names of HTML elements, and words that containers use for themselves.
 BLOCK_TAGS = frozenset(
@@ -35,13 +40,21 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object head title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog button select".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments reply replies respond disqus sidebar widget "
-    "widgets nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager copyright disclaimer form "
-    "search toolbar teaser trending".split()
-)
+NAMED_TAGS = {"nav": 2, "footer": 2, "aside": 2, "menu": 2, "dialog": 2, "button": 2, "select": 2, "form": 1}
+NAMED_WORDS = {
+    1: frozenset(
+        "banner promo promotion notice notices alert popup modal overlay login signup share sharing social related recommended recommendations disclaimer form "
+        "search toolbar teaser trending widget widgets header masthead copyright sponsor sponsored subscribe subscription pagination pager".split()
+    ),
+    2: frozenset(
+        "ad ads advert adverts advertisement advertising advertisements sidebar nav navbar navigation menu breadcrumb breadcrumbs footer topbar cookie cookies "
+        "consent gdpr newsletter complementary contentinfo".split()
+    ),
+    3: frozenset("comment comments reply replies respond disqus".split()),
+}
+# A class that begins or ends so speaks of the page, not of its own contents.
+ABOUT_FIRST = frozenset("with without has have no not is show hide hidden toggle enable".split())
+ABOUT_LAST = frozenset("layout page template grid theme open closed active enabled disabled visible on off".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -58,9 +71,24 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*(?:>|\Z)", re.I) for t in RAW_T
 _NESTED = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){t}(?=[\s>/])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S) for t in ("svg", "math", "object", "noscript", "template")}
 _EMPTY_IF_SLASHED = frozenset(("svg", "math", "object"))
 _BODY = re.compile(r"<body(?=[\s>/])|</head(?=[\s>/])[^>]*>", re.I)
-_WORDY = re.compile(r"[A-Za-z]+")
+_WORDY = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "named", "share", "heading")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "boiler", "heading")
+
+def named(tag: str, names: str, in_main: bool) -> int:
+    """What an element says of itself by tag, classes, id and role: 0 nothing, 1 perhaps, 2 something
+    around the text, 3 reader comments."""
+    level = NAMED_TAGS.get(tag, 0)
+    if tag == "header" and not in_main:
+        level = 2
+    if tag in ("html", "body"):
+        return 0
+    for name in names.split():
+        words = [w.lower() for w in _WORDY.findall(name)]
+        if words and words[0] not in ABOUT_FIRST and (len(words) == 1 or words[-1] not in ABOUT_LAST):
+            level = max([level, *(k for k, some in NAMED_WORDS.items() if not some.isdisjoint(words))])
+    return level
 
 
 def _pairs(page: str, tag: str) -> dict[int, int]:
@@ -94,13 +122,16 @@ def _container_end(page: str, at: int) -> int:
     return len(page)
 
 
-def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
+def blocks_of(page: str) -> list[tuple[str, int, float, int, int, float, int]]:
     """Blocks in page order: text, words, share of words in links, inside (1 in an article or main
-    element, 0 on a page without one, -1 elsewhere), boiler and heading (0 or 1)."""
+    element, 0 on a page without one, -1 elsewhere), named (of the nearest container that says
+    something), share (of the unlinked words of the page, or of its articles, that the container
+    holds) and heading (0 or 1)."""
     out: list[list] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[list] = []  # open elements that matter: tag, kind, nested elements of the same tag
+    stack: list[list] = []  # open elements that matter: tag, kind, nested elements of the same tag, number of the container
+    levels = [0]  # of named containers, by number
     pairs: dict[str, dict[int, int]] = {}
     links = heading = main_seen = 0
     at, end = 0, len(page)
@@ -113,7 +144,8 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
                 if "hidden" not in kinds:
                     n = text.count(" ") + 1
                     in_links = len(_html.unescape(" ".join(linked)).split())
-                    out.append([text, n, min(1.0, in_links / n), int("main" in kinds), int("boiler" in kinds), heading])
+                    around = [s[3] for s in stack if s[3]]
+                    out.append([text, n, min(1.0, in_links / n), int("main" in kinds), around, n - min(n, in_links), heading])
             parts.clear()
             linked.clear()
 
@@ -172,18 +204,16 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = 0
             continue
-        kind = None
-        if tag in ("article", "main") or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs):
+        kind, level = None, 0
+        names = " ".join(x or y or z for _, x, y, z in _ATTR.findall(attrs)) if attrs else ""
+        level = named(tag, names, any(s[1] == "main" for s in stack))
+        in_comments = any(levels[s[3]] == 3 for s in stack)
+        if tag == "main" or "main" in names.split() and "role" in attrs or tag == "article" and level < 2 and not in_comments:
             kind, main_seen = "main", 1
-        elif tag in BOILER_TAGS or tag == "header" and not any(s[1] == "main" for s in stack):
-            kind = "boiler"
-        if attrs:
-            if _HIDDEN.search(attrs) and tag not in ("html", "body"):
-                kind = "hidden"
-            elif kind is None and tag not in ("html", "body"):
-                names = " ".join(x or y or z for _, x, y, z in _ATTR.findall(attrs)).lower()
-                if names and not BOILER_WORDS.isdisjoint(_WORDY.findall(names)):
-                    kind = "boiler"
+        elif level:
+            kind = "named"
+        if attrs and _HIDDEN.search(attrs) and tag not in ("html", "body"):
+            kind = "hidden"
         if blocky:
             flush()
             links = 0 if tag in ("article", "main", "section", "body", "footer", "nav") else links
@@ -194,39 +224,59 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, int]]:
             continue
         if kind:
             flush()
-            stack.append([tag, kind, 0])
+            if level and kind != "hidden":
+                levels.append(level)
+            stack.append([tag, kind, 0, len(levels) - 1 if level and kind != "hidden" else 0])
         elif stack and stack[-1][0] == tag:
             stack[-1][2] += 1
     flush()
-    for b in out:
-        b[3] = b[3] or -main_seen
-    return [tuple(b) for b in out]
+    held = [0] * len(levels)
+    for block in out:
+        if block[3] or not main_seen:
+            for k in block[4]:
+                held[k] += block[5]
+            held[0] += block[5]
+    return [(t, n, links, main or -main_seen, levels[(around or [0])[-1]], held[around[-1]] / max(1, held[0]) if around else 0.0, head) for t, n, links, main, around, _, head in out]
 
 
 def features(blocks: list[tuple]) -> np.ndarray:
     """A row of FEATURES for each block; before the first and after the last block there are 0 words."""
-    own = np.array([b[1:] for b in blocks], float).reshape(-1, 5)
+    own = np.array([b[1:] for b in blocks], float).reshape(-1, 6)
     near = np.zeros((len(own) + 2, 2))
     near[1:-1] = own[:, :2]
     return np.column_stack([own[:, :2], near[:-2], near[2:], own[:, 2:]])
 
 
 # The labelled table: kinds of blocks seen on pages of common layouts, each in the neighbourhoods
-# below. A kind is (words, links, inside, boiler, heading, main text?); where the answer is None, the
-# neighbours decide. A neighbourhood is (words before, links before, words after, links after, does
-# it speak for main text?).
+# below. A kind is (numbers of words, links, inside, named, shares, main text?), of which each number
+# of words with each share makes an example; where the answer is None, the neighbours decide. A
+# neighbourhood is (words before, links before, words after, links after, does it speak for main
+# text?).
+SHORT, LONG = (1, 4, 9, 13), (15, 25, 40, 70, 160)
+ANY = SHORT + LONG
 KINDS = (
-    (6, 1.0, 0, 1, 0, 0), (1, 1.0, -1, 1, 0, 0), (9, 0.0, -1, 1, 0, 0), (70, 0.0, 1, 1, 0, 0), (80, 0.0, 0, 1, 0, 0), (3, 0.0, 0, 1, 1, 0), (12, 0.2, 1, 1, 0, 0),
-    (9, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 0, 0, 1), (3, 0.0, 1, 0, 0, 1), (14, 0.0, 1, 0, 0, 1), (50, 0.0, 1, 0, 0, 1), (160, 0.1, 1, 0, 0, 1), (20, 0.4, 1, 0, 0, 1),
-    (6, 1.0, 1, 0, 0, 0), (14, 0.9, 1, 0, 0, 0), (45, 0.0, -1, 0, 0, 0), (8, 0.0, -1, 0, 1, 0), (150, 0.0, -1, 0, 0, 0), (4, 1.0, -1, 0, 0, 0),
-    (18, 0.0, 0, 0, 0, 1), (60, 0.0, 0, 0, 0, 1), (200, 0.1, 0, 0, 0, 1), (30, 0.3, 0, 0, 0, 1), (40, 0.8, 0, 0, 0, 0), (5, 1.0, 0, 0, 0, 0), (12, 0.7, 0, 0, 0, 0),
-    (2, 0.0, 0, 0, 0, None), (7, 0.0, 0, 0, 0, None), (11, 0.1, 0, 0, 0, None), (5, 0.0, 0, 0, 1, None),
+    # what surrounds a text: menus, notices, sidebars, footers, forms; comments, however long
+    *((ANY, links, inside, 2, (0.0, 0.1, 0.3, 0.5, 0.65), 0) for links in (0.0, 1.0) for inside in (-1, 0, 1)),
+    *((ANY, links, inside, 1, (0.0, 0.1, 0.3, 0.45), 0) for links in (0.0, 1.0) for inside in (-1, 0, 1)),
+    *((ANY, 0.0, inside, 3, (0.05, 0.3, 0.6, 0.9, 1.0), 0) for inside in (-1, 0, 1)),
+    # containers that hold most of the text
+    *((ANY, links, 1, 1, (0.55, 0.7, 0.9, 1.0), 1) for links in (0.0, 0.3, 1.0)), *((ANY, links, 1, 2, (0.85, 0.95, 1.0), 1) for links in (0.0, 0.3, 1.0)),
+    *((LONG, links, 0, 1, (0.55, 0.7, 0.9, 1.0), 1) for links in (0.0, 0.3)), *((LONG, links, 0, 2, (0.85, 0.95, 1.0), 1) for links in (0.0, 0.3)),
+    (SHORT, 0.0, 0, 1, (0.55, 0.7, 0.9, 1.0), None), (SHORT, 0.0, 0, 2, (0.85, 0.95, 1.0), None),
+    (ANY, 1.0, 0, 1, (0.55, 0.7, 0.9, 1.0), 0), (ANY, 1.0, 0, 2, (0.85, 0.95, 1.0), 0),
+    # in an article, links as well; beside one
+    *((ANY, links, 1, 0, (0.0,), 1) for links in (0.0, 0.1, 0.4, 0.9, 1.0)), *((ANY, links, -1, named, (share,), 0) for links in (0.0, 1.0) for named, share in ((0, 0.0), (1, 0.9), (2, 1.0))),
+    # on a page without one
+    *((LONG, links, 0, 0, (0.0,), 1) for links in (0.0, 0.1, 0.3)), *((ANY, links, 0, 0, (0.0,), 0) for links in (0.7, 0.8, 1.0)), *((SHORT, links, 0, 0, (0.0,), None) for links in (0.0, 0.1)),
 )
 NEIGHBOURS = (
     (0, 0.0, 0, 0.0, 0), (4, 1.0, 3, 1.0, 0), (0, 0.0, 5, 1.0, 0), (6, 0.9, 0, 0.0, 0), (6, 0.0, 4, 0.0, 0),
     (50, 0.0, 60, 0.0, 1), (30, 0.0, 5, 1.0, 1), (4, 1.0, 40, 0.0, 1), (90, 0.1, 2, 0.0, 1), (0, 0.0, 35, 0.0, 1),
 )
-LABELLED = tuple((k[0], k[1], *n[:4], *k[2:5], n[4] if k[5] is None else k[5]) for k in KINDS for n in NEIGHBOURS)
+LABELLED = tuple(
+    (words, links, *n[:4], inside, named_as, share, heading, n[4] if answer is None else answer)
+    for some, links, inside, named_as, shares, answer in KINDS for words in some for share in shares for n in NEIGHBOURS for heading in (0, 1)[: 1 + (words < 10)]
+)
 
 
 def grow(rows: np.ndarray, depth: int = 10) -> tuple | float:
@@ -281,8 +331,7 @@ def extract(pages: DataFrame, labelled: tuple = LABELLED) -> DataFrame:
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "text", "n_chars", "n_kept_blocks", "n_blocks"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(run, f"{fields}, text string, n_chars long, n_kept_blocks long, n_blocks long")
+    return pages.mapInArrow(run, widened(pages, "text string, n_chars long, n_kept_blocks long, n_blocks long"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
