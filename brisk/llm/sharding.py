@@ -2,15 +2,17 @@
 
 Pass one scatters records: a seeded hash of doc_id chooses the shard (highest of one weight per
 shard, so another shard takes records only into itself), a second seeded hash of id and text a
-bucket inside it; there are as many buckets as keep each within BUCKET bytes on average. Spark's
-shuffle files are the scattered buckets. Pass two reads a bucket at a time, puts it into a fixed
+bucket inside it; there are as many buckets as keep each within BUCKET bytes on average, and as many
+tasks as buckets. Spark's shuffle files are the scattered buckets. Pass two reads a bucket at a time, puts it into a fixed
 order, shuffles it by Fisher-Yates with a seed of its own and writes it. A record's slot is the
 number of records in earlier buckets of its shard plus its place in its bucket.
 
 Law: `key`. doc_id and the shard count alone decide the shard; rows with equal doc_id share one.
 Equal texts of different ids are different records and scatter; records equal in id and text share a
-bucket. Defined cases: null text counts as empty, null doc_id is one key, further columns are
-written along (but those named like a result, `n` or `_bucket` are replaced), an empty table writes no records. The result depends on the rows and the seed, not on
+bucket. Defined cases: null text counts as empty, null doc_id is one key, a very long text makes a
+bucket as long as itself, further columns are written along (but those named like a result
+are replaced), an empty table writes no records. A bucket is ordered by id, text and a hash
+of all other columns before it is shuffled, so the result depends on the rows and the seed, not on
 their order or partitions.
 """
 
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed_shuffles, shared_path, table
+from .common import freed_shuffles, shared_path, spare, table, widened
 
 #: Text bytes that a bucket holds on average.
 BUCKET = 8 << 20
@@ -36,7 +38,8 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, bucket_bytes: int = BUCKET) -> None:
     """Write docs under `path` as shard=0 ... with columns `slot` and `grown_shard` (by one more shard)."""
-    docs = docs.drop("shard", "grown_shard", "slot", "_bucket", "n")  # replaced
+    docs = docs.drop("shard", "grown_shard", "slot")  # replaced
+    in_bucket, order_hash = spare(docs, "_bucket"), spare(docs, "_order")
     text = F.coalesce(F.col("text"), F.lit(""))
     with freed_shuffles(docs.sparkSession):
         total = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long") + 1), F.lit(0))).first()[0]
@@ -45,17 +48,18 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, buc
             *docs.columns,
             shard_of(F.col("doc_id"), shards, seed).alias("shard"),
             shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
-            F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", text), F.lit(buckets)).alias("_bucket"),
+            F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", text), F.lit(buckets)).alias(in_bucket),
+            F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant")))).alias(order_hash),
         )
-        counts = place.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
-        before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("slot"))
+        counts = place.groupBy("shard", in_bucket).agg(F.count("*").alias("_n"))
+        before = Window.partitionBy("shard").orderBy(in_bucket).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("shard", in_bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("slot"))
 
         def shuffle(bucket: pa.Table) -> pa.Table:
             n = bucket.num_rows
             first = bucket.column("slot")[0].as_py() if n else 0
-            keys = (bucket.column("shard")[0].as_py(), bucket.column("_bucket")[0].as_py()) if n else (0, 0)
-            order = pc.sort_indices(bucket, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_numpy().copy()
+            keys = (bucket.column("shard")[0].as_py(), bucket.column(in_bucket)[0].as_py()) if n else (0, 0)
+            order = pc.sort_indices(bucket, sort_keys=[(c, "ascending") for c in ("doc_id", "text", order_hash)]).to_numpy().copy()
             random = np.random.default_rng([seed, *keys])
             for i in range(n - 1, 0, -1):  # Fisher-Yates
                 j = int(random.integers(i + 1))
@@ -63,10 +67,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, buc
             out = bucket.take(pa.array(order))
             return out.set_column(out.schema.get_field_index("slot"), "slot", pa.array(first + np.arange(n, dtype=np.int64)))
 
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in place.schema]
-        scattered = place.join(offsets, ["shard", "_bucket"])
-        dealt = scattered.select(*place.columns, "slot").groupBy("shard", "_bucket").applyInArrow(shuffle, ", ".join([*fields, "slot long"]))
-        dealt.drop("_bucket").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+        scattered = place.repartition(shards * buckets, "shard", in_bucket).join(offsets, ["shard", in_bucket])
+        dealt = scattered.select(*place.columns, "slot").groupBy("shard", in_bucket).applyInArrow(shuffle, widened(place, "slot long"))
+        dealt.drop(in_bucket, order_hash).write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
