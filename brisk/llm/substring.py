@@ -9,22 +9,21 @@ the same in every task. With each symbol goes the span of words that it depends
 the largest name): equal windows have equal names, wherever they stand.
 
 1. Rows (name, doc_id) are counted; names that stand in one document only are dropped.
-2. Windows with a repeated name are compared exactly: (fingerprint of all words with the name,
-   document, start), pre-aggregated to the smallest doc_id of each fingerprint.
+2. Windows with a repeated name are compared: (name and fingerprint of all words, document, start),
+   pre-aggregated to the smallest doc_id of each.
 3. A document loses the words of each window that also starts in a document with a smaller id, or
    earlier in its own text.
 
-Windows count as equal if their name and a 64-bit fingerprint of all their words are; the second is
-only compared among windows with the same name.
+Windows count as equal if their 64-bit name and another 64-bit fingerprint of all their words are.
 
-Nothing is grouped by a name or a window: both are counted with partial sums and joined back, so a
-passage that a third of the documents share spreads over tasks. A document's own list is as long as
-the document at most.
+Nothing is grouped by a name or a window: both are counted with partial sums, written, and joined
+back, so that Spark can split the join where a third of the documents share a passage. A document's
+own list is as long as the document at most.
 
 Defined cases: null and empty texts have no words; texts shorter than the window lose nothing; a null
 doc_id comes after all others; rows that share a doc_id (or have none) never remove words from each
-other, only from themselves; further columns pass through, but those named like a result or a
-working column (with an underscore) are replaced; an empty table gives an empty result.
+other, only from themselves; a very long text is named in overlapping pieces; further columns pass
+through, but those named like a result are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, freed_shuffles, keep, mix, small_batches, table
+from .common import Scratch, Words, freed_shuffles, mix, small_batches, table, widened
 from .pretoken import ragged
 
 #: Words of a window, and rounds of pairing (more would give spans wider than a window).
 WINDOW, ROUNDS = 20, 5
 #: Text bytes of a step; arrays of a step take about 60 times as much.
 STEP = 2 << 20
+#: Words of a piece of a long text.
+PIECE = 1 << 18
 _LAST = (1 << 63) - 1
 _U = np.uint64
 _ODD = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB)
@@ -162,6 +163,34 @@ class Windows:
         return np.where(name == 0, mix(self.print), name)  # no symbol fits: the window is its own name
 
 
+class Part:
+    """Some words of one text, as `Windows` reads them."""
+
+    def __init__(self, words: Words, lo: int, hi: int):
+        self.start, self.end, self.hash = words.start[lo:hi], words.end[lo:hi], words.hash[lo:hi]
+        self.counts, self.first, self.n_texts = np.array([hi - lo]), np.array([0, hi - lo]), 1
+
+    def text_ids(self) -> np.ndarray:
+        return np.zeros(len(self.hash), np.int64)
+
+
+def windows_of(words: Words, window: int) -> Windows:
+    """Windows with names. A name depends on the words of its window alone, so those of a long text
+    come from pieces that overlap by a window and a word at each side."""
+    if words.n_texts != 1 or len(words.start) <= 2 * PIECE:
+        return Windows(words, window)
+    n, parts = len(words.start), []
+    for begin in range(0, n - window + 1, PIECE):
+        lo, hi = max(0, begin - 1), min(n, begin + PIECE + window)
+        w = Windows(Part(words, lo, hi), window)
+        own = (w.at + lo >= begin) & (w.at + lo < begin + PIECE)
+        parts.append((w.at[own] + lo, w.print[own], w.name[own]))
+    out = Windows.__new__(Windows)
+    out.at, out.print, out.name = (np.concatenate(x) for x in zip(*parts, strict=True))
+    out.text, out.start = np.zeros(len(out.at), np.int64), out.at
+    return out
+
+
 def _distinct(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     """First index of each distinct (text, value)."""
     both = mix(value + text.astype(np.uint64) * _U(_ODD[2]))
@@ -181,7 +210,7 @@ def name_rows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=STEP):
-            w = Windows(Words(batch), window)
+            w = windows_of(Words(batch), window)
             i = _distinct(w.text, w.name)
             yield pa.RecordBatch.from_arrays([*_columns(batch, ["ord", "th"], w.text[i]), signed(w.name[i])], ["ord", "th", "name"])
 
@@ -189,21 +218,19 @@ def name_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(print, ord, th, start): windows whose name is in the document's array `names`, the first of
+    """(name, print, ord, th, start): windows whose name is in the document's array `names`, the first of
     equal ones within a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=STEP):
-            w = Windows(Words(batch), window)
+            w = windows_of(Words(batch), window)
             lists = batch.column("names")
             wanted = mix(lists.flatten().to_numpy().view(np.uint64) + np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()).astype(np.uint64) * _U(_ODD[2]))
             i = np.flatnonzero(np.isin(mix(w.name + w.text.astype(np.uint64) * _U(_ODD[2])), wanted))
-            whole = mix(w.print[i] ^ mix(w.name[i]))
-            j = _distinct(w.text[i], whole)
-            i, whole = i[j], whole[j]
-            yield pa.RecordBatch.from_arrays([signed(whole), *_columns(batch, ["ord", "th"], w.text[i]), pa.array(w.start[i].astype(np.int32))], ["print", "ord", "th", "start"])
+            i = i[_distinct(w.text[i], mix(w.print[i] ^ mix(w.name[i])))]
+            yield pa.RecordBatch.from_arrays([signed(w.name[i]), signed(w.print[i]), *_columns(batch, ["ord", "th"], w.text[i]), pa.array(w.start[i].astype(np.int32))], ["name", "print", "ord", "th", "start"])
 
-    return docs.select("ord", "th", "text", "names").mapInArrow(run, "print long, ord long, th long, start int")
+    return docs.select("ord", "th", "text", "names").mapInArrow(run, "name long, print long, ord long, th long, start int")
 
 
 def cut(docs: DataFrame, window: int) -> DataFrame:
@@ -228,8 +255,11 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
             removed = np.bincount(text[gone], minlength=words.n_texts)
             stay = np.flatnonzero(~gone)
             size = words.end[stay] - words.start[stay] + 1
-            out = words.data[np.minimum(ragged(words.start[stay], size), max(len(words.data) - 1, 0))]
-            ends = np.cumsum(size)
+            ends, out = np.cumsum(size), np.empty(int(size.sum()), np.uint8)
+            for at in range(0, len(stay), PIECE):
+                part = slice(at, at + PIECE)
+                where = np.minimum(ragged(words.start[stay[part]], size[part]), max(len(words.data) - 1, 0))
+                out[ends[at] - size[at] : ends[at] - size[at] + len(where)] = words.data[where]
             out[ends - 1] = 32
             bounds = np.concatenate([[0], ends])[np.searchsorted(text[stay], np.arange(words.n_texts + 1))]
             raw = out.tobytes()
@@ -237,27 +267,33 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
             new = [pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, "n_words", "n_removed", "kept_text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_drop")
-    return docs.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_text string")
+    return docs.mapInArrow(run, widened(docs, "n_words long, n_removed long, kept_text string", without=("_drop",)))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) with n_words, n_removed and kept_text (kept words, one space apart)."""
-    docs = docs.drop("n_words", "n_removed", "kept_text", "_drop", "_ord", "_th", "_o", "_h")  # replaced
+    results = ("n_words", "n_removed", "kept_text")
+    docs = docs.drop(*results)  # replaced
+    spark = docs.sparkSession
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64("text").alias("th")]
     texts = docs.select(*key, "text")
-    with freed_shuffles(docs.sparkSession):
-        names = keep(name_rows(texts, window), "windows-names")
-        often = names.groupBy("name").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("name")
-        lists = names.join(often, "name", "left_semi").groupBy("ord", "th").agg(F.collect_set("name").alias("names"))
-        lists = keep(lists, "windows-lists")
-        rows = keep(window_rows(texts.join(lists, ["ord", "th"]), window), "windows")
-        first = rows.groupBy("print").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("print", "lo")
-        late = rows.join(first, "print").where("ord > lo").groupBy("ord", "th").agg(F.collect_set("start").alias("_drop"))
-        late = keep(late, "windows-late").withColumnsRenamed({"ord": "_o", "th": "_h"})
-    full = docs.withColumns({"_ord": key[0], "_th": key[1]})
-    full = full.join(late, (F.col("_ord") == F.col("_o")) & (F.col("_th") == F.col("_h")), "left").drop("_ord", "_th", "_o", "_h")
-    return cut(full.select(*docs.columns, "_drop"), window)
+    with freed_shuffles(spark), Scratch(spark, "windows") as scratch:
+        names = scratch.keep(name_rows(texts, window), "names")
+        often = scratch.keep(names.groupBy("name").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("name"), "often")
+        lists = names.join(often.hint("merge"), "name", "left_semi").groupBy("ord", "th").agg(F.collect_set("name").alias("names"))
+        lists = scratch.keep(lists, "lists")
+        scratch.free("names", "often")
+        rows = scratch.keep(window_rows(texts.join(lists.hint("merge"), ["ord", "th"]), window), "rows")
+        scratch.free("lists")
+        both = ["name", "print"]
+        first = scratch.keep(rows.groupBy(*both).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select(*both, "lo"), "first")
+        late = rows.join(first.hint("merge"), both).where("ord > lo").groupBy("ord", "th").agg(F.collect_set("start").alias("_drop"))
+        late = scratch.give(late).withColumnsRenamed({"ord": "_o", "th": "_h"})
+    # rows travel as one struct, so that no name can clash
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text", key[0].alias("_ord"), key[1].alias("_th"))
+    full = packed.join(late.hint("merge"), (F.col("_ord") == F.col("_o")) & (F.col("_th") == F.col("_h")), "left").select("row", "text", "_drop")
+    done = cut(full, window)
+    return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns), *results)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
