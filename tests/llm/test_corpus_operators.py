@@ -140,9 +140,8 @@ def test_token_files_round_trip(spark, tmp_path, corpus):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         spec = f.read()
     library = Tokenizer.from_str(spec)
-    library.encode_special_tokens = True
-    rows = sorted([*((1000 + i, t) for i, t in enumerate(TEXTS)), *corpus])
-    tokenbin.write_tokens(frame(spark, rows), spec, f"file://{tmp_path}/t", block=700)
+    rows = sorted([*((1000 + i, t) for i, t in enumerate([*TEXTS, "a<|endoftext|><|endoftext|> b", "<|endoftext"])), *corpus])
+    tokenbin.write_tokens(clashing(frame(spark, rows), "ids", "part", "counts"), spec, f"file://{tmp_path}/t", block=700)
     got = {r["doc_id"]: r for r in tokenbin.read_tokens(spark, f"file://{tmp_path}/t", with_ids=True).collect()}
     start = 0
     for d, t in rows:
@@ -212,6 +211,58 @@ ARTICLE = "<article><h1>The title</h1><p>A first paragraph with a good many word
 ARTICLE_TEXT = "The title A first paragraph with a good many words of its own. Last"
 
 
+SENTENCES = "This is the first sentence of a text that has more to say. It goes on for a while, as texts do when they have room."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="layout has-sidebar"><article><p>{SENTENCES}</article><div class="sidebar"><p>{SENTENCES}</div></div>', SENTENCES),
+        (f'<div class="content with-sidebar"><p>{SENTENCES}</div><div class="footer">Imprint and more</div>', SENTENCES),
+        (f'<div id="post-share"><p>{SENTENCES}<p>{SENTENCES}</div>', f"{SENTENCES} {SENTENCES}"),
+        (f'<article><div class="alert"><p>{SENTENCES}</div></article>', SENTENCES),
+        (f'<article><div class="alert">Mind the step</div><p>{SENTENCES}</p><div class="share"><a href=x>Share</a></div></article>', SENTENCES),
+        (f'<article><p>{SENTENCES}<ul><li><a href=a>First source of the facts</a><li><a href=b>Second</a></ul></article>', f"{SENTENCES} First source of the facts Second"),
+        (f'<form id="aspnetForm"><nav><a href=a>Home</a></nav><div><p>{SENTENCES}</div></form>', SENTENCES),
+        (f'<body class="no-comments menu-open"><article><p>{SENTENCES}</article><section class="comments"><article class="comment"><p>{SENTENCES} {SENTENCES}</article></section>', SENTENCES),
+        (f'<div><p>{SENTENCES}</div><div id="comments"><p>{SENTENCES}<p>{SENTENCES}<p>{SENTENCES}</div>', SENTENCES),
+        (f'<div class="sidebar-layout"><main><h1>Title</h1><p>{SENTENCES}</main><aside>{SENTENCES}</aside></div>', f"Title {SENTENCES}"),
+        (f'<main><div class="adSlot">Buy one and get one more today</div><p>{SENTENCES}</main><div class="cookieNotice">We use cookies</div>', SENTENCES),
+        ("<nav><a href=a>Home</a></nav><footer>Imprint</footer>", ""),
+    ],
+)
+def test_main_text_of_layouts(page, text):
+    assert html.main_text(page, html.grow(np.array(html.LABELLED, float)))[0] == text
+
+
+def test_main_text_equals_the_article_of_all_pages(spark):
+    """The given pages have one article each: its text, read by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.parts = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.parts += [" "] * (self.depth and tag in ("p", "h1", "li", "br", "div"))
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            self.parts += [data] * self.depth
+
+    rows = html.op9_html_extraction(spark, "/root/testdata/sf0.1").collect()
+    raw = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()}
+    assert len(rows) == len(raw)
+    for r in rows:
+        reader = Article()
+        reader.feed(raw[r["page_id"]])
+        assert r["text"] == " ".join("".join(reader.parts).split())
+
+
 @pytest.mark.parametrize(
     "ahead",
     [
@@ -273,7 +324,10 @@ def test_decontamination_finds_all_short_items(spark):
     docs += [(700, "die donaudampfschifffahrt, nun"), (701, "Hydroxychloroquine sulfate."), (702, "hydroxychloroquine"), (703, "short one")]
     docs += [(704, "実は地球は太陽の周りを一年をかけて回っているのだ"), (705, "เราทราบว่าประเทศไทยมีเมืองหลวงคือกรุงเทพฯ"), (706, "太陽は大きい")]
     wanted = {(d, k) for d, t in docs[:660] for k in range(66) if item_distance(items[k].split(), t.split()) <= len(items[k].split()) * 20 // 100}
-    wanted |= {(700, 66), (701, 67), (704, 70), (705, 71)}
+    wanted |= {(700, 66), (701, 67), (703, 68), (704, 70), (705, 71)}
+    bench = frame(spark, list(enumerate(items)), "item_id long, text string", 1)
+    kept = {r["doc_id"] for r in decontam.decontaminate(clashing(frame(spark, docs), "hits"), bench).collect()}
+    assert kept & set(range(700, 707)) == {702, 703, 706}
     rows = decontam.find_items(frame(spark, docs), frame(spark, list(enumerate(items)), "item_id long, text string", 1), most_items=30).collect()
     assert {(r["doc_id"], h["item_id"]) for r in rows for h in r["hits"]} == wanted and len(wanted) > 600
 
