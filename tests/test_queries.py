@@ -22,7 +22,7 @@ def test_equals_sql(spark, duck, name):
 
 
 def ready_days(duck):
-    return duck.sql(f"WITH {queries.E} SELECT count(*) FROM bas WHERE history_days >= 7").fetchone()[0]
+    return duck.sql(f"WITH {queries.E} SELECT count(*) FROM bas WHERE history_days >= 7").fetchall()[0][0]
 
 
 @pytest.mark.parametrize("name", ["isolation_scores", "lof_scores", "ocsvm_scores", "autoencoder_scores"])
@@ -34,7 +34,7 @@ def test_every_ready_day_has_a_score_that_tells_days_apart(spark, duck, name):
 
 def test_kmeans_peers(spark, duck):
     got = queries.QUERIES["kmeans_peers"](spark, SF).toPandas()
-    users = duck.sql(f"WITH {queries.E} SELECT count(DISTINCT \"user\") FROM pan").fetchone()[0]
+    users = duck.sql(f"WITH {queries.E} SELECT count(DISTINCT \"user\") FROM pan").fetchall()[0][0]
     assert len(got) == users == got["user"].nunique() and set(got["cluster"]) == {0, 1, 2, 3}
 
 
