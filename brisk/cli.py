@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from datetime import date
 
@@ -13,6 +14,7 @@ from .models import risk
 from .operators import metrics, truth
 from .plans import experiments, features
 from .sources import logs
+from .sources.files import write_csv, write_text
 from .sources.settings import Settings, load_settings, write_manifest
 
 COMMANDS = ("validate-data", "build-labels", "build-features", "train", "score", "evaluate", "cross-validate")
@@ -49,7 +51,9 @@ def run(spark: SparkSession, args: argparse.Namespace, s: Settings) -> None:
             print(logs.inspect(spark, s.paths["dataset"]).report())
         case "build-labels":
             events = logs.answers(spark, f"{s.paths['dataset']}/answers", args.release)
-            truth.day_labels(events, args.early_days).orderBy("user", "day").write.mode("overwrite").option("header", True).csv(f"{out}/labels.csv")
+            write_csv(truth.day_labels(events, args.early_days).orderBy("user", "day"), f"{out}/labels.csv")
+            for r in logs.answer_counts(spark, f"{s.paths['dataset']}/answers", args.release).orderBy("source_file").collect():
+                print(f"  {r['source_file']}: {r['rows']} rows, {r['bad_rows']} without user or time")
         case "build-features":
             days, model_features = features.build(spark, s)
             days.write.mode("overwrite").parquet(f"{out}/user_days")
@@ -62,12 +66,12 @@ def run(spark: SparkSession, args: argparse.Namespace, s: Settings) -> None:
         case "evaluate":
             k = s.evaluation["alert_k"] if args.alert_k is None else args.alert_k
             rows = metrics.evaluate_days(table("scored"), labels(), args.test_start, k)
-            rows.coalesce(1).write.mode("overwrite").json(f"{out}/metrics.json")
+            write_text(spark, f"{out}/metrics.json", json.dumps(rows.first().asDict(), indent=2, sort_keys=True))
         case "cross-validate":
             data = table("model_features").persist()
             folds = experiments.folds_of(data, **s.temporal)
             got = experiments.compare_families(data, labels(), folds, args.model_families.split(","), s.selection, alert_k=s.evaluation["alert_k"], **_model(s))
-            got.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/folds.csv")
+            write_csv(got.orderBy("fold_id", "family"), f"{out}/folds.csv")
             data.unpersist()
 
 
@@ -77,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("brisk").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run(spark, args, settings)
     conf = {k: v for k, v in spark.sparkContext.getConf().getAll() if k.startswith("spark.sql")}
-    write_manifest(f"{settings.paths['output']}/runs", args.command, settings.model["seed"], list(settings.paths.values()), conf, getattr(args, "hash_inputs", False))
+    write_manifest(spark, f"{settings.paths['output']}/runs", args.command, settings.model["seed"], list(settings.paths.values()), conf, getattr(args, "hash_inputs", False))
     return 0
 
 

@@ -14,6 +14,8 @@ from ..operators.asof import asof_backward
 LOGS = ("logon", "device", "http", "email", "file")
 NEEDED = ("user", "date")
 USER, TIME = ("user", "username", "user_id"), ("date", "timestamp", "time")
+#: Columns of an answer file that are looked at.
+CELLS = 16
 SNAPSHOT = ("user_id", "email", "role", "department", "team")
 
 
@@ -115,23 +117,24 @@ def attach_organisation(days: DataFrame, snaps: DataFrame, known: bool = True) -
     return out.withColumn("org_peer_key", F.concat_ws(" | ", F.coalesce("role", F.lit("unknown")), F.coalesce("department", F.lit("unknown"))))
 
 
-def answers(spark: SparkSession, folder: str, release: str = "r4.2") -> DataFrame:
-    """Insider events of all answer files whose path names the release.
+def _answer_rows(spark: SparkSession, folder: str, release: str) -> DataFrame:
+    """All rows of the answer files whose path names the release; what cannot be read is null.
 
-    A file has a header if its first line names user, username, timestamp, date or time; otherwise
-    its columns are event_type, event_id, timestamp, user. Lines are read as text with their place in
-    the file, so both layouts go through one pass. Rows without user or time are skipped.
+    A file has a header if its first row names user, username, timestamp, date or time; otherwise its
+    columns are event_type, event_id, timestamp, user. Files are read as CSV without header, quoted
+    line breaks included, with the number of each row, so both layouts go through one pass.
     """
     paths = [p for p in files(spark, folder, deep=True) if release in p]
     if not paths:
         raise ValueError("no answer file")
-    lines = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    rows = lines.select("file", F.posexplode(F.filter(F.split(F.regexp_replace("value", "﻿", ""), "\r?\n"), lambda x: F.length(strip(x)) > 0)).alias("n", "line"))
-    cells = F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")  # commas outside quotes
-    rows = rows.withColumn("c", F.transform(cells, lambda x: F.regexp_replace(strip(x), '^"|"$', "")))
+    cells = [f"c{i}" for i in range(CELLS)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True).option("escape", '"').csv(paths)
+    text = F.array(*[strip(F.regexp_replace(c, "\ufeff", "")) for c in cells])
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), text.alias("c"))
+    rows = rows.where(F.exists("c", lambda x: F.length(x) > 0)).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1)
     first = rows.where("n = 0").select("file", F.transform("c", lambda x: F.lower(x)).alias("head"))
     marks = F.array(*[F.lit(x) for x in ("user", "username", "timestamp", "date", "time")])
-    rows = rows.join(first.withColumn("headed", F.arrays_overlap("head", marks)), "file").where(~(F.col("headed") & (F.col("n") == 0)))
+    rows = rows.join(first.withColumn("headed", F.arrays_overlap(F.filter("head", lambda x: x.isNotNull()), marks)), "file").where(~(F.col("headed") & (F.col("n") == 0)))
 
     def cell(names: tuple[str, ...], place: int):
         by_name = F.coalesce(*[F.when(F.array_contains("head", n), F.get("c", (F.array_position("head", n) - 1).cast("int"))) for n in names])
@@ -143,10 +146,21 @@ def answers(spark: SparkSession, folder: str, release: str = "r4.2") -> DataFram
         F.coalesce(cell(("event_id", "id"), 1), F.concat_ws(":", name, F.col("n") + 1)).alias("event_id"),
         answer_time(cell(("timestamp", "date", "time"), 2)).alias("timestamp"), cell(("user", "username", "user_id"), 3).alias("user"), name.alias("source_file"),
         F.coalesce(F.nullif(F.regexp_extract("file", r"(r\d\.\d)", 1), F.lit("")), F.lit("unknown")).alias("release"),
-    ).where("user IS NOT NULL AND timestamp IS NOT NULL")
+    )
     return out.withColumn("day", F.to_date("timestamp"))
 
 
+def answers(spark: SparkSession, folder: str, release: str = "r4.2") -> DataFrame:
+    """Insider events of all answer files whose path names the release, less rows without user or time."""
+    return _answer_rows(spark, folder, release).where("user IS NOT NULL AND timestamp IS NOT NULL")
+
+
+def answer_counts(spark: SparkSession, folder: str, release: str = "r4.2") -> DataFrame:
+    """(source_file, rows, bad_rows): rows of each answer file, and how many of them lack user or time."""
+    bad = F.count_if(F.col("user").isNull() | F.col("timestamp").isNull())
+    return _answer_rows(spark, folder, release).groupBy("source_file").agg(F.count("*").alias("rows"), bad.alias("bad_rows"))
+
+
 def lab_incidents(spark: SparkSession, path: str) -> DataFrame:
     """Incidents from a CSV; all columns are needed and none may end before it begins."""
     raw = read_csv(spark, path)

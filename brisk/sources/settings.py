@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import platform
 import subprocess
@@ -11,7 +10,10 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from ..operators.daily import Terms
+from .files import exists, file_record, write_text
 
 
 @dataclass(frozen=True)
@@ -44,20 +46,6 @@ def load_settings(path: str) -> Settings:
     return Settings({k: full(v) for k, v in raw["paths"].items()}, terms, raw["baseline"]["rolling_window_days"], raw["baseline"]["min_history_days"], {"family": "isolation_forest", "neighbours": 35, "nu": 0.01} | raw["model"], **merged)
 
 
-def file_record(path: str, with_hash: bool = False) -> dict:
-    p = Path(path)
-    if not p.exists():
-        return {"path": str(p), "exists": False}
-    out = {"path": str(p), "exists": True, "bytes": p.stat().st_size, "modified": datetime.fromtimestamp(p.stat().st_mtime, UTC).isoformat()}
-    if with_hash and p.is_file():
-        digest = hashlib.sha256()
-        with p.open("rb") as f:
-            while part := f.read(1 << 20):
-                digest.update(part)
-        out["sha256"] = digest.hexdigest()
-    return out
-
-
 def _commit(folder: str) -> str | None:
     try:
         return subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, check=True).stdout.strip()
@@ -65,16 +53,15 @@ def _commit(folder: str) -> str | None:
         return None
 
 
-def write_manifest(folder: str, command: str, seed: int, inputs: list[str], conf: dict[str, str], with_hash: bool = False) -> str:
-    """A record of a run in a folder of its own under `folder`."""
+def write_manifest(spark: SparkSession, folder: str, command: str, seed: int, inputs: list[str], conf: dict[str, str], with_hash: bool = False) -> str:
+    """A record of a run in a folder of its own under `folder`, in whatever store that is."""
     import pyspark
 
     stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
-    n, out = 0, Path(folder) / stamp
-    while out.exists():
+    n, out = 0, f"{folder}/{stamp}"
+    while exists(spark, out):
         n += 1
-        out = Path(folder) / f"{stamp}-{n}"
-    out.mkdir(parents=True)
-    body = {"command": command, "seed": seed, "commit": _commit(str(Path(__file__).parent)), "python": platform.python_version(), "pyspark": pyspark.__version__, "conf": conf, "inputs": [file_record(p, with_hash) for p in inputs]}
-    (out / "manifest.json").write_text(json.dumps(body, indent=2, sort_keys=True))
-    return str(out)
+        out = f"{folder}/{stamp}-{n}"
+    body = {"command": command, "seed": seed, "commit": _commit(str(Path(__file__).parent)), "python": platform.python_version(), "pyspark": pyspark.__version__, "conf": conf, "inputs": [file_record(spark, p, with_hash) for p in inputs]}
+    write_text(spark, f"{out}/manifest.json", json.dumps(body, indent=2, sort_keys=True))
+    return out

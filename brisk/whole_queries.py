@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import off_hours
@@ -11,6 +11,7 @@ from .operators import metrics, rules
 from .queries import E, ORACLES, ROLES, SNAPS, SQL, _model_rows, activity, alert_json, incidents, labelled, load, log, query, r6, scored, scratch
 from .sources import alerts as alert_source
 from .sources import logs
+from .sources.files import write_csv
 
 # The counters of all logs on the calendar: the SQL of each log's own query, joined.
 _PARTS = {
@@ -91,27 +92,17 @@ def risk_by_fixed_model(spark, sf_dir):
     return got.select("user", "day", *[r6(c).alias(c) for c in ("anomaly_component", "peer_component", "risk_score", "peer_distance")], "peer_source")
 
 
-def _as_file(df: DataFrame, path: str, header: bool = True) -> None:
-    """df as one CSV file of that name: as real log folders have them."""
-    spark = df.sparkSession
-    df.coalesce(1).write.option("header", header).csv(f"{path}.parts")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.rename(fs.globStatus(hadoop.Path(f"{path}.parts/part-*"))[0].getPath(), hadoop.Path(path))
-    fs.delete(hadoop.Path(f"{path}.parts"), True)
-
-
 def log_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """The logs and organisation snapshots as a data set of CSV files."""
     path = scratch(spark, name)
     stamp = F.date_format("timestamp", "MM/dd/yyyy HH:mm:ss")
     for kind in ROLES:
         rows = log(spark, sf_dir, kind).withColumn("date", stamp).drop("timestamp", "day").withColumnsRenamed({"event_id": "id", "user": "user"})
-        _as_file(rows, f"{path}/{kind}.csv")
+        write_csv(rows, f"{path}/{kind}.csv")
     people = load(spark, sf_dir, "customer").where("c_custkey % 7 > 0")
     for month in ("2024-01", "2024-02", "notes"):
         rows = people.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("u"), "c_custkey", F.lit("@Int.com")).alias("email"), F.concat(F.lit("r"), "c_nationkey").alias("role"), F.concat("c_mktsegment", F.lit(month[-1])).alias("department"), F.lit("t").alias("team"))
-        _as_file(rows, f"{path}/LDAP/{month}.csv")
+        write_csv(rows, f"{path}/LDAP/{month}.csv")
     return path
 
 
@@ -144,10 +135,10 @@ def answer_files(spark, sf_dir):
     """Insider events read from an answer file without a header and one with another order of columns."""
     path = scratch(spark, "answers")
     e = activity(spark, sf_dir)
-    _as_file(e.where("event_type = 'error' AND k >= 80").select(F.lit("logon"), "event_id", F.date_format("timestamp", "MM/dd/yyyy HH:mm:ss"), "user"), f"{path}/r4.2-1/a.csv", header=False)
+    write_csv(e.where("event_type = 'error' AND k >= 80").select(F.lit("logon"), "event_id", F.date_format("timestamp", "MM/dd/yyyy HH:mm:ss"), "user"), f"{path}/r4.2-1/a.csv", header=False)
     other = e.where("event_type = 'click' AND k >= 90").select(F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("date"), "user", F.lit("file").alias("type"), F.col("event_id").alias("id"))
-    _as_file(other, f"{path}/r4.2-2/b.csv")
-    _as_file(other, f"{path}/r5.2-1/c.csv")
+    write_csv(other, f"{path}/r4.2-2/b.csv")
+    write_csv(other, f"{path}/r5.2-1/c.csv")
     return logs.answers(spark, path).select("event_type", "event_id", "timestamp", "user", "release")
 
 
@@ -156,7 +147,7 @@ FROM (SELECT event_id AS id, "user", ts FROM e WHERE event_type = 'error' AND k
 def incident_file(spark, sf_dir):
     path = f"{scratch(spark, 'incidents')}/lab.csv"
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    _as_file(incidents(spark, sf_dir).select("incident_id", "user", stamp("attack_start"), stamp("attack_end"), F.lit("s").alias("scenario_id"), F.lit("T1").alias("technique_id")), path)
+    write_csv(incidents(spark, sf_dir).select("incident_id", "user", stamp("attack_start"), stamp("attack_end"), F.lit("s").alias("scenario_id"), F.lit("T1").alias("technique_id")), path)
     return logs.lab_incidents(spark, path)
 
 

@@ -187,6 +187,9 @@ def test_log_sources(spark, tmp_path):
     (tmp_path / "answers/r4.2-1/b.csv").write_text("user,date,type\nBBB,2010-07-03T04:05:06,file\n,2010-07-03,file\n")
     got = sorted((r["user"], r["event_id"], str(r["timestamp"]), r["release"]) for r in logs.answers(spark, str(tmp_path / "answers")).collect())
     assert got == [("AAA", "a.csv:2", "2010-07-02 01:02:00", "r4.2"), ("AAA", "{x1}", "2010-07-01 01:02:03", "r4.2"), ("BBB", "b.csv:2", "2010-07-03 04:05:06", "r4.2")]
+    assert sorted(map(tuple, logs.answer_counts(spark, str(tmp_path / "answers")).collect())) == [("a.csv", 3, 1), ("b.csv", 2, 1)]
+    (tmp_path / "answers/r4.2-1/c.csv").write_text('file,{x2},07/01/2010 01:02:03,CCC,"two\nlines"\n')
+    assert [r["event_id"] for r in logs.answers(spark, str(tmp_path / "answers")).where("user = 'CCC'").collect()] == ["{x2}"]
 
 
 def test_alert_sources(spark, tmp_path):
@@ -267,3 +270,21 @@ def test_alert_files_with_a_blank_head_and_long_arrays(spark, tmp_path):
     (tmp_path / "b.json").write_text(" \n" * 5000 + '[{"id": "2"},\n {"id": "3", "data": {"srcip": "[2001:4860:4860::8888]"}}]')
     got = {r["event_id"]: r["is_external"] for r in alerts.normalise(alerts.read_alerts(spark, str(tmp_path / "*.json"))).collect()}
     assert got == {"1": False, "2": False, "3": True}
+
+
+def test_single_files_and_manifest(spark, tmp_path):
+    import hashlib
+    import json
+
+    from brisk.sources import files
+    from brisk.sources.settings import write_manifest
+
+    path = f"file://{tmp_path}/x.csv"
+    for rows in ([(1, "a"), (2, None)], [(3, "b, c")]):
+        files.write_csv(spark.createDataFrame(rows, "n int, s string"), path)
+    assert (tmp_path / "x.csv").read_text() == 'n,s\n3,"b, c"\n'
+    record = files.file_record(spark, path, True)
+    assert record["bytes"] == 13 and record["sha256"] == hashlib.sha256((tmp_path / "x.csv").read_bytes()).hexdigest()
+    assert not files.file_record(spark, f"{path}.none")["exists"]
+    made = [write_manifest(spark, f"file://{tmp_path}/runs", "train", 7, [path], {}) for _ in range(2)]
+    assert made[0] != made[1] and json.loads((tmp_path / "runs" / made[1].rsplit("/", 1)[-1] / "manifest.json").read_text())["inputs"][0]["exists"]
