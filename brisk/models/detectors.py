@@ -36,8 +36,7 @@ def _score_with(rows: DataFrame, vector: str, model: object, score: Callable[[ob
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fitted = pickle.loads(sent.value)
         for part in parts:
-            x = np.array(part.tolist(), float)
-            yield pd.Series(score(fitted, x) if len(x) else np.zeros(0))
+            yield pd.Series(score(fitted, np.stack(part.to_numpy()).astype(float)) if len(part) else np.zeros(0))
 
     return rows.withColumn(name, F.pandas_udf(run, "double")(F.col(vector)))
 

@@ -17,7 +17,7 @@ from .functions.columns import arctan_scale, contains_any, distance, numeric_fea
 from .models import detectors, risk
 from .operators import daily, drift, metrics, panel, rules, scaling, selection, truth
 from .operators.asof import asof_backward
-from .operators.order import shared_folder
+from .operators.order import shared_folder, stored
 from .plans import experiments
 from .plans import features as feature_plans
 from .sources import alerts as alert_source
@@ -468,7 +468,7 @@ def _model_rows(spark, sf_dir):
 
 def _detector(family: str):
     def run(spark, sf_dir):
-        rows = baselines(spark, sf_dir).where("baseline_ready")
+        rows = stored(baselines(spark, sf_dir).where("baseline_ready"))
         rows = rows.withColumn("_x", scaling.scaled(scaling.robust_statistics(rows, ["views", "ks", "z_ks", "z_views"])))
         return detectors.make(family, trees=50).fit(rows, "_x", ["user", "day"]).score(rows, "_x").select("user", "day", r6("anomaly").alias("anomaly"))
 
