@@ -116,6 +116,14 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def around(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with the columns of docs only: those that are named like a result of it step aside
+    meanwhile, and its results go."""
+    away = {c: spare(docs, f"_{c}") for c in docs.columns if c.lower() in names}
+    out = work(docs.withColumnsRenamed(away)).drop(*names)
+    return out.withColumnsRenamed({v: k for k, v in away.items()}).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def widened(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> StructType:
     """The schema of df less some columns, with the columns of a DDL text after it."""
     return StructType([f for f in df.schema.fields if f.name not in without] + StructType.fromDDL(more).fields)
