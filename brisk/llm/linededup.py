@@ -28,6 +28,7 @@ from .common import Scratch, freed_shuffles, let, table
 
 #: Lines that the rolling hash sees, and lines that a chunk holds on average.
 WIDTH, EVERY = 2, 4
+RESULTS = ("n_lines", "n_removed_lines", "n_removed_chunks")
 
 
 def _line_hash(line: Column) -> Column:
@@ -60,8 +61,7 @@ def _solid(chunk: Column) -> Column:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with `text` less the repeated chunks, and n_lines, n_removed_lines, n_removed_chunks."""
     spark = docs.sparkSession
-    results = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    docs = docs.drop(*results)  # replaced
+    docs = docs.drop(*RESULTS)  # replaced
     with freed_shuffles(spark), Scratch(spark, "lines") as scratch:
         key = [F.col("doc_id").alias("_id"), F.md5(F.col("text")).alias("_t")]
         pieces = docs.where(F.col("text").isNotNull()).select(*key, F.explode(_chunks(F.col("text"))).alias("c")).where(_solid(F.col("c")))

@@ -12,8 +12,8 @@ words.
 
 Defined cases: a null or empty text has no words, all measurements 0, and fails `too_short`; null
 ids, repeated rows and further columns pass through unchanged, row by row (columns named like a
-result or a working column, `_w _g _l`, are replaced); an empty table gives an
-empty ledger. Cost: one scan, no shuffle (but for the bounded fit).
+result or a working column, `_w _g _l`, are replaced); a very long text is one row, in memory that
+follows its words; an empty table gives an empty ledger. Cost: one scan, no shuffle (but for the bounded fit).
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .common import let, table, words_of
 
 #: Bounds of the fit: labelled documents and list entries.
 SAMPLE, TERMS = 20_000, 2_000
-NEEDED = {"text"}
+#: Columns that the ledger makes, on the way or for good.
+OWN = ("m", "fail_bits", "kept", "_w", "_g", "_l")
 
 
 def _lines(text: Column) -> Column:
@@ -53,13 +54,14 @@ def _repeated_words(windows: Column) -> Column:
 
 def measure(docs: DataFrame, toxic_terms: list[str] = ()) -> DataFrame:
     """docs with a struct column `m` of measurements."""
-    docs = docs.drop("m", "fail_bits", "kept", "_w", "_g", "_l")  # replaced
+    docs = docs.drop(*OWN)  # replaced
     words = docs.withColumn("_w", words_of(F.col("text")))
     n = F.size("_w")
-    hashed = words.withColumn(
-        "_g",
-        F.when(n >= 8, F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, 8)))).otherwise(F.array().cast("array<bigint>")),
-    ).withColumn("_l", _lines(F.col("text")))
+    none = F.array().cast("array<bigint>")
+    # each word is hashed once, each window from the hashes of its words
+    window = lambda h, i: F.xxhash64(*[F.get(h, i + j) for j in range(8)])
+    windows = let(F.transform("_w", lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= 8, F.transform(F.sequence(F.lit(0), F.size(h) - 8), lambda i: window(h, i))).otherwise(none))
+    hashed = words.withColumn("_g", windows).withColumn("_l", _lines(F.col("text")))
     text = F.coalesce(F.col("text"), F.lit(""))
     terms = F.array(*[F.lit(t) for t in toxic_terms]) if toxic_terms else F.array().cast("array<string>")
     long = lambda c: c.cast("long")
@@ -178,6 +180,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone and with the others, from one ledger."""
+    book = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    parts = [ablation(book, policy).select(F.lit(policy).alias("policy"), "rule", "n_failing", "n_only", "n_rejected_without") for policy in ("base", "v1")]
+    return parts[0].unionByName(parts[1])
+
+
 ORACLE = r"""
 WITH lab AS (SELECT DISTINCT doc_id, toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL
              ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, toxic LIMIT 20000),
@@ -208,3 +217,10 @@ WITH lab AS (SELECT DISTINCT doc_id, toxic FROM labels WHERE doc_id IS NOT NULL
    + 64 * CAST(n_toxic_terms >= 2 AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, n_toxic_terms FROM b
 """
+
+ABLATION_ORACLE = f"""
+WITH book AS (SELECT fail_bits & 63 AS b FROM ({ORACLE})),
+ r AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {mask_of(p)}, '{r}', {BIT[r]})" for p in ("base", "v1") for r in POLICIES[p])}) x(policy, mask, rule, bit))
+SELECT policy, rule, count(*) FILTER (b & bit <> 0) AS n_failing, count(*) FILTER (b & mask = bit) AS n_only, count(*) FILTER ((b & mask & ~bit) <> 0) AS n_rejected_without
+FROM book, r GROUP BY policy, rule
+"""

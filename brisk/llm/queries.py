@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "quality_ablation": quality.quality_ablation,
     "op6_sharding": sharding.op6_sharding,
     "op7_token_binary": tokenbin.op7_token_binary,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLES = {
     "op4_line_dedup": linededup.ORACLE,
     "op5_quality_rules": quality.ORACLE,
+    "quality_ablation": quality.ABLATION_ORACLE,
 }
