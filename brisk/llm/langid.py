@@ -53,22 +53,23 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
 
 
-def training_rows(docs: DataFrame, sizes: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def training_rows(docs: DataFrame, shares: dict[str, int], sample: int = SAMPLE) -> DataFrame:
     """(text, lang) of the sample. A document is taken if the hash of its id is under its language's
-    share of the hash range that is expected to hold `sample` documents. sizes: (lang, n)."""
+    share of the hash range that is expected to hold `sample` documents. shares: documents of each
+    language, which the driver holds already; they are sent to all tasks."""
     scale = 1 << 30
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(sorted(shares.items()), "lang string, n long"))
     share = F.least(F.lit(scale), F.floor(F.lit(scale * sample) / F.col("n")))
     return labelled(docs).select("doc_id", "text", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).select("text", "lang")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The model: languages, their log shares, and log frequencies of words and n-grams."""
-    sizes = labelled(docs).groupBy("lang").agg(F.count("*").alias("n"))
-    shares = {r["lang"]: r["n"] for r in sizes.collect()}
+    shares = {r["lang"]: r["n"] for r in labelled(docs).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(shares)
     if not langs:
         return {"langs": []}
-    rows = training_rows(docs, sizes, sample).where(F.col("text").isNotNull()).distinct()
+    rows = training_rows(docs, shares, sample).where(F.col("text").isNotNull()).distinct()
     words = F.array_remove(F.split(F.lower(F.col("text")), r"[^\p{L}]+"), "")
     counted = rows.select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).persist()
     try:

@@ -1,8 +1,9 @@
 """From raw documents to token ids: quality rules, line de-duplication, near-duplicate removal,
 benchmark decontamination, byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and returns the columns of `documents`, the last one token
-ids. `run` writes each stage to the shared folder and reads it back, so a lost executor costs a part
+Each stage takes (spark, docs, sf_dir) and returns the columns of docs, whatever they are called, the
+last one token ids. Null and empty texts, and whatever else has fewer than 20 words, go with the first
+stage; of equal rows the third keeps one; an empty table gives an empty result. `run` writes each stage to the shared folder and reads it back, so a lost executor costs a part
 of one stage.
 """
 
@@ -12,22 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brisk.llm import bpe, decontam, jaccard, linededup, quality
-from brisk.llm.common import keep, table
+from brisk.llm.common import around, keep, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy; the rule on toxic words is fitted on the labels of
     the documents at hand."""
-    book = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return book.where("kept").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return around(docs, quality.OWN, lambda d: quality.quality_rules(d, labels).where("kept"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the line chunks that stood in an earlier place."""
-    out = linededup.line_dedup(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+
+    def work(d: DataFrame) -> DataFrame:
+        out = linededup.line_dedup(d)
+        if "n_chars" in d.columns:
+            out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        return out
+
+    return around(docs, linededup.RESULTS, work)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,6 +177,82 @@ def test_sharding_law(spark, tmp_path, corpus):
     assert all(r["grown_shard"] == five[r["doc_id"], r["text"]] and r["grown_shard"] in (r["shard"], 4) for r in taken[4])
 
 
+def test_shards_do_not_depend_on_partitions(spark, tmp_path, corpus):
+    rows = [(d, t, i % 3) for i, (d, t) in enumerate([*corpus, *corpus, (None, "x"), (None, None)])]
+    written = []
+    for k, parts in enumerate((1, 5)):
+        sharding.write_shards(frame(spark, rows, "doc_id long, text string, other int", parts), f"file://{tmp_path}/{k}", 2, seed=3, bucket_bytes=30_000)
+        got = spark.read.schema("doc_id long, text string, other int, grown_shard int, slot long, shard int").parquet(f"file://{tmp_path}/{k}").collect()
+        written.append(sorted(map(tuple, got), key=repr))
+    assert written[0] == written[1]
+
+
+def test_buckets_are_shuffled_by_fisher_yates(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(50)]
+    sharding.write_shards(frame(spark, rows), f"file://{tmp_path}/s", 2, seed=9)
+    got = spark.read.parquet(f"file://{tmp_path}/s").collect()
+    for shard in (0, 1):
+        order = sorted(r["doc_id"] for r in got if r["shard"] == shard)
+        rng = np.random.default_rng([9, shard, 0])
+        for i in range(len(order) - 1, 0, -1):
+            j = int(rng.integers(i + 1))
+            order[i], order[j] = order[j], order[i]
+        assert order == [r["doc_id"] for r in sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])]
+
+
+def test_language_scores_by_hand(spark):
+    """The scores from plain counts: words first, then n-grams of 4 to 1 letters."""
+    from collections import Counter
+
+    rows = [(0, "der hund und der ball", "de"), (2, "der mann", "de"), (3, "the dog and the ball", "en"), (4, "the man the cat", "en"), (6, "the end", "en"), (8, "der mann", "de"), (9, "x", None)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    model = langid.fit(frame(spark, rows, "doc_id long, text string, lang string"))
+    langs = sorted({r[2] for r in rows} - {None})
+    texts = {(r[1], r[2]) for r in rows if r[2]}
+    words = {x: Counter(w for t, own in texts if own == x for w in t.split()) for x in langs}
+
+    def table(n):
+        cut = (lambda w: [w]) if n == 0 else (lambda w: [f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)]) if n > 1 else list
+        count = {x: Counter(g for w, c in words[x].items() for g in cut(w) for _ in range(c)) for x in langs}
+        total = sum(count.values(), Counter())
+        known = [g for g, c in total.items() if c >= 2]
+        return {g: np.log([(count[x][g] + 0.5) / (sum(count[x][k] for k in known) + 0.5 * len(known)) for x in langs]) for g in known}
+
+    tables = {n: table(n) for n in range(5)}
+    numbers = Counter(r[2] for r in rows if r[2])
+
+    def scores(text):
+        out = np.log([numbers[x] / sum(numbers.values()) for x in langs])
+        for w in text.lower().split():
+            if w in tables[0]:
+                out = out + tables[0][w]
+                continue
+            for n in (4, 3, 2, 1):
+                padded = w if n == 1 else f"_{w}_"
+                got = [tables[n][g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in tables[n]]
+                if got:
+                    out = out + np.mean(got, axis=0)
+                    break
+        return out
+
+    asked = ["der hund", "the cats", "dermann ballt", "zzz", "The END of the man", "theder"]
+    got = {r["text"]: r for r in langid.identify(frame(spark, list(enumerate(asked))), model).collect()}
+    for t in asked:
+        want = scores(t)
+        assert got[t]["lang_pred"] == langs[int(np.argmax(want))]
+        assert got[t]["score"] == pytest.approx(1 / np.exp(want - want.max()).sum(), rel=1e-4)
+
+
+def test_many_languages_and_ties(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    rows = [(3 * i, f"x{name(i)} x{name(i)} gleich", f"l{i:04d}") for i in range(1600)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    model = langid.fit(frame(spark, rows, "doc_id long, text string, lang string"))
+    assert len(model["langs"]) == len(rows) > 1000
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, [(r[0], r[1]) for r in rows] + [(-1, "gleich")]), model).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 0.99 * len(rows) and got[-1] == model["langs"][0]
+
+
 def test_language_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 400")
     model = langid.fit(docs)

@@ -45,3 +45,31 @@ def test_stages_return_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    first = docs.first()
+    odd = [(None, first["text"], "en", "s", None), (900, None, None, None, None), (901, "", "en", None, 0), (902, " \n ", "en", "s", 3), (903, first["text"], "en", "s", 9), (903, first["text"], "en", "s", 9)]
+    own = {n: F.lit("own") for n in ("kept", "m", "fail_bits", "_w", "n_lines", "n_removed_lines", "hits", "_plain", "th", "row", "node", "group", "_t", "component_id")}
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns(own)
+    n = docs.count()
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert 0 < out.count() <= n
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns and out.where(" or ".join(f"`{c}` is distinct from 'own'" for c in own)).count() == 0
+            docs, n = out, out.count()
+    ids = [r["doc_id"] for r in out.collect()]
+    assert len(ids) == len(set(ids)) and not {900, 901, 902} & set(ids)
+
+
+def test_stages_on_no_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == 0
