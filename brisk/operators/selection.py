@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 from statistics import fmean, pstdev
 
@@ -58,21 +59,31 @@ def correlation_report(df: DataFrame, features: list[str], order: list[str], lim
     return kept, dropped
 
 
-def permutation_importance(df: DataFrame, features: list[str], key: list[str], quality: Callable[[DataFrame], float], repetitions: int = 5, seed: int = 7) -> DataFrame:
-    """(feature, baseline, mean and deviation of the drop): each feature's values are dealt anew over
-    the rows, by two orders that meet on their row numbers."""
+#: Jobs of permutation importance that run at the same time.
+AT_ONCE = 4
+
+
+def permuted(df: DataFrame, feature: str, key: list[str], seed: int, buckets: int = 64) -> DataFrame:
+    """df with the values of one feature dealt anew over the rows: within buckets of keys, by two
+    orders that meet on their row numbers. More rows want more buckets."""
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_b")
+    place = lambda *by: F.row_number().over(Window.partitionBy(bucket).orderBy(*by)).alias("_n")
+    left = df.select("*", bucket, place(*key))
+    dealt = df.select(bucket, place(F.xxhash64(*key, F.lit(seed)), *key), F.col(feature).alias("_v"))
+    return left.drop(feature).join(dealt, ["_b", "_n"]).withColumnRenamed("_v", feature).drop("_b", "_n")
+
+
+def permutation_importance(df: DataFrame, features: list[str], key: list[str], quality: Callable[[DataFrame], float], repetitions: int = 5, seed: int = 7, buckets: int = 64) -> DataFrame:
+    """(feature, baseline, mean and deviation of the drop) over `repetitions` permutations of each
+    feature. Several are scored at a time, as jobs of one session."""
     if repetitions <= 0:
         raise ValueError("repetitions must be positive")
     base = quality(df)
-    out = []
-    for f in features:
-        drops = []
-        for rep in range(repetitions):
-            place = lambda *by: F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(*key), F.lit(64))).orderBy(*by))
-            left = df.withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(64))).withColumn("_n", place(*key))
-            dealt = df.select(F.pmod(F.xxhash64(*key), F.lit(64)).alias("_b"), place(F.xxhash64(*key, F.lit(seed + rep)), *key).alias("_n"), F.col(f).alias("_v"))
-            drops.append(base - quality(left.drop(f).join(dealt, ["_b", "_n"]).withColumnRenamed("_v", f).drop("_b", "_n")))
-        out.append((f, float(base), fmean(drops), pstdev(drops)))
+    tasks = [(f, seed + rep) for f in features for rep in range(repetitions)]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        drops = dict(zip(tasks, pool.map(lambda t: base - quality(permuted(df, t[0], key, t[1], buckets)), tasks), strict=True))
+    own = {f: [drops[f, seed + rep] for rep in range(repetitions)] for f in features}
+    out = [(f, float(base), fmean(d), pstdev(d)) for f, d in own.items()]
     return df.sparkSession.createDataFrame(out, "feature string, baseline_pr_auc double, mean_pr_auc_drop double, std_pr_auc_drop double").orderBy(F.desc("mean_pr_auc_drop"), "feature")
 
 

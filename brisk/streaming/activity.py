@@ -1,4 +1,8 @@
-"""The same operators over streams: daily counters, Page-Hinkley and the chain rule, online."""
+"""The same operators over streams: daily counters, Page-Hinkley and the chain rule, online.
+
+The stateful ones take the events of a key and batch in order of time, so a batch holds no more of one
+key than a worker's memory does; an event that comes in a later batch than newer ones counts when it
+comes."""
 
 from __future__ import annotations
 

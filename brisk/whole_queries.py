@@ -12,6 +12,7 @@ from .queries import E, ORACLES, ROLES, SNAPS, SQL, _model_rows, activity, alert
 from .sources import alerts as alert_source
 from .sources import logs
 from .sources.files import write_csv
+from .streaming import activity as stream_activity
 
 # The counters of all logs on the calendar: the SQL of each log's own query, joined.
 _PARTS = {
@@ -157,3 +158,36 @@ def alert_files(spark, sf_dir):
     path = scratch(spark, "alerts")
     alert_json(spark, sf_dir).write.text(path)
     return alert_source.normalise(alert_source.read_alerts(spark, path))
+
+
+def drained(spark: SparkSession, sf_dir: str, name: str, rows, online):
+    """rows written as files, streamed through `online` until they are used up, and what came out."""
+    path = scratch(spark, name)
+    rows.write.parquet(f"{path}/in")
+    stream = online(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    write = lambda batch, n: batch.write.mode("append").parquet(f"{path}/out")
+    stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query(SQL["page_hinkley"], days=("day",))
+def stream_page_hinkley(spark, sf_dir):
+    """Page-Hinkley over daily sums as they arrive."""
+    daily = activity(spark, sf_dir).groupBy("day").agg(F.round(F.sum("value"), 4).alias("v")).select(F.lit("all").alias("series"), F.col("day").cast("timestamp").alias("day"), "v")
+    got = drained(spark, sf_dir, "hinkley", daily, lambda s: stream_activity.page_hinkley(s, "series", "day", "v", 0.005, 20.0, 5))
+    return got.select("observations_at_detection", F.to_date("drift_time").alias("day"))
+
+
+@query("""WITH u AS (SELECT *, last_value(CASE WHEN event_type = 'error' THEN ts END IGNORE NULLS) OVER w AS ut, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER w AS ui FROM e WINDOW w AS (PARTITION BY "user", pc ORDER BY ts, CAST(event_id AS VARCHAR) ROWS UNBOUNDED PRECEDING)),
+ b AS (SELECT *, event_type = 'click' AND k >= 50 AND ts - ut <= INTERVAL 2880 MINUTE AS arms FROM u),
+ l AS (SELECT *, last_value(CASE WHEN arms THEN ts END IGNORE NULLS) OVER w AS art, last_value(CASE WHEN arms THEN event_id END IGNORE NULLS) OVER w AS ai, last_value(CASE WHEN arms THEN ui END IGNORE NULLS) OVER w AS aui FROM b WINDOW w AS (PARTITION BY "user", pc ORDER BY ts, CAST(event_id AS VARCHAR) ROWS UNBOUNDED PRECEDING)),
+ m AS (SELECT *, row_number() OVER (PARTITION BY "user", pc, ai ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM l WHERE event_type = 'purchase' AND value > 10 AND ts - art <= INTERVAL 2880 MINUTE)
+SELECT CAST("user" AS VARCHAR) AS "user", pc AS host, ts AS alert_timestamp, aui || ',' || ai || ',' || event_id AS evidence FROM m WHERE n = 1""", times=("alert_timestamp",))
+def stream_chain_rule(spark, sf_dir):
+    """The device, file, e-mail chain by user and host, with state kept between batches."""
+    e = activity(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("user").cast("string").alias("user"), F.col("pc").alias("host"), F.col("timestamp").cast("timestamp").alias("timestamp"),
+        (F.col("event_type") == "error").alias("is_connect"), ((F.col("event_type") == "click") & (F.col("k") >= 50)).alias("is_sensitive"), ((F.col("event_type") == "purchase") & (F.col("value") > 10)).alias("is_outside"),
+    )
+    got = drained(spark, sf_dir, "chains", e, lambda s: stream_activity.chains(s, 2880))
+    return got.select("user", "host", F.col("alert_timestamp").cast("timestamp_ntz").alias("alert_timestamp"), F.array_join("evidence_event_ids", ",").alias("evidence"))
