@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import off_hours
 from .models import detectors, risk
-from .operators import metrics, rules
-from .queries import E, ORACLES, ROLES, SNAPS, SQL, _model_rows, activity, alert_json, incidents, labelled, load, log, query, r6, scored, scratch
+from .operators import metrics, panel, rules, selection
+from .queries import E, ORACLES, ROLES, SNAPS, SQL, _model_rows, activity, alert_json, dense, incidents, labelled, load, log, query, r6, scored, scratch
 from .sources import alerts as alert_source
 from .sources import logs
 from .sources.files import write_csv
@@ -80,19 +82,72 @@ SELECT "user", day, round(CASE WHEN ready THEN anomaly END, 6) AS anomaly_compon
 def risk_by_fixed_model(spark, sf_dir):
     """Risk scores by a model whose numbers are given: two centres, one organisation group, a
     one-class SVM of two support vectors."""
+    rows = _model_rows(spark, sf_dir)
+    return _risk(risk.score(rows, _fixed_model(spark, rows)))
+
+
+@query(SQL["risk_by_fixed_model"], days=("day",))
+def risk_by_saved_model(spark, sf_dir):
+    """The same model, saved and loaded again."""
+    rows, path = _model_rows(spark, sf_dir), scratch(spark, "model")
+    risk.save(_fixed_model(spark, rows), path)
+    return _risk(risk.score(rows, risk.load(spark, path)))
+
+
+def _fixed_model(spark, rows):
     import numpy as np
 
-    rows = _model_rows(spark, sf_dir)
     scale = {"views": (0.0, 2.0, 2.0), "clicks": (0.0, 1.0, 1.0), "ks": (0.0, 100.0, 50.0)}
     detector = detectors.make("ocsvm")
     detector.model = (np.array([[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]), np.array([0.6, 0.4]), 0.5, 0.8)
     users = rows.select("user").distinct().where("user % 3 <> 0").select("user", F.when(F.col("user") % 2 == 0, 0).otherwise(1).alias("_cluster"))
     groups = spark.createDataFrame([("unknown | unknown", [2.0, 2.0, 2.0])], "org_peer_key string, _centre array<double>")
-    model = risk.RiskModel(list(scale), list(scale), scale, scale, [[0.0] * 3, [1.0] * 3], users, groups, detector, {"anomaly": (0.0, 0.8), "peer": (0.0, 3.0)}, (0.7, 0.3))
-    got = risk.score(rows, model)
+    return risk.RiskModel(list(scale), list(scale), scale, scale, [[0.0] * 3, [1.0] * 3], users, groups, detector, {"anomaly": (0.0, 0.8), "peer": (0.0, 3.0)}, (0.7, 0.3))
+
+
+def _risk(got):
     return got.select("user", "day", *[r6(c).alias(c) for c in ("anomaly_component", "peer_component", "risk_score", "peer_distance")], "peer_source")
 
 
+_VECTOR = F.array(*[F.col(c).cast("double") for c in ("views", "clicks", "ks")])
+
+
+@query("""SELECT "user", day, round(2 ** -((CASE WHEN views < 1.5 THEN 1 + 2.0 ELSE CASE WHEN ks < 120 THEN 2 + 0.5 ELSE 2 + 1.0 END END + CASE WHEN clicks < 0.5 THEN 3.0 ELSE 1.0 END) / 2 / 2.5), 6) AS anomaly FROM pan""", days=("day",))
+def forest_by_fixed_trees(spark, sf_dir):
+    """Scores of an isolation forest of two given trees; nodes are (feature, cut, low, high, depth)."""
+    import numpy as np
+
+    forest = detectors.make("isolation_forest")
+    leaf = lambda depth: (-1, 0.0, -1, -1, depth)
+    first = np.array([(0, 1.5, 1, 2, 0.0), leaf(3.0), (2, 120.0, 3, 4, 0.0), leaf(2.5), leaf(3.0)])
+    second = np.array([(1, 0.5, 1, 2, 0.0), leaf(3.0), leaf(1.0)])
+    forest.model = ([first, second], 2.5)
+    return forest.score(dense(spark, sf_dir).withColumn("_x", _VECTOR), "_x").select("user", "day", r6("anomaly").alias("anomaly"))
+
+
+@query("""WITH h AS (SELECT *, greatest(0.5 * views - 0.2 * clicks + 0.01 * ks + 0.1, 0) AS a, greatest(-0.1 * views + 0.3 * clicks - 0.02 * ks + 0.2, 0) AS b FROM pan)
+SELECT "user", day, round(((0.4 * a + 0.1 * b - views) ** 2 + (0.2 * a - 0.3 * b + 0.5 - clicks) ** 2 + (1.5 * a + 0.7 * b + 1 - ks) ** 2) / 3, 6) AS anomaly FROM h""", days=("day",))
+def autoencoder_by_fixed_weights(spark, sf_dir):
+    import numpy as np
+
+    net = detectors.make("autoencoder")
+    net.model = (np.array([[0.5, -0.1], [-0.2, 0.3], [0.01, -0.02]]), np.array([0.1, 0.2]), np.array([[0.4, 0.2, 1.5], [0.1, -0.3, 0.7]]), np.array([0.0, 0.5, 1.0]))
+    return net.score(dense(spark, sf_dir).withColumn("_x", _VECTOR), "_x").select("user", "day", r6("anomaly").alias("anomaly"))
+
+
+@query("SELECT * FROM pan WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-15'", days=("day",))
+def period_rows(spark, sf_dir):
+    return panel.select_period(dense(spark, sf_dir), date(2024, 1, 5), date(2024, 1, 15))
+
+
+@query("""WITH i AS (SELECT event_type AS feature, round(avg(value), 4) - 10 AS drop FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY drop DESC, feature) AS n FROM i), t AS (SELECT * FROM r WHERE n <= 4), c AS (SELECT count(*) AS c FROM t WHERE drop > 0)
+SELECT feature FROM t, c WHERE CASE WHEN c >= 2 THEN drop > 0 ELSE n <= 2 END""")
+def important_features(spark, sf_dir):
+    """At least two and at most four features by their importance."""
+    table = activity(spark, sf_dir).groupBy(F.col("event_type").alias("feature")).agg((F.round(F.avg("value"), 4) - 10).alias("mean_pr_auc_drop"))
+    return spark.createDataFrame([(f,) for f in selection.top_features(table, 2, 4)], "feature string")
+
+
 def log_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """The logs and organisation snapshots as a data set of CSV files."""
     path = scratch(spark, name)
