@@ -109,7 +109,8 @@ def _risk(got):
     return got.select("user", "day", *[r6(c).alias(c) for c in ("anomaly_component", "peer_component", "risk_score", "peer_distance")], "peer_source")
 
 
-_VECTOR = F.array(*[F.col(c).cast("double") for c in ("views", "clicks", "ks")])
+def _with_vector(rows):
+    return rows.withColumn("_x", F.array(*[F.col(c).cast("double") for c in ("views", "clicks", "ks")]))
 
 
 @query("""SELECT "user", day, round(2 ** -((CASE WHEN views < 1.5 THEN 1 + 2.0 ELSE CASE WHEN ks < 120 THEN 2 + 0.5 ELSE 2 + 1.0 END END + CASE WHEN clicks < 0.5 THEN 3.0 ELSE 1.0 END) / 2 / 2.5), 6) AS anomaly FROM pan""", days=("day",))
@@ -122,7 +123,7 @@ def forest_by_fixed_trees(spark, sf_dir):
     first = np.array([(0, 1.5, 1, 2, 0.0), leaf(3.0), (2, 120.0, 3, 4, 0.0), leaf(2.5), leaf(3.0)])
     second = np.array([(1, 0.5, 1, 2, 0.0), leaf(3.0), leaf(1.0)])
     forest.model = ([first, second], 2.5)
-    return forest.score(dense(spark, sf_dir).withColumn("_x", _VECTOR), "_x").select("user", "day", r6("anomaly").alias("anomaly"))
+    return forest.score(_with_vector(dense(spark, sf_dir)), "_x").select("user", "day", r6("anomaly").alias("anomaly"))
 
 
 @query("""WITH h AS (SELECT *, greatest(0.5 * views - 0.2 * clicks + 0.01 * ks + 0.1, 0) AS a, greatest(-0.1 * views + 0.3 * clicks - 0.02 * ks + 0.2, 0) AS b FROM pan)
@@ -132,7 +133,7 @@ def autoencoder_by_fixed_weights(spark, sf_dir):
 
     net = detectors.make("autoencoder")
     net.model = (np.array([[0.5, -0.1], [-0.2, 0.3], [0.01, -0.02]]), np.array([0.1, 0.2]), np.array([[0.4, 0.2, 1.5], [0.1, -0.3, 0.7]]), np.array([0.0, 0.5, 1.0]))
-    return net.score(dense(spark, sf_dir).withColumn("_x", _VECTOR), "_x").select("user", "day", r6("anomaly").alias("anomaly"))
+    return net.score(_with_vector(dense(spark, sf_dir)), "_x").select("user", "day", r6("anomaly").alias("anomaly"))
 
 
 @query("SELECT * FROM pan WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-15'", days=("day",))
