@@ -88,6 +88,8 @@ RULES = {
     "dup_lines": lambda m: F.lit(10) * m["n_dup_lines"] > F.lit(3) * m["n_lines"],
     "long_words": lambda m: m["word_chars"] > F.lit(30) * m["n_words"],
     "toxic": lambda m: m["n_toxic_terms"] >= 2,
+    # one or two repeated lines say little about a short text
+    "many_dup_lines": lambda m: (m["n_dup_lines"] >= 3) & (F.lit(10) * m["n_dup_lines"] > F.lit(3) * m["n_lines"]),
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 
@@ -95,7 +97,8 @@ BIT = {name: 1 << i for i, name in enumerate(RULES)}
 POLICIES = {
     "base": ("too_short", "repetitive"),
     "v1": ("too_short", "repetitive", "symbols", "shouting", "dup_lines", "long_words"),
-    "v2": tuple(RULES),
+    "v2": ("too_short", "repetitive", "symbols", "shouting", "dup_lines", "long_words", "toxic"),
+    "v3": ("too_short", "repetitive", "symbols", "shouting", "long_words", "toxic", "many_dup_lines"),
 }
 
 
@@ -166,7 +169,7 @@ def fit_toxic_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, te
     return [r["w"] for r in picked.select("w").collect()]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame | None = None, policy: str = "v2") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame | None = None, policy: str = "v3") -> DataFrame:
     """The ledger of docs with `kept` by the policy; `labels` (doc_id, toxic) fits the rule `toxic`."""
     return apply_policy(ledger(docs, fit_toxic_terms(docs, labels) if labels is not None else []), policy)
 
@@ -187,7 +190,8 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-ORACLE = r"""
+ORACLE = (
+    r"""
 WITH lab AS (SELECT DISTINCT doc_id, toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL
              ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, toxic LIMIT 20000),
  sizes AS (SELECT count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic <> 1) AS c FROM lab),
@@ -214,9 +218,10 @@ WITH lab AS (SELECT DISTINCT doc_id, toxic FROM labels WHERE doc_id IS NOT NULL
    FROM base CROSS JOIN terms LEFT JOIN cover USING (k)),
  b AS (SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT)
    + 8 * CAST(10 * n_shouts > n_words AS BIGINT) + 16 * CAST(10 * n_dup_lines > 3 * n_lines AS BIGINT) + 32 * CAST(word_chars > 30 * n_words AS BIGINT)
-   + 64 * CAST(n_toxic_terms >= 2 AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, n_toxic_terms FROM b
+   + 64 * CAST(n_toxic_terms >= 2 AS BIGINT) + 128 * CAST(n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & MASK) = 0 AS kept, fail_bits, n_toxic_terms FROM b
 """
+).replace("MASK", str(mask_of("v3")))
 
 ABLATION_ORACLE = f"""
 WITH book AS (SELECT fail_bits & 63 AS b FROM ({ORACLE})),
