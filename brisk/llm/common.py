@@ -42,15 +42,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor
-    costs a read, not a recomputation."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Tables of one operator in the shared folder. A table goes when another takes its name (which
     may be made from it) and when the block ends, but for what `give` returns."""
@@ -66,6 +57,8 @@ class Scratch:
             remove(self.spark, path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df written to the shared folder and read back: lineage ends there, and a lost executor costs
+        a read, not a recomputation."""
         path = shared_path(self.spark, f"{self.name}-{name}")
         df.write.option("compression", "zstd").parquet(path)
         if name in self.paths:

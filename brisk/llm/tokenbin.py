@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import env_quiet, freed_shuffles, keep, shared_path, small_batches, table
+from .common import Scratch, env_quiet, freed_shuffles, shared_path, small_batches, table
 from .pretoken import Encoder
 
 #: Ids in a block (a block ends with the document that reaches it), lanes, steps between checkpoints.
@@ -192,8 +192,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
 
     spark = docs.sparkSession
     vocab = Tokenizer.from_str(tokenizer_json).get_vocab_size()
-    with freed_shuffles(spark):
-        raw = keep(_raw_blocks(docs, tokenizer_json, end_id, block), "token-ids")
+    with freed_shuffles(spark), Scratch(spark, "tokens") as scratch:
+        raw = scratch.keep(_raw_blocks(docs, tokenizer_json, end_id, block), "ids")
         freq = quantise(_count_ids(raw, vocab))
         spark.createDataFrame([(BITS, end_id, freq.tobytes())], "bits int, end_id int, freq binary").coalesce(1).write.parquet(f"{path}/model")
         sizes = raw.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()

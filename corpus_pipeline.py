@@ -3,8 +3,9 @@ benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of docs, whatever they are called, the
 last one token ids. Null and empty texts, and whatever else has fewer than 20 words, go with the first
-stage; of equal rows the third keeps one; an empty table gives an empty result. `run` writes each stage to the shared folder and reads it back, so a lost executor costs a part
-of one stage.
+stage; of equal rows the third keeps one; an empty table gives an empty result. `run` writes each
+stage to the shared folder and reads it back, so a lost executor costs a part of one stage; a stage's
+table goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brisk.llm import bpe, decontam, jaccard, linededup, quality
-from brisk.llm.common import around, keep, table
+from brisk.llm.common import Scratch, around, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), "documents")  # takes the place of the one before
     return STAGES[-1][1](spark, docs, sf_dir)
