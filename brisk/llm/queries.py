@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from . import bpe, decontam, html, jaccard, langid, linededup, merkle, quality, sharding, spelling, substring, tokenbin
+from . import bpe, decontam, html, jaccard, langid, linededup, merkle, ppm, quality, sharding, spelling, substring, tokenbin
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_html_extraction": html.op9_html_extraction,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_ppm_score": ppm.op12_ppm_score,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {
