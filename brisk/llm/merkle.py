@@ -26,15 +26,14 @@ import functools
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, freed_shuffles, table
+from .common import Scratch, freed_shuffles, table, widened
 
 #: Nodes that make one of the next level, and levels that a block holds.
 FAN, DEPTH = 3, 7
-BLOCK = FAN**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _PROOF = "array<struct<left: string, right: string>>"
-_PROOF_ARROW = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
 
 
 def leaf_of(fields: list[Column]) -> Column:
@@ -55,47 +54,54 @@ def _duckdb():
     return duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
 
 
-def _levels(n: int) -> int:
+def _levels(n: int, depth: int) -> int:
     """Levels of a block of a group with n nodes in this round."""
     k = 0
-    while k < DEPTH and n > 1:
+    while k < depth and n > 1:
         n, k = -(-n // FAN), k + 1
     return k
 
 
-def _level_queries(levels: int) -> str:
+def _level_queries(levels: int, depth: int) -> str:
     """Common table expressions: n0, n1, ... the nodes of each level; r0, r1, ... the joined digests of each run of FAN of them."""
-    out = [f"n0 AS (SELECT pos % {BLOCK} AS i, digest AS d FROM nodes)"]
+    out = [f"n0 AS (SELECT pos % {FAN**depth} AS i, digest AS d FROM nodes)"]
     for k in range(levels):
         out.append(f"r{k} AS MATERIALIZED (SELECT i // {FAN} AS run, string_agg(d, '' ORDER BY i) AS s FROM n{k} GROUP BY run)")
         out.append(f"n{k + 1} AS (SELECT run AS i, sha256(s) AS d FROM r{k})")
     return "WITH " + ", ".join(out)
 
 
-def _block_root(key: tuple, nodes: pa.Table) -> pa.Table:
-    levels = _levels(nodes.column("n")[0].as_py())
-    con = _duckdb().cursor()
-    con.register("nodes", nodes)
-    root = con.execute(f"{_level_queries(levels)} SELECT d FROM n{levels}").fetchall()
-    con.close()
-    n = -(-nodes.column("n")[0].as_py() // BLOCK)
-    return pa.table({"key": pa.array([key[0].as_py()], pa.string()), "pos": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "digest": pa.array([root[0][0]], pa.string())})
+def _block_roots(depth: int):
+    """A function that gives the root of a block."""
 
+    def run(key: tuple, nodes: pa.Table) -> pa.Table:
+        n = nodes.column("n")[0].as_py()
+        levels = _levels(n, depth)
+        con = _duckdb().cursor()
+        con.register("nodes", nodes)
+        root = con.execute(f"{_level_queries(levels, depth)} SELECT d FROM n{levels}").fetchone()[0]
+        con.close()
+        return pa.table({"key": pa.array([key[0].as_py()], pa.string()), "pos": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([-(-n // FAN**depth)], pa.int64()), "digest": pa.array([root], pa.string())})
 
-def _proofs(schema: pa.Schema):
-    """A function that gives the nodes of a block their proofs, that of the block's root after the block's own levels."""
+    return run
+
+
+def _block_proofs(depth: int, schema: pa.Schema):
+    """A function that gives the nodes of a block their proofs: the block's own levels, then those of its root."""
 
     def run(key: tuple, nodes: pa.Table, above: pa.Table) -> pa.Table:
         if not nodes.num_rows:
             return schema.empty_table()
-        levels = _levels(nodes.column("n")[0].as_py())
+        levels = _levels(nodes.column("n")[0].as_py(), depth)
         con = _duckdb().cursor()
         con.register("nodes", nodes)
         con.register("above", above)
-        beside = [f"{{'left': left(r{k}.s, 64 * ((pos % {BLOCK}) // {FAN**k} % {FAN})), 'right': substr(r{k}.s, 64 * ((pos % {BLOCK}) // {FAN**k} % {FAN}) + 65)}}" for k in range(levels)]
-        joins = " ".join(f"JOIN r{k} ON r{k}.run = (pos % {BLOCK}) // {FAN ** (k + 1)}" for k in range(levels))
-        own = f"list_concat([{', '.join(beside)}], (SELECT proof FROM above))" if levels else "(SELECT proof FROM above)"
-        out = con.sql(f"{_level_queries(levels)} SELECT nodes.*, {own} AS proof, (SELECT subroot FROM above) AS subroot, (SELECT root FROM above) AS root FROM nodes {joins}").to_arrow_table()
+        at = f"(pos % {FAN**depth})"
+        place = [f"64 * ({at} // {FAN**k} % {FAN})" for k in range(levels)]
+        beside = [f"{{'left': left(r{k}.s, {place[k]}), 'right': substr(r{k}.s, {place[k]} + 65)}}" for k in range(levels)]
+        joins = " ".join(f"JOIN r{k} ON r{k}.run = {at} // {FAN ** (k + 1)}" for k in range(levels))
+        proof = f"list_concat([{', '.join(beside)}], (SELECT proof FROM above))" if levels else "(SELECT proof FROM above)"
+        out = con.sql(f"{_level_queries(levels, depth)} SELECT nodes.*, {proof} AS proof, (SELECT subroot FROM above) AS subroot, (SELECT root FROM above) AS root FROM nodes {joins}").to_arrow_table()
         con.close()
         return out.select(schema.names).cast(schema)
 
@@ -114,36 +120,33 @@ def _places(scratch: Scratch, rows: DataFrame, order: list[Column], name: str) -
     return dealt.withColumn("part", part).join(starts, ["key", "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
 
 
-def _climb(scratch: Scratch, nodes: DataFrame, name: str) -> list[DataFrame]:
+def _blocks(nodes: DataFrame, depth: int):
+    return nodes.groupBy("key", F.floor(F.col("pos") / FAN**depth).alias("block"))
+
+
+def _climb(scratch: Scratch, nodes: DataFrame, depth: int, name: str) -> list[DataFrame]:
     """The nodes of each round, up to the one with one node a key."""
     rounds = [nodes]
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        made = rounds[-1].select("key", "pos", "n", "digest").groupBy("key", F.floor(F.col("pos") / BLOCK).alias("block")).applyInArrow(_block_root, "key string, pos long, n long, digest string")
+        made = _blocks(rounds[-1].select("key", "pos", "n", "digest"), depth).applyInArrow(_block_roots(depth), "key string, pos long, n long, digest string")
         rounds.append(scratch.keep(made, f"{name}{len(rounds)}"))
-        most = -(-most // BLOCK)
+        most = -(-most // FAN**depth)
     return rounds
 
 
-def _descend(rounds: list[DataFrame], top: DataFrame) -> DataFrame:
+def _descend(rounds: list[DataFrame], depth: int, top: DataFrame) -> DataFrame:
     """The nodes of the first round with their proofs, from top (key, pos, proof, subroot, root) of the last."""
-    for nodes in reversed(rounds[:-1]):
-        out = nodes.withColumns({"proof": F.lit(None).cast(_PROOF), "subroot": F.lit(""), "root": F.lit("")})
-        schema = pa.schema([f if f.name != "proof" else pa.field("proof", _PROOF_ARROW) for f in _arrow_schema(out)])
-        blocks = nodes.groupBy("key", F.floor(F.col("pos") / BLOCK).alias("block"))
-        top = blocks.cogroup(top.select("key", "pos", "proof", "subroot", "root").groupBy("key", "pos")).applyInArrow(_proofs(schema), out.schema)
+    new = ["key", "pos", "proof", "subroot", "root"]
     if len(rounds) == 1:
-        top = rounds[0].join(top.select("key", "pos", "proof", "subroot", "root"), ["key", "pos"])
+        return rounds[0].join(top.select(new), ["key", "pos"])
+    for nodes in reversed(rounds[:-1]):
+        schema = widened(nodes, f"proof {_PROOF}, subroot string, root string")
+        top = _blocks(nodes, depth).cogroup(top.select(new).groupBy("key", "pos")).applyInArrow(_block_proofs(depth, to_arrow_schema(schema)), schema)
     return top
 
 
-def _arrow_schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", order: str = "doc_id", carry: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", order: str = "doc_id", carry: dict[str, Column] | None = None, depth: int = DEPTH) -> DataFrame:
     """A row for each row of docs: `order`, leaf, proof (array of left and right digests, from the leaf
     up), subroot, root and the columns `carry`, which may be any but these."""
     spark = docs.sparkSession
@@ -155,14 +158,14 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "so
         leaves = scratch.keep(docs.select(key.alias("key"), leaf_of([col(f) for f in fields]).alias("digest"), payload.alias("row")), "leaves")
         placed = scratch.keep(_places(scratch, leaves, [F.col("row.order").asc_nulls_last(), F.col("digest")], "ordered"), "placed")
         scratch.free("leaves", "ordered")
-        rounds = _climb(scratch, placed, "block")
+        rounds = _climb(scratch, placed, depth, "block")
         groups = rounds[-1].select(F.lit("").alias("key"), F.col("key").alias("group"), "digest")
         groups = scratch.keep(_places(scratch, groups, [F.col("group")], "sources"), "groups")
-        above = _climb(scratch, groups, "top")
+        above = _climb(scratch, groups, depth, "top")
         root = above[-1].select("key", "pos", F.array().cast(_PROOF).alias("proof"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
-        proved = _descend(above, root)
+        proved = _descend(above, depth, root)
         top = proved.select(F.col("group").alias("key"), F.lit(0).cast("long").alias("pos"), "proof", F.col("digest").alias("subroot"), "root")
-        out = _descend(rounds, scratch.keep(top, "proved"))
+        out = _descend(rounds, depth, scratch.keep(top, "proved"))
         named = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry or {})]
         return scratch.give(out.select(F.col("row.order").alias(order), F.col("digest").alias("leaf"), "proof", "subroot", "root", *named))
 
