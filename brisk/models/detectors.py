@@ -1,46 +1,82 @@
 """Anomaly detectors over a feature vector; a higher score is more anomalous.
 
-The forest grows its trees in tasks, one tree a group, each from a sample of all rows. The others are
-fitted on the driver, so the rows they read are bounded by `sample` (a parameter of `make`; chosen by
-the hash of the key, so a row's membership does not depend on partitions): up to that many training
-rows all are read. Scoring covers all rows, by an Arrow-batched function that holds the small fitted
-model.
+All training rows are read, by Spark tasks. The forest grows its trees in tasks, one tree a group, each
+from a random sample of all rows, which is its method. LOF joins all rows with their nearest neighbours.
+The one-class SVM is solved in parts whose support vectors are merged, and then held against all rows
+until none is left that it should know. The autoencoder's gradients are made where the rows lie and
+added up at each step. Scoring is an Arrow-batched pass over all rows with the small fitted model; LOF
+with more than SENT distinct vectors is scored by the same join that fits it.
 """
 
 from __future__ import annotations
 
-import pickle
+import io
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Training rows that LOF and the one-class SVM (which need n * n numbers), and the autoencoder, read
-#: at most unless told otherwise; rows of a tree.
-QUADRATIC_SAMPLE, SAMPLE, TREE_ROWS = 4_000, 50_000, 256
+from ..operators.neighbours import cells, distances, distinct_vectors, matrix, nearest_neighbours
+from ..operators.order import running, stored
 
+#: Rows of a tree; distinct vectors of a LOF model that are sent to all tasks; distinct vectors of a part
+#: of the first solutions of the SVM, and rows that it takes in at once.
+TREE_ROWS, SENT, PART, TAKEN = 256, 4096, 2048, 2048
 
-def sample_of(rows: DataFrame, vector: str, key: list[str], most: int, seed: int) -> np.ndarray:
-    """At most about `most` vectors, by the hash of their key."""
-    n = rows.count()
-    part = rows.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1)))) if n > most else rows
-    got = part.orderBy(*key).select(vector).toPandas()[vector]
-    return np.array(got.tolist(), float) if len(got) else np.zeros((0, 0))
+
+def _packed(model: object) -> bytes:
+    """A model of numbers, arrays and lists of these as bytes that hold no code."""
+    arrays: list[np.ndarray] = []
+
+    def plain(x: object) -> object:
+        if isinstance(x, np.ndarray):
+            arrays.append(x)
+            return {"array": len(arrays) - 1}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+    shape = json.dumps(plain(model))
+    out = io.BytesIO()
+    np.savez(out, shape=np.frombuffer(shape.encode(), np.uint8), **{f"a{i}": a for i, a in enumerate(arrays)})
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> object:
+    with np.load(io.BytesIO(data), allow_pickle=False) as held:
+        real = lambda x: held[f"a{x['array']}"] if isinstance(x, dict) else [real(v) for v in x] if isinstance(x, list) else x
+        return real(json.loads(held["shape"].tobytes()))
 
 
 def _score_with(rows: DataFrame, vector: str, model: object, score: Callable[[object, np.ndarray], np.ndarray], name: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sent = rows.sparkSession.sparkContext.broadcast(_packed(model))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fitted = pickle.loads(sent.value)
+        fitted = _unpacked(sent.value)
         for part in parts:
             yield pd.Series(score(fitted, np.stack(part.to_numpy()).astype(float)) if len(part) else np.zeros(0))
 
     return rows.withColumn(name, F.pandas_udf(run, "double")(F.col(vector)))
 
 
+class _Detector:
+    """A detector whose model is a few arrays."""
+
+    model: object
+
+    def score(self, rows: DataFrame, vector: str, name: str = "anomaly") -> DataFrame:
+        return _score_with(rows, vector, self.model, self._score, name)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(_packed(self.model),)], "model binary").write.mode("overwrite").parquet(path)
+
+    def restore(self, spark: SparkSession, path: str):
+        self.model = _unpacked(spark.read.parquet(path).first()["model"])
+        return self
+
+
 def average_path(n: np.ndarray | float) -> np.ndarray:
     """Mean depth of an unsuccessful search in a tree of n rows (Liu, Ting, Zhou 2008)."""
     n = np.asarray(n, float)
@@ -48,7 +84,7 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
         return np.where(n > 2, 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-class IsolationForest:
+class IsolationForest(_Detector):
     """Isolation forest: `trees` trees of at most TREE_ROWS rows each."""
 
     def __init__(self, trees: int = 100, seed: int = 7):
@@ -84,10 +120,10 @@ class IsolationForest:
                     old = list(nodes[parent])
                     old[side] = me
                     nodes[parent] = tuple(old)
-            return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [pickle.dumps(np.array(nodes))]})
+            return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [_packed(np.array(nodes))]})
 
         grown = dealt.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes binary").orderBy("tree").collect()
-        self.model = ([pickle.loads(r["nodes"]) for r in grown], float(average_path(max((r["size"] for r in grown), default=2))) or 1.0)
+        self.model = ([_unpacked(r["nodes"]) for r in grown], float(average_path(max((r["size"] for r in grown), default=2))) or 1.0)
         return self
 
     @staticmethod
@@ -103,113 +139,236 @@ class IsolationForest:
             depth += nodes[at, 4]
         return 2 ** -(depth / max(len(trees), 1) / norm)
 
-    def score(self, rows: DataFrame, vector: str, name: str = "anomaly") -> DataFrame:
-        return _score_with(rows, vector, self.model, self._score, name)
-
-
-class _Sampled:
-    """A detector whose model is made on the driver from a bounded sample."""
 
-    most = QUADRATIC_SAMPLE
-
-    def __init__(self, seed: int = 7, sample: int | None = None, **settings):
-        self.seed, self.sample, self.settings = seed, sample or self.most, settings
-
-    def fit(self, rows: DataFrame, vector: str, key: list[str]):
-        self.model = self._fit(sample_of(rows, vector, key, self.sample, self.seed), **self.settings)
+class LocalOutlierFactor(_Detector):
+    """Novelty form: training rows among the scored ones meet themselves as a neighbour. Of neighbours
+    at equal distance the smaller vectors count first."""
+
+    def __init__(self, neighbours: int = 35):
+        self.neighbours = neighbours
+
+    def fit(self, rows: DataFrame, vector: str, key: list[str]) -> LocalOutlierFactor:
+        points = distinct_vectors(rows, vector)
+        n = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        self.k = max(1, min(self.neighbours, n - 1))
+        self.index = cells(points)
+        near = stored(nearest_neighbours(points.withColumn("qid", F.col("vid")), self.index, self.k, own=True))
+        radius = stored(near.groupBy("qid").agg(F.max("d").alias("radius")))
+        reach = near.join(radius.withColumnRenamed("qid", "vid"), "vid").groupBy("qid").agg((F.sum(F.col("n") * F.greatest("d", "radius")) / F.sum("n")).alias("reach"))
+        known = radius.join(reach, "qid").select(F.col("qid").alias("vid"), "radius", (1 / (F.col("reach") + 1e-10)).alias("density"))
+        # a single vector has no neighbours
+        self._set(stored(points.join(known, "vid", "left").fillna({"radius": 0.0, "density": 1e10})))
         return self
 
-    def score(self, rows: DataFrame, vector: str, name: str = "anomaly") -> DataFrame:
-        return _score_with(rows, vector, self.model, self._score, name)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
-
-
-class LocalOutlierFactor(_Sampled):
-    """Novelty form: training rows among the scored ones meet themselves as a neighbour."""
-
-    @staticmethod
-    def _fit(x: np.ndarray, neighbours: int = 35) -> tuple:
-        k = max(1, min(neighbours, len(x) - 1))
-        d = np.sqrt(_squared(x, x))
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(d, near, 1)
-        reach = np.maximum(dist, dist[:, -1][near])
-        return x, k, dist[:, -1], 1 / (reach.mean(1) + 1e-10)
+    def _set(self, table: DataFrame) -> None:
+        self.table, self.model = table, None
+        small = table.orderBy("vid").limit(SENT + 1).select("x", "n", "radius", "density").collect()
+        if len(small) <= SENT:
+            self.model = (np.array([r["x"] for r in small], float), np.array([r["n"] for r in small], float), self.k, np.array([r["radius"] for r in small]), np.array([r["density"] for r in small]))
 
     @staticmethod
     def _score(model: tuple, q: np.ndarray) -> np.ndarray:
-        x, k, radius, density = model
+        x, n, k, radius, density = model
         out = []
-        for part in np.array_split(q, max(1, len(q) // 512)):
-            d = np.sqrt(_squared(part, x))
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            own = 1 / (np.maximum(np.take_along_axis(d, near, 1), radius[near]).mean(1) + 1e-10)
-            out.append(density[near].mean(1) / own)
+        for at in range(0, len(q), 512):
+            d = distances(q[at : at + 512], x)
+            near = np.argsort(d, axis=1, kind="stable")
+            take = n[near]
+            take = np.clip(k - (np.cumsum(take, axis=1) - take), 0, take)
+            near, take = near[:, :k], take[:, :k]
+            reach = (take * np.maximum(np.take_along_axis(d, near, 1), radius[near])).sum(1) / take.sum(1)
+            out.append((take * density[near]).sum(1) / take.sum(1) * (reach + 1e-10))
         return np.concatenate(out)
 
+    def score(self, rows: DataFrame, vector: str, name: str = "anomaly") -> DataFrame:
+        if self.model is not None:
+            return super().score(rows, vector, name)
+        queries = distinct_vectors(rows, vector).withColumnRenamed("vid", "qid")
+        near = nearest_neighbours(queries, self.index, self.k).join(self.table.select("vid", "radius", "density"), "vid")
+        mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+        found = near.groupBy("qid").agg((mean(F.col("density")) * (mean(F.greatest("d", "radius")) + 1e-10)).alias("_s"))
+        found = stored(queries.join(found, "qid").select(F.col("x").alias("_v"), F.col("_s").alias(name)))
+        return rows.join(found, rows[vector].cast("array<double>") == F.col("_v"), "left").drop("_v")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.table.withColumn("k", F.lit(self.k)).write.mode("overwrite").parquet(path)
+
+    def restore(self, spark: SparkSession, path: str) -> LocalOutlierFactor:
+        table = spark.read.parquet(path)
+        self.k = table.first()["k"]
+        self._set(table.drop("k"))
+        self.index = cells(self.table) if self.model is None else None
+        return self
 
-class OneClassSvm(_Sampled):
-    """RBF one-class SVM by sequential minimal optimisation (Schoelkopf et al. 2001)."""
 
-    @staticmethod
-    def _fit(x: np.ndarray, nu: float = 0.01, gamma: float | None = None, rounds: int = 20_000) -> tuple:
-        n = len(x)
-        gamma = gamma or 1 / max(x.shape[1] * x.var(), 1e-12)
-        kernel = np.exp(-gamma * _squared(x, x))
-        cap = 1 / (nu * n)
-        a = np.zeros(n)
-        full = min(n, int(nu * n))
-        a[:full] = cap
-        if full < n:
-            a[full] = 1 - a.sum()
-        g = kernel @ a
-        for _ in range(rounds):
-            up, down = np.where(a < cap - 1e-12, g, np.inf), np.where(a > 1e-12, g, -np.inf)
-            i, j = int(up.argmin()), int(down.argmax())
-            if g[j] - g[i] < 1e-4 * max(1e-12, abs(g).max()):
+class _Kernel:
+    """Columns of the RBF kernel matrix of x, some of them kept."""
+
+    def __init__(self, x: np.ndarray, gamma: float, megabytes: int = 256):
+        self.x, self.gamma, self.kept = x, gamma, {}
+        self.most = max(2, megabytes * (1 << 20) // max(1, 8 * len(x)))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.kept:
+            if len(self.kept) >= self.most:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[i] = np.exp(-self.gamma * ((self.x - self.x[i]) ** 2).sum(1))
+        return self.kept[i]
+
+
+def _solve(x: np.ndarray, cap: np.ndarray, gamma: float, start: np.ndarray | None = None, rounds: int = 1_000_000) -> tuple[np.ndarray, float]:
+    """Weights (sum 1, each up to its cap) and offset of the one-class SVM by sequential minimal
+    optimisation (Schoelkopf et al. 2001)."""
+    kernel = _Kernel(x, gamma)
+    if start is None:
+        left = 1 - (np.cumsum(cap) - cap)
+        start = np.clip(left, 0, cap)
+    a = start.copy()
+    g = np.zeros(len(x))
+    for i in np.flatnonzero(a):
+        g += a[i] * kernel[i]
+    tiny = 1e-9 * cap
+    for _ in range(rounds):
+        up, down = np.where(a < cap - tiny, g, np.inf), np.where(a > tiny, g, -np.inf)
+        i, j = int(up.argmin()), int(down.argmax())
+        if not g[j] - g[i] > 1e-6 * max(1e-12, abs(g).max()):
+            break
+        ki, kj = kernel[i], kernel[j]
+        step = min((g[j] - g[i]) / max(2 - 2 * ki[j], 1e-12), cap[i] - a[i], a[j])
+        a[i] += step
+        a[j] -= step
+        g += step * (ki - kj)
+    some = a > tiny
+    edge = some & (a < cap - tiny)
+    a[~some] = 0
+    return a, float(g[edge].mean() if edge.any() else g[some].max(initial=0.0))
+
+
+class OneClassSvm(_Detector):
+    """RBF one-class SVM over all rows. Equal vectors are one with a cap as high as their number. Parts of
+    the vectors are solved alone; their support vectors, in pairs of parts, are solved again until one
+    part is left. Then every vector is held against the result; those that lie outside the border and
+    are not in it are taken in, the farthest first, and it is solved again, until there is none.
+
+    nu is the least share of rows that are support vectors; these must fit in one task."""
+
+    def __init__(self, nu: float = 0.01, gamma: float | None = None, part: int = PART, taken: int = TAKEN):
+        self.nu, self.gamma, self.part, self.taken = nu, gamma, part, taken
+
+    def fit(self, rows: DataFrame, vector: str, key: list[str]) -> OneClassSvm:
+        points = distinct_vectors(rows, vector)
+        row = points.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max(F.size("x")).alias("p")).first()
+        m, total, p = row["m"], row["n"], row["p"] or 0
+        if not m:
+            self.model = (np.zeros((0, 0)), np.zeros(0), self.gamma or 1.0, 0.0)
+            return self
+        gamma = self.gamma
+        if gamma is None:  # 1 / (p * variance of all numbers)
+            each = points.select("n", F.explode("x").alias("v"))
+            mean = each.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).first()["v"]
+            spread = each.agg((F.sum(F.col("n") * (F.col("v") - mean) ** 2) / F.sum("n")).alias("v")).first()["v"]
+            gamma = 1 / max(p * spread, 1e-12)
+        nu, columns = self.nu, "part int, whole long, vid long, x array<double>, n long, a double, rho double"
+
+        def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("vid", ignore_index=True)
+            whole = int(pdf.groupby("from")["whole"].first().sum())
+            start = pdf["a"].to_numpy()
+            a, rho = _solve(np.array(pdf["x"].tolist(), float), pdf["n"].to_numpy() / (nu * whole), gamma, start if abs(start.sum() - 1) < 1e-9 else None)
+            return pdf.assign(whole=whole, a=a, rho=rho)[["part", "whole", "vid", "x", "n", "a", "rho"]]
+
+        parts = max(1, -(-m // self.part))
+        of = F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int")
+        dealt = points.withColumn("part", of).withColumn("from", F.col("part"))
+        wholes = points.groupBy(of.alias("part")).agg(F.sum("n").alias("whole"))
+        step = dealt.join(wholes, "part").withColumn("a", F.lit(0.0))
+        while True:
+            done = stored(step.groupBy("part").applyInPandas(solved, columns).where("a > 0"))
+            if parts == 1:
                 break
-            step = min((g[j] - g[i]) / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12), cap - a[i], a[j])
-            a[i] += step
-            a[j] -= step
-            g += step * (kernel[i] - kernel[j])
-        some = a > 1e-12
-        edge = some & (a < cap - 1e-12)
-        return x[some], a[some], gamma, float(g[edge].mean() if edge.any() else g[some].max(initial=0.0))
+            parts = -(-parts // 2)
+            step = done.withColumn("from", F.col("part")).withColumn("part", F.floor(F.col("part") / 2).cast("int")).withColumn("a", F.lit(0.0))
+        while True:
+            held = done.orderBy("vid").toPandas()  # the model
+            self.model = (np.array(held["x"].tolist(), float), held["a"].to_numpy(), gamma, float(held["rho"].iloc[0]))
+            inside = points.sparkSession.sparkContext.broadcast(np.sort(held["vid"].to_numpy()))
+            outside = self.score(points.select("vid", "x", "n"), "x", "s").where(F.col("s") > 1e-5 * abs(self.model[3])).withColumn("in", _among(inside)(F.col("vid"))).where("not in")
+            new = stored(outside.orderBy(F.desc("s"), "vid").limit(self.taken))
+            if new.isEmpty():
+                return self
+            more = new.select(F.lit(0).alias("part"), F.lit(total).cast("long").alias("whole"), "vid", "x", "n", F.lit(0.0).alias("a"), F.lit(0.0).alias("rho"))
+            step = done.unionByName(more).withColumn("from", F.lit(0))
+            done = stored(step.groupBy("part").applyInPandas(solved, columns).where("a > 0"))
 
     @staticmethod
     def _score(model: tuple, q: np.ndarray) -> np.ndarray:
         x, a, gamma, rho = model
-        return rho - np.exp(-gamma * _squared(q, x)) @ a
-
-
-class Autoencoder(_Sampled):
-    """One hidden layer (ReLU), trained with Adam on the squared error; the score is the error."""
-
-    most = SAMPLE
-
-    def _fit(self, x: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 1e-3) -> tuple:
-        rng = np.random.default_rng(self.seed)
-        p = x.shape[1]
-        h = max(2, min(32, p // 2))
-        w = [rng.uniform(-1, 1, s) / np.sqrt(s[0]) for s in ((p, h), (h, p))]
-        w = [w[0], np.zeros(h), w[1], np.zeros(p)]
-        first, second, t = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w], 0
-        for _ in range(epochs):
-            for at in range(0, len(x), batch):
-                b = x[at : at + batch]
-                hidden = np.maximum(b @ w[0] + w[1], 0)
-                error = 2 * (hidden @ w[2] + w[3] - b) / b.size
-                back = (error @ w[2].T) * (hidden > 0)
-                t += 1
-                for i, g in enumerate((b.T @ back, back.sum(0), hidden.T @ error, error.sum(0))):
-                    first[i] = 0.9 * first[i] + 0.1 * g
-                    second[i] = 0.999 * second[i] + 0.001 * g * g
-                    w[i] = w[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-        return tuple(w)
+        if not len(x):
+            return np.zeros(len(q))
+        return np.concatenate([rho - np.exp(-gamma * distances(q[at : at + 512], x) ** 2) @ a for at in range(0, len(q), 512)])
+
+
+def _among(sent):
+    return F.pandas_udf(lambda v: pd.Series(np.isin(v.to_numpy(), sent.value)), "boolean")
+
+
+class Autoencoder(_Detector):
+    """One hidden layer (ReLU), trained with Adam on the squared error; the score is the error.
+
+    Batches are `batch` rows in the order of their keys. Rows are dealt over tasks that run at the same
+    time (a barrier stage); of each batch every task has some rows and makes their gradient, all tasks
+    add up what all have made and take the same step. The number of tasks follows that of the rows
+    (NUMBERS each) and does not change the result but for the last digits."""
+
+    NUMBERS = 1 << 22
+
+    def __init__(self, seed: int = 7, epochs: int = 20, batch: int = 256, rate: float = 1e-3, tasks: int | None = None):
+        self.seed, self.epochs, self.batch, self.rate, self.tasks = seed, epochs, batch, rate, tasks
+
+    def fit(self, rows: DataFrame, vector: str, key: list[str]) -> Autoencoder:
+        spark = rows.sparkSession
+        rows = rows.select(*key, F.col(vector).cast("array<double>").alias("_x"))
+        placed = stored(running(rows, [*key, "_x"], {"place": F.lit(1)}).select((F.col("place") - 1).alias("place"), "_x"))
+        size = placed.agg(F.count("*").alias("n"), F.max(F.size("_x")).alias("p")).first()
+        n, p = size["n"], size["p"] or 0
+        tasks = self.tasks or max(1, min(spark.sparkContext.defaultParallelism, n * p // self.NUMBERS))
+        seed, epochs, batch, rate = self.seed, self.epochs, self.batch, self.rate
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from base64 import b64decode, b64encode
+
+            from pyspark import BarrierTaskContext
+
+            context = BarrierTaskContext.get()
+            together = len(context.getTaskInfos())
+            held = [(b.column("place").to_numpy(), matrix(b.column("_x"), p)) for b in batches if b.num_rows]
+            place = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.int64)
+            order = np.argsort(place)
+            place, x = place[order], (np.concatenate([h[1] for h in held])[order] if held else np.zeros((0, p)))
+            w = _start(seed, p)
+            first, second, t = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w], 0
+            for _ in range(epochs):
+                for at in range(0, n, batch):
+                    lo, hi = np.searchsorted(place, [at, at + batch])
+                    g = _gradient(w, x[lo:hi], min(batch, n - at) * p)
+                    if together > 1:
+                        flat = np.concatenate([v.ravel() for v in g])
+                        parts = context.allGather(b64encode(flat.tobytes()).decode())
+                        flat = np.sum([np.frombuffer(b64decode(v)) for v in parts], axis=0)
+                        ends = np.cumsum([v.size for v in w])
+                        g = [flat[e - v.size : e].reshape(v.shape) for e, v in zip(ends, w, strict=True)]
+                    t += 1
+                    for i, v in enumerate(g):
+                        first[i] = 0.9 * first[i] + 0.1 * v
+                        second[i] = 0.999 * second[i] + 0.001 * v * v
+                        w[i] = w[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
+            if context.partitionId() == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(w)], pa.binary())], ["model"])
+
+        dealt = placed.repartition(tasks, "place") if n else placed.coalesce(1)
+        got = dealt.mapInArrow(train, "model binary", barrier=True).collect()
+        self.model = _unpacked(got[0]["model"])
+        return self
 
     @staticmethod
     def _score(model: tuple, q: np.ndarray) -> np.ndarray:
@@ -217,16 +376,28 @@ class Autoencoder(_Sampled):
         return ((out - q) ** 2).mean(1)
 
 
+def _start(seed: int, p: int) -> list[np.ndarray]:
+    """Weights and offsets of both layers before training."""
+    rng = np.random.default_rng(seed)
+    h = max(2, min(32, p // 2))
+    into, out = (rng.uniform(-1, 1, s) / np.sqrt(max(1, s[0])) for s in ((p, h), (h, p)))
+    return [into, np.zeros(h), out, np.zeros(p)]
+
+
+def _gradient(w: list[np.ndarray], x: np.ndarray, numbers: int) -> list[np.ndarray]:
+    """Of the squared error of rows x, as their part in a mean over so many numbers."""
+    hidden = np.maximum(x @ w[0] + w[1], 0)
+    error = 2 * (hidden @ w[2] + w[3] - x) / max(1, numbers)
+    back = (error @ w[2].T) * (hidden > 0)
+    return [x.T @ back, back.sum(0), hidden.T @ error, error.sum(0)]
+
+
 NAMES = {"iforest": "isolation_forest", "isolation_forest": "isolation_forest", "lof": "lof", "ocsvm": "ocsvm", "one_class_svm": "ocsvm", "autoencoder": "autoencoder"}
 
 
-def make(family: str, seed: int = 7, trees: int = 100, neighbours: int = 35, nu: float = 0.01, sample: int | None = None):
-    """A detector by name. sample: training rows that LOF, SVM and autoencoder read at most."""
+def make(family: str, seed: int = 7, trees: int = 100, neighbours: int = 35, nu: float = 0.01):
+    """A detector by name."""
     kind = NAMES.get(family)
     if kind is None:
         raise ValueError(f"unknown detector {family}; known are {sorted(NAMES)}")
-    if kind == "isolation_forest":
-        return IsolationForest(trees, seed)
-    if kind == "lof":
-        return LocalOutlierFactor(seed, sample, neighbours=neighbours)
-    return OneClassSvm(seed, sample, nu=nu) if kind == "ocsvm" else Autoencoder(seed, sample)
+    return {"isolation_forest": lambda: IsolationForest(trees, seed), "lof": lambda: LocalOutlierFactor(neighbours), "ocsvm": lambda: OneClassSvm(nu), "autoencoder": lambda: Autoencoder(seed)}[kind]()

@@ -54,7 +54,7 @@ def _peer_distance(rows: DataFrame, model: RiskModel) -> DataFrame:
 
 def fit(
     features: DataFrame, train_end, *, family: str = "isolation_forest", clusters: int = 8, anomaly_weight: float = 0.7, peer_weight: float = 0.3, seed: int = 7,
-    trees: int = 100, neighbours: int = 35, nu: float = 0.01, sample: int | None = None, selected: list[str] | None = None, min_rows: int = 100, min_group: int = 5,
+    trees: int = 100, neighbours: int = 35, nu: float = 0.01, selected: list[str] | None = None, min_rows: int = 100, min_group: int = 5,
 ) -> RiskModel:
     """Fit on days up to train_end whose baseline is ready."""
     if anomaly_weight < 0 or peer_weight < 0 or anomaly_weight + peer_weight <= 0:
@@ -85,7 +85,7 @@ def fit(
         big = train.groupBy("org_peer_key").agg(F.count_distinct("user").alias("_u"), *[F.avg(c).alias(c) for c in raw]).where(F.col("_u") >= min_group)
         groups = big.select("org_peer_key", scaled(peer_scale).alias("_centre"))
     robust = robust_statistics(train, used)
-    detector = detectors.make(family, seed, trees, neighbours, nu, sample)
+    detector = detectors.make(family, seed, trees, neighbours, nu)
     vectors = train.withColumn("_x", scaled(robust))
     detector.fit(vectors, "_x", KEY)
     total = anomaly_weight + peer_weight
@@ -114,20 +114,17 @@ def score(features: DataFrame, model: RiskModel) -> DataFrame:
 
 
 def save(model: RiskModel, path: str) -> None:
-    """Parquet tables for what is by user or group, one row for the rest."""
-    import pickle
-
+    """Parquet tables for what is by user or group and for the detector, one row for the rest."""
     spark = model.clusters.sparkSession
     model.clusters.write.mode("overwrite").parquet(f"{path}/clusters")
     model.groups.write.mode("overwrite").parquet(f"{path}/groups")
+    model.detector.save(spark, f"{path}/detector")
     plain = {k: getattr(model, k) for k in ("raw", "features", "peer_scale", "robust_scale", "centres", "bounds", "weights", "settings")}
-    spark.createDataFrame([(json.dumps(plain), pickle.dumps(model.detector))], "settings string, detector binary").write.mode("overwrite").parquet(f"{path}/model")
+    spark.createDataFrame([(json.dumps(plain),)], "settings string").write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load(spark: SparkSession, path: str) -> RiskModel:
-    import pickle
-
-    row = spark.read.parquet(f"{path}/model").first()
-    plain = json.loads(row["settings"])
+    plain = json.loads(spark.read.parquet(f"{path}/model").first()["settings"])
     plain["bounds"] = {k: tuple(v) for k, v in plain["bounds"].items()}
-    return RiskModel(clusters=spark.read.parquet(f"{path}/clusters"), groups=spark.read.parquet(f"{path}/groups"), detector=pickle.loads(row["detector"]), **plain)
+    detector = detectors.make(plain["settings"].get("family", "isolation_forest")).restore(spark, f"{path}/detector")
+    return RiskModel(clusters=spark.read.parquet(f"{path}/clusters"), groups=spark.read.parquet(f"{path}/groups"), detector=detector, **plain)

@@ -102,7 +102,7 @@ def _fixed_model(spark, rows):
     detector.model = (np.array([[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]), np.array([0.6, 0.4]), 0.5, 0.8)
     users = rows.select("user").distinct().where("user % 3 <> 0").select("user", F.when(F.col("user") % 2 == 0, 0).otherwise(1).alias("_cluster"))
     groups = spark.createDataFrame([("unknown | unknown", [2.0, 2.0, 2.0])], "org_peer_key string, _centre array<double>")
-    return risk.RiskModel(list(scale), list(scale), scale, scale, [[0.0] * 3, [1.0] * 3], users, groups, detector, {"anomaly": (0.0, 0.8), "peer": (0.0, 3.0)}, (0.7, 0.3))
+    return risk.RiskModel(list(scale), list(scale), scale, scale, [[0.0] * 3, [1.0] * 3], users, groups, detector, {"anomaly": (0.0, 0.8), "peer": (0.0, 3.0)}, (0.7, 0.3), {"family": "ocsvm"})
 
 
 def _risk(got):
