@@ -52,13 +52,22 @@ def _peer_distance(rows: DataFrame, model: RiskModel) -> DataFrame:
     }).drop("_v", "_cluster", "_centre")
 
 
-def fit(
-    features: DataFrame, train_end, *, family: str = "isolation_forest", clusters: int = 8, anomaly_weight: float = 0.7, peer_weight: float = 0.3, seed: int = 7,
-    trees: int = 100, neighbours: int = 35, nu: float = 0.01, selected: list[str] | None = None, min_rows: int = 100, min_group: int = 5,
-) -> RiskModel:
-    """Fit on days up to train_end whose baseline is ready."""
-    if anomaly_weight < 0 or peer_weight < 0 or anomaly_weight + peer_weight <= 0:
-        raise ValueError("weights must not be negative, and one positive")
+@dataclass
+class Ground:
+    """What models of all families have in common: training rows, scales, peers."""
+
+    train: DataFrame
+    raw: list[str]
+    known: list[str]  # features with values
+    peer_scale: dict
+    robust_scale: dict
+    centres: list[list[float]]
+    clusters: DataFrame
+    groups: DataFrame
+
+
+def ground(features: DataFrame, train_end, *, clusters: int = 8, seed: int = 7, min_rows: int = 100, min_group: int = 5) -> Ground:
+    """Scales and peers of the days up to train_end whose baseline is ready."""
     raw = [c for c in numeric_features(features) if c != "history_days" or "history_days" in features.columns]
     candidates = [*raw, *[c for c in features.columns if c.startswith("z_")]]
     train = stored(features.where((F.col("day") <= F.lit(train_end)) & F.col("baseline_ready")))
@@ -68,9 +77,6 @@ def fit(
     if row["u"] < 2:
         raise ValueError("two users are needed")
     known = [c for c in candidates if row[f"c_{c}"]]
-    if selected is not None and (missing := sorted(set(selected) - set(known))):
-        raise ValueError(f"selected features are not available: {missing}")
-    used = list(selected) if selected is not None else known
 
     profiles = stored(train.groupBy("user").agg(*[F.avg(c).alias(c) for c in raw]))
     peer_scale = standard_statistics(profiles, raw)
@@ -79,17 +85,32 @@ def fit(
 
     points = profiles.select("user", array_to_vector(scaled(peer_scale)).alias("features"))
     kmeans = KMeans(k=max(2, min(clusters, row["u"])), seed=seed, maxIter=50).fit(points)
-    members = kmeans.transform(points).select("user", F.col("prediction").alias("_cluster"))
+    members = stored(kmeans.transform(points).select("user", F.col("prediction").alias("_cluster")))
     groups = features.sparkSession.createDataFrame([], "org_peer_key string, _centre array<double>")
     if "org_peer_key" in features.columns:
         big = train.groupBy("org_peer_key").agg(F.count_distinct("user").alias("_u"), *[F.avg(c).alias(c) for c in raw]).where(F.col("_u") >= min_group)
-        groups = big.select("org_peer_key", scaled(peer_scale).alias("_centre"))
-    robust = robust_statistics(train, used)
+        groups = stored(big.select("org_peer_key", scaled(peer_scale).alias("_centre")))
+    return Ground(train, raw, known, peer_scale, robust_statistics(train, known), [list(map(float, c)) for c in kmeans.clusterCenters()], members, groups)
+
+
+def fit(
+    features: DataFrame, train_end, *, family: str = "isolation_forest", clusters: int = 8, anomaly_weight: float = 0.7, peer_weight: float = 0.3, seed: int = 7, trees: int = 100, neighbours: int = 35,
+    nu: float = 0.01, selected: list[str] | None = None, min_rows: int = 100, min_group: int = 5, on: Ground | None = None,
+) -> RiskModel:
+    """Fit on days up to train_end whose baseline is ready, or `on` what other models of these days have
+    made of them."""
+    if anomaly_weight < 0 or peer_weight < 0 or anomaly_weight + peer_weight <= 0:
+        raise ValueError("weights must not be negative, and one positive")
+    on = on or ground(features, train_end, clusters=clusters, seed=seed, min_rows=min_rows, min_group=min_group)
+    if selected is not None and (missing := sorted(set(selected) - set(on.known))):
+        raise ValueError(f"selected features are not available: {missing}")
+    used = list(selected) if selected is not None else on.known
+    robust = {c: on.robust_scale[c] for c in used}
     detector = detectors.make(family, seed, trees, neighbours, nu)
-    vectors = train.withColumn("_x", scaled(robust))
+    vectors = on.train.withColumn("_x", scaled(robust))
     detector.fit(vectors, "_x", KEY)
     total = anomaly_weight + peer_weight
-    model = RiskModel(raw, used, peer_scale, robust, [list(map(float, c)) for c in kmeans.clusterCenters()], members, groups, detector, {}, (anomaly_weight / total, peer_weight / total), {"family": family, "seed": seed})
+    model = RiskModel(on.raw, used, on.peer_scale, robust, on.centres, on.clusters, on.groups, detector, {}, (anomaly_weight / total, peer_weight / total), {"family": family, "seed": seed})
     seen = stored(_peer_distance(detector.score(vectors, "_x", "_a"), model).select("_a", "peer_distance"))
     q = quantiles(seen, ["_a", "peer_distance"], [0.05, 0.99])
     model.bounds = {"anomaly": tuple(q["_a"]), "peer": tuple(q["peer_distance"])}

@@ -23,10 +23,20 @@ def with_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.join(labels.select("user", "day", "label"), ["user", "day"], "left").withColumn("label", F.coalesce(F.col("label").cast("int"), F.lit(0)))
 
 
-def curve(rows: DataFrame, score: str = "risk_score") -> DataFrame:
-    """A row for each distinct score: positives and negatives at it, and at it or above."""
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    return running(by, [F.desc("s")], {"tp": "pos", "fp": "neg"})
+def curve(rows: DataFrame, score: str = "risk_score", within: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each distinct score (of each key of `within`): positives and negatives at it, and at it
+    or above."""
+    by = rows.groupBy(*within, F.col(score).alias("s")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    return running(by, [F.desc("s")], {"tp": "pos", "fp": "neg"}, within)
+
+
+def _average_precision() -> Column:
+    return _ratio(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos")).alias("pr_auc")
+
+
+def average_precision(rows: DataFrame, score: str = "risk_score", within: tuple[str, ...] = ()) -> DataFrame:
+    """Average precision (ties are one step) of each key of `within`."""
+    return curve(rows, score, within).groupBy(*within).agg(_average_precision())
 
 
 def auc_and_ap(rows: DataFrame, score: str = "risk_score") -> DataFrame:
@@ -34,8 +44,7 @@ def auc_and_ap(rows: DataFrame, score: str = "risk_score") -> DataFrame:
     c = curve(rows, score)
     p, n = F.sum("pos"), F.sum("neg")
     return c.agg(
-        _ratio(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), p * n).alias("roc_auc"),
-        _ratio(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), p).alias("pr_auc"),
+        _ratio(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), p * n).alias("roc_auc"), _average_precision(),
         p.alias("positives"), (p + n).alias("observations"),
     )
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
-from statistics import fmean, pstdev
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .order import quantiles, running
+from .metrics import average_precision
+from .order import quantiles, running, stored
 
 
 def rank_correlations(df: DataFrame, features: list[str], order: list[str]) -> DataFrame:
@@ -59,32 +58,38 @@ def correlation_report(df: DataFrame, features: list[str], order: list[str], lim
     return kept, dropped
 
 
-#: Jobs of permutation importance that run at the same time.
-AT_ONCE = 4
-
-
-def permuted(df: DataFrame, feature: str, key: list[str], seed: int, buckets: int = 64) -> DataFrame:
-    """df with the values of one feature dealt anew over the rows: within buckets of keys, by two
-    orders that meet on their row numbers. More rows want more buckets."""
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_b")
-    place = lambda *by: F.row_number().over(Window.partitionBy(bucket).orderBy(*by)).alias("_n")
-    left = df.select("*", bucket, place(*key))
-    dealt = df.select(bucket, place(F.xxhash64(*key, F.lit(seed)), *key), F.col(feature).alias("_v"))
-    return left.drop(feature).join(dealt, ["_b", "_n"]).withColumnRenamed("_v", feature).drop("_b", "_n")
-
-
-def permutation_importance(df: DataFrame, features: list[str], key: list[str], quality: Callable[[DataFrame], float], repetitions: int = 5, seed: int = 7, buckets: int = 64) -> DataFrame:
-    """(feature, baseline, mean and deviation of the drop) over `repetitions` permutations of each
-    feature. Several are scored at a time, as jobs of one session."""
+def permuted_copies(df: DataFrame, features: list[str], key: list[str], repetitions: int, seed: int) -> DataFrame:
+    """A copy of df for each feature and repetition (columns `_feature`, `_repetition`), in which the
+    feature's values are dealt anew over all rows, and df itself (both null).
+
+    Rows are numbered in the order of their keys, and of each feature and repetition once more in the
+    order of a hash; a value goes to the row that has its second number as its first. All are ranked
+    at once, by ranges of the hashes. Keys must tell rows apart."""
+    rows = stored(running(df, key, {"_place": F.lit(1)}))
+    each = F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(f).cast("double").alias("_value")) for f in features])
+    tall = rows.select("_place", F.explode(each).alias("x")).select("_place", "x.*", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("_repetition"))
+    tall = tall.withColumn("_hash", F.xxhash64(F.lit(seed), "_repetition", "_feature", "_place"))
+    dealt = running(tall, ["_hash", "_place"], {"_to": F.lit(1)}, ("_feature", "_repetition")).select("_feature", "_repetition", F.col("_to").alias("_place"), "_value")
+    value = lambda c: F.when(F.col("_feature") == c, F.col("_value")).otherwise(F.col(c)).alias(c) if c in features else F.col(c)
+    copies = rows.join(dealt, "_place").select("_feature", "_repetition", *[value(c) for c in df.columns])
+    own = [F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]
+    return copies.unionByName(rows.select(F.lit(None).cast("string").alias("_feature"), F.lit(None).cast("int").alias("_repetition"), *own))
+
+
+def permutation_importance(df: DataFrame, features: list[str], key: list[str], score: Callable[[DataFrame], DataFrame], repetitions: int = 5, seed: int = 7, column: str = "risk_score") -> DataFrame:
+    """(feature, baseline, mean and deviation of the drop of the average precision) over `repetitions`
+    permutations of each feature. `score` gives the rows of df (with `label`) the column that ranks them,
+    and keeps the others; all permutations are scored and ranked together."""
     if repetitions <= 0:
         raise ValueError("repetitions must be positive")
-    base = quality(df)
-    tasks = [(f, seed + rep) for f in features for rep in range(repetitions)]
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        drops = dict(zip(tasks, pool.map(lambda t: base - quality(permuted(df, t[0], key, t[1], buckets)), tasks), strict=True))
-    own = {f: [drops[f, seed + rep] for rep in range(repetitions)] for f in features}
-    out = [(f, float(base), fmean(d), pstdev(d)) for f, d in own.items()]
-    return df.sparkSession.createDataFrame(out, "feature string, baseline_pr_auc double, mean_pr_auc_drop double, std_pr_auc_drop double").orderBy(F.desc("mean_pr_auc_drop"), "feature")
+    scored = score(permuted_copies(df, features, key, repetitions, seed)).select("_feature", "_repetition", "label", column)
+    case = F.struct("_feature", "_repetition").alias("case")
+    quality = stored(average_precision(scored.select(case, "label", column), column, ("case",)))
+    base = quality.where("case._feature is null").select(F.col("pr_auc").alias("baseline_pr_auc"))
+    drop = F.col("baseline_pr_auc") - F.col("pr_auc")
+    each = quality.where("case._feature is not null").crossJoin(F.broadcast(base))  # one row
+    out = each.groupBy(F.col("case._feature").alias("feature")).agg(F.first("baseline_pr_auc").alias("baseline_pr_auc"), F.avg(drop).alias("mean_pr_auc_drop"), F.stddev_pop(drop).alias("std_pr_auc_drop"))
+    return out.orderBy(F.desc("mean_pr_auc_drop"), "feature")
 
 
 def top_features(importance: DataFrame, least: int = 20, most: int = 30) -> list[str]:

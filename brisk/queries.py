@@ -470,15 +470,25 @@ def _detector(family: str):
     def run(spark, sf_dir):
         rows = stored(baselines(spark, sf_dir).where("baseline_ready"))
         rows = rows.withColumn("_x", scaling.scaled(scaling.robust_statistics(rows, ["views", "ks", "z_ks", "z_views"])))
-        return detectors.make(family, trees=50).fit(rows, "_x", ["user", "day"]).score(rows, "_x").select("user", "day", r6("anomaly").alias("anomaly"))
+        return detectors.make(family, trees=50).fit(rows, "_x", ["user", "day"]).score(rows, "_x").select("user", "day", F.round("anomaly", 4 if family == "lof" else 6).alias("anomaly"))
 
     run.__name__ = {"isolation_forest": "isolation_scores"}.get(family, f"{family}_scores")
     return run
 
 
-for _family in ("isolation_forest", "lof", "ocsvm", "autoencoder"):
+for _family in ("isolation_forest", "ocsvm", "autoencoder"):
     query()(_detector(_family))
 
+query("""WITH r AS (SELECT "user", day, CAST(views AS DOUBLE) AS a, CAST(ks AS DOUBLE) AS b, z_ks AS c, z_views AS d FROM zs WHERE history_days >= 7),
+ f AS (SELECT "user", day, a, b, coalesce(c, (SELECT median(c) FROM r)) AS c, coalesce(d, (SELECT median(d) FROM r)) AS d FROM r),
+ st AS (SELECT median(a) AS ma, median(b) AS mb, median(c) AS mc, median(d) AS md, quantile_cont(a, 0.75) - quantile_cont(a, 0.25) AS ia, quantile_cont(b, 0.75) - quantile_cont(b, 0.25) AS ib, quantile_cont(c, 0.75) - quantile_cont(c, 0.25) AS ic, quantile_cont(d, 0.75) - quantile_cont(d, 0.25) AS id FROM f),
+ x AS (SELECT "user", day, row_number() OVER (ORDER BY "user", day) AS i, [(a - ma) / CASE WHEN ia > 0 THEN ia ELSE 1 END, (b - mb) / CASE WHEN ib > 0 THEN ib ELSE 1 END, (c - mc) / CASE WHEN ic > 0 THEN ic ELSE 1 END, (d - md) / CASE WHEN id > 0 THEN id ELSE 1 END] AS x FROM f, st),
+ p AS (SELECT a.i, b.i AS j, list_distance(a.x, b.x) AS d, b.x FROM x a, x b),
+ n AS (SELECT i, j, d FROM p WHERE i <> j QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, x, j) <= 35), rad AS (SELECT i, max(d) AS radius FROM n GROUP BY i),
+ den AS (SELECT n.i, 1 / (avg(greatest(n.d, rad.radius)) + 1e-10) AS density FROM n JOIN rad ON rad.i = n.j GROUP BY n.i),
+ q AS (SELECT i, j, d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, x, j) <= 35)
+SELECT x."user", x.day, round(avg(den.density) * (avg(greatest(q.d, rad.radius)) + 1e-10), 4) AS anomaly FROM q JOIN rad ON rad.i = q.j JOIN den ON den.i = q.j JOIN x ON x.i = q.i GROUP BY ALL""", days=("day",))(_detector("lof"))
+
 
 @query()
 def kmeans_peers(spark, sf_dir):
@@ -509,17 +519,29 @@ def selected_features(spark, sf_dir):
 
 @query()
 def permutation_importance(spark, sf_dir):
-    rows = metrics.with_labels(baselines(spark, sf_dir).where("baseline_ready"), labelled(spark, sf_dir)).withColumn("s", F.col("ks") + F.col("views"))
-    quality = lambda df: metrics.auc_and_ap(df.withColumn("s", F.col("ks") + F.col("views")), "s").first()["pr_auc"]
-    return selection.permutation_importance(rows, ["ks", "views"], ["user", "day"], quality, 2)
+    rows = metrics.with_labels(baselines(spark, sf_dir).where("baseline_ready"), labelled(spark, sf_dir))
+    got = selection.permutation_importance(rows, ["ks", "views", "clicks"], ["user", "day"], lambda d: d.withColumn("s", F.col("ks") + F.col("views")), 3, column="s")
+    return got.select("feature", *[r6(c).alias(c) for c in got.columns[1:]])
+
+
+_FOLDS = {"train_days": 15, "validation_days": 5, "test_days": 6, "step_days": 4}
+_SELECTION = {"correlation_limit": 0.9, "min_features": 2, "max_features": 6, "repetitions": 1}
 
 
 @query()
 def family_comparison(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir).persist()
-    folds = experiments.folds_of(rows, train_days=15, validation_days=5, test_days=6, step_days=4)
-    rules_ = {"correlation_limit": 0.9, "min_features": 2, "max_features": 6, "repetitions": 1}
-    return experiments.compare_families(rows, labelled(spark, sf_dir), folds, ["isolation_forest", "lof", "ocsvm", "autoencoder"], rules_, trees=20, clusters=4)
+    rows = stored(_model_rows(spark, sf_dir))
+    return experiments.compare_families(rows, labelled(spark, sf_dir), experiments.folds_of(rows, **_FOLDS), ["isolation_forest", "lof", "ocsvm", "autoencoder"], _SELECTION, trees=20, clusters=4)
+
+
+@query("""WITH f AS (SELECT CAST(i + 1 AS INT) AS fold_id, lo + (20 + i * 4) AS a, lo + (25 + i * 4) AS b FROM span, (SELECT CAST(unnest(range(0, 100)) AS INT) AS i) WHERE lo + (25 + i * 4) <= hi)
+SELECT fold_id, 'autoencoder' AS family, 'evaluated' AS status, CAST(count(label) AS BIGINT) AS positives, count(*) AS observations, round(count(label) / count(*), 6) AS prevalence, CAST(10 AS BIGINT) AS alert_k
+FROM f JOIN bas ON day BETWEEN a AND b AND history_days >= 7 LEFT JOIN lb USING ("user", day) GROUP BY fold_id""")
+def fold_observations(spark, sf_dir):
+    """What of the comparison of one family over all folds does not depend on random numbers."""
+    rows = stored(_model_rows(spark, sf_dir))
+    got = experiments.compare_families(rows, labelled(spark, sf_dir), experiments.folds_of(rows, **_FOLDS), ["autoencoder"], _SELECTION, clusters=4)
+    return got.select("fold_id", "family", "status", "positives", "observations", r6("prevalence").alias("prevalence"), "alert_k")
 
 
 @query("SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS d FROM embeddings")

@@ -25,7 +25,7 @@ def ready_days(duck):
     return duck.sql(f"WITH {queries.E} SELECT count(*) FROM bas WHERE history_days >= 7").fetchall()[0][0]
 
 
-@pytest.mark.parametrize("name", ["isolation_scores", "lof_scores", "ocsvm_scores", "autoencoder_scores"])
+@pytest.mark.parametrize("name", ["isolation_scores", "ocsvm_scores", "autoencoder_scores"])
 def test_every_ready_day_has_a_score_that_tells_days_apart(spark, duck, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     assert len(got) == ready_days(duck) == len(got[["user", "day"]].drop_duplicates())
@@ -48,7 +48,8 @@ def test_risk_scores(spark, duck):
 
 def test_permutation_importance(spark):
     got = queries.QUERIES["permutation_importance"](spark, SF).toPandas()
-    assert sorted(got["feature"]) == ["ks", "views"] and got["baseline_pr_auc"].nunique() == 1 and (got["mean_pr_auc_drop"] <= got["baseline_pr_auc"]).all()
+    assert sorted(got["feature"]) == ["clicks", "ks", "views"] and got["baseline_pr_auc"].nunique() == 1 and (got["mean_pr_auc_drop"] <= got["baseline_pr_auc"]).all()
+    assert (got.set_index("feature").loc["clicks", ["mean_pr_auc_drop", "std_pr_auc_drop"]] == 0).all()  # the score does not read it
 
 
 def test_adwin(spark, duck):
@@ -66,14 +67,20 @@ def test_adwin(spark, duck):
 
 
 def test_every_query_is_checked():
-    by_hand = {"isolation_scores", "lof_scores", "ocsvm_scores", "autoencoder_scores", "kmeans_peers", "risk_scores", "permutation_importance", "adwin", "family_comparison"}
+    by_hand = {"isolation_scores", "ocsvm_scores", "autoencoder_scores", "kmeans_peers", "risk_scores", "permutation_importance", "adwin", "family_comparison"}
     assert set(queries.QUERIES) == set(queries.ORACLES) | by_hand
 
 
-def test_families_are_compared_on_the_same_folds(spark, monkeypatch):
-    monkeypatch.setattr(queries.experiments, "run_fold", lambda features, labels, fold, family, *a, **k: spark.createDataFrame([(fold.fold_id, family)], "fold_id int, family string"))
-    got = sorted(tuple(r) for r in queries.family_comparison(spark, SF).collect())
-    assert got == sorted((n, f) for n in (1, 2) for f in set(queries.detectors.NAMES.values()))
+def test_families_are_compared_on_the_same_folds(spark, duck):
+    from brisk.plans import experiments
+
+    rows = queries.stored(queries._model_rows(spark, SF))
+    fold = experiments.folds_of(rows, **queries._FOLDS)[:1]
+    got = experiments.compare_families(rows, queries.labelled(spark, SF), fold, ["isolation_forest", "lof", "ocsvm"], queries._SELECTION, trees=10, clusters=3).toPandas()
+    want = duck.sql(queries.ORACLES["fold_observations"]).df().set_index("fold_id").loc[1]
+    assert sorted(got["family"]) == ["isolation_forest", "lof", "ocsvm"] and set(got["status"]) == {"evaluated"}
+    assert set(got["positives"]) == {want["positives"]} and set(got["observations"]) == {want["observations"]}
+    assert got["roc_auc"].between(0, 1).all() and got["pr_auc"].between(0, 1).all() and got["n_features"].between(2, 6).all()
 
 
 def test_entry(spark):
