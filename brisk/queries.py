@@ -443,11 +443,13 @@ def alert_normaliser(spark, sf_dir):
 
 @query("SELECT day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e GROUP BY ALL", days=("day",))
 def stream_daily_counts(spark, sf_dir):
-    """The streaming counters, drained once from the events files into a table in the shared folder."""
+    """The streaming counters, drained once from the events files into a table in the shared folder. The
+    watermark covers the whole period, so no order of files loses events."""
     schema = load(spark, sf_dir, "events").schema
+    days = load(spark, sf_dir, "events").agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch(spark, "stream")
-    counts = stream_activity.daily_counts(stream, late="0 seconds", by=("event_type",))
+    counts = stream_activity.daily_counts(stream, late=f"{days + 1} days", by=("event_type",))
     write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/rows")
     run = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()

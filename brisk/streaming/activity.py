@@ -1,22 +1,32 @@
 """The same operators over streams: daily counters, Page-Hinkley and the chain rule, online.
 
-The stateful ones take the events of a key and batch in order of time, so a batch holds no more of one
-key than a worker's memory does; an event that comes in a later batch than newer ones counts when it
-comes."""
+The stateful ones put the events of a key in order: an event is held back in the key's state until the
+watermark has passed it, since until then an older one may come; a timer wakes the key then, whether
+or not it has had events since. So the result is that of the batch operators, however events are dealt
+over batches, as long as none is more than `late` behind the newest; what is later is dropped by Spark,
+which counts it (numRowsDroppedByWatermark). State goes when nothing can come of it any more. The last
+events of a stream that ends are given out when a later event, of any key, moves the watermark past them.
+
+Queries that use these need the RocksDB state store (`use_rocksdb`).
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.drift import PageHinkley
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def daily_counts(events: DataFrame, time: str = "ts", late: str = "1 day", by: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
     """Events a day and key, with a watermark: days that are `late` behind are final."""
     return (
@@ -25,52 +35,115 @@ def daily_counts(events: DataFrame, time: str = "ts", late: str = "1 day", by: t
     )
 
 
-def page_hinkley(series: DataFrame, key: str, time: str, value: str, delta: float = 0.005, threshold: float = 20.0, min_instances: int = 30) -> DataFrame:
-    """Detections as they happen. The state of a series is five numbers; within a batch its values
-    are taken in order of time."""
+#: From what is known of a key and its next events in order: what is known then, up to when that matters
+#: (microseconds; None: for ever), and what comes of it.
+Step = Callable[[object, list[tuple]], tuple[object, int | None, list[tuple]]]
+
+
+class InOrder(StatefulProcessor):
+    """Gives `step` the rows of a key in order of `micros` (microseconds) and the other fields, once they are
+    behind the watermark. State: the rows that are not, and what step knows, as JSON with its end."""
+
+    def __init__(self, fields: str, step: Step, names: list[str]):
+        self.fields, self.step, self.names = fields, step, names
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"micros long, {self.fields}")
+        self.known = handle.getValueState("known", "known string, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in pdf[self.columns()].itertuples(index=False, name=None)]
+        yield self._advance(key, new, timerValues)
 
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        monitor = PageHinkley(delta, threshold, min_instances)
-        n = 0
-        if state.exists:
-            n, *inner = json.loads(state.get[0])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, [], timerValues)
+
+    def columns(self) -> list[str]:
+        return ["micros", *(f.split()[0] for f in self.fields.split(", "))]
+
+    def _advance(self, key, new: list[tuple], timerValues) -> pd.DataFrame:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [*(tuple(r) for r in self.waiting.get()), *new]
+        ready, rest = sorted(r for r in rows if r[0] <= mark), [r for r in rows if r[0] > mark]
+        known, until = None, None
+        if self.known.exists():
+            known, until = self.known.get()
+            known = json.loads(known)
+        out: list[tuple] = []
+        if ready:
+            known, until, out = self.step(known, ready)
+            self.known.update((json.dumps(known), until))
+        if len(rest) < len(rows) or new:
+            if rest:
+                self.waiting.put(rest)
+            elif rows:
+                self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
+        elif until is not None and self.known.exists():
+            if until <= mark:
+                self.known.clear()
+            else:
+                self.handle.registerTimer(-(-until // 1000))
+        return pd.DataFrame([(*key, *r) for r in out], columns=self.names)
+
+
+def in_order(events: DataFrame, keys: list[str], time: str, late: str, fields: dict[str, Column], types: dict[str, str], step: Step, out: str) -> DataFrame:
+    """Runs `step` over the events of each key in order of time; out: the columns that it makes, after the keys."""
+    rows = events.withWatermark(time, late).select(*keys, F.unix_micros(time).alias("micros"), *(c.alias(n) for n, c in fields.items()), F.col(time).alias("moment"))
+    schema = ", ".join([*(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys), out])
+    names = [c.strip().split()[0] for c in schema.split(", ")]
+    processor = InOrder(", ".join(f"{n} {types[n]}" for n in fields), step, names)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def page_hinkley(series: DataFrame, key: str, time: str, value: str, delta: float = 0.005, threshold: float = 20.0, min_instances: int = 30, late: str = "1 day", forget: str | None = None) -> DataFrame:
+    """Detections as they happen. What is known of a series is five numbers; with `forget`, a series
+    without values for so long starts anew."""
+    idle = None if forget is None else int(pd.Timedelta(forget).value // 1000)
+
+    def step(known: list | None, rows: list[tuple]) -> tuple[list, int | None, list[tuple]]:
+        monitor, n, out = PageHinkley(delta, threshold, min_instances), 0, []
+        last = None
+        if known is not None:
+            n, last, *inner = known
             monitor.state = tuple(inner)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
-        for t, v in zip(rows[time], rows[value], strict=True):
-            if v is None or v != v:
-                continue
-            n += 1
-            if monitor.update(float(v)):
-                out.append((str(keys[0]), t, n, float(v)))
-        state.update((json.dumps([n, *monitor.state]),))
-        yield pd.DataFrame(out, columns=["series", "drift_time", "observations_at_detection", "value"])
+        for t, v in rows:
+            if idle is not None and last is not None and t - last >= idle:
+                monitor, n = PageHinkley(delta, threshold, min_instances), 0
+            n, last = n + 1, t
+            if monitor.update(v):
+                out.append((t, n, v))
+        return [n, last, *monitor.state], None if idle is None else last + idle, out
 
-    schema = "series string, drift_time timestamp, observations_at_detection long, value double"
-    return series.groupBy(key).applyInPandasWithState(update, schema, "s string", "append", GroupStateTimeout.NoTimeout)
+    rows = series.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("series", F.col(key).cast("string"))
+    got = in_order(rows, ["series"], time, late, {"v": F.col(value).cast("double")}, {"v": "double"}, step, "t long, observations_at_detection long, value double")
+    return got.select("series", F.timestamp_micros("t").alias("drift_time"), "observations_at_detection", "value")
 
 
-def chains(events: DataFrame, minutes: int = 60) -> DataFrame:
+def chains(events: DataFrame, minutes: int = 60, late: str = "1 day") -> DataFrame:
     """The device, file, e-mail chain on normalised events with flags is_connect, is_sensitive and
-    is_outside, by user and host. Events of a batch are taken in order of time; the state is the
-    latest connect and the armed file."""
-    reach = pd.Timedelta(minutes=minutes)
+    is_outside, by user and host. Known of a key are the latest connect and the armed file, for as long
+    as they reach."""
+    reach = minutes * 60_000_000
 
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        usb, arm = (json.loads(state.get[0]) if state.exists else (None, None))
+    def step(known: list | None, rows: list[tuple]) -> tuple[list, int | None, list[tuple]]:
+        usb, arm = known or (None, None)  # (time, id); (time, id, id of the connect)
         out = []
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "event_id"], kind="stable")
-        for r in rows.itertuples():
-            t = r.timestamp
-            if r.is_connect:
-                usb = (str(t), r.event_id)
-            elif r.is_sensitive and usb and t - pd.Timestamp(usb[0]) <= reach:
-                arm = (usb[1], str(t), r.event_id)
-            elif r.is_outside and arm and t - pd.Timestamp(arm[1]) <= reach:
-                out.append((*keys, t, [arm[0], arm[2], r.event_id]))
+        for t, event, connect, sensitive, outside in rows:
+            if connect:
+                usb = (t, event)
+            elif sensitive and usb and t - usb[0] <= reach:
+                arm = (t, event, usb[1])
+            elif outside and arm and t - arm[0] <= reach:
+                out.append((t, [arm[2], arm[1], event]))
                 arm = None
-        state.update((json.dumps([usb, arm]),))
-        yield pd.DataFrame(out, columns=["user", "host", "alert_timestamp", "evidence_event_ids"])
+        return [usb, arm], max((x[0] for x in (usb, arm) if x), default=rows[-1][0] - reach) + reach, out
 
-    schema = "user string, host string, alert_timestamp timestamp, evidence_event_ids array<string>"
-    return events.groupBy("user", "host").applyInPandasWithState(update, schema, "s string", "append", GroupStateTimeout.NoTimeout)
+    flags = ("is_connect", "is_sensitive", "is_outside")
+    fields = {"event_id": F.col("event_id").cast("string")} | {f: F.coalesce(F.col(f), F.lit(False)) for f in flags}
+    got = in_order(events, ["user", "host"], "timestamp", late, fields, {"event_id": "string"} | dict.fromkeys(flags, "boolean"), step, "t long, evidence_event_ids array<string>")
+    return got.select("user", "host", F.timestamp_micros("t").alias("alert_timestamp"), "evidence_event_ids")

@@ -216,11 +216,17 @@ def alert_files(spark, sf_dir):
     return alert_source.normalise(alert_source.read_alerts(spark, path))
 
 
-def drained(spark: SparkSession, sf_dir: str, name: str, rows, online):
-    """rows written as files, streamed through `online` until they are used up, and what came out."""
+def drained(spark: SparkSession, sf_dir: str, name: str, rows, time: str, end: dict, online):
+    """rows written as files in no order of time, streamed through `online` three files at a time until
+    they are used up, and what came out. The watermark covers the whole period; a last event, `end`, after
+    all others moves it past them."""
     path = scratch(spark, name)
-    rows.write.parquet(f"{path}/in")
-    stream = online(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    days = rows.agg(F.datediff(F.max(time), F.min(time))).first()[0] or 0
+    rows.repartition(8, F.xxhash64(*rows.columns)).write.parquet(f"{path}/in")
+    last = rows.agg((F.max(time) + F.make_dt_interval(F.lit(days + 2))).alias(time)).select(*[F.col(time) if c == time else F.lit(end.get(c)).cast(t).alias(c) for c, t in rows.dtypes])
+    last.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream_activity.use_rocksdb(spark)
+    stream = online(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in"), f"{days + 1} days")
     write = lambda batch, n: batch.write.mode("append").parquet(f"{path}/out")
     stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -230,7 +236,7 @@ def drained(spark: SparkSession, sf_dir: str, name: str, rows, online):
 def stream_page_hinkley(spark, sf_dir):
     """Page-Hinkley over daily sums as they arrive."""
     daily = activity(spark, sf_dir).groupBy("day").agg(F.round(F.sum("value"), 4).alias("v")).select(F.lit("all").alias("series"), F.col("day").cast("timestamp").alias("day"), "v")
-    got = drained(spark, sf_dir, "hinkley", daily, lambda s: stream_activity.page_hinkley(s, "series", "day", "v", 0.005, 20.0, 5))
+    got = drained(spark, sf_dir, "hinkley", daily, "day", {"series": "end", "v": 0.0}, lambda s, late: stream_activity.page_hinkley(s, "series", "day", "v", 0.005, 20.0, 5, late))
     return got.select("observations_at_detection", F.to_date("drift_time").alias("day"))
 
 
@@ -245,5 +251,5 @@ def stream_chain_rule(spark, sf_dir):
         F.col("event_id").cast("string").alias("event_id"), F.col("user").cast("string").alias("user"), F.col("pc").alias("host"), F.col("timestamp").cast("timestamp").alias("timestamp"),
         (F.col("event_type") == "error").alias("is_connect"), ((F.col("event_type") == "click") & (F.col("k") >= 50)).alias("is_sensitive"), ((F.col("event_type") == "purchase") & (F.col("value") > 10)).alias("is_outside"),
     )
-    got = drained(spark, sf_dir, "chains", e, lambda s: stream_activity.chains(s, 2880))
+    got = drained(spark, sf_dir, "chains", e, "timestamp", {}, lambda s, late: stream_activity.chains(s, 2880, late))
     return got.select("user", "host", F.col("alert_timestamp").cast("timestamp_ntz").alias("alert_timestamp"), F.array_join("evidence_event_ids", ",").alias("evidence"))

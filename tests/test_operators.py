@@ -205,27 +205,6 @@ def test_alert_sources(spark, tmp_path):
         alerts.read_alerts(spark, str(tmp_path / "d.json")).collect()
 
 
-def test_streams(spark, tmp_path):
-    from brisk.streaming import activity
-
-    rows = [(i % 3, T0 + timedelta(hours=i), float(i // 40 * 5 + i % 2), "view") for i in range(120)]
-    df = spark.createDataFrame(rows, "user_id long, ts timestamp, value double, event_type string")
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-
-    def drain(out, name, mode):
-        q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
-        q.awaitTermination(120)
-        return spark.table(name)
-
-    total = drain(activity.daily_counts(stream), "daily", "update").groupBy().agg(F.sum("n")).first()[0]
-    assert total == 120
-    online = drain(activity.page_hinkley(stream, "user_id", "ts", "value", threshold=5.0, min_instances=5), "ph", "append")
-    batch = drift.page_hinkley(df, "user_id", "ts", "value", threshold=5.0, min_instances=5)
-    pick = lambda d, k: sorted((str(r[k]), r["observations_at_detection"]) for r in d.collect())
-    assert pick(online, "series") and pick(online, "series") == pick(batch, "user_id")
-
-
 def test_too_many_internal_domains_are_an_error(spark):
     snaps = spark.createDataFrame([("a@x.com",), ("b@Y.com",), ("c@z.com",), (None,)], "email string")
     assert logs.internal_domains(snaps, 3) == ["x.com", "y.com", "z.com"]
