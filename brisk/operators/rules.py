@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import require
+from .asof import HOT, hot_keys
 
 NEEDED = ("event_id", "user", "timestamp", "event_type", "action", "object")
 
@@ -42,23 +43,35 @@ def _alert(rule: Column, techniques: Column, confidence: float, why: Column, ids
     ]
 
 
-def chain_alerts(events: DataFrame, sensitive: str, window: Column, by: tuple[str, ...] = ("user", "host")) -> DataFrame:
-    """A device is connected, a sensitive file follows within `window`, an external e-mail follows
-    that file within `window`: one alert for each file that armed the chain.
+def chain_alerts(events: DataFrame, sensitive: str, minutes: int, by: tuple[str, ...] = ("user", "host"), hot: int | None = HOT) -> DataFrame:
+    """A device is connected, a sensitive file follows within `minutes`, an external e-mail follows
+    that file within `minutes`: one alert for each file that armed the chain.
 
     Two running values in one window operator: the latest connect, and the latest sensitive file
     that had a connect in reach. Times only grow, so the first e-mail in reach of an armed file is
     the one that fires.
+
+    A chain is over after twice these minutes. So a key with more than `hot` events is cut into spans of
+    so many minutes, an hour at least; each is read with the two before it, and gives the alerts of its
+    own e-mails.
     """
-    w = Window.partitionBy(*by).orderBy("timestamp", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    part, own, window = list(by), F.lit(True), F.make_dt_interval(mins=F.lit(minutes))
+    if hot is not None:
+        part, own = [*by, "_span"], F.col("_own")
+        second = F.unix_date(F.to_date("timestamp")).cast("long") * 86400 + F.hour("timestamp") * 3600 + F.minute("timestamp") * 60 + F.second("timestamp")
+        span = F.floor(second / max(3600, 60 * minutes))
+        spans = F.when(F.col("_hot"), F.sequence(span, span + 2)).otherwise(F.array(F.lit(None).cast("long")))
+        events = events.join(hot_keys(events, list(by), hot), list(by), "left").withColumn("_span", F.explode(spans))
+        events = events.withColumn("_own", F.col("_hot").isNull() | (F.col("_span") == span)).drop("_hot")
+    w = Window.partitionBy(*part).orderBy("timestamp", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     here = F.struct("timestamp", "event_id")
     usb = F.last(F.when((F.col("event_type") == "device") & _text().rlike(CONNECT_WORDS), here), ignorenulls=True).over(w)
     rows = events.withColumn("_usb", usb)
     arms = (F.col("event_type") == "file") & F.col("object").rlike(f"(?i){sensitive}") & (F.col("timestamp") - F.col("_usb.timestamp") <= window)
     rows = rows.withColumn("_arm", F.last(F.when(arms, F.struct("timestamp", "event_id", F.col("_usb").alias("usb"))), ignorenulls=True).over(w))
     mail = rows.where((F.col("event_type") == "email") & F.col("is_external") & (F.col("timestamp") - F.col("_arm.timestamp") <= window))
-    first = Window.partitionBy(*by, "_arm.timestamp", "_arm.event_id").orderBy("timestamp", "event_id")
-    fired = mail.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    first = Window.partitionBy(*part, "_arm.timestamp", "_arm.event_id").orderBy("timestamp", "event_id")
+    fired = mail.withColumn("_n", F.row_number().over(first)).where("_n = 1").where(own)
     techniques = F.array(*[F.lit(t) for t in CHAIN_TECHNIQUES])
     why = F.lit("sensitive file after a connected device, then an external e-mail")
     return fired.select(*_alert(F.lit(CHAIN_RULE), techniques, CHAIN_CONFIDENCE, why, [F.col("_arm.usb.event_id"), F.col("_arm.event_id"), F.col("event_id")], [F.col("_arm.usb.timestamp"), F.col("_arm.timestamp"), F.col("timestamp")]))
@@ -75,12 +88,12 @@ def word_alerts(events: DataFrame) -> DataFrame:
     )
 
 
-def correlate(events: DataFrame, sensitive: str, minutes: int = 60) -> DataFrame:
+def correlate(events: DataFrame, sensitive: str, minutes: int = 60, hot: int | None = HOT) -> DataFrame:
     """Alerts of all rules, in order of time. An event may fire several."""
     if minutes <= 0:
         raise ValueError("the window must be positive")
     rows = normalise(events)
-    alerts = chain_alerts(rows, sensitive, F.make_dt_interval(mins=F.lit(minutes))).unionByName(word_alerts(rows))
+    alerts = chain_alerts(rows, sensitive, minutes, hot=hot).unionByName(word_alerts(rows))
     return alerts.orderBy("alert_timestamp", "rule_id", "user", "host", "evidence_event_ids")
 
 

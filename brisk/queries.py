@@ -320,7 +320,7 @@ def security_events(spark, sf_dir):
  m AS (SELECT *, row_number() OVER (PARTITION BY "user", ai ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM l WHERE event_type = 'purchase' AND value > 10 AND ts - art <= INTERVAL 1 DAY)
 SELECT CAST("user" AS VARCHAR) AS "user", ts AS alert_timestamp, aui || ',' || ai || ',' || event_id AS evidence FROM m WHERE n = 1""", times=("alert_timestamp",))
 def chain_rule(spark, sf_dir):
-    got = rules.chain_alerts(security_events(spark, sf_dir), "secret", F.expr("interval 1 day"), ("user",))
+    got = rules.chain_alerts(security_events(spark, sf_dir), "secret", 24 * 60, ("user",))
     return got.select("user", "alert_timestamp", F.array_join("evidence_event_ids", ",").alias("evidence"))
 
 

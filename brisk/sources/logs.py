@@ -113,7 +113,7 @@ def attach_organisation(days: DataFrame, snaps: DataFrame, known: bool = True) -
     key `unknown | unknown`. Without snapshots (known=False) all are null."""
     if not known:
         return days.withColumns({c: F.lit(None).cast("string") for c in ("role", "department", "team", "org_peer_key")})
-    out = asof_backward(days, snaps, ["user"], "day", "snapshot_day", ["role", "department", "team"], tie="team").drop("snapshot_day")
+    out = asof_backward(days, snaps, ["user"], "day", "snapshot_day", ["role", "department", "team"], tie="team", hot=None).drop("snapshot_day")
     return out.withColumn("org_peer_key", F.concat_ws(" | ", F.coalesce("role", F.lit("unknown")), F.coalesce("department", F.lit("unknown"))))
 
 

@@ -87,7 +87,7 @@ def test_chain_rule_equals_state_machine(spark):
         kind = rng.choice(("device", "file", "email", "email"))
         events.append({"event_id": f"{i:05d}", "user": rng.choice("ab"), "timestamp": t, "event_type": kind, "action": rng.choice(("connect", "disconnect", "mount")) if kind == "device" else "x", "object": rng.choice(("secret", "plain")), "host": rng.choice("pq"), "is_external": rng.random() < 0.6})
     df = spark.createDataFrame([tuple(e.values()) for e in events], "event_id string, user string, timestamp timestamp_ntz, event_type string, action string, object string, host string, is_external boolean")
-    got = sorted(tuple(r["evidence_event_ids"]) for r in rules.chain_alerts(rules.normalise(df), "secret", F.make_dt_interval(mins=F.lit(60))).collect())
+    got = sorted(tuple(r["evidence_event_ids"]) for r in rules.chain_alerts(rules.normalise(df), "secret", 60).collect())
     want = chain_by_hand(events, timedelta(minutes=60))
     assert want and got == want
 
