@@ -28,7 +28,7 @@ class Terms:
     data_leak: tuple[str, ...] = ()
     monitoring: tuple[str, ...] = ()
     sensitive: tuple[str, ...] = ()
-    domains: tuple[str, ...] = field(default=())
+    domains: tuple[str, ...] | DataFrame = field(default=())
 
 
 def _count(c: Column) -> Column:
@@ -93,7 +93,22 @@ def email_columns(events: DataFrame, t: Terms) -> DataFrame:
     people = recipients([F.col(c) for c in ("to", "cc", "bcc") if c in events.columns] or [F.lit("")])
     files, size = _optional(events, ("attachments", "attachment", "attachment_count")), _optional(events, ("size", "bytes", "message_size"))
     number = lambda c, kind: F.coalesce(c.try_cast(kind), F.lit(0).cast(kind)) if c is not None else F.lit(0).cast(kind)
-    return events.withColumns({"_people": people, "_files": number(files, "bigint"), "_bytes": number(size, "double")}).withColumns({"_sent": F.size("_people").cast("long"), "_outside": external_count(F.col("_people"), list(t.domains))})
+    rows = events.withColumns({"_people": people, "_files": number(files, "bigint"), "_bytes": number(size, "double")}).withColumn("_sent", F.size("_people").cast("long"))
+    if isinstance(t.domains, DataFrame):
+        return _outside_of_table(rows, t.domains)
+    return rows.withColumn("_outside", external_count(F.col("_people"), list(t.domains)))
+
+
+def _outside_of_table(rows: DataFrame, domains: DataFrame) -> DataFrame:
+    """rows with _outside: the recipients whose domain a table of any size (domain, lower-case) does not
+    have; 0 if it is empty. Each recipient meets the table on its own, with its row."""
+    if domains.isEmpty():
+        return rows.withColumn("_outside", F.lit(0).cast("long"))
+    each = rows.select(F.monotonically_increasing_id().alias("_id"), F.struct("*").alias("_row")).select("_id", "_row", F.explode_outer("_row._people").alias("_one"))
+    each = each.withColumn("_domain", F.regexp_extract(F.lower("_one"), "@(.+)$", 1))
+    met = each.join(domains.select(F.col("domain").alias("_domain"), F.lit(True).alias("_in")).distinct(), "_domain", "left")
+    outside = F.count_if(F.col("_one").isNotNull() & F.col("_in").isNull())
+    return met.groupBy("_id").agg(F.first("_row").alias("_row"), outside.alias("_outside")).select("_row.*", "_outside")
 
 
 def email_days(events: DataFrame, t: Terms) -> DataFrame:

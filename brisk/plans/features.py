@@ -30,7 +30,7 @@ def build(spark: SparkSession, settings: Settings) -> tuple[DataFrame, DataFrame
     if not manifest.usable:
         raise ValueError(manifest.report())
     snaps = logs.snapshots(spark, f"{root}/LDAP")
-    terms = daily.Terms(**{**settings.terms.__dict__, "domains": tuple(settings.terms.domains or logs.internal_domains(snaps))})
+    terms = daily.Terms(**{**settings.terms.__dict__, "domains": settings.terms.domains or logs.domain_table(snaps)})
     tables = {name: logs.events(spark, f"{root}/{name}.csv") for name in logs.LOGS}
     days = logs.attach_organisation(user_days(tables, terms), snaps, known=bool(manifest.snapshots))
     return days, rolling_baselines(days, settings.rolling_window_days, settings.min_history_days)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import answer_time, first_present, iso_weekday, log_time, require, strip
@@ -14,8 +13,6 @@ from ..operators.asof import asof_backward
 LOGS = ("logon", "device", "http", "email", "file")
 NEEDED = ("user", "date")
 USER, TIME = ("user", "username", "user_id"), ("date", "timestamp", "time")
-#: Columns of an answer file that are looked at.
-CELLS = 16
 SNAPSHOT = ("user_id", "email", "role", "department", "team")
 
 
@@ -77,35 +74,50 @@ def typed(raw: DataFrame) -> DataFrame:
     return out.withColumns({"day": F.to_date("timestamp"), "hour": F.hour("timestamp"), "weekday": iso_weekday(F.col("timestamp"))})
 
 
+def records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, n, c): all records of CSV files without a common layout in one scan: number from 0 and
+    cells, as many as the widest record has, null where a record has fewer. Quoted line breaks are read
+    as part of a cell; records without any character do not count."""
+    read = lambda: spark.read.option("multiLine", True).option("escape", '"')
+    width = read().option("singleVariantColumn", "v").csv(paths).agg(F.max(F.size(F.map_keys(F.expr("v::map<string, string>"))))).first()[0] or 1
+    raw = read().schema(", ".join(f"c{i} string" for i in range(width))).csv(paths)
+    cells = F.array(*[F.regexp_replace(f"c{i}", "\ufeff", "") for i in range(width)])
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), cells.alias("c")).where(F.exists("c", lambda x: F.length(strip(x)) > 0))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1).drop("i")
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """(file, head): the first record of each file of `records`, lower-case and without blanks around."""
+    return rows.where("n = 0").select("file", F.transform("c", lambda x: F.lower(strip(x))).alias("head"))
+
+
+def place_of(names: tuple[str, ...]) -> Column:
+    """The first place in `head` that has one of the names, from 0; null if none has."""
+    found = F.filter(F.array(*[F.array_position("head", n) for n in names]), lambda p: p > 0)
+    return (F.array_min(found) - 1).cast("int")
+
+
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """(user, snapshot_day, role, department, team, email) from files named YYYY-MM.csv; other names
-    and files without all columns are skipped."""
-    schema = "user string, snapshot_day date, role string, department string, team string, email string"
-    found, tried = [], 0
-    for p in files(spark, folder):
-        tried += 1
-        df = read_csv(spark, p)
-        try:
-            day = datetime.strptime(p.rsplit("/", 1)[-1], "%Y-%m.csv").date()
-        except ValueError:
-            day = None
-        if day is not None and set(SNAPSHOT) <= set(df.columns):
-            found.append(df.select(F.col("user_id").alias("user"), F.lit(day).alias("snapshot_day"), "role", "department", "team", "email"))
-    if tried and not found:
+    and files without all columns are skipped. All files are read in one scan, each by its own header."""
+    paths = files(spark, folder)
+    if not paths:
+        return spark.createDataFrame([], "user string, snapshot_day date, role string, department string, team string, email string")
+    rows = records(spark, paths)
+    day = F.try_to_date(F.concat(F.regexp_extract("file", r"([0-9]{4}-[0-9]{1,2})\.csv$", 1), F.lit("-1")), "yyyy-M-d")
+    places = F.struct(*[place_of((c,)).alias(c) for c in SNAPSHOT])
+    heads = headers(rows).select("file", day.alias("snapshot_day"), places.alias("p")).where(F.col("snapshot_day").isNotNull() & F.regexp_like("file", F.lit(r"/[0-9]{4}-[0-9]{1,2}\.csv$")))
+    heads = heads.where(" and ".join(f"p.{c} is not null" for c in SNAPSHOT))
+    if heads.isEmpty():
         raise ValueError("no snapshot has the needed columns")
-    out = spark.createDataFrame([], schema)
-    for df in found:
-        out = out.unionByName(df)
-    return out
+    cell = {c: F.get("c", F.col(f"p.{c}")) for c in SNAPSHOT}
+    return rows.where("n > 0").join(heads, "file").select(cell["user_id"].alias("user"), "snapshot_day", *[cell[c].alias(c) for c in ("role", "department", "team", "email")])
 
 
-def internal_domains(snaps: DataFrame, most: int = 10_000) -> list[str]:
-    """All domains of the snapshots' addresses; an error if there are more than `most`."""
+def domain_table(snaps: DataFrame) -> DataFrame:
+    """(domain): all domains of the snapshots' addresses."""
     domain = F.nullif(F.regexp_extract(F.lower(F.col("email")), "@(.+)$", 1), F.lit(""))
-    out = [r["d"] for r in snaps.select(domain.alias("d")).where("d IS NOT NULL").distinct().orderBy("d").limit(most + 1).collect()]
-    if len(out) > most:
-        raise ValueError(f"more than {most} internal domains; set the domains in the configuration")
-    return out
+    return snaps.select(domain.alias("domain")).where("domain IS NOT NULL").distinct()
 
 
 def attach_organisation(days: DataFrame, snaps: DataFrame, known: bool = True) -> DataFrame:
@@ -121,30 +133,26 @@ def _answer_rows(spark: SparkSession, folder: str, release: str) -> DataFrame:
     """All rows of the answer files whose path names the release; what cannot be read is null.
 
     A file has a header if its first row names user, username, timestamp, date or time; otherwise its
-    columns are event_type, event_id, timestamp, user. Files are read as CSV without header, quoted
-    line breaks included, with the number of each row, so both layouts go through one pass.
+    columns are event_type, event_id, timestamp, user. Of several columns that could be meant the first
+    counts. Both layouts go through one scan.
     """
     paths = [p for p in files(spark, folder, deep=True) if release in p]
     if not paths:
         raise ValueError("no answer file")
-    cells = [f"c{i}" for i in range(CELLS)]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True).option("escape", '"').csv(paths)
-    text = F.array(*[strip(F.regexp_replace(c, "\ufeff", "")) for c in cells])
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), text.alias("c"))
-    rows = rows.where(F.exists("c", lambda x: F.length(x) > 0)).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1)
-    first = rows.where("n = 0").select("file", F.transform("c", lambda x: F.lower(x)).alias("head"))
+    rows = records(spark, paths)
     marks = F.array(*[F.lit(x) for x in ("user", "username", "timestamp", "date", "time")])
-    rows = rows.join(first.withColumn("headed", F.arrays_overlap(F.filter("head", lambda x: x.isNotNull()), marks)), "file").where(~(F.col("headed") & (F.col("n") == 0)))
-
-    def cell(names: tuple[str, ...], place: int):
-        by_name = F.coalesce(*[F.when(F.array_contains("head", n), F.get("c", (F.array_position("head", n) - 1).cast("int"))) for n in names])
-        return F.nullif(F.when(F.col("headed"), by_name).otherwise(F.get("c", F.lit(place))), F.lit(""))
+    kinds = {"kind": (("event_type", "type", "activity"), 0), "id": (("event_id", "id"), 1), "time": (("timestamp", "date", "time"), 2), "user": (("user", "username", "user_id"), 3)}
+    headed = F.arrays_overlap(F.filter("head", lambda x: x.isNotNull()), marks)
+    places = F.struct(*[F.when(F.col("headed"), place_of(names)).otherwise(F.lit(place)).alias(k) for k, (names, place) in kinds.items()])
+    heads = headers(rows).withColumn("headed", headed).select("file", "headed", places.alias("p"))
+    rows = rows.join(heads, "file").where(~(F.col("headed") & (F.col("n") == 0)))
+    cell = lambda k: F.nullif(strip(F.get("c", F.col(f"p.{k}"))), F.lit(""))
 
     name = F.regexp_extract("file", "([^/]+)$", 1)
     out = rows.select(
-        F.coalesce(cell(("event_type", "type", "activity"), 0), F.lit("unknown")).alias("event_type"),
-        F.coalesce(cell(("event_id", "id"), 1), F.concat_ws(":", name, F.col("n") + 1)).alias("event_id"),
-        answer_time(cell(("timestamp", "date", "time"), 2)).alias("timestamp"), cell(("user", "username", "user_id"), 3).alias("user"), name.alias("source_file"),
+        F.coalesce(cell("kind"), F.lit("unknown")).alias("event_type"),
+        F.coalesce(cell("id"), F.concat_ws(":", name, F.col("n") + 1)).alias("event_id"),
+        answer_time(cell("time")).alias("timestamp"), cell("user").alias("user"), name.alias("source_file"),
         F.coalesce(F.nullif(F.regexp_extract("file", r"(r\d\.\d)", 1), F.lit("")), F.lit("unknown")).alias("release"),
     )
     return out.withColumn("day", F.to_date("timestamp"))

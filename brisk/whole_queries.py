@@ -182,8 +182,8 @@ FROM customer, (VALUES (DATE '2024-01-01', '1'), (DATE '2024-02-01', '2')) m(d,
 def snapshot_files(spark, sf_dir):
     """Organisation snapshots read from files named by month; a file of another name is skipped."""
     snaps = logs.snapshots(spark, f"{log_folder(spark, sf_dir, 'snapshots')}/LDAP")
-    domains = logs.internal_domains(snaps)
-    return snaps.select("user", "snapshot_day", "role", "department", "team", F.lit(",".join(domains)).alias("domain"))
+    domains = logs.domain_table(snaps).agg(F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domain"))
+    return snaps.crossJoin(F.broadcast(domains)).select("user", "snapshot_day", "role", "department", "team", "domain")  # one row
 
 
 @query("""SELECT 'logon' AS event_type, CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', ts) AS timestamp, CAST("user" AS VARCHAR) AS "user", 'r4.2' AS release FROM e WHERE event_type = 'error' AND k >= 80

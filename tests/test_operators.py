@@ -179,7 +179,7 @@ def test_log_sources(spark, tmp_path):
     (tmp_path / "LDAP/2010-01.csv").write_text("user_id,email,role,department,team\nu,a@Int.com,r,d,t\n")
     (tmp_path / "LDAP/bad.csv").write_text("user_id,email,role,department,team\nu,a@x.com,r,d,t\n")
     snaps = logs.snapshots(spark, str(tmp_path / "LDAP"))
-    assert logs.internal_domains(snaps) == ["int.com"]
+    assert [r["domain"] for r in logs.domain_table(snaps).collect()] == ["int.com"]
     days = spark.createDataFrame([("u", date(2009, 12, 31)), ("u", date(2010, 1, 1)), ("w", date(2010, 1, 1))], "user string, day date")
     keys = {(r["user"], r["day"].year): r["org_peer_key"] for r in logs.attach_organisation(days, snaps).collect()}
     assert keys == {("u", 2009): "unknown | unknown", ("u", 2010): "r | d", ("w", 2010): "unknown | unknown"}
@@ -205,13 +205,6 @@ def test_alert_sources(spark, tmp_path):
         alerts.read_alerts(spark, str(tmp_path / "d.json")).collect()
 
 
-def test_too_many_internal_domains_are_an_error(spark):
-    snaps = spark.createDataFrame([("a@x.com",), ("b@Y.com",), ("c@z.com",), (None,)], "email string")
-    assert logs.internal_domains(snaps, 3) == ["x.com", "y.com", "z.com"]
-    with pytest.raises(ValueError):
-        logs.internal_domains(snaps, 2)
-
-
 def test_quantiles_and_running_sums(spark):
     from brisk.operators.order import quantiles, running
 
