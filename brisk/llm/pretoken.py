@@ -118,17 +118,36 @@ _KIND[[9, 10, 13, 32]] = 4
 _KIND[39] = 0  # apostrophes may begin a contraction
 
 
-def safe_cuts(data: np.ndarray, step: int) -> list[int]:
+def places_of(data: np.ndarray, marks: tuple[bytes, ...]) -> np.ndarray:
+    """Start and end of each occurrence of the marks, overlapping ones too, in order of their starts."""
+    raw, found = data.tobytes() if marks else b"", []
+    for mark in marks:
+        at = raw.find(mark)
+        while at >= 0:
+            found.append((at, at + len(mark)))
+            at = raw.find(mark, at + 1)
+    return np.array(sorted(found), np.int64).reshape(-1, 2)
+
+
+def safe_cuts(data: np.ndarray, step: int, marks: tuple[bytes, ...] = ()) -> list[int]:
     """Places about `step` bytes apart at which a text can be cut without a change of its pre-tokens:
-    between ASCII characters of different kinds, the first of them no white space. Where there is
-    none, a piece is longer."""
+    between ASCII characters of different kinds, the first of them no white space, and not in or beside
+    a mark. Where there is none, a piece is longer."""
+    spans = places_of(data, marks)
+    reach = np.maximum.accumulate(spans[:, 1]) if len(spans) else spans[:, 1]
+
+    def free(cut: np.ndarray) -> np.ndarray:
+        before = np.searchsorted(spans[:, 0], cut, "right")  # marks that begin at or before the place
+        return (before == 0) | (reach[before - 1] < cut) if len(spans) else np.ones(len(cut), bool)
+
     cuts, at = [0], step
     while at < len(data):
         for far in range(at, len(data), 1 << 16):
             kind = _KIND[data[far - 1 : far + (1 << 16)]]
             before, after = kind[:-1], kind[1:]
-            if len(found := np.flatnonzero((before != after) & (before > 0) & (before < 4) & (after > 0))):
-                cuts.append(far + int(found[0]))
+            found = far + np.flatnonzero((before != after) & (before > 0) & (before < 4) & (after > 0))
+            if len(found := found[free(found)]):
+                cuts.append(int(found[0]))
                 break
         else:
             break
@@ -169,7 +188,7 @@ class Encoder:
             return self._encode(data, off)
         ids, counts = [], []
         for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            cuts = safe_cuts(data[a:b], self.step)
+            cuts = safe_cuts(data[a:b], self.step, self.marks)
             parts = [self._encode(data[a + p : a + q], np.array([0, q - p]))[0] for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
             ids += parts
             counts.append(sum(map(len, parts)))
@@ -177,12 +196,7 @@ class Encoder:
 
     def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end, first, hard = split(data, off)
-        raw = data.tobytes() if self.marks else b""
-        for mark in self.marks:
-            at = raw.find(mark)
-            while at >= 0:
-                hard[np.searchsorted(off, at, "right") - 1] = True
-                at = raw.find(mark, at + 1)
+        hard[np.searchsorted(off, places_of(data, self.marks)[:, 0], "right") - 1] = True
         if len(self.known) > self.limit:
             self.clear()
         codes, distinct = pd.factorize(span_hashes(data, start, end))

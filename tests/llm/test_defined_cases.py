@@ -126,3 +126,34 @@ def test_pieces_of_a_long_text_change_nothing(spark, monkeypatch):
         codec.encode.step = 50
         again, n = codec.encode(batch)
         assert np.array_equal(ids, again) and n.tolist() == counts.tolist()
+
+
+def test_added_tokens_at_the_cuts_of_a_long_text():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from brisk.llm import pretoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tok, encode = Tokenizer.from_str(spec), tokenbin._encoder(spec)
+    marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in marks
+    rng = random.Random(6)
+    text = list(prose(rng, 1_100_000))
+    step = encode.step
+    for k, shift in enumerate([-13, -7, -1, 0, 3, -20]):  # over, before and after each cut, two in a row, glued to words and blanks
+        at = (k + 1) * step // 2 + shift
+        text[at : at + 13] = list(rng.choice(marks) * 2 if k % 2 else rng.choice(["", " ", "a"]) + rng.choice(marks) + rng.choice(["", " ", "'s"]))
+    text = "".join(text)
+    assert len(text) > 2 * step
+    ids, counts = encode(pa.RecordBatch.from_arrays([pa.array([text, "x"])], ["text"]))
+    want = tok.encode(text, add_special_tokens=False).ids
+    assert counts[0] == len(want) and np.array_equal(ids[: counts[0]], want)
+    # short pieces, many marks: each cut lies between them
+    mixed = "".join(rng.choice(["<|endoftext|>", "<|endoftext|", "|>", "word", " 12", ".", "\n", " it's"]) for _ in range(4000))
+    data = np.frombuffer(mixed.encode(), np.uint8)
+    cuts = pretoken.safe_cuts(data, 50, tuple(m.encode() for m in marks))
+    pieces = [mixed[a:b] for a, b in zip(cuts, cuts[1:])]
+    assert len(pieces) > 50 and [i for p in pieces for i in tok.encode(p, add_special_tokens=False).ids] == tok.encode(mixed, add_special_tokens=False).ids
