@@ -48,10 +48,13 @@ NAMED_WORDS = {
     ),
     2: frozenset(
         "ad ads advert adverts advertisement advertising advertisements sidebar nav navbar navigation menu breadcrumb breadcrumbs footer topbar cookie cookies "
-        "consent gdpr newsletter complementary contentinfo".split()
+        "consent gdpr newsletter complementary contentinfo discussion discussions".split()
     ),
     3: frozenset("comment comments reply replies respond disqus".split()),
 }
+# With these alone a word of reader comments names what holds them; with others (`reply-to-critics`,
+# `comment-count`) it may be about anything.
+COMMENT_PARTS = frozenset("list lists area section body content text thread threads wrapper wrap container holder box item block author meta form user users reader readers post children child depth level parent nested inner outer even odd by group feed all new reply".split())
 # A class that begins or ends so speaks of the page, not of its own contents.
 ABOUT_FIRST = frozenset("with without has have no not is show hide hidden toggle enable".split())
 ABOUT_LAST = frozenset("layout page template grid theme open closed active enabled disabled visible on off".split())
@@ -62,8 +65,8 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s>/]*)[^>]*(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 # Elements whose contents are markup: tags are matched in pairs, and one without an end tag ends with
@@ -87,10 +90,23 @@ def named(tag: str, names: str, in_main: bool) -> int:
     for name in names.split():
         words = [w.lower() for w in _WORDY.findall(name)]
         if words and words[0] not in ABOUT_FIRST and (len(words) == 1 or words[-1] not in ABOUT_LAST):
-            level = max([level, *(k for k, some in NAMED_WORDS.items() if not some.isdisjoint(words))])
+            said = [k for k, some in NAMED_WORDS.items() if not some.isdisjoint(words)]
+            level = max([level, *(k for k in said if k < 3 or NAMED_WORDS[3].union(COMMENT_PARTS).issuperset(words))])
     return level
 
 
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a start tag by lower-case name; of several with one name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _unseen(own: dict[str, str]) -> bool:
+    return "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(own.get("style", "")))
+
+
 def _pairs(page: str, tag: str) -> dict[int, int]:
     """Where the elements of one kind end, by the place after their start tag; those without an end
     tag are left out."""
@@ -205,14 +221,15 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int, float, int]]:
                 heading = 0
             continue
         kind, level = None, 0
-        names = " ".join(x or y or z for _, x, y, z in _ATTR.findall(attrs)) if attrs else ""
+        own = attributes(attrs) if attrs else {}
+        names = " ".join(own[k] for k in ("class", "id", "role") if k in own)
         level = named(tag, names, any(s[1] == "main" for s in stack))
         in_comments = any(levels[s[3]] == 3 for s in stack)
-        if tag == "main" or "main" in names.split() and "role" in attrs or tag == "article" and level < 2 and not in_comments:
+        if tag == "main" or "main" in own.get("role", "").lower().split() or tag == "article" and level < 2 and not in_comments:
             kind, main_seen = "main", 1
         elif level:
             kind = "named"
-        if attrs and _HIDDEN.search(attrs) and tag not in ("html", "body"):
+        if own and tag not in ("html", "body") and _unseen(own):
             kind = "hidden"
         if blocky:
             flush()
@@ -270,7 +287,7 @@ KINDS = (
     *((LONG, links, 0, 0, (0.0,), 1) for links in (0.0, 0.1, 0.3)), *((ANY, links, 0, 0, (0.0,), 0) for links in (0.7, 0.8, 1.0)), *((SHORT, links, 0, 0, (0.0,), None) for links in (0.0, 0.1)),
 )
 NEIGHBOURS = (
-    (0, 0.0, 0, 0.0, 0), (4, 1.0, 3, 1.0, 0), (0, 0.0, 5, 1.0, 0), (6, 0.9, 0, 0.0, 0), (6, 0.0, 4, 0.0, 0),
+    (0, 0.0, 0, 0.0, 0), (4, 1.0, 3, 1.0, 0), (0, 0.0, 5, 1.0, 0), (6, 0.9, 0, 0.0, 0), (6, 0.0, 4, 0.0, 1), (3, 1.0, 6, 0.0, 1),
     (50, 0.0, 60, 0.0, 1), (30, 0.0, 5, 1.0, 1), (4, 1.0, 40, 0.0, 1), (90, 0.1, 2, 0.0, 1), (0, 0.0, 35, 0.0, 1),
 )
 LABELLED = tuple(

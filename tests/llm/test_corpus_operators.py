@@ -422,3 +422,27 @@ def test_empty_tables(spark, tmp_path):
     assert langid.identify(none, langid.fit(none)).count() == 0 and html.extract(none.withColumn("html", F.lit(None).cast("string"))).count() == 0
     sharding.write_shards(none, f"file://{tmp_path}/s", 2)
     assert json.dumps(llm.ORACLES)
+
+
+_NAV, _FOOT = "<nav><a href=/>Home</a> <a href=/>About</a></nav>", "<footer>c 2020</footer>"
+_LONG = "A long paragraph with quite enough words to count as text by any measure that one could think of at all."
+
+
+@pytest.mark.parametrize("tag", ['<article title="The hidden cost of things">', '<article data-title="a hidden gem">', '<article data-id="comment-count-3">', '<article class="reply-to-critics">', '<div class="story comment-count-12">', '<div data-thread-id="reply-1">', "<div data-style='display:none'>"])
+def test_words_in_other_attributes_hide_nothing(tag):
+    tree, end = html.grow(np.array(html.LABELLED, float)), tag.split()[0][1:]
+    assert html.main_text(f"<body>{_NAV}{tag}<p>{_LONG}</p><p>{_LONG}</p></{end}>{_FOOT}</body>", tree)[0] == f"{_LONG} {_LONG}"
+
+
+@pytest.mark.parametrize("tag", ['<div class="comments">', '<div class="comment-list">', '<article class=comment>', "<section id='reader-comments'>", '<div class="discussion">', '<li class="comment depth-1 even">', '<div STYLE="display : none">', "<div hidden>", '<div aria-hidden="true">'])
+def test_comments_and_hidden_parts_go(tag):
+    tree, end = html.grow(np.array(html.LABELLED, float)), tag.split()[0][1:]
+    assert html.main_text(f"<body>{_NAV}<article><p>{_LONG}</p></article>{tag}<p>{_LONG} And more.</p></{end}>{_FOOT}</body>", tree)[0] == _LONG
+
+
+def test_short_texts_outside_an_article():
+    tree = html.grow(np.array(html.LABELLED, float))
+    verse = ["The sun came up", "over the hill", "and nobody saw", "the light on the mill"] * 3
+    lines = "".join(f"<p>{x}</p>" for x in verse)
+    assert html.main_text(f"<body>{_NAV}<h1>The hill</h1><div>{lines}</div>{_FOOT}</body>", tree)[0] == " ".join(["The hill", *verse])
+    assert html.main_text(f"<body>{_NAV}<h1>Closed today</h1><p>We open again on Monday.</p>{_FOOT}</body>", tree)[0] == "Closed today We open again on Monday."
