@@ -122,18 +122,18 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
     return book.withColumn("kept", passes(policy))
 
 
-def ablation(book: DataFrame, policy: str) -> DataFrame:
-    """A row for each rule of the policy: documents that fail it, that it alone rejects, and that
-    the policy without it still rejects. The ledger is first folded to its distinct masks."""
-    masks = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask_of(policy)).cast("long")).alias("b")).agg(F.count("*").alias("n"))
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit")) for r in POLICIES[policy]]))
-    each = masks.select("b", "n", rules.alias("r"))
+def ablation(book: DataFrame, *policies: str) -> DataFrame:
+    """A row for each policy and rule of it: documents that fail the rule, that it alone rejects, and
+    that the policy without it still rejects. The ledger is read once and folded to its distinct masks,
+    of which there are as many as sets of rules at most; all policies are made from these."""
+    masks = book.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    cases = [F.struct(F.lit(p).alias("policy"), F.lit(mask_of(p)).cast("long").alias("mask"), F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit")) for p in policies for r in POLICIES[p]]
+    each = masks.select("fail_bits", "n", F.explode(F.array(*cases)).alias("r")).select("n", "r.*", F.col("fail_bits").bitwiseAND(F.col("r.mask")).alias("b"))
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    bit = F.col("r.bit")
-    return each.groupBy(F.col("r.rule").alias("rule")).agg(
-        total(F.col("b").bitwiseAND(bit) != 0).alias("n_failing"),
-        total(F.col("b") == bit).alias("n_only"),
-        total(F.col("b").bitwiseAND(F.bitwise_not(bit)) != 0).alias("n_rejected_without"),
+    return each.groupBy("policy", "rule").agg(
+        total(F.col("b").bitwiseAND(F.col("bit")) != 0).alias("n_failing"),
+        total(F.col("b") == F.col("bit")).alias("n_only"),
+        total(F.col("b").bitwiseAND(F.bitwise_not(F.col("bit"))) != 0).alias("n_rejected_without"),
     )
 
 
@@ -184,10 +184,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule of each policy rejects, alone and with the others, from one ledger."""
-    book = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
-    parts = [ablation(book, policy).select(F.lit(policy).alias("policy"), "rule", "n_failing", "n_only", "n_rejected_without") for policy in ("base", "v1")]
-    return parts[0].unionByName(parts[1])
+    """What each rule of every policy rejects, alone and with the others, from one ledger."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return ablation(ledger(docs, fit_toxic_terms(docs, labels)), *POLICIES)
 
 
 ORACLE = (
@@ -224,8 +223,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 ).replace("MASK", str(mask_of("v3")))
 
 ABLATION_ORACLE = f"""
-WITH book AS (SELECT fail_bits & 63 AS b FROM ({ORACLE})),
- r AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {mask_of(p)}, '{r}', {BIT[r]})" for p in ("base", "v1") for r in POLICIES[p])}) x(policy, mask, rule, bit))
+WITH book AS (SELECT fail_bits AS b FROM ({ORACLE})),
+ r AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {mask_of(p)}, '{r}', {BIT[r]})" for p in POLICIES for r in POLICIES[p])}) x(policy, mask, rule, bit))
 SELECT policy, rule, count(*) FILTER (b & bit <> 0) AS n_failing, count(*) FILTER (b & mask = bit) AS n_only, count(*) FILTER ((b & mask & ~bit) <> 0) AS n_rejected_without
 FROM book, r GROUP BY policy, rule
 """
