@@ -18,8 +18,8 @@ at most, are sent to all tasks; each text lists the others, which are joined wit
 and added up. Both ways give the same numbers.
 
 Defined cases: null and empty texts are an end mark alone; a null doc_id is a row like any other; equal
-rows count and score each; without training texts all bytes are alike; a very long text is read in one
-piece, 60 bytes of memory a byte; further columns pass through but for `text`, and those named like a
+rows count and score each; without training texts all bytes are alike; a very long text is read in
+stretches, but for its words; further columns pass through but for `text`, and those named like a
 result are replaced; an empty table gives an empty result.
 """
 
@@ -41,26 +41,35 @@ from .pretoken import ragged
 ORDER = 5
 #: Runs, and words of up to LETTERS bytes, that are sent to all tasks.
 CORE, LETTERS = 1 << 21, 64
-#: Runs that a task adds up before it hands them on.
-HELD = 4 << 20
+#: Runs that a task adds up before it hands them on; bytes of a long text that are read at once.
+HELD, STRETCH = 4 << 20, 4 << 20
 END = 0xFF
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 _LOW = 3  # bytes of the runs that all branches share
 
 
-def _runs(batch: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of all texts, one for each byte and end, and the number of each text's."""
+def _runs(batch: pa.RecordBatch, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The runs of all texts, one for each byte and end, and how many each text has; those of a text
+    that is a batch of its own in stretches."""
     data, off = text_of(batch)
     size = np.diff(off)
     start = off[:-1] + (order + 1) * np.arange(len(size))  # order marks before each text, one after it
     padded = np.full(len(data) + (order + 1) * len(size), END, np.uint8)
     padded[ragged(start + order, size)] = data
-    runs = np.zeros(len(padded) - order, np.uint64)
-    for j in range(order + 1):
-        runs <<= np.uint64(8)
-        runs |= padded[j : j + len(runs)]
-    # the runs of text i begin at start[i] and end before start[i + 1] - order
-    return runs[ragged(start, size + 1)] if len(size) > 1 else runs, size + 1
+
+    def rolled(part: np.ndarray) -> np.ndarray:
+        runs = np.zeros(max(0, len(part) - order), np.uint64)
+        for j in range(order + 1):
+            runs <<= np.uint64(8)
+            runs |= part[j : j + len(runs)]
+        return runs
+
+    if len(size) == 1:
+        for at in range(0, int(size[0]) + 1, STRETCH):
+            runs = rolled(padded[at : at + STRETCH + order])
+            yield runs, np.array([len(runs)])
+    else:
+        yield rolled(padded)[ragged(start, size + 1)], size + 1
 
 
 class _Words:
@@ -113,9 +122,9 @@ def counts(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
 
         for batch in small_batches(batches, limit=4 << 20):
             learn = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            runs, size = _runs(batch, order)
-            from_train = np.repeat(learn, size)
-            held += [_distinct(runs[from_train], True), _distinct(runs[~from_train], False)]
+            for runs, size in _runs(batch, order):
+                from_train = np.repeat(learn, size)
+                held += [_distinct(runs[from_train], True), _distinct(runs[~from_train], False)]
             if sum(len(k) for k, _ in held) > HELD:
                 held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                 if len(held[0][0]) > HELD // 2:
@@ -316,13 +325,16 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, core: int =
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_run, log10, by_word, place, core_words, core_n = _core(*sent.value)
             for batch in small_batches(batches, limit=4 << 20):
-                runs, size = _runs(batch, order)
-                slot = by_run.find(runs)
-                value = log10[slot]
-                value[slot < 0] = 0
-                ends = np.cumsum(size)
-                total = np.add.reduceat(value, ends - size)
-                rare_runs = _listed(np.searchsorted(ends, np.flatnonzero(slot < 0), "right"), runs[slot < 0].astype(np.int64), len(size))
+                total, rare_of, rare_values = np.zeros(batch.num_rows), [], []
+                for runs, size in _runs(batch, order):
+                    slot = by_run.find(runs)
+                    value = log10[slot]
+                    value[slot < 0] = 0
+                    ends = np.cumsum(size)
+                    total += np.add.reduceat(value, ends - size)
+                    rare_of.append(np.searchsorted(ends, np.flatnonzero(slot < 0), "right"))
+                    rare_values.append(runs[slot < 0].astype(np.int64))
+                rare_runs = _listed(np.concatenate(rare_of), np.concatenate(rare_values), batch.num_rows)
                 words = _Words(batch)
                 slot = by_word.find(_hashes(words.words))
                 there = slot >= 0
@@ -331,11 +343,11 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, core: int =
                     there[there] = pc.equal(core_words.take(pa.array(at[there])), words.words.filter(pa.array(there))).to_numpy(zero_copy_only=False)
                 n = np.where(there, core_n[at] if len(core_n) else 0, 0)
                 base = np.where(there, np.log10((n + 0.1) / whole), 0.0)
-                text = np.repeat(np.arange(len(size)), words.counts)
-                base_sum = np.bincount(text, base[words.word], len(size)).astype(float)
-                known = np.bincount(text, (n > 0)[words.word], len(size)).astype(np.int64)
+                text = np.repeat(np.arange(batch.num_rows), words.counts)
+                base_sum = np.bincount(text, base[words.word], batch.num_rows).astype(float)
+                known = np.bincount(text, (n > 0)[words.word], batch.num_rows).astype(np.int64)
                 rare = ~there[words.word]
-                rare_words = _listed(text[rare], words.word[rare].astype(np.int64), len(size))
+                rare_words = _listed(text[rare], words.word[rare].astype(np.int64), batch.num_rows)
                 names = words.words.take(rare_words[1]).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), pa.array(words.counts + 1), pa.array(known), pa.array(base_sum), pa.array(total),

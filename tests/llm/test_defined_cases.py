@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from brisk.llm import bpe, decontam, html, jaccard, langid, linededup, quality, sharding, substring, tokenbin
+from brisk.llm import bpe, decontam, html, jaccard, langid, linededup, merkle, ppm, quality, sharding, spelling, substring, tokenbin
 
 from brute import prose
 
@@ -46,6 +46,8 @@ OPERATORS = {
     "similarity": (lambda d, s, p: jaccard.similarity_groups(d), {"n_shingles", "component_id"}),
     "one_of_each": (lambda d, s, p: jaccard.keep_one(d), set()),
     "html": (lambda d, s, p: html.extract(d.withColumn("html", F.col("text"))).drop("html"), {"text", "n_chars", "n_kept_blocks", "n_blocks"}),
+    "manifest": (lambda d, s, p: merkle.manifest(d.withColumns({"source": F.lit("s"), "lang": F.lit(None).cast("string"), "n_chars": F.length("text")})), None),
+    "scores": (lambda d, s, p: ppm.score_texts(d, F.col("doc_id") > 2), None),
     "substring": (lambda d, s, p: substring.substring_dedup(d), {"n_words", "n_removed", "kept_text"}),
 }
 
@@ -99,6 +101,8 @@ def test_a_text_of_20_mb(spark, tmp_path, name):
     got.write.parquet(f"{tmp_path}/out")
     rows = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/out").drop("ids", "decoded", "html").collect()}
     assert set(rows) == {1, 2, 3}
+    if name == "scores":
+        assert rows[1]["n_tokens"] == len(long.split()) + 1 and rows[3]["n_known"] == 2 and rows[2]["score"] < rows[3]["score"] < 0
     if name == "bpe":
         import hashlib
 
@@ -107,6 +111,19 @@ def test_a_text_of_20_mb(spark, tmp_path, name):
         assert rows[2]["n_removed"] == len(head.split()) and rows[1]["n_words"] == len(long.split())
 
 
+def test_words_of_a_text_of_20_mb_and_of_odd_rows(spark, odd):
+    from collections import Counter
+
+    rng = random.Random(5)
+    part = prose(rng, 3000).replace(" ", "x") + " "
+    long = "".join(part.replace("ka", f"k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(20_000_000 // len(part)))
+    docs = spark.createDataFrame([(1, long), (2, long[:300_000])], "doc_id long, text string").repartition(2)
+    got = {r["word"]: r["n"] for r in spelling.vocabulary(docs, occurrences=1).collect()}
+    assert got == Counter(long.split() + long[:300_000].split())
+    docs = spark.createDataFrame(odd, "doc_id long, text string").withColumns({n: F.lit("own") for n in ("word", "n", "root")})
+    assert spelling.variants(spelling.vocabulary(docs)).count() >= 0
+
+
 def test_pieces_of_a_long_text_change_nothing(spark, monkeypatch):
     import numpy as np
     import pyarrow as pa

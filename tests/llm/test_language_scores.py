@@ -85,3 +85,14 @@ def test_query(spark):
         assert b == pytest.approx(want[i], rel=1e-9)
     held = got[got["held_out"]]
     assert (got["score"] < 0).all() and held["score"].sum() / held["base_score"].sum() < 1.3
+
+
+def test_stretches_of_a_long_text_change_nothing(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(random.Random(1), 300)])], ["text"])
+    (whole, size), = ppm._runs(batch, 5)
+    monkeypatch.setattr(ppm, "STRETCH", 7)
+    parts = list(ppm._runs(batch, 5))
+    assert len(parts) > 100 and np.array_equal(np.concatenate([r for r, _ in parts]), whole) and sum(n[0] for _, n in parts) == size[0]
