@@ -160,7 +160,8 @@ class Windows:
             if not open_.any():
                 break
         name = best[self.at]
-        return np.where(name == 0, mix(self.print), name)  # no symbol fits: the window is its own name
+        # no symbol fits: the window is its own name, by another fingerprint than `print`
+        return np.where(name == 0, mix(spans(sums, self.at, self.at + window, _ODD[1])), name)
 
 
 class Part:
