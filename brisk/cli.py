@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .models import risk
 from .operators import metrics, truth
+from .operators.panel import top_days
 from .plans import experiments, features
 from .sources import logs
 from .sources.files import write_csv, write_text
@@ -62,7 +63,7 @@ def run(spark: SparkSession, args: argparse.Namespace, s: Settings) -> None:
             risk.save(risk.fit(table("model_features"), args.train_end, family=args.model_family or s.model["family"], **_model(s)), f"{out}/model")
         case "score":
             risk.score(table("model_features"), risk.load(spark, f"{out}/model")).write.mode("overwrite").parquet(f"{out}/scored")
-            table("scored").where("risk_score IS NOT NULL").orderBy(F.desc("risk_score"), "user", "day").select("user", "day", "risk_score", "top_deviation_feature").limit(10).show(truncate=False)
+            top_days(table("scored")).select("user", "day", "risk_score", "top_deviation_feature").show(truncate=False)
         case "evaluate":
             k = s.evaluation["alert_k"] if args.alert_k is None else args.alert_k
             rows = metrics.evaluate_days(table("scored"), labels(), args.test_start, k)

@@ -56,6 +56,11 @@ def top_per(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
 
 
+def top_days(scored: DataFrame, k: int = 10) -> DataFrame:
+    """The k scored days of the highest risk, in order."""
+    return scored.where("risk_score IS NOT NULL").orderBy(F.desc("risk_score"), "user", "day").limit(k)
+
+
 def daily_alerts(scored: DataFrame, k: int) -> DataFrame:
     """The k riskiest users of each day; ties by user."""
     return top_per(scored.where("risk_score IS NOT NULL"), ["day"], [F.desc("risk_score"), F.asc("user")], k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.columns import off_hours
@@ -208,6 +208,46 @@ def incident_file(spark, sf_dir):
     return logs.lab_incidents(spark, path)
 
 
+@query("""SELECT 'wazuh:' || left(sha256('{"agent":{"name":"' || pc || '"},"data":{"srcip":"10.0.0.1","user":"u' || "user" || '"},"rule":{"description":"seen \\u00e9"},"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}'), 24) AS event_id,
+ 'u' || "user" AS "user", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM e""")
+def alerts_by_content(spark, sf_dir):
+    """Alerts without an id are known by a digest of what they hold, whatever the order of their keys."""
+    body = F.struct(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.struct(F.lit("seen \u00e9").alias("description")).alias("rule"),
+        F.struct(F.concat(F.lit("u"), "user").alias("user"), F.lit("10.0.0.1").alias("srcip")).alias("data"), F.struct(F.col("pc").alias("name")).alias("agent"),
+    )
+    got = alert_source.normalise(activity(spark, sf_dir).select(F.to_json(body).alias("json")))
+    return got.select("event_id", "user", "timestamp")
+
+
+@query('SELECT CAST(row_number() OVER (ORDER BY risk DESC, "user", day) AS INT) AS place, "user", day, round(risk, 6) AS risk_score FROM sc QUALIFY place <= 10', days=("day",))
+def top_risk_days(spark, sf_dir):
+    rows = panel.top_days(scored(spark, sf_dir))
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("risk_score"), "user", "day")).alias("place"), "user", "day", r6("risk_score").alias("risk_score"))  # ten rows
+
+
+@query(SQL["day_metrics"])
+def evaluated_by_command(spark, sf_dir):
+    """The commands that build labels and evaluate scores, run on files, and the file of metrics that
+    they write."""
+    from argparse import Namespace
+
+    from . import cli
+    from .operators.daily import Terms
+    from .sources.settings import Settings
+
+    path = scratch(spark, "commands")
+    bad = activity(spark, sf_dir).where("event_type = 'error' AND k >= 80")
+    write_csv(bad.select(F.lit("logon"), "event_id", F.date_format("timestamp", "MM/dd/yyyy HH:mm:ss"), "user"), f"{path}/data/answers/r4.2-1/a.csv", header=False)
+    scored(spark, sf_dir).withColumn("user", F.col("user").cast("string")).write.parquet(f"{path}/out/scored")
+    settings = Settings({"dataset": f"{path}/data", "output": f"{path}/out"}, Terms(8, 18), 14, 7, {})
+    cli.run(spark, Namespace(command="build-labels", release="r4.2", early_days=0), settings)
+    cli.run(spark, Namespace(command="evaluate", alert_k=50, test_start=None), settings)
+    out = spark.read.option("multiLine", True).json(f"{path}/out/metrics.json")
+    out = out.toDF(*["_at_".join([c.split("_at_")[0], "positives"]) if c.endswith("_positives") else c for c in out.columns])
+    return out.select(*[r6(c).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
 @query(SQL["alert_normaliser"])
 def alert_files(spark, sf_dir):
     """Alerts written as JSON lines, read back and normalised."""
