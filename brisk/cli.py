@@ -8,7 +8,6 @@ import sys
 from datetime import date
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .models import risk
 from .operators import metrics, truth
