@@ -40,7 +40,7 @@ from .pretoken import ragged
 #: Bytes of context, 3 to 6.
 ORDER = 5
 #: Runs, and words of up to LETTERS bytes, that are sent to all tasks.
-CORE, LETTERS = 1 << 21, 64
+CORE, LETTERS = 1 << 20, 64
 #: Runs that a task adds up before it hands them on; bytes of a long text that are read at once.
 HELD, STRETCH = 4 << 20, 4 << 20
 END = 0xFF
@@ -239,9 +239,9 @@ class _Table:
     """Places of distinct 64-bit keys, open addressing."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.place = np.full(1 << bits, ~np.uint64(0), np.uint64), np.zeros(1 << bits, np.int64)
+        self.keys, self.place = np.full(1 << bits, ~np.uint64(0), np.uint64), np.zeros(1 << bits, np.int32)
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[slot] == ~np.uint64(0)
@@ -285,7 +285,9 @@ def _core(name: str, runs: np.ndarray, log10: np.ndarray, words: pa.Array, n: np
         _CORES.clear()
         by_run, (hashes, first) = _Table(runs), np.unique(_hashes(words), return_index=True)
         by_word = _Table(hashes)
-        _CORES[name] = by_run, np.append(log10, 0.0)[by_run.place], by_word, first[by_word.place] if len(first) else by_word.place, words, n
+        by_slot, place = np.append(log10, 0.0)[by_run.place], first.astype(np.int32)[by_word.place] if len(first) else by_word.place
+        by_run.place = by_word.place = None
+        _CORES[name] = by_run, by_slot, by_word, place, words, n
     return _CORES[name]
 
 
@@ -324,7 +326,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, core: int =
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_run, log10, by_word, place, core_words, core_n = _core(*sent.value)
-            for batch in small_batches(batches, limit=4 << 20):
+            for batch in small_batches(batches, limit=2 << 20):
                 total, rare_of, rare_values = np.zeros(batch.num_rows), [], []
                 for runs, size in _runs(batch, order):
                     slot = by_run.find(runs)
