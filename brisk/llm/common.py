@@ -3,6 +3,8 @@ and a byte-level scanner that reads whole Arrow text columns at once."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import re
 import tempfile
@@ -184,8 +186,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-#: Bytes that are hashed at once.
-_STRETCH = 4 << 20
+#: Bytes that are hashed at once; powers and sums take 48 bytes for each of them.
+_STRETCH = 1 << 19
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -291,5 +293,25 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
         yield b.slice(at)
 
 
+@functools.lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    """glibc's malloc_trim, or nothing where there is none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work` over the batches of a task, after which the worker, which Spark keeps for other tasks, gives
+    freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return run
+
+
 def env_quiet() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

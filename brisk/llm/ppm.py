@@ -34,15 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _IS_BLANK, _LOWER, Scratch, freed_shuffles, small_batches, span_hashes, table, text_of, widened
+from .common import _IS_BLANK, _LOWER, Scratch, freed_shuffles, lean, small_batches, span_hashes, table, text_of, widened
 from .pretoken import ragged
 
 #: Bytes of context, 3 to 6.
 ORDER = 5
 #: Runs, and words of up to LETTERS bytes, that are sent to all tasks.
 CORE, LETTERS = 1 << 20, 64
-#: Runs that a task adds up before it hands them on; bytes of a long text that are read at once.
-HELD, STRETCH = 4 << 20, 4 << 20
+#: Runs that a task adds up before it hands them on; bytes of texts, or of a long one, that are read at once.
+HELD, STRETCH = 2 << 20, 1 << 20
 END = 0xFF
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 _LOW = 3  # bytes of the runs that all branches share
@@ -120,7 +120,7 @@ def counts(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             keys, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield out(pa.array(keys.astype(np.int64)), pa.nulls(len(keys), pa.string()), n)
 
-        for batch in small_batches(batches, limit=4 << 20):
+        for batch in small_batches(batches, limit=STRETCH):
             learn = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             for runs, size in _runs(batch, order):
                 from_train = np.repeat(learn, size)
@@ -137,7 +137,7 @@ def counts(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
             yield from handed_on()
 
     rows = docs.select("text", F.coalesce(train, F.lit(False)).alias("train"))
-    return rows.mapInArrow(count, "run long, word string, n long").groupBy("run", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), "run long, word string, n long").groupBy("run", "word").agg(F.sum("n").alias("n"))
 
 
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def model(runs: DataFrame, order: int = ORDER) -> DataFrame:
             yield done(keys, np.concatenate([n, *(b.column("n").to_numpy() for b in held)]))
 
     dealt = runs.select("run", "n").withColumn("branch", branch).repartition("branch").sortWithinPartitions("branch", "run")
-    return dealt.select("run", "n").mapInArrow(predict, "run long, n long, log10 double")
+    return dealt.select("run", "n").mapInArrow(lean(predict), "run long, n long, log10 double")
 
 
 class _Table:
@@ -326,7 +326,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, core: int =
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_run, log10, by_word, place, core_words, core_n = _core(*sent.value)
-            for batch in small_batches(batches, limit=2 << 20):
+            for batch in small_batches(batches, limit=STRETCH):
                 total, rare_of, rare_values = np.zeros(batch.num_rows), [], []
                 for runs, size in _runs(batch, order):
                     slot = by_run.find(runs)
@@ -361,7 +361,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, core: int =
         rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept)).alias("row"), "text")
         more = "n_tokens long, n_known long, base double, score double, runs array<long>, runs_n array<long>, words array<string>, words_n array<long>"
         schema = widened(rows, more, without=("text",))
-        part = scratch.keep(rows.mapInArrow(score, schema).withColumn("id", F.monotonically_increasing_id()), "scored")
+        part = scratch.keep(rows.mapInArrow(lean(score), schema).withColumn("id", F.monotonically_increasing_id()), "scored")
         rare = part.select("id", F.explode(F.arrays_zip(F.col("runs").alias("run"), F.col("runs_n").alias("k"))).alias("x")).select("id", "x.run", "x.k")
         rare = rare.join(runs.hint("merge"), "run").groupBy("id").agg(F.sum(F.col("k") * F.col("log10")).alias("more"))
         other = part.select("id", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("words_n").alias("k"))).alias("x")).select("id", "x.word", "x.k")
