@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table, widened
+from .common import lean, small_batches, table, widened
 from .pretoken import Encoder, ragged
 
 COLUMNS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -133,7 +133,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-    return docs.mapInArrow(run, widened(docs, COLUMNS + ", ids binary, decoded string" * with_ids))
+    return docs.mapInArrow(lean(run), widened(docs, COLUMNS + ", ids binary, decoded string" * with_ids))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, around, attach, freed_shuffles, mix, shingle_hashes, small_batches, spare, table, widened
+from .common import Scratch, Words, around, attach, freed_shuffles, lean, mix, shingle_hashes, small_batches, spare, table, widened
 from .pretoken import ragged
 
 #: Edited words in 100, items of a pass, walks and keys read from each, places in a key.
@@ -286,7 +286,7 @@ def _search(docs: DataFrame, plain_text: str, items: list, edits: int) -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(hits, _HIT)], [*kept, "hits"])
 
     kept = [c for c in docs.columns if c != plain_text]
-    return docs.mapInArrow(run, widened(docs, f"hits {_HITS}", without=(plain_text,)))
+    return docs.mapInArrow(lean(run), widened(docs, f"hits {_HITS}", without=(plain_text,)))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, edits: int = EDITS, most_items: int = ITEMS) -> DataFrame:

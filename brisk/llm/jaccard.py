@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, attach, freed_shuffles, mix, shingle_hashes, small_batches, table
+from .common import Scratch, Words, attach, freed_shuffles, lean, mix, shingle_hashes, small_batches, table
 
 #: Words of a shingle; similarity in hundredths.
 K, PERCENT = 5, 80
@@ -168,7 +168,7 @@ def _cut(docs: DataFrame, buckets: int) -> DataFrame:
         if chunk.sets:
             yield from chunk.messages(buckets)
 
-    return docs.mapInArrow(run, _MESSAGE)
+    return docs.mapInArrow(lean(run), _MESSAGE)
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +265,8 @@ def ranked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET + 1)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    sums = _cut(rows, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, _MESSAGE)
-    return sums.repartition(buckets, "chunk").sortWithinPartitions("chunk").mapInArrow(lambda batches: _ranked(batches, percent), _RANKED)
+    sums = _cut(rows, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_answers), _MESSAGE)
+    return sums.repartition(buckets, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(lambda batches: _ranked(batches, percent)), _RANKED)
 
 
 def _meeting(left: str, right: str, percent: int) -> F.Column:
@@ -287,7 +287,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
             yes = [linked(_read(a, i, "<u8"), _read(b, i, "<u8"), n[i].as_py(), m[i].as_py(), percent) for i in range(batch.num_rows)]
             yield batch.select(["x", "y"]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "_n", "_m", "_a", "_b").mapInArrow(run, "x long, y long")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "_n", "_m", "_a", "_b").mapInArrow(lean(run), "x long, y long")
 
 
 def _lists(classes: DataFrame, scratch: Scratch) -> DataFrame:
