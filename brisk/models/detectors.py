@@ -3,8 +3,8 @@
 All training rows are read, by Spark tasks. The forest grows its trees in tasks, one tree a group, each
 from a random sample of all rows, which is its method. LOF joins all rows with their nearest neighbours.
 The one-class SVM is solved in parts whose support vectors are merged, and then held against all rows
-until none is left that it should know. The autoencoder's gradients are made where the rows lie and
-added up at each step. Scoring is an Arrow-batched pass over all rows with the small fitted model; LOF
+until none is left that it should know. The autoencoder's steps are taken where the rows lie, by one task
+after another. Scoring is an Arrow-batched pass over all rows with the small fitted model; LOF
 with more than SENT distinct vectors is scored by the same join that fits it.
 """
 
@@ -315,12 +315,13 @@ def _among(sent):
 class Autoencoder(_Detector):
     """One hidden layer (ReLU), trained with Adam on the squared error; the score is the error.
 
-    Batches are `batch` rows in the order of their keys. Rows are dealt over tasks that run at the same
-    time (a barrier stage); of each batch every task has some rows and makes their gradient, all tasks
-    add up what all have made and take the same step. The number of tasks follows that of the rows
-    (NUMBERS each) and does not change the result but for the last digits."""
+    Batches are `batch` rows in the order of their keys, and each step needs the one before. Rows are dealt
+    over tasks that run at the same time (a barrier stage), each with a stretch of whole batches; a task
+    takes the steps of its own and hands the weights on to the next. So tasks talk once for each epoch
+    and task, not once for each batch. The number of tasks follows that of the rows (NUMBERS each) and
+    does not change the result."""
 
-    NUMBERS = 1 << 22
+    NUMBERS = 1 << 24
 
     def __init__(self, seed: int = 7, epochs: int = 20, batch: int = 256, rate: float = 1e-3, tasks: int | None = None):
         self.seed, self.epochs, self.batch, self.rate, self.tasks = seed, epochs, batch, rate, tasks
@@ -340,7 +341,7 @@ class Autoencoder(_Detector):
             from pyspark import BarrierTaskContext
 
             context = BarrierTaskContext.get()
-            together = len(context.getTaskInfos())
+            together, me = len(context.getTaskInfos()), context.partitionId()
             held = [(b.column("place").to_numpy(), matrix(b.column("_x"), p)) for b in batches if b.num_rows]
             place = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.int64)
             order = np.argsort(place)
@@ -348,24 +349,24 @@ class Autoencoder(_Detector):
             w = _start(seed, p)
             first, second, t = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w], 0
             for _ in range(epochs):
-                for at in range(0, n, batch):
-                    lo, hi = np.searchsorted(place, [at, at + batch])
-                    g = _gradient(w, x[lo:hi], min(batch, n - at) * p)
+                for turn in range(together):
+                    if turn == me:
+                        for at in range(0, len(x), batch):
+                            part = x[at : at + batch]
+                            t += 1
+                            for i, v in enumerate(_gradient(w, part, part.size)):
+                                first[i] = 0.9 * first[i] + 0.1 * v
+                                second[i] = 0.999 * second[i] + 0.001 * v * v
+                                w[i] = w[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
                     if together > 1:
-                        flat = np.concatenate([v.ravel() for v in g])
-                        parts = context.allGather(b64encode(flat.tobytes()).decode())
-                        flat = np.sum([np.frombuffer(b64decode(v)) for v in parts], axis=0)
-                        ends = np.cumsum([v.size for v in w])
-                        g = [flat[e - v.size : e].reshape(v.shape) for e, v in zip(ends, w, strict=True)]
-                    t += 1
-                    for i, v in enumerate(g):
-                        first[i] = 0.9 * first[i] + 0.1 * v
-                        second[i] = 0.999 * second[i] + 0.001 * v * v
-                        w[i] = w[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-            if context.partitionId() == 0:
+                        said = context.allGather(b64encode(_packed([w, first, second, t])).decode() if turn == me else "")
+                        w, first, second, t = _unpacked(b64decode(said[turn]))
+            if me == 0:
                 yield pa.RecordBatch.from_arrays([pa.array([_packed(w)], pa.binary())], ["model"])
 
-        dealt = placed.repartition(tasks, "place") if n else placed.coalesce(1)
+        stretch = -(-n // (tasks * batch)) * batch  # whole batches
+        own = F.floor(F.col("place") / stretch).cast("int") if n else None
+        dealt = placed.repartitionById(tasks, own) if n else placed.coalesce(1)
         got = dealt.mapInArrow(train, "model binary", barrier=True).collect()
         self.model = _unpacked(got[0]["model"])
         return self

@@ -110,6 +110,12 @@ def test_autoencoder_of_several_tasks_equals_one_process(spark, tasks):
         assert np.allclose(a, b, atol=1e-9)
 
 
+def test_the_number_of_tasks_does_not_change_the_autoencoder(spark):
+    rows = frame(spark, np.random.default_rng(6).normal(0, 1, (1000, 7)))
+    one, several = (detectors.Autoencoder(epochs=2, batch=64, tasks=t).fit(rows, "x", ["id"]).model for t in (1, 4))
+    assert all(np.array_equal(a, b) for a, b in zip(one, several, strict=True))  # the same steps, handed on
+
+
 def test_the_gradient_is_that_of_the_error():
     rng = np.random.default_rng(4)
     x, w = rng.normal(0, 1, (6, 4)), detectors._start(1, 4)
