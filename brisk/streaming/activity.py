@@ -1,8 +1,9 @@
 """The same operators over streams: daily counters, Page-Hinkley and the chain rule, online.
 
-The stateful ones put the events of a key in order: an event is held back in the key's state until the
-watermark has passed it, since until then an older one may come; a timer wakes the key then, whether
-or not it has had events since. So the result is that of the batch operators, however events are dealt
+The stateful ones put the events of a key in order: an event is held back in state until the
+watermark has passed it, since until then an older one may come; a timer wakes its key then, whether
+or not it has had events since. Keys share their state's calls: a group of the stream is one of BUCKETS
+buckets of keys, so a batch costs a call a bucket, not some calls to the state store a key. So the result is that of the batch operators, however events are dealt
 over batches, as long as none is more than `late` behind the newest; what is later is dropped by Spark,
 which counts it (numRowsDroppedByWatermark). State goes when nothing can come of it any more. The last
 events of a stream that ends are given out when a later event, of any key, moves the watermark past them.
@@ -16,7 +17,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -40,64 +41,79 @@ def daily_counts(events: DataFrame, time: str = "ts", late: str = "1 day", by: t
 Step = Callable[[object, list[tuple]], tuple[object, int | None, list[tuple]]]
 
 
+#: Buckets of keys.
+BUCKETS = 1024
+
+
 class InOrder(StatefulProcessor):
     """Gives `step` the rows of a key in order of `micros` (microseconds) and the other fields, once they are
-    behind the watermark. State: the rows that are not, and what step knows, as JSON with its end."""
+    behind the watermark, for all keys of a bucket. State: the rows that are not, and what step knows of
+    each key, as JSON with its end."""
 
-    def __init__(self, fields: str, step: Step, names: list[str]):
-        self.fields, self.step, self.names = fields, step, names
+    def __init__(self, keys: str, fields: str, step: Step, names: list[str]):
+        self.keys, self.fields, self.step, self.names = keys, fields, step, names
+        self.n = len(keys.split(", "))
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"micros long, {self.fields}")
-        self.known = handle.getValueState("known", "known string, until long")
+        self.waiting = handle.getListState("waiting", f"{self.keys}, micros long, {self.fields}")
+        self.known = handle.getListState("known", f"{self.keys}, known string, until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for pdf in rows for r in pdf[self.columns()].itertuples(index=False, name=None)]
-        yield self._advance(key, new, timerValues)
+        new = [tuple(r[c] for c in self.columns()) for r in rows]
+        yield from self._advance(new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues)
+        yield from self._advance([], timerValues)
 
     def columns(self) -> list[str]:
-        return ["micros", *(f.split()[0] for f in self.fields.split(", "))]
-
-    def _advance(self, key, new: list[tuple], timerValues) -> pd.DataFrame:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [*(tuple(r) for r in self.waiting.get()), *new]
-        ready, rest = sorted(r for r in rows if r[0] <= mark), [r for r in rows if r[0] > mark]
-        known, until = None, None
-        if self.known.exists():
-            known, until = self.known.get()
-            known = json.loads(known)
-        out: list[tuple] = []
-        if ready:
-            known, until, out = self.step(known, ready)
-            self.known.update((json.dumps(known), until))
-        if len(rest) < len(rows) or new:
-            if rest:
-                self.waiting.put(rest)
-            elif rows:
-                self.waiting.clear()
+        return [f.split()[0] for f in f"{self.keys}, micros long, {self.fields}".split(", ")]
+
+    def _advance(self, new: list[tuple], timerValues) -> Iterator[Row]:
+        n, mark = self.n, timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rest = [r for r in held if r[n] > mark]
+        late = [r for r in new if r[n] > mark]
+        ready: dict[tuple, list[tuple]] = {}
+        for r in (*held, *new):
+            if r[n] <= mark:
+                ready.setdefault(r[:n], []).append(r[n:])
+        before = {tuple(r[:n]): tuple(r[n:]) for r in self.known.get()} if self.known.exists() else {}
+        known, out = dict(before), []
+        for key, rows in ready.items():
+            what, until, made = self.step(json.loads(known[key][0]) if key in known else None, sorted(rows))
+            known[key] = json.dumps(what), until
+            out += [(*key, *r) for r in made]
+        waits = {r[:n] for r in (*rest, *late)}
+        known = {k: v for k, v in known.items() if k in waits or v[1] is None or v[1] > mark}
+        if len(rest) == len(held):
+            if late:
+                self.waiting.appendList(late)
+        elif rest or late:
+            self.waiting.put(rest + late)
+        else:
+            self.waiting.clear()
+        if known != before:
+            self.known.put([(*k, *v) for k, v in known.items()]) if known else self.known.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if rest:
-            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
-        elif until is not None and self.known.exists():
-            if until <= mark:
-                self.known.clear()
-            else:
-                self.handle.registerTimer(-(-until // 1000))
-        return pd.DataFrame([(*key, *r) for r in out], columns=self.names)
+        ends = [-(-min(r[n] for r in (*rest, *late)) // 1000)] if waits else []
+        ends += [-(-v[1] // 1000) for k, v in known.items() if v[1] is not None and k not in waits]
+        if ends:
+            self.handle.registerTimer(min(ends))
+        for r in out:
+            yield Row(**dict(zip(self.names, r, strict=True)))
 
 
 def in_order(events: DataFrame, keys: list[str], time: str, late: str, fields: dict[str, Column], types: dict[str, str], step: Step, out: str) -> DataFrame:
     """Runs `step` over the events of each key in order of time; out: the columns that it makes, after the keys."""
     rows = events.withWatermark(time, late).select(*keys, F.unix_micros(time).alias("micros"), *(c.alias(n) for n, c in fields.items()), F.col(time).alias("moment"))
-    schema = ", ".join([*(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys), out])
+    types_of_keys = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{types_of_keys}, {out}"
     names = [c.strip().split()[0] for c in schema.split(", ")]
-    processor = InOrder(", ".join(f"{n} {types[n]}" for n in fields), step, names)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    processor = InOrder(types_of_keys, ", ".join(f"{n} {types[n]}" for n in fields), step, names)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+    return rows.withColumn("bucket", bucket).groupBy("bucket").transformWithState(processor, schema, "append", "EventTime")
 
 
 def page_hinkley(series: DataFrame, key: str, time: str, value: str, delta: float = 0.005, threshold: float = 20.0, min_instances: int = 30, late: str = "1 day", forget: str | None = None) -> DataFrame:

@@ -85,3 +85,48 @@ def test_chains_over_shuffled_batches(spark, feed):
     assert len({r[0] for r in got}) > 3
     most, end = max(p["stateOperators"][0]["numRowsTotal"] for p in progress), progress[-1]["stateOperators"][0]["numRowsTotal"]
     assert end <= 3 < most  # idle keys have no state
+
+
+class Calls:
+    """A state of one bucket that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.rows, self.timers = 0, {}, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        def asked(work):
+            def call(*args):
+                self.n += 1
+                return work(*args)
+
+            return call
+
+        rows = self.rows.setdefault(name, [])
+        put = lambda x: rows.__setitem__(slice(None), x)
+        work = {"exists": lambda: bool(rows), "get": lambda: list(rows), "put": put, "appendList": rows.extend, "clear": rows.clear}
+        return type("List", (), {k: staticmethod(asked(v)) for k, v in work.items()})
+
+    def listTimers(self):  # noqa: N802
+        return self.timers
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.n += 1
+
+    def registerTimer(self, t):  # noqa: N802
+        self.n += 1
+        self.timers = [t]
+
+
+def test_calls_to_the_state_store_do_not_follow_the_number_of_keys():
+    step = lambda known, rows: ((known or 0) + len(rows), None, [(t, (known or 0) + i + 1) for i, (t,) in enumerate(rows)])
+    for keys in (1, 500):
+        state = Calls()
+        # micros is the only field
+        processor = activity.InOrder("user string", "at long", lambda known, rows: step(known, [r[:1] for r in rows]), ["user", "t", "n"])
+        processor.init(state)
+        mark = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": staticmethod(lambda: ms)})
+        events = [{"user": f"u{k}", "micros": m, "at": m} for k in range(keys) for m in (3000, 1000, 9000)]
+        assert list(processor.handleInputRows((1,), iter(events), mark(0))) == [] and len(state.rows["waiting"]) == 3 * keys
+        got = [tuple(r) for r in processor.handleExpiredTimer((1,), mark(5), None)]
+        assert sorted(got) == sorted((f"u{k}", t, n) for k in range(keys) for t, n in ((1000, 1), (3000, 2)))
+        assert len(state.rows["waiting"]) == keys and state.n < 20
