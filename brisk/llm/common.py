@@ -46,10 +46,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 class Scratch:
     """Tables of one operator in the shared folder. A table goes when another takes its name (which
-    may be made from it) and when the block ends, but for what `give` returns."""
+    may be made from it) and when the block ends, but for what `give` returns. `tasks`, if set, is the most
+    that a table is written by: tables of few rows need not have a file for each shuffle partition."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
+        self.spark, self.name, self.paths, self.tasks = spark, name, {}, None
 
     def __enter__(self) -> Scratch:
         return self
@@ -62,7 +63,7 @@ class Scratch:
         """df written to the shared folder and read back: lineage ends there, and a lost executor costs
         a read, not a recomputation."""
         path = shared_path(self.spark, f"{self.name}-{name}")
-        df.write.option("compression", "zstd").parquet(path)
+        (df.coalesce(self.tasks) if self.tasks else df).write.option("compression", "zstd").parquet(path)
         if name in self.paths:
             remove(self.spark, self.paths[name])
         self.paths[name] = path

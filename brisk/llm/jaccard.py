@@ -51,6 +51,8 @@ GROWTH = 16
 STEP, CHUNK, MOST_DOCS = 2 << 20, 1 << 20, 1 << 16
 #: Text bytes whose shingles make a bucket, and the least number of buckets.
 BUCKET, LEAST_BUCKETS = 8 << 20, 16
+#: Documents for each task that writes a table of a round, and the least number of these tasks.
+TASK_DOCS, LEAST_TASKS = 4096, 12
 _U = np.uint64
 
 
@@ -373,6 +375,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     with freed_shuffles(spark), Scratch(spark, "shingles") as scratch:
         people = scratch.keep(ranked(docs, percent), "members")
+        scratch.tasks = max(LEAST_TASKS, people.count() // TASK_DOCS)
         some = people.where(F.col("shared").isNotNull()).dropDuplicates(["node"])
         classes = scratch.keep(some.select(F.monotonically_increasing_id().alias("cls"), "node", F.col("n_shingles").alias("n"), "score", "prefix", "shared"), "classes")
         roots = links_of(_lists(classes, scratch), classes, scratch, percent)
