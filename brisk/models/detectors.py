@@ -2,8 +2,8 @@
 
 All training rows are read, by Spark tasks. The forest grows its trees in tasks, one tree a group, each
 from a random sample of all rows, which is its method. LOF joins all rows with their nearest neighbours.
-The one-class SVM is solved in parts whose support vectors are merged, and then held against all rows
-until none is left that it should know. The autoencoder's steps are taken where the rows lie, by one task
+The one-class SVM is solved next to its border, on ever larger samples and then all rows,
+until no row lies on the wrong side. The autoencoder's steps are taken where the rows lie, by one task
 after another. Scoring is an Arrow-batched pass over all rows with the small fitted model; LOF
 with more than SENT distinct vectors is scored by the same join that fits it.
 """
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from ..operators.neighbours import cells, distances, distinct_vectors, matrix, nearest_neighbours
 from ..operators.order import running, stored
 
-#: Rows of a tree; distinct vectors of a LOF model that are sent to all tasks; distinct vectors of a part
-#: of the first solutions of the SVM, and rows that it takes in at once.
-TREE_ROWS, SENT, PART, TAKEN = 256, 4096, 2048, 2048
+#: Rows of a tree; distinct vectors of a LOF model that are sent to all tasks; distinct vectors of the first
+#: solution of the SVM, and those next to the border that one task solves at first.
+TREE_ROWS, SENT, PART, TAKEN = 256, 4096, 8192, 8192
+#: Of the SVM: what may lie outside the span of the landmarks (squared, of 1); landmarks at most; vectors from
+#: which one task chooses them; stretches of sums up to the border.
+REST, LANDMARKS, SPANNED, CUTS = 1e-6, 4096, 16384, 4096
 
 
 def _packed(model: object) -> bytes:
@@ -204,7 +207,7 @@ class LocalOutlierFactor(_Detector):
 class _Kernel:
     """Columns of the RBF kernel matrix of x, some of them kept."""
 
-    def __init__(self, x: np.ndarray, gamma: float, megabytes: int = 256):
+    def __init__(self, x: np.ndarray, gamma: float, megabytes: int = 512):
         self.x, self.gamma, self.kept = x, gamma, {}
         self.most = max(2, megabytes * (1 << 20) // max(1, 8 * len(x)))
 
@@ -212,53 +215,103 @@ class _Kernel:
         if i not in self.kept:
             if len(self.kept) >= self.most:
                 self.kept.pop(next(iter(self.kept)))
-            self.kept[i] = np.exp(-self.gamma * ((self.x - self.x[i]) ** 2).sum(1))
+            self.kept[i] = _kernel(self.x, self.x[i : i + 1], self.gamma)[:, 0]
         return self.kept[i]
 
 
-def _solve(x: np.ndarray, cap: np.ndarray, gamma: float, start: np.ndarray | None = None, rounds: int = 1_000_000) -> tuple[np.ndarray, float]:
-    """Weights (sum 1, each up to its cap) and offset of the one-class SVM by sequential minimal
-    optimisation (Schoelkopf et al. 2001)."""
+def _kernel(q: np.ndarray, x: np.ndarray, gamma: float) -> np.ndarray:
+    """The RBF kernel of all rows of q with all of x."""
+    out = q @ (2 * gamma * x.T)
+    out -= gamma * (q * q).sum(1)[:, None]
+    out -= gamma * (x * x).sum(1)
+    np.minimum(out, 0, out=out)
+    return np.exp(out, out=out)
+
+
+def _sums(q: np.ndarray, x: np.ndarray, a: np.ndarray, gamma: float) -> np.ndarray:
+    """For each row of q the sum over the rows of x of a times the kernel."""
+    lot = max(1, (1 << 18) // max(1, len(x)))
+    return np.concatenate([np.zeros(0), *[_kernel(q[at : at + lot], x, gamma) @ a for at in range(0, len(q) if len(x) else 0, lot)], np.zeros(0 if len(x) else len(q))])
+
+
+def _solve(x: np.ndarray, cap: np.ndarray, gamma: float, start: np.ndarray | None = None, rounds: int = 10_000_000, fixed: np.ndarray | None = None, mass: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights (sum `mass`, each up to its cap) and offset of the one-class SVM by sequential minimal
+    optimisation (Schoelkopf et al. 2001; second-order choice of Fan, Chen, Lin 2005). `fixed` is what
+    rows that are not among x add to the sum of each."""
     kernel = _Kernel(x, gamma)
     if start is None:
-        left = 1 - (np.cumsum(cap) - cap)
+        left = mass - (np.cumsum(cap) - cap)
         start = np.clip(left, 0, cap)
     a = start.copy()
-    g = np.zeros(len(x))
-    for i in np.flatnonzero(a):
-        g += a[i] * kernel[i]
+    held = np.flatnonzero(a)
+    g = _sums(x, x[held], a[held], gamma) + (0 if fixed is None else fixed)
     tiny = 1e-9 * cap
     for _ in range(rounds):
-        up, down = np.where(a < cap - tiny, g, np.inf), np.where(a > tiny, g, -np.inf)
-        i, j = int(up.argmin()), int(down.argmax())
-        if not g[j] - g[i] > 1e-6 * max(1e-12, abs(g).max()):
+        i = int(np.where(a < cap - tiny, g, np.inf).argmin())
+        ki, over = kernel[i], np.where(a > tiny, g - g[i], 0)
+        if not over.max(initial=0.0) > 1e-6 * max(1e-12, abs(g).max()):
             break
-        ki, kj = kernel[i], kernel[j]
+        over = np.maximum(over, 0)
+        j = int((over * over / np.maximum(2 - 2 * ki, 1e-12)).argmax())
         step = min((g[j] - g[i]) / max(2 - 2 * ki[j], 1e-12), cap[i] - a[i], a[j])
         a[i] += step
         a[j] -= step
-        g += step * (ki - kj)
+        g += step * (ki - kernel[j])
     some = a > tiny
     edge = some & (a < cap - tiny)
     a[~some] = 0
     return a, float(g[edge].mean() if edge.any() else g[some].max(initial=0.0))
 
 
+def _rest(q: np.ndarray, z: np.ndarray, back: np.ndarray, gamma: float) -> np.ndarray:
+    """Of each row of q the part (squared, of 1) outside the span of z; back is the inverse of its Cholesky factor."""
+    return np.concatenate([1 - ((_kernel(q[at : at + 1024], z, gamma) @ back.T) ** 2).sum(1) for at in range(0, len(q), 1024)]) if len(z) else np.ones(len(q))
+
+
+def _factor(z: np.ndarray, gamma: float) -> np.ndarray:
+    """The inverse of the Cholesky factor of the kernel of z."""
+    return np.linalg.inv(np.linalg.cholesky(_kernel(z, z, gamma) + 1e-13 * np.eye(len(z)))) if len(z) else np.zeros((0, 0))
+
+
+def _landmarks(x: np.ndarray, z: np.ndarray, gamma: float, most: int) -> np.ndarray:
+    """Rows of x, farthest first, that leave of none more than REST outside their span and that of z (pivoted
+    Cholesky); with more than `most` it ends earlier."""
+    base = (_kernel(x, z, gamma) @ _factor(z, gamma).T).T if len(z) else np.zeros((0, len(x)))
+    left, found = 1 - (base**2).sum(0), []
+    held = np.zeros((256, len(x)))
+    while left.max(initial=0.0) > REST and len(found) <= most:
+        i, r = int(left.argmax()), len(found)
+        if r == len(held):
+            held = np.concatenate([held, np.zeros((r, len(x)))])
+        v = _kernel(x, x[i : i + 1], gamma)[:, 0] - base.T @ base[:, i] - held[:r].T @ held[:r, i]
+        held[r] = v / np.sqrt(left[i])
+        left -= held[r] ** 2
+        left[i] = 0
+        found.append(i)
+    return x[found]
+
+
 class OneClassSvm(_Detector):
-    """RBF one-class SVM over all rows. Equal vectors are one with a cap as high as their number. Parts of
-    the vectors are solved alone; their support vectors, in pairs of parts, are solved again until one
-    part is left. Then every vector is held against the result; those that lie outside the border and
-    are not in it are taken in, the farthest first, and it is solved again, until there is none.
+    """RBF one-class SVM over all rows. Equal vectors are one with a cap as high as their number.
+
+    A hash sample of `part` vectors is solved first, then samples eight times as large each, until all
+    vectors take part. On each, all sums are computed by the solution at hand; vectors whose sum lies
+    clearly under the border have their cap and those clearly above it 0, and the `taken` vectors next
+    to the border are solved by one task, given the others. Over all vectors this is repeated, with
+    twice as many, until no vector lies on the wrong side: the conditions of the optimum then hold for all.
 
-    nu is the least share of rows that are support vectors; these must fit in one task."""
+    At least nu of the rows are support vectors. If fewer landmarks span all vectors (but for REST), sums
+    over support vectors become sums over landmarks, whose number does not follow that of the rows; so
+    each pass takes a time in proportion to the rows. Vectors of many spread dimensions have no such
+    landmarks; there the support vectors stay, and must fit in one task and a broadcast."""
 
-    def __init__(self, nu: float = 0.01, gamma: float | None = None, part: int = PART, taken: int = TAKEN):
-        self.nu, self.gamma, self.part, self.taken = nu, gamma, part, taken
+    def __init__(self, nu: float = 0.01, gamma: float | None = None, part: int = PART, taken: int = TAKEN, landmarks: int = LANDMARKS):
+        self.nu, self.gamma, self.part, self.taken, self.landmarks = nu, gamma, part, taken, landmarks
 
     def fit(self, rows: DataFrame, vector: str, key: list[str]) -> OneClassSvm:
         points = distinct_vectors(rows, vector)
         row = points.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max(F.size("x")).alias("p")).first()
-        m, total, p = row["m"], row["n"], row["p"] or 0
+        m, p = row["m"], row["p"] or 0
         if not m:
             self.model = (np.zeros((0, 0)), np.zeros(0), self.gamma or 1.0, 0.0)
             return self
@@ -268,48 +321,133 @@ class OneClassSvm(_Detector):
             mean = each.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).first()["v"]
             spread = each.agg((F.sum(F.col("n") * (F.col("v") - mean) ** 2) / F.sum("n")).alias("v")).first()["v"]
             gamma = 1 / max(p * spread, 1e-12)
-        nu, columns = self.nu, "part int, whole long, vid long, x array<double>, n long, a double, rho double"
-
-        def solved(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("vid", ignore_index=True)
-            whole = int(pdf.groupby("from")["whole"].first().sum())
-            start = pdf["a"].to_numpy()
-            a, rho = _solve(np.array(pdf["x"].tolist(), float), pdf["n"].to_numpy() / (nu * whole), gamma, start if abs(start.sum() - 1) < 1e-9 else None)
-            return pdf.assign(whole=whole, a=a, rho=rho)[["part", "whole", "vid", "x", "n", "a", "rho"]]
-
-        parts = max(1, -(-m // self.part))
-        of = F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int")
-        dealt = points.withColumn("part", of).withColumn("from", F.col("part"))
-        wholes = points.groupBy(of.alias("part")).agg(F.sum("n").alias("whole"))
-        step = dealt.join(wholes, "part").withColumn("a", F.lit(0.0))
+        self.dims, self.width = p, gamma
+        self._span(points, m)
+        draw = F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(1 << 30))
+        size, model = min(m, self.part), None
         while True:
-            done = stored(step.groupBy("part").applyInPandas(solved, columns).where("a > 0"))
-            if parts == 1:
+            some = points if size >= m else points.where(draw < int((1 << 30) * (size / m)))
+            model = self._border(some, model, size >= m)
+            if size >= m:
+                break
+            size = min(m, 8 * size)
+        self.model = model
+        return self
+
+    def _span(self, points: DataFrame, m: int) -> None:
+        """Landmarks, if there are fewer than support vectors."""
+        self.spanned, gamma, dims = None, self.width, self.dims
+        most = min(self.landmarks, int(self.nu * m))
+        z, left, size, columns = np.zeros((0, dims)), points.select("vid", "x"), m, "x array<double>"
+
+        def outside(sent):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                z, back = sent.value
+                for b in batches:
+                    yield b.filter(pa.array(_rest(matrix(b.column("x"), dims), z, back, gamma) > REST))
+
+            return run
+
+        while size and len(z) <= most:
+            met = left if size <= SPANNED else left.where(F.pmod(F.xxhash64("vid", F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * (SPANNED / size)))
+            known = z
+            pick = lambda pdf: pd.DataFrame({"x": list(_landmarks(np.array(pdf.sort_values("vid")["x"].tolist(), float), known, gamma, most))})  # noqa: B023, E731
+            z = np.array([*known.tolist(), *[r["x"] for r in met.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(pick, columns).collect()]], float).reshape(-1, dims)
+            if size <= SPANNED or len(z) > most:
                 break
-            parts = -(-parts // 2)
-            step = done.withColumn("from", F.col("part")).withColumn("part", F.floor(F.col("part") / 2).cast("int")).withColumn("a", F.lit(0.0))
+            sent = points.sparkSession.sparkContext.broadcast((z, _factor(z, gamma)))
+            left = stored(left.mapInArrow(outside(sent), "vid long, x array<double>"))
+            size = left.count()
+        if len(z) <= most:
+            self.spanned = (z, _factor(z, gamma))
+
+    def _short(self, table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and weights whose sums are those of the vectors and weights of the table (vid, x, a)."""
+        dims, gamma = self.dims, self.width
+        if self.spanned is None:
+            held = table.select("vid", "x", "a").orderBy("vid").toPandas()
+            return np.array(held["x"].tolist(), float).reshape(-1, dims), held["a"].to_numpy()
+        z, back = self.spanned
+        sent = table.sparkSession.sparkContext.broadcast(z)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(sent.value))
+            for b in batches:
+                total += _sums(sent.value, matrix(b.column("x"), dims), b.column("a").to_numpy(), gamma)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        got = table.select("x", "a").mapInArrow(run, "sums array<double>").collect()
+        return z, back.T @ (back @ np.sum([np.array(r["sums"]) for r in got] or [np.zeros(len(z))], axis=0))
+
+    def _border(self, points: DataFrame, model: tuple | None, last: bool) -> tuple:
+        """The model of points (vid, x, n), from that of a part of them; unless it is the last, without a check."""
+        gamma, nu, dims, spark = self.width, self.nu, self.dims, points.sparkSession
+        total, m = points.agg(F.sum("n").alias("n"), F.count("*").alias("m")).first()
+        if not m:
+            return model
+        taken, side, rows = max(self.taken, 1), None, points.select("vid", "x", "n", F.lit(0).alias("side"))
+
         while True:
-            held = done.orderBy("vid").toPandas()  # the model
-            self.model = (np.array(held["x"].tolist(), float), held["a"].to_numpy(), gamma, float(held["rho"].iloc[0]))
-            inside = points.sparkSession.sparkContext.broadcast(np.sort(held["vid"].to_numpy()))
-            outside = self.score(points.select("vid", "x", "n"), "x", "s").where(F.col("s") > 1e-5 * abs(self.model[3])).withColumn("in", _among(inside)(F.col("vid"))).where("not in")
-            new = stored(outside.orderBy(F.desc("s"), "vid").limit(self.taken))
-            if new.isEmpty():
-                return self
-            more = new.select(F.lit(0).alias("part"), F.lit(total).cast("long").alias("whole"), "vid", "x", "n", F.lit(0.0).alias("a"), F.lit(0.0).alias("rho"))
-            step = done.unionByName(more).withColumn("from", F.lit(0))
-            done = stored(step.groupBy("part").applyInPandas(solved, columns).where("a > 0"))
+            lo, hi = 0, CUTS * 4
+            if model is not None:
+                rows = stored(self._placed(rows, model).drop("s"))
+                rho = model[3]
+                if last and side is not None:
+                    off = max(1e-5 * abs(rho), REST)
+                    wrong = ((F.col("side") < 0) & (F.col("f") > rho + off)) | ((F.col("side") > 0) & (F.col("f") < rho - off))
+                    bad = rows.where(wrong).count()
+                    if not bad:
+                        return model
+                    taken *= 2
+                counted = sorted(map(tuple, rows.groupBy("cut").agg(F.sum("n"), F.count("*")).collect()))
+                lo, hi = _around(counted, nu * total, taken)
+            else:
+                rows = rows.withColumn("f", F.lit(0.0)).withColumn("cut", F.lit(0))
+            cap = F.col("n") / (nu * total)
+            rows = rows.withColumn("side", F.when(F.col("cut") < lo, -1).when(F.col("cut") > hi, 1).otherwise(0)).withColumn("a", cap)
+            under = rows.where("side < 0")
+            mass = 1 - (under.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / (nu * total))
+            sent = spark.sparkContext.broadcast(self._short(under) if mass < 1 else (np.zeros((0, dims)), np.zeros(0)))
+
+            def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values(["f", "vid"], ignore_index=True)
+                x = np.array(pdf["x"].tolist(), float)
+                a, rho = _solve(x, pdf["a"].to_numpy(), gamma, fixed=_sums(x, *sent.value, gamma), mass=mass)  # noqa: B023
+                return pdf.assign(a=a, rho=rho)[["vid", "x", "a", "rho"]]
+
+            done = stored(rows.where("side = 0").groupBy("side").applyInPandas(solved, "vid long, x array<double>, a double, rho double"))
+            rho = done.first()["rho"]
+            model = (*self._short(under.select("vid", "x", "a").unionByName(done.where("a > 0").select("vid", "x", "a"))), gamma, rho)
+            side, rows = True, rows.select("vid", "x", "n", "side")
+            if not last or (lo <= 0 and hi >= CUTS * 4):
+                return model
+
+    def _placed(self, rows: DataFrame, model: tuple) -> DataFrame:
+        """rows with their sums f and the stretch of sums in which these lie."""
+        cut = F.floor(F.greatest(F.col("f"), F.lit(0.0)) / F.lit(max(model[3], 1e-300)) * CUTS)
+        return _score_with(rows, "x", model, self._score, "s").withColumn("f", F.lit(model[3]) - F.col("s")).withColumn("cut", F.least(cut, F.lit(CUTS * 4)).cast("int"))
 
     @staticmethod
     def _score(model: tuple, q: np.ndarray) -> np.ndarray:
         x, a, gamma, rho = model
-        if not len(x):
-            return np.zeros(len(q))
-        return np.concatenate([rho - np.exp(-gamma * distances(q[at : at + 512], x) ** 2) @ a for at in range(0, len(q), 512)])
-
-
-def _among(sent):
-    return F.pandas_udf(lambda v: pd.Series(np.isin(v.to_numpy(), sent.value)), "boolean")
+        return rho - _sums(q, x, a, gamma) if len(x) else np.zeros(len(q))
+
+
+def _around(counted: list[tuple[int, int, int]], weight: float, taken: int) -> tuple[int, int]:
+    """The first and last stretch about the one in which the weights reach `weight`, such that they hold `taken`
+    vectors. counted: stretch, weight, vectors; stretches before and after the ones given are empty."""
+    places, weights, sizes = (np.array(v) for v in zip(*counted, strict=True))
+    end = len(places) - 1
+    lo = hi = mid = min(int(np.searchsorted(np.cumsum(weights), weight)), end)
+    held = sizes[mid]
+    while held < taken and (lo > 0 or hi < end):
+        if lo > 0 and (hi == end or places[mid] - places[lo - 1] <= places[hi + 1] - places[mid]):
+            lo -= 1
+            held += sizes[lo]
+        else:
+            hi += 1
+            held += sizes[hi]
+    return (int(places[lo]) if lo else 0), (int(places[hi]) if hi < end else CUTS * 4)
 
 
 class Autoencoder(_Detector):

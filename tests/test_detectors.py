@@ -126,3 +126,19 @@ def test_the_gradient_is_that_of_the_error():
             a[i] += 1e-6
             assert (error() - before) / 1e-6 == pytest.approx(g[i], abs=1e-4)
             a[i] -= 1e-6
+
+
+def test_svm_over_landmarks_equals_one_of_all_rows(spark, monkeypatch):
+    """Above as many landmarks as span all rows, the model does not grow with its support vectors."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (1500, 2)), rng.normal(3, 0.5, (499, 2)), [[9.0, -9]]])
+    nu, gamma = 0.3, 0.05
+    a, rho = detectors._solve(x, np.full(len(x), 1 / (nu * len(x))), gamma)
+    want = rho - np.exp(-gamma * neighbours.distances(x, x[a > 0]) ** 2) @ a[a > 0]
+    monkeypatch.setattr(detectors, "SPANNED", 300)  # landmarks are chosen from a part, then from what lies outside their span
+    fitted = detectors.OneClassSvm(nu, gamma, part=100, taken=500).fit(frame(spark, x), "x", ["id"])
+    got = np.array([r["anomaly"] for r in fitted.score(frame(spark, x), "x").orderBy("id").collect()])
+    assert np.abs(got - want).max() < 1e-5 and len(fitted.model[1]) < nu * len(x) / 4 and (a > 0).sum() >= nu * len(x)
+    every = detectors.OneClassSvm(nu, gamma, part=100, taken=500, landmarks=0).fit(frame(spark, x), "x", ["id"])
+    assert len(every.model[1]) >= nu * len(x)
+    assert np.abs(detectors.OneClassSvm._score(every.model, x) - want).max() < 1e-5
