@@ -5,7 +5,7 @@ from a random sample of all rows, which is its method. LOF joins all rows with t
 The one-class SVM is solved next to its border, on ever larger samples and then all rows,
 until no row lies on the wrong side. The autoencoder's steps are taken where the rows lie, by one task
 after another. Scoring is an Arrow-batched pass over all rows with the small fitted model; LOF
-with more than SENT distinct vectors is scored by the same join that fits it.
+with more than SENT distinct vectors scores its training rows as it is fitted, and others by the same join.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.neighbours import cells, distances, distinct_vectors, matrix, nearest_neighbours
+from ..operators.neighbours import POINTS, cells, distances, distinct_vectors, matrix, nearest_neighbours
 from ..operators.order import running, stored
 
 #: Rows of a tree; distinct vectors of a LOF model that are sent to all tasks; distinct vectors of the first
@@ -154,13 +154,22 @@ class LocalOutlierFactor(_Detector):
         points = distinct_vectors(rows, vector)
         n = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         self.k = max(1, min(self.neighbours, n - 1))
-        self.index = cells(points)
-        near = stored(nearest_neighbours(points.withColumn("qid", F.col("vid")), self.index, self.k, own=True))
-        radius = stored(near.groupBy("qid").agg(F.max("d").alias("radius")))
-        reach = near.join(radius.withColumnRenamed("qid", "vid"), "vid").groupBy("qid").agg((F.sum(F.col("n") * F.greatest("d", "radius")) / F.sum("n")).alias("reach"))
-        known = radius.join(reach, "qid").select(F.col("qid").alias("vid"), "radius", (1 / (F.col("reach") + 1e-10)).alias("density"))
+        self.index = cells(points, max(POINTS, 8 * self.k))
+        found = nearest_neighbours(points.withColumn("qid", F.col("vid")), self.index, self.k, own=True)
+        met = stored(found.groupBy("qid").agg(F.max("d").alias("radius"), F.collect_list(F.struct("vid", "d", "n", "before")).alias("near")))
+        radius = met.select(F.col("qid").alias("vid"), "radius")
+        near = met.select("qid", F.inline("near"))
+        reach = near.join(radius, "vid").groupBy("qid").agg((F.sum(F.col("n") * F.greatest("d", "radius")) / F.sum("n")).alias("reach"))
+        known = radius.join(reach.withColumnRenamed("qid", "vid"), "vid").select("vid", "radius", (1 / (F.col("reach") + 1e-10)).alias("density"))
         # a single vector has no neighbours
-        self._set(stored(points.join(known, "vid", "left").fillna({"radius": 0.0, "density": 1e10})))
+        table = stored(points.join(known, "vid", "left").fillna({"radius": 0.0, "density": 1e10}))
+        # a training row that is scored meets itself once more, so the last of its neighbours counts once less
+        others = near.where("vid <> qid").withColumn("n", F.least(F.col("n"), self.k - 1 - F.col("before"))).where("n > 0")
+        others = others.join(table.select("vid", "radius", "density"), "vid").groupBy("qid").agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("density")).alias("ds"), F.sum(F.col("n") * F.greatest("d", "radius")).alias("rs"))
+        once = F.least(F.col("n"), F.lit(self.k))
+        every = table.join(others.withColumnRenamed("qid", "vid"), "vid", "left").fillna({"w": 0, "ds": 0.0, "rs": 0.0}).withColumn("w", F.col("w") + once)
+        own = (F.col("ds") + once * F.col("density")) / F.col("w") * ((F.col("rs") + once * F.col("radius")) / F.col("w") + 1e-10)
+        self._set(stored(every.select("vid", "x", "n", "radius", "density", own.alias("own"))))
         return self
 
     def _set(self, table: DataFrame) -> None:
@@ -186,12 +195,15 @@ class LocalOutlierFactor(_Detector):
     def score(self, rows: DataFrame, vector: str, name: str = "anomaly") -> DataFrame:
         if self.model is not None:
             return super().score(rows, vector, name)
-        queries = distinct_vectors(rows, vector).withColumnRenamed("vid", "qid")
-        near = nearest_neighbours(queries, self.index, self.k).join(self.table.select("vid", "radius", "density"), "vid")
-        mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
-        found = near.groupBy("qid").agg((mean(F.col("density")) * (mean(F.greatest("d", "radius")) + 1e-10)).alias("_s"))
-        found = stored(queries.join(found, "qid").select(F.col("x").alias("_v"), F.col("_s").alias(name)))
-        return rows.join(found, rows[vector].cast("array<double>") == F.col("_v"), "left").drop("_v")
+        queries = distinct_vectors(rows, vector).select(F.col("vid").alias("qid"), F.col("x").alias("_v"))
+        both = stored(queries.join(self.table.select("x", F.col("own").alias(name)), F.col("_v") == F.col("x"), "left").drop("x"))
+        found, new = both.where(F.col(name).isNotNull()).select("_v", name), both.where(F.col(name).isNull()).select("qid", F.col("_v").alias("x"))
+        if not new.isEmpty():
+            near = nearest_neighbours(new, self.index, self.k).join(self.table.select("vid", "radius", "density"), "vid")
+            mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+            scored = near.groupBy("qid").agg((mean(F.col("density")) * (mean(F.greatest("d", "radius")) + 1e-10)).alias(name))
+            found = found.unionByName(new.join(scored, "qid").select(F.col("x").alias("_v"), name))
+        return rows.join(stored(found), rows[vector].cast("array<double>") == F.col("_v"), "left").drop("_v")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.table.withColumn("k", F.lit(self.k)).write.mode("overwrite").parquet(path)
@@ -200,7 +212,7 @@ class LocalOutlierFactor(_Detector):
         table = spark.read.parquet(path)
         self.k = table.first()["k"]
         self._set(table.drop("k"))
-        self.index = cells(self.table) if self.model is None else None
+        self.index = cells(self.table, max(POINTS, 8 * self.k)) if self.model is None else None
         return self
 
 

@@ -1,13 +1,13 @@
-"""Exact k nearest neighbours of many vectors among many, by pivots.
+"""Exact k nearest neighbours of many vectors among many, by boxes.
 
 Equal vectors are one point that counts as often as it occurs, so that a vector that a third of all rows
-have is one point. Each point belongs to the cell of its nearest pivot; a cell is cut into chunks. A
-query first meets the cells next to it that hold k points together, which bounds its distances. From
-that bound and its distances to the pivots follows which other cells can hold anything nearer: those
-whose border (the plane between two pivots, the nearest and farthest point of the cell) is not farther
-away. It meets their chunks too, and no others. Queries of a chunk are dealt over lots, so a task holds one
-chunk and one lot, however many rows there are. Only pivots and one row of figures a cell, PIVOTS of
-each at most, reach the driver and all tasks.
+have is one point. Space is cut at medians of a sample; the points of a piece are a cell, and the box around
+them is known to all tasks. A query first meets the cell whose box is nearest, which bounds its distances,
+and then the cells whose boxes are not farther away than that bound, and no others. Within a cell the task
+cuts the points into leaves, at medians again, and a query meets these nearest first, while they can hold
+anything nearer. So the work for a query does not follow the number of points, but for the boxes of
+CELLS cells at most that it is held against. Queries of a cell are dealt over lots, so a task holds one cell
+and one lot. Only a sample of SAMPLE points and one row of figures a cell reach the driver.
 
 Of points at equal distance the smallest vector comes first (as arrays compare).
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .order import stored
 
-#: Cells at most; points of a cell if there are fewer, and of a chunk; queries of a lot.
-PIVOTS, POINTS, LOT = 2048, 1024, 2048
+#: Cells at most, and points of one if there are fewer; points from which cuts are found; points of a leaf; queries of a lot.
+CELLS, POINTS, SAMPLE, LEAF, LOT = 1024, 8192, 32768, 256, 16384
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -52,132 +52,187 @@ def distinct_vectors(rows: DataFrame, vector: str) -> DataFrame:
 
 @dataclass
 class Cells:
-    points: DataFrame  # vid, x, n, cell, chunk
-    figures: DataFrame  # cell, chunks: a row for each cell
-    pivots: np.ndarray
-    weight: np.ndarray  # of each cell: points with repetitions, least and largest distance to the pivot
-    least: np.ndarray
-    largest: np.ndarray
+    points: DataFrame  # vid, x, n, cell
+    low: np.ndarray  # of each cell: corners of the box around its points
+    high: np.ndarray
+
+
+def _cuts(x: np.ndarray, parts: int) -> list[tuple[int, float, int, int]]:
+    """A tree over rows of x: (dimension, cut, place of the lower part, place of the rest); a part is (-1, 0, its number, 0)."""
+    nodes, todo, n = [(0, 0.0, 0, 0)], [(0, x, parts)], 0
+    while todo:
+        at, own, left = todo.pop()
+        order = np.argsort(-own.std(0), kind="stable") if left > 1 and len(own) > 1 else []
+        for j in order:
+            cut = np.median(own[:, j])
+            cut = cut if own[:, j].min() < cut else own[own[:, j] > cut, j].min(initial=np.inf)
+            if own[:, j].min() < cut < np.inf:
+                low = own[:, j] < cut
+                nodes[at] = (int(j), float(cut), len(nodes), len(nodes) + 1)
+                share = min(left - 1, max(1, round(left * low.mean())))
+                todo += [(len(nodes), own[low], share), (len(nodes) + 1, own[~low], left - share)]
+                nodes += [(0, 0.0, 0, 0)] * 2
+                break
+        else:
+            nodes[at] = (-1, 0.0, n, 0)
+            n += 1
+    return nodes
+
+
+def _part_of(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The part of the tree in which each row of x lies."""
+    at = np.zeros(len(x), int)
+    while len(live := np.flatnonzero(nodes[at, 0] >= 0)):
+        node = nodes[at[live]]
+        low = x[live, node[:, 0].astype(int)] < node[:, 1]
+        at[live] = np.where(low, node[:, 2], node[:, 3]).astype(int)
+    return nodes[at, 2].astype(int)
+
+
+def _leaves(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the rows of x in leaves of at most so many."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            out.append(np.sort(own))
+            continue
+        j = int(x[own].std(0).argmax()) if x.shape[1] else 0
+        half = len(own) // 2
+        own = own[np.argpartition(x[own, j], half)] if x.shape[1] else own
+        todo += [own[:half], own[half:]]
+    return out
+
+
+def _to_boxes(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distances of all rows of q to all boxes, not above those to any of their points as `distances` has them."""
+    out = np.zeros((len(q), len(low)))
+    for j in range(q.shape[1]):
+        step = np.maximum(np.maximum(low[None, :, j] - q[:, j, None], q[:, j, None] - high[None, :, j]), 0)
+        step *= step
+        out += step
+    return np.sqrt(out, out=out)
 
 
 def cells(points: DataFrame, chunk: int = POINTS) -> Cells:
     """points (vid, x, n) dealt over cells."""
     spark, m = points.sparkSession, points.count()
-    chosen = points.orderBy(F.xxhash64("x"), "x").limit(max(1, min(PIVOTS, m // chunk))).select("x").collect()
-    pivots = np.array([r["x"] for r in chosen], float).reshape(len(chosen), -1)
-    sent = spark.sparkContext.broadcast(pivots)
+    share = F.pmod(F.xxhash64("x"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(m, 1)))
+    chosen = (points if m <= SAMPLE else points.where(share)).select("vid", "x").orderBy("vid").toPandas()["x"]
+    sample = np.array(chosen.tolist(), float).reshape(len(chosen), -1)
+    dims = sample.shape[1]
+    sent = spark.sparkContext.broadcast(np.array(_cuts(sample, max(1, min(CELLS, m // chunk)))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                d = distances(matrix(part.column("x"), sent.value.shape[1]), sent.value)
-                cell = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*part.schema.names, "cell", "away"])
-
-    dealt = stored(points.select("vid", "x", "n").mapInArrow(deal, "vid long, x array<double>, n long, cell int, away double"))
-    rows = dealt.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")).collect()
-    of = {r["cell"]: r for r in rows}
-    figures = np.array([[of[i]["n"], of[i]["lo"], of[i]["hi"]] if i in of else [0, np.inf, -np.inf] for i in range(len(pivots))]).reshape(-1, 3)
-    table = spark.createDataFrame([(r["cell"], -(-r["m"] // chunk)) for r in rows], "cell int, chunks int")
-    placed = dealt.join(F.broadcast(table), "cell").select("vid", "x", "n", "cell", F.pmod(F.xxhash64("vid"), "chunks").cast("int").alias("chunk"))
-    return Cells(placed, table, pivots, figures[:, 0], figures[:, 1], figures[:, 2])
-
-
-def _near_cells(away: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """For each query (rows of distances to the pivots) the cells, nearest first, that hold k points together."""
-    order = np.argsort(away, axis=1, kind="stable")
-    held = np.cumsum(weight[order], axis=1)
-    take = np.concatenate([np.ones((len(away), 1), bool), held[:, :-1] < k], axis=1)
-    out = np.zeros(away.shape, bool)
-    np.put_along_axis(out, order, take, axis=1)
-    return out & (weight > 0)
+            cell = _part_of(matrix(b.column("x"), dims), sent.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], [*b.schema.names, "cell"])
+
+    dealt = stored(points.select("vid", "x", "n").mapInArrow(deal, "vid long, x array<double>, n long, cell int"))
+    corner = [f(F.col("x")[j]).alias(f"{name}{j}") for name, f in (("low", F.min), ("high", F.max)) for j in range(dims)]
+    rows = sorted(map(tuple, dealt.groupBy("cell").agg(F.count("*"), *corner).collect()))  # each holds a point of the sample
+    box = np.array([r[2:] for r in rows], float).reshape(len(rows), 2 * dims)
+    return Cells(dealt, box[:, :dims], box[:, dims:])
 
 
-def _visits(queries: DataFrame, index: Cells, k: int, bounded: bool) -> DataFrame:
-    """(qid, x, r, cell): the first cells of each query, or with its bound r the others that can hold nearer points."""
-    sent = queries.sparkSession.sparkContext.broadcast((index.pivots, index.weight, index.least, index.largest))
+def _visits(queries: DataFrame, index: Cells, bounded: bool) -> DataFrame:
+    """(qid, x, r, cell): the nearest cell of each query, or with its bound r the others that can hold nearer points."""
+    sent = queries.sparkSession.sparkContext.broadcast((index.low, index.high))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, weight, least, largest = sent.value
-        between = distances(pivots, pivots) if bounded else None
+        low, high = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                away = distances(matrix(b.column("x"), pivots.shape[1]), pivots)
-                go = _near_cells(away, weight, k)
-                r = np.full(b.num_rows, np.inf)
+            for at in range(0, whole.num_rows if len(low) else 0, 512):
+                b = whole.slice(at, 512)
+                away = _to_boxes(matrix(b.column("x"), low.shape[1]), low, high)
+                home, q, r = away.argmin(1), np.arange(b.num_rows), np.full(b.num_rows, np.inf)
+                cell = home
                 if bounded:
                     r = b.column("r").to_numpy()
-                    own = away.argmin(1)
-                    near = away[np.arange(len(away)), own]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = np.where(between[own] > 0, (away**2 - near[:, None] ** 2) / (2 * between[own]), 0)
-                    bound = np.maximum(plane, np.maximum(away - largest, least - away))
-                    go = ~go & (weight > 0) & (bound <= (r * (1 + 1e-9) + 1e-12)[:, None])
-                q, cell = np.nonzero(go)
+                    go = away <= r[:, None]
+                    go[q, home] = False
+                    q, cell = np.nonzero(go)
                 rows = pa.array(q)
                 yield pa.RecordBatch.from_arrays([b.column("qid").take(rows), b.column("x").take(rows), pa.array(r[q]), pa.array(cell.astype(np.int32))], ["qid", "x", "r", "cell"])
 
     return queries.mapInArrow(run, "qid long, x array<double>, r double, cell int")
 
 
+def _nearest(q: np.ndarray, s: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, places in s and distances of the k nearest of each, none beyond `most`, and the bounds of all rows of q."""
+    leaves = _leaves(s, max(LEAF, 2 * k))
+    low, high = (np.array([f(s[i], axis=0) for i in leaves]).reshape(len(leaves), -1) for f in (np.min, np.max))
+    r, best, hits = most.copy(), np.full((len(q), k), np.inf), []
+    away = _to_boxes(q, low, high)
+    order = np.argsort(away, axis=1, kind="stable")
+    live = np.arange(len(q))
+    for wave in range(len(leaves)):
+        live = live[away[live, order[live, wave]] <= r[live]]
+        if not len(live):
+            break
+        leaf = order[live, wave]
+        by = np.argsort(leaf, kind="stable")
+        for i in np.split(live[by], np.flatnonzero(np.diff(leaf[by])) + 1):
+            own = leaves[order[i[0], wave]]
+            d = distances(q[i], s[own])
+            both = np.concatenate([best[i], np.where(d <= r[i, None], d, np.inf)], axis=1)
+            best[i] = np.partition(both, k - 1, axis=1)[:, :k]
+            r[i] = np.minimum(r[i], best[i].max(1))
+            a, b = np.nonzero(d <= r[i, None])
+            hits.append((i[a], own[b], d[a, b]))
+    row, place, d = (np.concatenate(v) for v in zip(*hits, strict=True)) if hits else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    row, place, d = (v[d <= r[row]] for v in (row, place, d))
+    by = np.lexsort((place, d, row))
+    row, place, d = row[by], place[by], d[by]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], place[first], d[first], r
+
+
 def _meet(visits: DataFrame, index: Cells, k: int) -> DataFrame:
-    """(qid, vid, d, n): of each chunk that a query visits its k nearest points."""
-    dims, key = index.pivots.shape[1], ["cell", "chunk"]
-    each = visits.join(F.broadcast(index.figures), "cell").select("qid", "x", "r", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    each = stored(each)
-    lots = each.groupBy(*key).agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
-    asked = each.join(lots, key).withColumn("lot", F.pmod(F.xxhash64("qid"), "lots").cast("int"))
-    there = index.points.join(lots.withColumnRenamed("lots", "copies"), key).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    """(qid, vid, d, n, x, r): of each cell that a query visits its k nearest points; on the first of these x and
+    the bound of the query."""
+    dims = index.low.shape[1]
+    each = stored(visits)
+    lots = each.groupBy("cell").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    asked = each.join(F.broadcast(lots), "cell").withColumn("lot", F.pmod(F.xxhash64("qid"), "lots").cast("int"))
+    there = index.points.join(F.broadcast(lots), "cell").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    there = there.select("vid", "x", "n", "cell", "lot")
 
     def nearest(queries: pa.Table, points: pa.Table) -> pa.Table:
-        names = ["qid", "vid", "d", "n"]
+        names = ["qid", "vid", "d", "n", "x", "r"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.float64()]
         if not queries.num_rows or not points.num_rows:
-            return pa.table({n: pa.array([], pa.float64() if n == "d" else pa.int64()) for n in names})
+            return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
         points = points.sort_by("vid")
-        q, s, most = matrix(queries.column("x"), dims), matrix(points.column("x"), dims), queries.column("r").to_numpy()
-        rows, places, far = [], [], []
-        for at in range(0, len(q), 256):
-            d = distances(q[at : at + 256], s)
-            bound = most[at : at + 256, None]
-            if d.shape[1] > k:
-                bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1 : k])
-            i, j = np.nonzero(d <= bound)
-            order = np.lexsort((j, d[i, j], i))
-            i, j = i[order], j[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[nth < k], j[nth < k]
-            rows.append(i + at)
-            places.append(j)
-            far.append(d[i, j])
-        rows, places = pa.array(np.concatenate(rows)), pa.array(np.concatenate(places))
-        return pa.table([queries.column("qid").take(rows), points.column("vid").take(places), pa.array(np.concatenate(far)), points.column("n").take(places)], names)
-
-    lot = [*key, "lot"]
-    return asked.groupBy(*lot).cogroup(there.groupBy(*lot)).applyInArrow(nearest, "qid long, vid long, d double, n long")
+        s, done = matrix(points.column("x"), dims), []
+        for at in range(0, queries.num_rows, 4096):
+            part = queries.slice(at, 4096)
+            row, place, d, r = _nearest(matrix(part.column("x"), dims), s, part.column("r").to_numpy(), k)
+            start = np.diff(row, prepend=-1) > 0
+            known = pa.array(row, mask=~start)
+            done.append([part.column("qid").take(pa.array(row)), points.column("vid").take(pa.array(place)), pa.array(d), points.column("n").take(pa.array(place)), part.column("x").take(known), pa.array(r[row], mask=~start)])
+        flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        return pa.table([pa.chunked_array([flat(c) for c in column], t) for column, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+
+    lot = ["cell", "lot"]
+    return asked.groupBy(*lot).cogroup(there.groupBy(*lot)).applyInArrow(nearest, "qid long, vid long, d double, n long, x array<double>, r double")
 
 
 def _first(found: DataFrame, k: int, own: bool) -> DataFrame:
-    """(qid, vid, d, n): the k nearest of each query, the last one less what is over."""
+    """(qid, vid, d, n, before): the k nearest of each query, the last one less what is over, and how many
+    lie before each."""
     if own:
         found = found.withColumn("n", F.col("n") - (F.col("vid") == F.col("qid")).cast("long")).where("n > 0")
     order = Window.partitionBy("qid").orderBy("d", "vid")
-    found = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("before", before).where(F.col("before") < k).select("qid", "vid", "d", F.least(F.col("n"), k - F.col("before")).alias("n"))
+    return found.withColumn("before", before).where(F.col("before") < k).select("qid", "vid", "d", F.least(F.col("n"), k - F.col("before")).alias("n"), "before")
 
 
 def nearest_neighbours(queries: DataFrame, index: Cells, k: int, own: bool = False) -> DataFrame:
-    """(qid, vid, d, n) for queries (qid, x): their k nearest points, n times each; with own, qid is the
-    vid of the query itself, which does not count as its own neighbour."""
-    queries = queries.select("qid", "x")
+    """(qid, vid, d, n, before) for queries (qid, x): their k nearest points, n times each, and how many lie before
+    each; with own, qid is the vid of the query itself, which does not count as its own neighbour."""
     some = k + own
-    first = stored(_first(_meet(_visits(queries, index, some, False), index, some), k, own))
-    bounds = first.groupBy("qid").agg(F.max("d").alias("r"), F.sum("n").alias("held"))
-    # whoever has found fewer than k has no bound
-    asked = queries.join(bounds, "qid", "left").select("qid", "x", F.when(F.col("held") >= k, F.col("r")).otherwise(F.lit(float("inf"))).alias("r"))
-    more = _meet(_visits(asked, index, some, True), index, some)
-    if own:
-        more = more.where("vid <> qid")  # met in the first round
-    return _first(first.unionByName(more), k, False)
+    first = stored(_meet(_visits(queries.select("qid", "x"), index, False), index, some))
+    asked = first.where("r IS NOT NULL").select("qid", "x", "r")  # without a bound (r infinite) if its cell has fewer
+    more = _meet(_visits(asked, index, True), index, some)
+    return _first(first.select("qid", "vid", "d", "n").unionByName(more.select("qid", "vid", "d", "n")), k, own)

@@ -142,3 +142,26 @@ def test_svm_over_landmarks_equals_one_of_all_rows(spark, monkeypatch):
     every = detectors.OneClassSvm(nu, gamma, part=100, taken=500, landmarks=0).fit(frame(spark, x), "x", ["id"])
     assert len(every.model[1]) >= nu * len(x)
     assert np.abs(detectors.OneClassSvm._score(every.model, x) - want).max() < 1e-5
+
+
+def test_a_query_meets_as_many_points_whatever_their_number(monkeypatch):
+    rng, plain, met = np.random.default_rng(9), neighbours.distances, []
+    monkeypatch.setattr(neighbours, "distances", lambda a, b: met.append(len(a) * len(b)) or plain(a, b))
+    each = []
+    for n in (4000, 32000):
+        x, q = rng.normal(0, 1, (n, 3)), rng.normal(0, 1, (200, 3))
+        met.clear()
+        row, place, d, r = neighbours._nearest(q, x, np.full(len(q), np.inf), 10)
+        each.append(sum(met) / len(q))
+        want = plain(q, x)
+        assert (place.reshape(200, 10) == np.argsort(want, axis=1, kind="stable")[:, :10]).all() and (r == np.sort(want, axis=1)[:, 9]).all()
+    assert each[1] < 1.5 * each[0] < 0.75 * 4000
+
+
+def test_training_rows_are_scored_without_another_search(spark, clouds, monkeypatch):
+    monkeypatch.setattr(detectors, "SENT", 10)
+    rows = frame(spark, clouds)
+    fitted = detectors.make("lof", neighbours=250).fit(rows, "x", ["id"])  # more than equal vectors, and fewer
+    monkeypatch.setattr(detectors, "nearest_neighbours", None)
+    got = [r["anomaly"] for r in fitted.score(rows, "x").orderBy("id").collect()]
+    assert np.allclose(got, plain_lof(clouds, clouds, 250), rtol=1e-9)
