@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.neighbours import POINTS, cells, distances, distinct_vectors, matrix, nearest_neighbours
+from ..operators.neighbours import POINTS, cells, distances, distinct_vectors, matrix, nearest_neighbours, sums_over
 from ..operators.order import running, stored
 
 #: Rows of a tree; distinct vectors of a LOF model that are sent to all tasks; distinct vectors of the first
 #: solution of the SVM, and those next to the border that one task solves at first.
 TREE_ROWS, SENT, PART, TAKEN = 256, 4096, 8192, 8192
 #: Of the SVM: what may lie outside the span of the landmarks (squared, of 1); landmarks at most; vectors from
-#: which one task chooses them; stretches of sums up to the border.
-REST, LANDMARKS, SPANNED, CUTS = 1e-6, 4096, 16384, 4096
+#: which one task chooses them, and how many of these at once at most; stretches of sums up to the border.
+REST, LANDMARKS, SPANNED, BLOCK, CUTS = 1e-6, 4096, 16384, 512, 4096
 
 
 def _packed(model: object) -> bytes:
@@ -155,19 +155,17 @@ class LocalOutlierFactor(_Detector):
         n = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         self.k = max(1, min(self.neighbours, n - 1))
         self.index = cells(points, max(POINTS, 8 * self.k))
-        found = nearest_neighbours(points.withColumn("qid", F.col("vid")), self.index, self.k, own=True)
-        met = stored(found.groupBy("qid").agg(F.max("d").alias("radius"), F.collect_list(F.struct("vid", "d", "n", "before")).alias("near")))
-        radius = met.select(F.col("qid").alias("vid"), "radius")
-        near = met.select("qid", F.inline("near"))
-        reach = near.join(radius, "vid").groupBy("qid").agg((F.sum(F.col("n") * F.greatest("d", "radius")) / F.sum("n")).alias("reach"))
-        known = radius.join(reach.withColumnRenamed("qid", "vid"), "vid").select("vid", "radius", (1 / (F.col("reach") + 1e-10)).alias("density"))
+        near = stored(nearest_neighbours(points.withColumn("qid", F.col("vid")), self.index, self.k, own=True, lists=True))
+        placed = self.index.points.select("vid", "x", "n", "cell")
+        radius = near.groupBy(F.col("qid").alias("vid")).agg(F.max("radius").alias("radius"))
         # a single vector has no neighbours
-        table = stored(points.join(known, "vid", "left").fillna({"radius": 0.0, "density": 1e10}))
+        placed = stored(placed.join(radius, "vid", "left").fillna({"radius": 0.0}))
+        reach = sums_over(near, placed.withColumn("density", F.lit(0.0))).select(F.col("qid").alias("vid"), (1 / (F.col("rs") / F.col("w") + 1e-10)).alias("density"))
+        table = stored(placed.join(reach, "vid", "left").fillna({"density": 1e10}))
         # a training row that is scored meets itself once more, so the last of its neighbours counts once less
-        others = near.where("vid <> qid").withColumn("n", F.least(F.col("n"), self.k - 1 - F.col("before"))).where("n > 0")
-        others = others.join(table.select("vid", "radius", "density"), "vid").groupBy("qid").agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("density")).alias("ds"), F.sum(F.col("n") * F.greatest("d", "radius")).alias("rs"))
+        others = sums_over(near, table, self.k - 1)
         once = F.least(F.col("n"), F.lit(self.k))
-        every = table.join(others.withColumnRenamed("qid", "vid"), "vid", "left").fillna({"w": 0, "ds": 0.0, "rs": 0.0}).withColumn("w", F.col("w") + once)
+        every = table.join(others.withColumnRenamed("qid", "vid"), "vid", "left").fillna({"w": 0.0, "ds": 0.0, "rs": 0.0}).withColumn("w", F.col("w") + once)
         own = (F.col("ds") + once * F.col("density")) / F.col("w") * ((F.col("rs") + once * F.col("radius")) / F.col("w") + 1e-10)
         self._set(stored(every.select("vid", "x", "n", "radius", "density", own.alias("own"))))
         return self
@@ -199,9 +197,10 @@ class LocalOutlierFactor(_Detector):
         both = stored(queries.join(self.table.select("x", F.col("own").alias(name)), F.col("_v") == F.col("x"), "left").drop("x"))
         found, new = both.where(F.col(name).isNotNull()).select("_v", name), both.where(F.col(name).isNull()).select("qid", F.col("_v").alias("x"))
         if not new.isEmpty():
-            near = nearest_neighbours(new, self.index, self.k).join(self.table.select("vid", "radius", "density"), "vid")
-            mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
-            scored = near.groupBy("qid").agg((mean(F.col("density")) * (mean(F.greatest("d", "radius")) + 1e-10)).alias(name))
+            near = stored(nearest_neighbours(new, self.index, self.k, lists=True))
+            table = self.table.select("vid", "radius", "density").join(self.index.points.select("vid", "cell"), "vid")
+            mean = lambda c: F.col(c) / F.col("w")
+            scored = sums_over(near, table).select("qid", (mean("ds") * (mean("rs") + 1e-10)).alias(name))
             found = found.unionByName(new.join(scored, "qid").select(F.col("x").alias("_v"), name))
         return rows.join(stored(found), rows[vector].cast("array<double>") == F.col("_v"), "left").drop("_v")
 
@@ -275,9 +274,20 @@ def _solve(x: np.ndarray, cap: np.ndarray, gamma: float, start: np.ndarray | Non
     return a, float(g[edge].mean() if edge.any() else g[some].max(initial=0.0))
 
 
-def _rest(q: np.ndarray, z: np.ndarray, back: np.ndarray, gamma: float) -> np.ndarray:
-    """Of each row of q the part (squared, of 1) outside the span of z; back is the inverse of its Cholesky factor."""
-    return np.concatenate([1 - ((_kernel(q[at : at + 1024], z, gamma) @ back.T) ** 2).sum(1) for at in range(0, len(q), 1024)]) if len(z) else np.ones(len(q))
+def _outside(q: np.ndarray, z: np.ndarray, back: np.ndarray, gamma: float) -> np.ndarray:
+    """Whether of each row of q more than REST (squared, of 1) lies outside the span of z; back is the inverse of its
+    Cholesky factor. Rows that the first landmarks span already don't meet the others."""
+    out = np.ones(len(q), bool)
+    for at in range(0, len(q), 1024):
+        kernel = _kernel(q[at : at + 1024], z, gamma)
+        left, live = np.ones(len(kernel)), np.arange(at, at + len(kernel))
+        for low in range(0, len(z), BLOCK):
+            high = min(low + BLOCK, len(z))
+            left -= ((kernel[:, :high] @ back[low:high, :high].T) ** 2).sum(1)
+            if (go := left > REST).mean() < 0.75 or high == len(z):
+                out[live[~go]] = False
+                kernel, left, live = kernel[go], left[go], live[go]
+    return out
 
 
 def _factor(z: np.ndarray, gamma: float) -> np.ndarray:
@@ -287,19 +297,30 @@ def _factor(z: np.ndarray, gamma: float) -> np.ndarray:
 
 def _landmarks(x: np.ndarray, z: np.ndarray, gamma: float, most: int) -> np.ndarray:
     """Rows of x, farthest first, that leave of none more than REST outside their span and that of z (pivoted
-    Cholesky); with more than `most` it ends earlier."""
-    base = (_kernel(x, z, gamma) @ _factor(z, gamma).T).T if len(z) else np.zeros((0, len(x)))
-    left, found = 1 - (base**2).sum(0), []
-    held = np.zeros((256, len(x)))
-    while left.max(initial=0.0) > REST and len(found) <= most:
-        i, r = int(left.argmax()), len(found)
-        if r == len(held):
-            held = np.concatenate([held, np.zeros((r, len(x)))])
-        v = _kernel(x, x[i : i + 1], gamma)[:, 0] - base.T @ base[:, i] - held[:r].T @ held[:r, i]
-        held[r] = v / np.sqrt(left[i])
-        left -= held[r] ** 2
-        left[i] = 0
-        found.append(i)
+    Cholesky); with more than `most` of both it ends earlier.
+
+    The BLOCK farthest rows are taken together: among them the farthest is the farthest of all until it lies nearer than
+    the nearest of them did, and then all rows meet the ones taken at once."""
+    held = np.zeros((max(len(z), min(most, len(z) + len(x))) + BLOCK, len(x)))
+    held[: len(z)] = _factor(z, gamma) @ _kernel(z, x, gamma)
+    r, left, found = len(z), 1 - (held[: len(z)] ** 2).sum(0), []
+    while left.max(initial=0.0) > REST and r <= most:
+        far = np.argpartition(-left, min(BLOCK, len(left)) - 1)[:BLOCK]
+        own, taken, rows = left[far], [], np.zeros((len(far), len(far)))
+        floor = max(REST, own.min()) if len(far) < len(left) else REST
+        each = _kernel(x[far], x[far], gamma) - held[:r, far].T @ held[:r, far]
+        while len(taken) < len(far) and (own.max() > floor or not taken):
+            i, n = int(own.argmax()), len(taken)
+            rows[n] = (each[i] - rows[:n, i] @ rows[:n]) / np.sqrt(own[i])
+            own -= rows[n] ** 2
+            own[i] = 0
+            taken.append(i)
+        new, n = far[taken], len(taken)
+        held[r : r + n] = np.linalg.solve(np.tril(rows[:n, taken].T), _kernel(x[new], x, gamma) - held[:r, new].T @ held[:r])
+        left -= (held[r : r + n] ** 2).sum(0)
+        left[new] = 0
+        r += n
+        found += new.tolist()
     return x[found]
 
 
@@ -356,7 +377,7 @@ class OneClassSvm(_Detector):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 z, back = sent.value
                 for b in batches:
-                    yield b.filter(pa.array(_rest(matrix(b.column("x"), dims), z, back, gamma) > REST))
+                    yield b.filter(pa.array(_outside(matrix(b.column("x"), dims), z, back, gamma)))
 
             return run
 

@@ -7,7 +7,9 @@ and then the cells whose boxes are not farther away than that bound, and no othe
 cuts the points into leaves, at medians again, and a query meets these nearest first, while they can hold
 anything nearer. So the work for a query does not follow the number of points, but for the boxes of
 CELLS cells at most that it is held against. Queries of a cell are dealt over lots, so a task holds one cell
-and one lot. Only a sample of SAMPLE points and one row of figures a cell reach the driver.
+and one lot. Neighbours stay lists, one for each query and cell, and what is known of points is met with them
+cell by cell (`sums_over`), so that no join sees a row for each neighbour. Only a sample of SAMPLE points and
+one row of figures a cell reach the driver.
 
 Of points at equal distance the smallest vector comes first (as arrays compare).
 """
@@ -19,13 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .order import stored
 
 #: Cells at most, and points of one if there are fewer; points from which cuts are found; points of a leaf; queries of a lot.
-CELLS, POINTS, SAMPLE, LEAF, LOT = 1024, 8192, 32768, 256, 16384
+CELLS, POINTS, SAMPLE, LEAF, LOT = 1024, 32768, 32768, 256, 16384
+
+_ASKED = "qid long, cell int, vid array<long>, d array<double>, n array<int>"
+_LISTS = {"vid": pa.int64(), "d": pa.float64(), "n": pa.int32(), "before": pa.int32()}
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -188,51 +193,117 @@ def _nearest(q: np.ndarray, s: np.ndarray, most: np.ndarray, k: int) -> tuple[np
     return row[first], place[first], d[first], r
 
 
+def _dealt(queries: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """queries and points (both with `cell`) with the lot of each query, and a copy of each point for each lot of its cell."""
+    lots = queries.groupBy("cell").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    asked = queries.join(F.broadcast(lots), "cell").withColumn("lot", F.pmod(F.xxhash64("qid"), "lots").cast("int")).drop("lots")
+    there = points.join(F.broadcast(lots), "cell").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    return asked, there
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _long(table: pa.Table, names: list[str]) -> list[np.ndarray]:
+    """Of a table of lists the place of the row of each element, and the elements."""
+    columns = [_flat(table.column(n)) for n in names]
+    size = columns[0].value_lengths().to_numpy(zero_copy_only=False)
+    return [np.repeat(np.arange(table.num_rows), size), *[c.flatten().to_numpy(zero_copy_only=False) for c in columns]]
+
+
+def _listed(start: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+    """Columns as lists that begin at the places given."""
+    offsets = pa.array(np.append(start, len(next(iter(columns.values())))).astype(np.int32))
+    return {n: pa.ListArray.from_arrays(offsets, pa.array(v, _LISTS[n])) for n, v in columns.items()}
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Places at which any of the keys changes."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
 def _meet(visits: DataFrame, index: Cells, k: int) -> DataFrame:
-    """(qid, vid, d, n, x, r): of each cell that a query visits its k nearest points; on the first of these x and
-    the bound of the query."""
+    """(qid, cell, vid, d, n, x, r): of each cell that a query visits its k nearest points, as lists, and the query's bound.
+    More than k equal points count as k."""
     dims = index.low.shape[1]
-    each = stored(visits)
-    lots = each.groupBy("cell").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
-    asked = each.join(F.broadcast(lots), "cell").withColumn("lot", F.pmod(F.xxhash64("qid"), "lots").cast("int"))
-    there = index.points.join(F.broadcast(lots), "cell").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    there = there.select("vid", "x", "n", "cell", "lot")
+    asked, there = _dealt(stored(visits), index.points.select("vid", "x", "n", "cell"))
 
     def nearest(queries: pa.Table, points: pa.Table) -> pa.Table:
-        names = ["qid", "vid", "d", "n", "x", "r"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.float64()]
-        if not queries.num_rows or not points.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
         points = points.sort_by("vid")
-        s, done = matrix(points.column("x"), dims), []
-        for at in range(0, queries.num_rows, 4096):
-            part = queries.slice(at, 4096)
-            row, place, d, r = _nearest(matrix(part.column("x"), dims), s, part.column("r").to_numpy(), k)
-            start = np.diff(row, prepend=-1) > 0
-            known = pa.array(row, mask=~start)
-            done.append([part.column("qid").take(pa.array(row)), points.column("vid").take(pa.array(place)), pa.array(d), points.column("n").take(pa.array(place)), part.column("x").take(known), pa.array(r[row], mask=~start)])
-        flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        return pa.table([pa.chunked_array([flat(c) for c in column], t) for column, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+        x, n = matrix(points.column("x"), dims), np.minimum(points.column("n").to_numpy(), k)
+        q, most = matrix(queries.column("x"), dims), queries.column("r").to_numpy()
+        row, place, d, r = _nearest(q, x, most, k) if len(q) and len(x) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), most)
+        start = _starts(row) if len(row) else np.zeros(0, int)
+        of = pa.array(row[start])
+        lists = _listed(start, {"vid": points.column("vid").to_numpy()[place], "d": d, "n": n[place]})
+        return pa.table({**{c: _flat(queries.column(c).take(of)) for c in ("qid", "cell")}, **lists, "x": _flat(queries.column("x").take(of)), "r": pa.array(r[row[start]])})
 
     lot = ["cell", "lot"]
-    return asked.groupBy(*lot).cogroup(there.groupBy(*lot)).applyInArrow(nearest, "qid long, vid long, d double, n long, x array<double>, r double")
-
-
-def _first(found: DataFrame, k: int, own: bool) -> DataFrame:
-    """(qid, vid, d, n, before): the k nearest of each query, the last one less what is over, and how many
-    lie before each."""
-    if own:
-        found = found.withColumn("n", F.col("n") - (F.col("vid") == F.col("qid")).cast("long")).where("n > 0")
-    order = Window.partitionBy("qid").orderBy("d", "vid")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("before", before).where(F.col("before") < k).select("qid", "vid", "d", F.least(F.col("n"), k - F.col("before")).alias("n"), "before")
-
-
-def nearest_neighbours(queries: DataFrame, index: Cells, k: int, own: bool = False) -> DataFrame:
+    return asked.groupBy(*lot).cogroup(there.groupBy(*lot)).applyInArrow(nearest, f"{_ASKED}, x array<double>, r double")
+
+
+def _first(found: DataFrame, queries: int, k: int, own: bool) -> DataFrame:
+    """(qid, cell, vid, d, n, before, radius): the k nearest of each query, a row for each cell that has some: the last one
+    less what is over, how many lie before each, and the distance of the last."""
+
+    def first(lists: pa.Table) -> pa.Table:
+        row, vid, d, n = _long(lists, ["vid", "d", "n"])
+        qid, cell = (_flat(lists.column(c)).to_numpy()[row] for c in ("qid", "cell"))
+        n = n - (vid == qid) if own else n
+        by = np.lexsort((vid, d, qid))
+        by = by[n[by] > 0]
+        qid, cell, vid, d, n = (v[by] for v in (qid, cell, vid, d, n))
+        before = np.cumsum(n) - n
+        start = _starts(qid) if len(qid) else np.zeros(0, int)
+        before -= np.repeat(before[start], np.diff(np.append(start, len(qid))))
+        keep = before < k
+        qid, cell, vid, d, n, before = (v[keep] for v in (qid, cell, vid, d, n, before))
+        n = np.minimum(n, k - before)
+        start = _starts(qid) if len(qid) else np.zeros(0, int)
+        ends = np.append(start[1:], len(qid)) - 1
+        radius = np.repeat(d[ends[: len(start)]], np.diff(np.append(start, len(qid)))) if len(qid) else d
+        by = np.lexsort((cell, qid))
+        qid, cell, vid, d, n, before, radius = (v[by] for v in (qid, cell, vid, d, n, before, radius))
+        start = _starts(qid, cell) if len(qid) else np.zeros(0, int)
+        return pa.table({"qid": qid[start], "cell": cell[start], **_listed(start, {"vid": vid, "d": d, "n": n, "before": before}), "radius": radius[start]})
+
+    part = F.pmod(F.xxhash64("qid"), F.lit(-(-queries // LOT) or 1)).alias("part")
+    return found.groupBy(part).applyInArrow(first, f"{_ASKED}, before array<int>, radius double")
+
+
+def nearest_neighbours(queries: DataFrame, index: Cells, k: int, own: bool = False, lists: bool = False) -> DataFrame:
     """(qid, vid, d, n, before) for queries (qid, x): their k nearest points, n times each, and how many lie before
-    each; with own, qid is the vid of the query itself, which does not count as its own neighbour."""
+    each; with own, qid is the vid of the query itself, which does not count as its own neighbour. With lists, a row
+    for each query and cell that holds neighbours (`cell`), and `radius`, the distance of the last of all."""
     some = k + own
     first = stored(_meet(_visits(queries.select("qid", "x"), index, False), index, some))
-    asked = first.where("r IS NOT NULL").select("qid", "x", "r")  # without a bound (r infinite) if its cell has fewer
+    asked = first.select("qid", "x", "r")  # without a bound (r infinite) if its cell has fewer
     more = _meet(_visits(asked, index, True), index, some)
-    return _first(first.select("qid", "vid", "d", "n").unionByName(more.select("qid", "vid", "d", "n")), k, own)
+    columns = ["qid", "cell", "vid", "d", "n"]
+    found = _first(first.select(*columns).unionByName(more.select(*columns)), first.count(), k, own)
+    return found if lists else found.select("qid", F.inline(F.arrays_zip("vid", "d", "n", "before")))
+
+
+def sums_over(lists: DataFrame, points: DataFrame, others: int | None = None) -> DataFrame:
+    """(qid, w, rs, ds): of the neighbours in lists their number and the sums of the greater of distance and radius, and of
+    density; lists (stored, they are read twice); points: (vid, cell, radius, density). With others, only so many neighbours count, and not the query itself."""
+    columns = ["qid", "cell", "vid", "d", "n", "before"]
+    asked, there = _dealt(lists.select(*columns), points.select("vid", "cell", "radius", "density"))
+
+    def sums(lists: pa.Table, points: pa.Table) -> pa.Table:
+        points = points.sort_by("vid")
+        known, radius, density = (_flat(points.column(c)).to_numpy() for c in ("vid", "radius", "density"))
+        row, vid, d, n, before = _long(lists, ["vid", "d", "n", "before"])
+        qid = _flat(lists.column("qid")).to_numpy()
+        if others is not None:
+            n = np.where(vid == qid[row], 0, np.clip(n, 0, np.maximum(others - before, 0)))
+        place = np.searchsorted(known, vid)
+        total = lambda v: np.bincount(row, n * v, len(qid))
+        return pa.table({"qid": qid, "w": total(np.ones(len(n))), "rs": total(np.maximum(d, radius[place])), "ds": total(density[place])})
+
+    lot = ["cell", "lot"]
+    each = asked.groupBy(*lot).cogroup(there.groupBy(*lot)).applyInArrow(sums, "qid long, w double, rs double, ds double")
+    return each.groupBy("qid").agg(*[F.sum(c).alias(c) for c in ("w", "rs", "ds")]).where("w > 0")

@@ -165,3 +165,39 @@ def test_training_rows_are_scored_without_another_search(spark, clouds, monkeypa
     monkeypatch.setattr(detectors, "nearest_neighbours", None)
     got = [r["anomaly"] for r in fitted.score(rows, "x").orderBy("id").collect()]
     assert np.allclose(got, plain_lof(clouds, clouds, 250), rtol=1e-9)
+
+
+@pytest.mark.parametrize("sent", [4096, 10])
+def test_sums_over_neighbours_are_those_of_single_rows(spark, clouds, sent, monkeypatch):
+    """Neighbours stay lists, a row for each query and cell, whatever their number."""
+    monkeypatch.setattr(neighbours, "LOT", sent)
+    points = neighbours.distinct_vectors(frame(spark, clouds), "x")
+    index = neighbours.cells(points, 100)
+    lists = neighbours.stored(neighbours.nearest_neighbours(points.withColumn("qid", F.col("vid")), index, 20, own=True, lists=True))
+    assert lists.count() == lists.select("qid", "cell").distinct().count() <= points.count() * len(index.low)
+    single = lists.select("qid", "radius", F.inline(F.arrays_zip("vid", "d", "n", "before"))).toPandas()
+    assert (single.groupby("qid")["n"].sum() == 20).all() and (single.groupby("qid")["d"].max() == single.groupby("qid")["radius"].first()).all()
+    known = index.points.select("vid", "cell", F.sqrt(F.col("vid") % 7).alias("radius"), (1.0 + F.col("vid") % 5).alias("density"))
+    held = single.drop(columns="radius").merge(known.toPandas(), on="vid")
+    for others in (None, 19):
+        part = held if others is None else held[held["vid"] != held["qid"]].assign(n=lambda h: np.minimum(h["n"], others - h["before"]).clip(lower=0))
+        part = part.assign(rs=part["n"] * np.maximum(part["d"], part["radius"]), ds=part["n"] * part["density"])
+        want = part.groupby("qid")[["n", "rs", "ds"]].sum().query("n > 0")
+        got = neighbours.sums_over(lists, known, others).toPandas().set_index("qid").sort_index()
+        assert list(got.index) == list(want.index) and np.allclose(got[["w", "rs", "ds"]], want[["n", "rs", "ds"]])
+
+
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_landmarks_taken_together_span_what_single_ones_do(block, monkeypatch):
+    monkeypatch.setattr(detectors, "BLOCK", block)
+    x = np.random.default_rng(11).normal(0, 1, (600, 3))
+    known = x[:40]
+    z = np.concatenate([known, detectors._landmarks(x, known, 0.1, 600)])
+    back = detectors._factor(z, 0.1)
+    rest = 1 - ((detectors._kernel(x, z, 0.1) @ back.T) ** 2).sum(1)
+    assert rest.max() <= 1.001 * detectors.REST and not detectors._outside(x, z, back, 0.1)[rest < 0.999 * detectors.REST].any()
+    less = z[:60]
+    outside = detectors._outside(x, less, detectors._factor(less, 0.1), 0.1)
+    want = 1 - ((detectors._kernel(x, less, 0.1) @ detectors._factor(less, 0.1).T) ** 2).sum(1) > detectors.REST
+    assert (outside == want).all() and outside.any() and not outside.all()
+    assert 5 <= len(detectors._landmarks(x, x[:0], 0.1, 5)) <= 6 + block
