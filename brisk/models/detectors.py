@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.neighbours import POINTS, cells, distances, distinct_vectors, matrix, nearest_neighbours, sums_over
+from ..operators.neighbours import POINTS, cells, distances, distinct_vectors, matrix, nearest_neighbours, neighbour_sums, sums_over
 from ..operators.order import running, stored
 
 #: Rows of a tree; distinct vectors of a LOF model that are sent to all tasks; distinct vectors of the first
@@ -193,14 +193,12 @@ class LocalOutlierFactor(_Detector):
     def score(self, rows: DataFrame, vector: str, name: str = "anomaly") -> DataFrame:
         if self.model is not None:
             return super().score(rows, vector, name)
-        queries = distinct_vectors(rows, vector).select(F.col("vid").alias("qid"), F.col("x").alias("_v"))
-        both = stored(queries.join(self.table.select("x", F.col("own").alias(name)), F.col("_v") == F.col("x"), "left").drop("x"))
+        queries = rows.select(F.col(vector).cast("array<double>").alias("_v")).distinct()
+        both = stored(queries.join(self.table.select("x", F.col("own").alias(name)), F.col("_v") == F.col("x"), "left").drop("x").withColumn("qid", F.monotonically_increasing_id()))
         found, new = both.where(F.col(name).isNotNull()).select("_v", name), both.where(F.col(name).isNull()).select("qid", F.col("_v").alias("x"))
         if not new.isEmpty():
-            near = stored(nearest_neighbours(new, self.index, self.k, lists=True))
-            table = self.table.select("vid", "radius", "density").join(self.index.points.select("vid", "cell"), "vid")
             mean = lambda c: F.col(c) / F.col("w")
-            scored = sums_over(near, table).select("qid", (mean("ds") * (mean("rs") + 1e-10)).alias(name))
+            scored = neighbour_sums(new, self.index, self.table, self.k).select("qid", (mean("ds") * (mean("rs") + 1e-10)).alias(name))
             found = found.unionByName(new.join(scored, "qid").select(F.col("x").alias("_v"), name))
         return rows.join(stored(found), rows[vector].cast("array<double>") == F.col("_v"), "left").drop("_v")
 
@@ -240,9 +238,21 @@ def _kernel(q: np.ndarray, x: np.ndarray, gamma: float) -> np.ndarray:
 
 
 def _sums(q: np.ndarray, x: np.ndarray, a: np.ndarray, gamma: float) -> np.ndarray:
-    """For each row of q the sum over the rows of x of a times the kernel."""
-    lot = max(1, (1 << 18) // max(1, len(x)))
-    return np.concatenate([np.zeros(0), *[_kernel(q[at : at + lot], x, gamma) @ a for at in range(0, len(q) if len(x) else 0, lot)], np.zeros(0 if len(x) else len(q))])
+    """For each row of q the sum over the rows of x of a times the kernel. Exponents are one product of matrices, for so
+    many rows at once that they stay in the processor's cache."""
+    out = np.zeros(len(q))
+    if not len(x):
+        return out
+    mid, lot = x.mean(0), max(1, (1 << 16) // len(x))
+    x = x - mid
+    right = np.column_stack([2 * gamma * x, np.ones(len(x)), -gamma * (x * x).sum(1)]).T.copy()
+    held = np.empty((min(lot, len(q)), len(x)))
+    for at in range(0, len(q), lot):
+        part = q[at : at + lot] - mid
+        each = np.matmul(np.column_stack([part, -gamma * (part * part).sum(1), np.ones(len(part))]), right, out=held[: len(part)])
+        np.minimum(each, 0, out=each)
+        out[at : at + lot] = np.exp(each, out=each) @ a
+    return out
 
 
 def _solve(x: np.ndarray, cap: np.ndarray, gamma: float, start: np.ndarray | None = None, rounds: int = 10_000_000, fixed: np.ndarray | None = None, mass: float = 1.0) -> tuple[np.ndarray, float]:
@@ -368,7 +378,7 @@ class OneClassSvm(_Detector):
         return self
 
     def _span(self, points: DataFrame, m: int) -> None:
-        """Landmarks, if there are fewer than support vectors."""
+        """Landmarks, if there are fewer than support vectors. Those of a small sample tell early if there will be too many."""
         self.spanned, gamma, dims = None, self.width, self.dims
         most = min(self.landmarks, int(self.nu * m))
         z, left, size, columns = np.zeros((0, dims)), points.select("vid", "x"), m, "x array<double>"
@@ -381,11 +391,18 @@ class OneClassSvm(_Detector):
 
             return run
 
+        def more(z: np.ndarray, taken: int) -> np.ndarray:
+            """Landmarks z and those that a sample of so many rows needs besides."""
+            met = left if size <= taken else left.where(F.pmod(F.xxhash64("vid", F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * (taken / size)))
+            pick = lambda pdf: pd.DataFrame({"x": list(_landmarks(np.array(pdf.sort_values("vid")["x"].tolist(), float), z, gamma, most))})
+            return np.array([*z.tolist(), *[r["x"] for r in met.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(pick, columns).collect()]], float).reshape(-1, dims)
+
+        if size > SPANNED:
+            z = more(z, SPANNED // 4)
+            if len(z) * (size / (SPANNED // 4)) ** 0.25 > most:  # their number grows faster than that
+                return
         while size and len(z) <= most:
-            met = left if size <= SPANNED else left.where(F.pmod(F.xxhash64("vid", F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * (SPANNED / size)))
-            known = z
-            pick = lambda pdf: pd.DataFrame({"x": list(_landmarks(np.array(pdf.sort_values("vid")["x"].tolist(), float), known, gamma, most))})  # noqa: B023, E731
-            z = np.array([*known.tolist(), *[r["x"] for r in met.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(pick, columns).collect()]], float).reshape(-1, dims)
+            z = more(z, SPANNED)
             if size <= SPANNED or len(z) > most:
                 break
             sent = points.sparkSession.sparkContext.broadcast((z, _factor(z, gamma)))

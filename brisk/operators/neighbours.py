@@ -5,11 +5,13 @@ have is one point. Space is cut at medians of a sample; the points of a piece ar
 them is known to all tasks. A query first meets the cell whose box is nearest, which bounds its distances,
 and then the cells whose boxes are not farther away than that bound, and no others. Within a cell the task
 cuts the points into leaves, at medians again, and a query meets these nearest first, while they can hold
-anything nearer. So the work for a query does not follow the number of points, but for the boxes of
-CELLS cells at most that it is held against. Queries of a cell are dealt over lots, so a task holds one cell
-and one lot. Neighbours stay lists, one for each query and cell, and what is known of points is met with them
-cell by cell (`sums_over`), so that no join sees a row for each neighbour. Only a sample of SAMPLE points and
-one row of figures a cell reach the driver.
+anything nearer; all queries of a lot that meet a leaf do so at once. So the work for a query does not follow
+the number of points, but for the boxes of CELLS cells at most that it is held against. Queries of a cell are
+dealt over lots, so a task holds one cell and one lot. Neighbours of a model's own points stay lists, one for
+each query and cell, and what is known of points is met with them cell by cell (`sums_over`), so that no join
+sees a row for each neighbour. Of other queries only sums are wanted: points bring along what is known of them,
+and lists are kept only of queries that must meet several cells (`neighbour_sums`). Only a sample of SAMPLE
+points and one row of figures a cell reach the driver.
 
 Of points at equal distance the smallest vector comes first (as arrays compare).
 """
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 from .order import stored
 
 #: Cells at most, and points of one if there are fewer; points from which cuts are found; points of a leaf; queries of a lot.
-CELLS, POINTS, SAMPLE, LEAF, LOT = 1024, 32768, 32768, 256, 16384
+CELLS, POINTS, SAMPLE, LEAF, LOT = 1024, 131072, 32768, 256, 32768
+#: Leaves of a run, how many of its leaves a query meets after the nearest, before all others, and queries that meet a leaf
+#: at once, so that a call is worth its while and distances stay near the processor.
+RUN, AHEAD, BLOCK = 16, 4, 512
 
 _ASKED = "qid long, cell int, vid array<long>, d array<double>, n array<int>"
-_LISTS = {"vid": pa.int64(), "d": pa.float64(), "n": pa.int32(), "before": pa.int32()}
+_LISTS = {"vid": pa.int64(), "d": pa.float64(), "n": pa.int32(), "before": pa.int32(), "radius": pa.float64(), "density": pa.float64()}
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -163,33 +168,114 @@ def _visits(queries: DataFrame, index: Cells, bounded: bool) -> DataFrame:
     return queries.mapInArrow(run, "qid long, x array<double>, r double, cell int")
 
 
+def _gaps(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squares of `_to_boxes`, computed for some rows at once that stay in the processor's cache."""
+    out, lot = np.zeros((len(q), len(low))), max(1, 8192 // len(low))
+    low, high, step = np.ascontiguousarray(low.T), np.ascontiguousarray(high.T), np.empty((lot, len(low)))
+    for at in range(0, len(q), lot):
+        own = out[at : at + lot]
+        part = step[: len(own)]
+        for j in range(len(low)):
+            x = q[at : at + lot, j, None]
+            np.subtract(x, np.clip(x, low[j], high[j], out=part), out=part)
+            part *= part
+            own += part
+    return out
+
+
+def _squares(q: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of q to all of s by one product of matrices, and how far those of each row of q can be off."""
+    mid = s.mean(0)
+    a, b = q - mid, s - mid
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    a *= -2
+    ones = np.ones
+    return np.column_stack([a, aa, ones(len(a))]) @ np.column_stack([b, ones(len(b)), bb]).T, _slack(s) * (aa + bb.max())
+
+
+def _slack(s: np.ndarray) -> float:
+    """What rounding can add to a sum over the dimensions, as a share of it."""
+    return 8 * (s.shape[1] + 2) * np.finfo(float).eps
+
+
+def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and its places."""
+    by = np.argsort(key, kind="stable")
+    for i in np.split(by, np.flatnonzero(np.diff(key[by])) + 1) if len(by) else ():
+        yield int(key[i[0]]), i
+
+
 def _nearest(q: np.ndarray, s: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of q, places in s and distances of the k nearest of each, none beyond `most`, and the bounds of all rows of q."""
+    """Rows of q, places in s and distances of the k nearest of each, none beyond `most`, and the bounds of all rows of q.
+
+    A query meets the nearest leaf of its nearest run of RUN leaves, then the next AHEAD of that run, and then all other
+    leaves within the bound that these gave. Leaves are met by all their queries at once, and all but the first by products of
+    matrices, whose rounding errors are allowed for; the points that may count are then measured as `distances` does."""
     leaves = _leaves(s, max(LEAF, 2 * k))
     low, high = (np.array([f(s[i], axis=0) for i in leaves]).reshape(len(leaves), -1) for f in (np.min, np.max))
-    r, best, hits = most.copy(), np.full((len(q), k), np.inf), []
-    away = _to_boxes(q, low, high)
-    order = np.argsort(away, axis=1, kind="stable")
-    live = np.arange(len(q))
-    for wave in range(len(leaves)):
-        live = live[away[live, order[live, wave]] <= r[live]]
-        if not len(live):
-            break
-        leaf = order[live, wave]
-        by = np.argsort(leaf, kind="stable")
-        for i in np.split(live[by], np.flatnonzero(np.diff(leaf[by])) + 1):
-            own = leaves[order[i[0], wave]]
-            d = distances(q[i], s[own])
-            both = np.concatenate([best[i], np.where(d <= r[i, None], d, np.inf)], axis=1)
-            best[i] = np.partition(both, k - 1, axis=1)[:, :k]
-            r[i] = np.minimum(r[i], best[i].max(1))
-            a, b = np.nonzero(d <= r[i, None])
-            hits.append((i[a], own[b], d[a, b]))
-    row, place, d = (np.concatenate(v) for v in zip(*hits, strict=True)) if hits else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    row, place, d = (v[d <= r[row]] for v in (row, place, d))
-    by = np.lexsort((place, d, row))
+    runs = np.arange(0, len(leaves), RUN)
+    slack = _slack(s)
+    bound, best, hits = most * most * (1 + slack), np.full((len(q), k), np.inf), []
+
+    def meet(rows: np.ndarray, leaf: np.ndarray, gap: np.ndarray, first: bool = False) -> None:
+        for c, every in _by(leaf):
+            for at in range(0, len(every), BLOCK):
+                part = every[at : at + BLOCK]
+                i = rows[part[gap[part] <= bound[rows[part]]]]
+                if not len(i):
+                    continue
+                own = s[leaves[c]]
+                d, off = (distances(q[i], own) ** 2, np.zeros(len(i))) if first else _squares(q[i], own)
+                if not first:
+                    some = np.flatnonzero(~(d.min(1) - off > bound[i]))  # not a number where squares are too large: those are met
+                    i, d, off = i[some], d[some], off[some]
+                both = np.concatenate([best[i], d + off[:, None]], axis=1)
+                best[i] = np.partition(both, k - 1, axis=1)[:, :k]
+                bound[i] = np.fmin(bound[i], best[i].max(1) * (1 + slack))
+                a, b = np.nonzero(~(d > (bound[i] + off)[:, None]))
+                hits.append((i[a], leaves[c][b], d[a, b] - off[a]))
+
+    far = _gaps(q, np.minimum.reduceat(low, runs), np.maximum.reduceat(high, runs)) * (1 - slack)
+    nearest, home = np.zeros((len(q), min(1 + AHEAD, len(leaves))), int), far.argmin(1)
+    gaps = np.full(nearest.shape, np.inf)
+    for u, i in _by(home):
+        of = slice(u * RUN, (u + 1) * RUN)
+        gap = _gaps(q[i], low[of], high[of]) * (1 - slack)
+        order = np.argsort(gap, axis=1)[:, : nearest.shape[1]]
+        nearest[i, : order.shape[1]], gaps[i, : order.shape[1]] = u * RUN + order, np.take_along_axis(gap, order, 1)
+    every = np.arange(len(q))
+    meet(every, nearest[:, 0], gaps[:, 0], True)
+    met = np.isfinite(gaps[:, 1:])
+    meet(np.repeat(every, met.sum(1)), nearest[:, 1:][met], gaps[:, 1:][met])
+    rest = []
+    for u in range(len(runs)):
+        i = np.flatnonzero(far[:, u] <= bound)
+        of = slice(u * RUN, (u + 1) * RUN)
+        gap = _gaps(q[i], low[of], high[of]) * (1 - slack)
+        go = gap <= bound[i, None]
+        known = np.flatnonzero(home[i] == u)
+        there = np.where(np.isfinite(gaps[i[known]]), nearest[i[known]], nearest[i[known], :1])
+        go[known[:, None], there - u * RUN] = False
+        a, b = np.nonzero(go)
+        rest.append((i[a], u * RUN + b, gap[a, b]))
+    meet(*(np.concatenate(v) for v in zip(*rest, strict=True)))
+    row, place, least = (np.concatenate(v) for v in zip(*hits, strict=True)) if hits else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    row, place = (v[~(least > bound[row])] for v in (row, place))
+    step = q[row] - s[place]
+    step *= step
+    d = np.zeros(len(row))
+    for j in range(s.shape[1]):
+        d += step[:, j]
+    np.sqrt(d, out=d)
+    row, place, d = (v[d <= most[row]] for v in (row, place, d))
+    by = np.argsort(row * len(s) + place)
+    by = by[np.argsort(d[by], kind="stable")]
+    by = by[np.argsort(row[by].astype(np.uint16) if len(q) <= 1 << 16 else row[by], kind="stable")]
     row, place, d = row[by], place[by], d[by]
-    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    r, last = most.copy(), rank == k - 1
+    r[row[last]] = d[last]
+    first = rank < k
     return row[first], place[first], d[first], r
 
 
@@ -245,6 +331,68 @@ def _meet(visits: DataFrame, index: Cells, k: int) -> DataFrame:
     return asked.groupBy(*lot).cogroup(there.groupBy(*lot)).applyInArrow(nearest, f"{_ASKED}, x array<double>, r double")
 
 
+def _weights(row: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """How often each element counts among the first k of its row; rows are sorted, with n of each element."""
+    before = np.cumsum(n) - n
+    start = _starts(row) if len(row) else np.zeros(0, int)
+    before = before - np.repeat(before[start], np.diff(np.append(start, len(row))))
+    return np.clip(k - before, 0, n)
+
+
+def _totals(row: np.ndarray, n: np.ndarray, d: np.ndarray, radius: np.ndarray, density: np.ndarray, rows: int) -> dict[str, np.ndarray]:
+    total = lambda v: np.bincount(row, n * v, rows)
+    return {"w": total(np.ones(len(n))), "rs": total(np.maximum(d, radius)), "ds": total(density)}
+
+
+def neighbour_sums(queries: DataFrame, index: Cells, known: DataFrame, k: int) -> DataFrame:
+    """`sums_over` the k nearest neighbours of queries (qid, x), without lists of them but of queries that meet more than one
+    cell; known: (vid, radius, density) of all points."""
+    low, high = index.low, index.high
+    dims, names = low.shape[1], ["vid", "d", "n", "radius", "density"]
+    sent = queries.sparkSession.sparkContext.broadcast((low, high))
+    points = index.points.select("vid", "x", "n", "cell").join(known.select("vid", "radius", "density"), "vid")
+
+    def meet(visits: DataFrame, others: bool) -> DataFrame:
+        asked, there = _dealt(stored(visits), points)
+
+        def nearest(queries: pa.Table, points: pa.Table) -> pa.Table:
+            points = points.sort_by("vid")
+            x, q, most = matrix(points.column("x"), dims), matrix(queries.column("x"), dims), queries.column("r").to_numpy()
+            vid, n, radius, density = (_flat(points.column(c)).to_numpy() for c in ("vid", "n", "radius", "density"))
+            row, place, d, r = _nearest(q, x, most, k) if len(q) and len(x) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), most)
+            more = np.ones(len(q), bool)
+            for at in range(0, 0 if others else len(q), 4096):
+                away = _to_boxes(q[at : at + 4096], *sent.value)
+                more[at : at + 4096] = (away <= r[at : at + 4096, None]).sum(1) > 1
+            take = _weights(row, n[place], k)
+            whole = _totals(row, take, d, radius[place], density[place], len(q))
+            keep = more[row] & (take > 0)
+            row, place, d = row[keep], place[keep], d[keep]
+            lists = _listed(np.searchsorted(row, np.arange(len(q))), {"vid": vid[place], "d": d, "n": np.minimum(n[place], k), "radius": radius[place], "density": density[place]})
+            return pa.table({"qid": _flat(queries.column("qid")), "x": _flat(queries.column("x")), "r": pa.array(r), "more": pa.array(more), **whole, **lists})
+
+        lot = ["cell", "lot"]
+        types = "qid long, x array<double>, r double, more boolean, w double, rs double, ds double, " + ", ".join(f"{c} array<{'long' if c == 'vid' else 'int' if c == 'n' else 'double'}>" for c in names)
+        return asked.groupBy(*lot).cogroup(there.groupBy(*lot)).applyInArrow(nearest, types)
+
+    def merged(lists: pa.Table) -> pa.Table:
+        row, vid, d, n, radius, density = _long(lists, names)
+        qid, row = np.unique(_flat(lists.column("qid")).to_numpy()[row], return_inverse=True)
+        by = np.lexsort((vid, d, row))
+        row, d, n, radius, density = (v[by] for v in (row, d, n, radius, density))
+        return pa.table({"qid": qid, **_totals(row, _weights(row, n, k), d, radius, density, len(qid))})
+
+    first = stored(meet(_visits(queries.select("qid", "x"), index, False), False))
+    sums = ["qid", "w", "rs", "ds"]
+    out, left = first.where("not more").select(*sums), first.where("more")
+    if count := left.count():
+        more = meet(_visits(left.select("qid", "x", "r"), index, True), True)
+        lists = left.select("qid", *names).unionByName(more.select("qid", *names))
+        part = F.pmod(F.xxhash64("qid"), F.lit(-(-count // LOT))).alias("part")
+        out = out.unionByName(lists.groupBy(part).applyInArrow(merged, "qid long, w double, rs double, ds double"))
+    return out.where("w > 0")
+
+
 def _first(found: DataFrame, queries: int, k: int, own: bool) -> DataFrame:
     """(qid, cell, vid, d, n, before, radius): the k nearest of each query, a row for each cell that has some: the last one
     less what is over, how many lie before each, and the distance of the last."""

@@ -201,3 +201,57 @@ def test_landmarks_taken_together_span_what_single_ones_do(block, monkeypatch):
     want = 1 - ((detectors._kernel(x, less, 0.1) @ detectors._factor(less, 0.1).T) ** 2).sum(1) > detectors.REST
     assert (outside == want).all() and outside.any() and not outside.all()
     assert 5 <= len(detectors._landmarks(x, x[:0], 0.1, 5)) <= 6 + block
+
+
+def test_a_leaf_is_met_by_all_queries_of_a_lot_at_once(monkeypatch):
+    rng, calls = np.random.default_rng(12), []
+    for name in ("distances", "_squares"):
+        if plain := getattr(neighbours, name, None):
+            monkeypatch.setattr(neighbours, name, lambda a, b, plain=plain: calls.append(len(a)) or plain(a, b))
+    x, q = rng.normal(0, 1, (16000, 4)), rng.normal(0, 1.3, (3000, 4))
+    x[:4000] = np.round(x[:4000])  # ties
+    q[:200] *= 1000
+    most = rng.uniform(0.1, 2000, len(q))
+    row, place, d, r = neighbours._nearest(q, x, most, 20)
+    assert len(calls) < 3 * 16000 / 125
+    for i in rng.permutation(3000)[:300]:
+        away = neighbours.np.sqrt(((q[i] - x) ** 2).sum(1))
+        near = np.argsort(away, kind="stable")[:20]
+        near = near[away[near] <= most[i]]
+        assert np.allclose(d[row == i], away[near]) and r[i] == (d[row == i][-1] if len(near) == 20 else most[i])
+        assert set(place[row == i]) == set(near) or len(set(away)) < len(away)
+
+
+@pytest.mark.parametrize("big", [1e-170, 1e160])
+def test_neighbours_of_very_small_and_large_numbers(big):
+    x = np.random.default_rng(13).normal(0, 1, (1500, 2))
+    row, place, d, r = neighbours._nearest(x[:40], x, np.full(40, np.inf), 5)
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        got = neighbours._nearest(x[:40] * big, x * big, np.full(40, np.inf), 5)
+    assert len(got[0]) == 200 and (got[0] == row).all()
+
+
+@pytest.mark.parametrize("chunk,lot", [(2000, 2048), (60, 50)])
+def test_sums_without_lists_are_those_over_lists(spark, clouds, chunk, lot, monkeypatch):
+    monkeypatch.setattr(neighbours, "LOT", lot)
+    index = neighbours.cells(neighbours.distinct_vectors(frame(spark, clouds), "x"), chunk)
+    rng = np.random.default_rng(14)
+    asked = np.concatenate([clouds[:150], rng.normal(2, 3, (150, 3)), [[1000.0, 0, 0]]])
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(asked)], "qid long, x array<double>")
+    known = index.points.select("vid", F.sqrt(F.col("vid") % 7).alias("radius"), (1.0 + F.col("vid") % 5).alias("density"))
+    lists = neighbours.stored(neighbours.nearest_neighbours(queries, index, 20, lists=True))
+    want = neighbours.sums_over(lists, known.join(index.points.select("vid", "cell"), "vid")).toPandas().sort_values("qid")
+    got = neighbours.neighbour_sums(queries, index, known, 20).toPandas().sort_values("qid")
+    assert list(got["qid"]) == list(want["qid"]) == list(range(301)) and np.allclose(got[["w", "rs", "ds"]], want[["w", "rs", "ds"]], rtol=1e-12)
+
+
+def test_too_many_landmarks_are_known_from_a_small_sample(spark, monkeypatch):
+    x = np.random.default_rng(15).normal(0, 1, (6000, 5))
+    assert len(detectors._landmarks(x[:200], x[:0], 0.05, 300)) < 300 < len(detectors._landmarks(x, x[:0], 0.05, 400))
+    points = detectors.distinct_vectors(frame(spark, x), "x")
+    svm = detectors.OneClassSvm(0.5, landmarks=300)
+    svm.dims, svm.width = 5, 0.05
+    monkeypatch.setattr(detectors, "SPANNED", 800)
+    monkeypatch.setattr(detectors, "_factor", None)  # the driver needs it only if all rows are held against landmarks
+    svm._span(points, len(x))
+    assert svm.spanned is None
